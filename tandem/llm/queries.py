@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import mixing, packing, pii, quality, secrets, token_counts, topk
+from tandem.llm import lm_score, mixing, near_dedup, packing, pii, quality, secrets, token_counts, topk, toxicity
 from tandem.llm.common import table
 
 
@@ -16,6 +16,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_of_every(table(spark, sf_dir, "embeddings"))
 
@@ -36,5 +48,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op5_packing, op6_mixing, op8_topk, op9_secrets, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_near_dedup, op4_lm_score, op5_packing, op6_mixing, op7_toxicity, op8_topk, op9_secrets, op10_quality)}
 ORACLES = {"op6_mixing": mixing.MIX_SQL, "op8_topk": topk.TOP_K_SQL, "op10_quality": quality.QUALITY_SQL}
