@@ -114,9 +114,26 @@ def quality_rules(docs: DataFrame, host_limit: float = 0.6) -> DataFrame:
 
 
 def clean(docs: DataFrame, host_limit: float = 0.6) -> DataFrame:
-    """`docs` without the rows that the rules reject, columns as they were. Rows that share an id are judged alone by their text's measures; an id is kept if any of its rows is."""
-    kept = quality_rules(docs, host_limit).where("kept").select(F.col("doc_id").alias("quality_id")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(F.col("quality_id")), "left_semi")
+    """`docs` without the rows that the rules reject, columns as they were.
+
+    Hosts are judged first; then each row is measured again where it lies, so that no
+    text is shuffled and rows that share an id are judged by their own text.
+    """
+    hosts = cut(host_verdicts(rules(measure(docs)), host_limit).select(F.col("source").alias("quality_host"), "host_kept"))
+    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts.hint("merge")
+
+    @F.pandas_udf("boolean")
+    def passes(texts):  # noqa: ANN001
+        import pandas as pd
+
+        found = []
+        for b in sub_batches(iter([pa.record_batch([pa.array(texts, pa.string())], names=["text"])])):
+            words = Words(b.column(0))
+            found.append((words.count >= 50) & (100 * repeated_words(words) <= 50 * words.count))
+        return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
+
+    rows = docs.join(hosts, docs["source"].cast("string").eqNullSafe(F.col("quality_host"))).where("host_kept")
+    return rows.where(passes(F.coalesce("text", F.lit("")))).select(docs.columns)
 
 
 QUALITY_SQL = r"""
