@@ -174,7 +174,7 @@ def logistic_fit(df: DataFrame, y: str, xs: list[str], l2: float = 1.0, balanced
     pos, neg = n["p"] or 0.0, n["n"] - (n["p"] or 0.0)
     w = F.when(F.col(y) == 1, n["n"] / (2 * max(pos, 1))).otherwise(n["n"] / (2 * max(neg, 1))) if balanced else F.lit(1.0)
     rows = VectorAssembler(inputCols=xs, outputCol="features").transform(rows.withColumn("w", w.cast("double")))
-    model = LogisticRegression(labelCol=y, featuresCol="features", weightCol="w", regParam=l2 / max(n["n"], 1), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-10).fit(rows)
+    model = LogisticRegression(labelCol=y, featuresCol="features", weightCol="w", regParam=l2 / max(n["n"], 1), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6).fit(rows)
     return model, rows
 
 

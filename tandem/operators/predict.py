@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.exprs import hash_mod, stable_hash, wilson_upper
+from tandem.functions.storage import cut
 from tandem.operators.inference import logistic_fit
 from tandem.operators.ranking import average_precision, certified_prefixes, roc_auc, running_sums, spearman
 
@@ -50,7 +51,7 @@ def cross_validated_predictions(df: DataFrame, y: str, models: dict[str, list[st
 
     parts = []
     for name, cols in models.items():
-        scaled = standardize(df.dropna(subset=[y, *cols]), fold, cols, k)
+        scaled = cut(standardize(df.dropna(subset=[y, *cols]), fold, cols, k))  # read again by every fit
         zs = [f"{c}_z" for c in cols]
         for f in range(k):
             model, _ = logistic_fit(scaled.where(F.col(fold) != f), y, zs, l2)
@@ -125,7 +126,7 @@ def nested_policy_selection(units: DataFrame, features: list[str], splits: int =
     One row per split: certified coverage, and on the test part the units selected and their mean effect.
     The calibration and test curves of all splits come out of the same jobs; the split is a policy key.
     """
-    parts = []
+    units, parts = cut(units), []
     for s in range(splits):
         marked = units.withColumn("part", F.when(hash_mod(stable_hash(cluster, f"{seed}-{s}"), 2) == 0, "calibration").otherwise("test"))
         cal = marked.where("part = 'calibration'").withColumn("fold", hash_mod(stable_hash(cluster, f"{seed}-{s}-inner"), inner).cast("int"))
@@ -135,7 +136,7 @@ def nested_policy_selection(units: DataFrame, features: list[str], splits: int =
         test = _fit_and_apply(everything, features)
         scored = marked.join(own.unionByName(test), "unit_id")
         parts.append(scored.select(F.concat(F.lit(f"{s}|"), "part").alias("policy"), "unit_id", cluster, "effect", F.lit(0.0).alias("tier"), (-F.col("p")).alias("policy_score"), F.lit(1.0).alias("w")))
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = cut(reduce(DataFrame.unionByName, parts))
     p = certified_prefixes(rows, cluster, 10).join(F.broadcast(rows.groupBy("policy").agg(F.count(F.lit(1)).alias("n"))), "policy").select(F.split("policy", r"\|")[0].cast("int").alias("split"), F.split("policy", r"\|")[1].alias("part"), "k", "n", "estimate", "lcb")
     chosen = p.where("part = 'calibration'").groupBy("split").agg(F.max(F.when(F.col("lcb") >= -budget, F.col("k") / F.col("n"))).alias("coverage"))
     test = p.where("part = 'test'").join(chosen, "split").where(F.col("k") <= F.col("coverage") * F.col("n"))
@@ -148,7 +149,7 @@ def _fit_and_apply(df: DataFrame, features: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    scaled = standardize(df, "fold", features, 2)
+    scaled = cut(standardize(df, "fold", features, 2))
     zs = [f"{c}_z" for c in features]
     model, _ = logistic_fit(scaled.where("fold = 1"), "y_", zs)
     out = model.transform(VectorAssembler(inputCols=zs, outputCol="features").transform(scaled.where("fold = 0").withColumn("w", F.lit(1.0))))

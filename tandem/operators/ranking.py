@@ -176,11 +176,11 @@ def certified_prefixes(ranked: DataFrame, cluster: str = "cluster_id", step: int
     order = ["tier", "-policy_score", "_h", "unit_id"]
     own = Window.partitionBy("policy", cluster).orderBy("tier", F.desc("policy_score"), "_h", "unit_id")
     so_far = own.rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumns({"A": F.coalesce(F.sum("a").over(so_far), F.lit(0.0)), "B": F.coalesce(F.sum("b").over(so_far), F.lit(0.0)), "new": F.when(F.row_number().over(own) == 1, 1).otherwise(0)})
-    A, B, a, b = (F.col(c) for c in "ABab")
-    sums = {"m": "new", "sa": "a", "sb": "b", "saa": 2 * A * a + a * a, "sab": A * b + B * a + a * b, "sbb": 2 * B * b + b * b}
+    h = h.withColumns({"ca": F.coalesce(F.sum("a").over(so_far), F.lit(0.0)), "cb": F.coalesce(F.sum("b").over(so_far), F.lit(0.0)), "new": F.when(F.row_number().over(own) == 1, 1).otherwise(0)})
+    ca, cb, a, b = (F.col(c) for c in ("ca", "cb", "a", "b"))
+    sums = {"m": "new", "sa": "a", "sb": "b", "saa": 2 * ca * a + a * a, "sab": ca * b + cb * a + a * b, "sbb": 2 * cb * b + b * b}
     h = h.withColumns({f"_{n}": (F.col(c) if isinstance(c, str) else c) for n, c in sums.items()})
-    g = running_sums(h.drop("A", "B", "a", "b", "new"), ["policy"], order, {n: f"_{n}" for n in sums})
+    g = running_sums(h.drop("ca", "cb", "a", "b", "new"), ["policy"], order, {n: f"_{n}" for n in sums})
     total = ranked.groupBy("policy").agg(F.count(F.lit(1)).alias("n"))
     g = g.join(F.broadcast(total), "policy").where(grid_of(F.col("n"), step))  # one row per policy
     return g.select("policy", F.col("rank").alias("k"), F.col("m").alias("clusters"), F.try_divide(F.col("sa"), F.nullif(F.col("sb"), F.lit(0.0))).alias("estimate"), lcb_of("m", "sa", "sb", "saa", "sab", "sbb").alias("lcb"))
