@@ -155,10 +155,14 @@ def find_personal_data(docs: DataFrame, window: int = 12, support: int = 3, remo
     """doc_id, text_id, spans (base) and terms (spans of revealing terms, kind removed or generalised), one row for each row of `docs`."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     found = cut(entities(source, window))
-    near = found.where(F.size("near") > 0).select("text_id", F.explode("near").alias("n")).select("text_id", F.xxhash64("n.entity").alias("entity"), "n.terms").dropDuplicates(["text_id", "entity"])
+    held = cut(found.where(F.size("near") > 0).select("text_id", "near").dropDuplicates(["text_id"]))
+    near = held.select("text_id", F.explode("near").alias("n")).select("text_id", F.xxhash64("n.entity").alias("entity"), "n.terms")
+    # a term near entities of m texts stands in m texts at least; where that alone keeps P(e|t) low, its places are never looked up
+    around = held.select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda n: n["terms"])))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     known = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
     pairs = near.join(known.hint("merge"), "entity").select("entity", "n_e", F.explode("terms").alias("term"))
-    candidates = cut(pairs.groupBy("term", "entity", "n_e").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support))
+    counted = pairs.groupBy("term", "entity", "n_e").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    candidates = cut(counted.join(around.hint("merge"), "term").where(F.col("n_te") >= generalise * F.col("n_near")).drop("n_near"))
     n_texts = found.count()
     places = cut(occurrences(source, bitmap(candidates, "term", BITS)).join(candidates.select("term").distinct().hint("merge"), "term", "left_semi"))
     flagged = disclosures(found, places, candidates, n_texts, remove, generalise)
