@@ -78,7 +78,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     whole = F.coalesce(F.floor(F.try_divide(F.col("mix_taken"), F.col("mix_size"))), F.lit(0)).cast("int")
     rest = (F.col("mix_taken") - whole * F.col("mix_size")).cast("int")
     rows = rows.withColumn("mix_part", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
-    return rows.withColumn("text", F.when(F.col("mix_part") > 0, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest("mix_part", F.lit(1))), " ")).otherwise(F.col("text")))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest("mix_part", F.lit(1))), " ")
+    rows = rows.withColumn("text", F.when(F.col("mix_part") > 0, part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("mix_part") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)
