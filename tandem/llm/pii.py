@@ -66,7 +66,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     found = [(0, s, e) for s, e in emails(text)]
     if any(c in text for c in "0123456789"):
         if "." in text:
-            found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
