@@ -4,7 +4,8 @@ Labels are learned from rows whose crc32(doc_id) mod 4 is not 2. A sample of at
 `max_examples` labelled rows, half of it kept for toxic ones, is the reference set; that
 bound is what makes the index small enough to send to every task. Terms are words and
 their prefixes of 5 to 8 bytes. The `max_terms` terms with the strongest association to
-the label (likelihood ratio, over `min_ratio`) span the TF-IDF space.
+the label (likelihood ratio over `min_ratio`, and at least `min_lift` times as frequent in
+toxic examples as in others) span the TF-IDF space.
 
 Every whole text is then compared with the examples by exact cosine: a block-max
 inverted index keeps each term's postings in blocks of examples with the block's
@@ -31,7 +32,7 @@ from tandem.llm.common import bucket_of
 from tandem.llm.lm_score import Lookup
 from tandem.llm.textkit import Words, span_hashes, sub_batches
 
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 12_000, 1024, 15, 64
+MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 12_000, 512, 15, 64
 PREFIXES = (5, 6, 7, 8)
 
 
@@ -108,20 +109,21 @@ class BlockMaxIndex:
         bound = w @ self.block_max[cols]
         by = np.argsort(-bound, kind="stable")
         by = by[bound[by] > 0]
-        at = np.concatenate([np.arange(self.first[c], self.first[c + 1]) for c in cols]) if len(cols) else np.zeros(0, int)
+        turn = np.full(self.blocks, len(by))
+        turn[by] = np.arange(len(by))
+        at = np.concatenate([np.arange(self.first[c], self.first[c + 1]) for c in cols])
         row, weight = self.rows[at], self.w[at] * np.repeat(w, self.first[cols + 1] - self.first[cols])
-        block = row // BLOCK
-        score, done, kth = np.zeros(self.n), 0, 0.0
+        order = turn[row // BLOCK]
+        score, done, step, kth = np.zeros(self.n), 0, 8, 0.0
         while done < len(by) and bound[by[done]] >= kth - 1e-12:
-            chosen = np.zeros(self.blocks, bool)
-            chosen[by[done : done + 16]] = True
-            use = chosen[block]
+            use = (order >= done) & (order < done + step)
             score += np.bincount(row[use], weight[use], self.n)
-            done += 16
+            done, step = done + step, step * 3
             if skip >= 0:
                 score[skip] = 0
-            if self.n > k:
-                kth = np.partition(score, self.n - k)[self.n - k]
+            some = score[score > 0]
+            if len(some) > k:
+                kth = np.partition(some, len(some) - k)[len(some) - k]
         near = np.flatnonzero((score >= kth) & (score > 0))
         near = near[np.lexsort((near, -score[near]))][:k]
         return near, np.minimum(score[near], 1.0)
@@ -146,7 +148,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_ratio: float = 30.0) -> BlockMaxIndex | None:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, min_ratio: float = 30.0, min_lift: float = 3.0) -> BlockMaxIndex | None:
     """The index of the reference set; None without labelled rows of both kinds."""
     rows, totals = examples(docs, labels, max_examples)
     if not totals.get(0) or not totals.get(1):
@@ -174,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     df, all_ = F.col("df"), n1 + n0
     ratio = 2 * (part(a, df * (n1 / all_)) + part(b, df * (n0 / all_)) + part(n1 - a, (all_ - df) * (n1 / all_)) + part(n0 - b, (all_ - df) * (n0 / all_)))
-    best = seen.withColumn("ratio", ratio).where((F.col("ratio") >= min_ratio) & (a * n0 > b * n1)).orderBy(F.desc("ratio"), "term").limit(max_terms).toPandas()
+    best = seen.withColumn("ratio", ratio).where((F.col("ratio") >= min_ratio) & (a * n0 > min_lift * b * n1)).orderBy(F.desc("ratio"), "term").limit(max_terms).toPandas()
     terms = best["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(terms)
     terms, df_ = terms[order], best["df"].to_numpy(float)[order]
