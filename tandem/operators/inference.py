@@ -115,7 +115,9 @@ def permutation_test(df: DataFrame, side: str, value: str, unit: str, reps: int
 def label_permutation_null(df: DataFrame, unit: str, label: str, value: str, level: str, reps: int = 200, seed: int = 20260722) -> DataFrame:
     """Null distribution of the contrast between a label's level and the rest when labels are dealt anew with their margins kept."""
     rows = df.where(F.col(value).isNotNull()).select(unit, F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("x"))
-    labels = rows.select("label", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(unit)).alias("rank"))
+    from tandem.operators.ranking import running_sums
+
+    labels = running_sums(rows.select(unit, "label"), [], [unit], {}).select("label", "rank")
     drawn = rows.select(unit, "x", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(hash_unit(seed, "rep", unit), unit)))
     dealt = drawn.join(labels.hint("merge"), "rank")
     contrast = lambda c: F.avg(F.when(c, F.col("x"))) - F.avg(F.when(~c, F.col("x")))
@@ -204,10 +206,12 @@ def power_grid(units: DataFrame, value: str, sizes: list[int], scales: list[floa
     """
     rows = units.where(F.col(value).isNotNull()).select("unit_id", F.col(value).cast("double").alias("x"))
     n = rows.count()
-    dense = cut(rows.withColumn("index", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("unit_id")) - 1))
+    from tandem.operators.ranking import running_sums
+
+    dense = cut(running_sums(rows, [], ["unit_id"], {}).select("x", (F.col("rank") - 1).alias("index")))
     spark = units.sparkSession
     grid = spark.range(1, sims + 1).withColumnRenamed("id", "sim").withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("size"))))
-    picks = grid.withColumn("index", F.floor(hash_unit(seed, "size", "sim", "draw") * n).cast("int"))
+    picks = grid.withColumn("index", F.floor(hash_unit(seed, "size", "sim", "draw") * n))
     per = picks.join(dense.hint("merge"), "index").groupBy("size", "sim").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
     scaled = per.withColumn("scale", F.explode(F.array(*map(F.lit, scales))))
     mean = rows.agg(F.avg("x").alias("mean"))
