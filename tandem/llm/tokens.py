@@ -9,7 +9,7 @@ pieces of a batch are encoded once, and a bounded cache keeps pieces between bat
 from __future__ import annotations
 
 import os
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import pyarrow as pa
 from tandem.llm.textkit import buffers, process_cache
 
 VOCABULARY = "byte_bpe_50k"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000  # about 30 MB
 
 
 def vocabulary_dir() -> str:
@@ -39,19 +39,23 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(f"{folder}/{VOCABULARY}.json")
-        self.full.encode_special_tokens = True
+        self.file, self.full = f"{folder}/{VOCABULARY}.json", None
         with open(f"{folder}/{VOCABULARY}.tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> bytes:
+        """The ids of a piece, four bytes each."""
         if text.isascii() or max(text) < "ɐ":
-            return self.fast.encode_ordinary(text)
-        return self.full.encode(text, add_special_tokens=False).ids
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
+        if self.full is None:
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.file)
+            self.full.encode_special_tokens = True
+        return array("I", self.full.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids per text)."""
@@ -70,17 +74,15 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         which = pieces.indices.to_numpy(zero_copy_only=False)
         cache, found = self.cache, []
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
         for text in pieces.dictionary.to_pylist():
             ids = cache.get(text)
             if ids is None:
                 ids = self.piece(text)
-                if len(text) < 40:
+                if len(text) < 40 and len(cache) < CACHE_ENTRIES:
                     cache[text] = ids
             found.append(ids)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         begin = np.cumsum(size) - size
         n = size[which]
         total = np.concatenate([[0], np.cumsum(n)])
