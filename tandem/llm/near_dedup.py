@@ -33,7 +33,7 @@ from tandem.llm.textkit import Words, mix, mix_int, prefix_starts, process_cache
 N_WORDS, BANDS, ROWS = 5, 10, 4
 SLOT_BITS, BLOCK = 20, 4096
 FILTER_BITS = 24
-PAIRWISE = 400  # product of sizes up to which the rest of a bucket is compared pairwise
+LEFT, RIGHT = 512, 2048  # texts on the sides of a block, on average
 SALTED = 256  # texts that one leader meets in one group
 
 
@@ -227,21 +227,18 @@ def links(texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate
     held = cut(banded.join(size.hint("merge"), "key"))
     central = held.groupBy("v").agg((F.sum("n") + F.max("copies")).alias("c"))
     members = cut(held.join(central.hint("merge"), "v").select("key", "v", "c", "n"))
-    open_, tried, found, first = members.select("key", "v", "c"), None, [], None
+    open_, tried, found = members.select("key", "v", "c"), None, []
     for turn in range(rounds + 1):
         if turn < rounds:
             lead, pairs = leader_pairs(open_, members)
-            first = cut(lead) if not turn else first
+            keyed = cut(pairs)
         else:
-            members, open_ = unsettled(open_, members, first, found)
-            if not open_.limit(1).count():
-                break
-            pairs = remaining_pairs(open_, members)
-        keyed = cut(pairs)
+            keyed = cut(cross_pairs(members, labels_so_far(found), vertices, estimate, rounds))
         # each pair once, with the leader as b: its text is sent to its groups, not the other way round
         g, l = F.greatest("a", "b"), F.least("a", "b")
-        once = keyed.groupBy(g.alias("g"), l.alias("l")).agg(F.min("b").alias("b")).select(F.when(F.col("b") == F.col("g"), F.col("l")).otherwise(F.col("g")).alias("a"), "b")
-        pairs = agreeing(once, vertices, estimate)
+        pairs = keyed.groupBy(g.alias("g"), l.alias("l")).agg(F.min("b").alias("b")).select(F.when(F.col("b") == F.col("g"), F.col("l")).otherwise(F.col("g")).alias("a"), "b")
+        if turn < rounds:
+            pairs = agreeing(pairs, vertices, estimate)
         if tried is not None:
             pairs = pairs.join(tried.select(g.alias("g"), l.alias("l")).hint("merge"), (g == F.col("g")) & (l == F.col("l")), "left_anti")
         pairs = cut(pairs)
@@ -257,54 +254,77 @@ def links(texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate
                 done = linked.select("key", F.col("a").alias("v")).union(lead.select("key", F.col("b").alias("v")))
             else:
                 done = lead.select("key", F.col("b").alias("v"))
-            left = open_.join(done.distinct().hint("merge"), ["key", "v"], "left_anti")
-            open_ = cut(left)
-            if not open_.limit(1).count():
-                break
+            open_ = cut(open_.join(done.distinct().hint("merge"), ["key", "v"], "left_anti"))
     out = found[0] if found else vertices.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def unsettled(open_: DataFrame, members: DataFrame, first: DataFrame, found: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Both tables with the class so far of each text as `label`; of `open_`, what is not yet in the class of its bucket's first leader."""
-    if found:
-        links_ = found[0].select("a", "b")
-        for more in found[1:]:
-            links_ = links_.unionByName(more.select("a", "b"))
-        labels = components(links_)
-        members = members.join(labels.hint("merge"), "v", "left").withColumn("label", F.coalesce("label", "v"))
+def labels_so_far(found: list[DataFrame]) -> DataFrame | None:
+    """v, label of the classes that the links found so far make; None without links."""
+    if not found:
+        return None
+    links_ = found[0].select("a", "b")
+    for more in found[1:]:
+        links_ = links_.unionByName(more.select("a", "b"))
+    return components(links_)
+
+
+def cross_pairs(members: DataFrame, labels: DataFrame | None, vertices: DataFrame, estimate: float, rounds: int) -> DataFrame:
+    """a, b: all pairs that share a bucket but no class so far, and whose samples agree in at least `estimate`.
+
+    One end of such a pair is outside the bucket's largest class. These ends are dealt over blocks of about LEFT
+    texts, each of which meets the whole bucket in parts of about RIGHT texts, so that no task holds a bucket.
+    """
+    if labels is None:
+        own = members.select("key", "v", F.col("v").alias("label"))
     else:
-        members = members.withColumn("label", F.col("v"))
-    members = cut(members)
-    lead = members.join(first.hint("merge"), (members["key"] == first["key"]) & (members["v"] == first["b"])).select(members["key"], F.col("label").alias("lead_label"))
-    own = members.join(open_.select("key", "v").hint("merge"), ["key", "v"], "left_semi")
-    return members, cut(own.join(lead.hint("merge"), "key").where("label != lead_label").drop("lead_label"))
-
-
-def remaining_pairs(open_: DataFrame, members: DataFrame) -> DataFrame:
-    """a, b, key: what no leader settled, as far as both are in different classes. Pairwise with the bucket where the product of sizes is small, else inside sub-buckets of a second shared band, there with a leader if they are large too."""
-    small = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).hint("merge"), "key")
-    small = cut(small.select("key", (F.col("m") * F.col("n") <= PAIRWISE).alias("small")))
-
-    def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.select("key", F.col("v").alias("a"), F.col("label").alias("la"))
-        b = right.select(F.col("key").alias("k"), F.col("v").alias("b"), F.col("label").alias("lb"))
-        return a.join(b.hint("merge"), (F.col("key") == F.col("k")) & (F.col("la") != F.col("lb"))).select("a", "b", "key")
-
-    easy = open_.join(small.where("small").hint("merge"), "key", "left_semi")
-    hard_keys = small.where("not small")
-    hard = members.join(hard_keys.hint("merge"), "key", "left_semi").select("key", "v", "c", "label")
-    other = members.select(F.col("v").alias("w"), F.col("key").alias("key2"))
-    sub = hard.join(other.hint("merge"), (F.col("v") == F.col("w")) & (F.col("key") < F.col("key2"))).select(F.xxhash64("key", "key2").alias("key"), "v", "c", "label")
-    sub_size = sub.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("n > 1 and l0 != l1").select("key", "n")
-    sub = cut(sub.join(sub_size.hint("merge"), "key"))
-    few = sub.where(F.col("n") * F.col("n") <= PAIRWISE)
-    large = sub.where(F.col("n") * F.col("n") > PAIRWISE)
-    lead = large.groupBy("key").agg(F.max(F.struct("c", "v", "label")).alias("m")).select(F.col("key").alias("k"), F.col("m.v").alias("b"), F.col("m.label").alias("lb"))
-    led = large.join(lead.hint("merge"), (F.col("key") == F.col("k")) & (F.col("label") != F.col("lb"))).select(F.col("v").alias("a"), "b", "key")
-    return all_pairs(easy, members).unionByName(all_pairs(few, few)).unionByName(led)
+        own = members.join(labels.hint("merge"), "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
+    own = cut(own)
+    classes = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most"))
+    # leaders have met all others of the smallest buckets
+    mixed = classes.select("key", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.m")).alias("o")).where((F.col("o") > 0) & (F.col("n") > min(rounds + 1, 3)))
+    own = own.join(mixed.hint("merge"), "key").withColumn("rest", F.col("label") != F.col("main")).withColumn("lefts", F.ceil(F.col("o") / LEFT)).withColumn("rights", F.ceil(F.col("n") / RIGHT))
+    own = cut(own.select("key", "v", F.xxhash64("label").alias("label"), "rest", "lefts", "rights"))
+    own = own.join(vertices.select("v", "sig").hint("merge"), "v")
+    at_left, at_right = F.pmod(F.xxhash64("v"), F.col("lefts")), F.pmod(F.xxhash64("v", F.lit(1)), F.col("rights"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = own.where("rest").select("key", at_left.alias("i"), upto("rights").alias("j"), F.lit(0).alias("side"), "v", "label", "sig")
+    right = own.select("key", upto("lefts").alias("i"), at_right.alias("j"), F.lit(1).alias("side"), "v", "label", "sig")
+    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    least = int(np.ceil(estimate * BANDS * ROWS - 1e-9))
+
+    def meet(batches):
+        name, ids, lab, sig = None, None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = np.stack([b.column(c).to_numpy() for c in range(4)])
+            starts = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1, [b.num_rows]])
+            v, label = b.column(4), b.column(5).to_numpy()
+            own = b.column(6).flatten().to_numpy().reshape(-1, BANDS * ROWS)
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                here = tuple(group[:3, s].tolist())
+                if not group[3, s]:
+                    if here != name:
+                        name, ids, lab, sig = here, v[s:e], label[s:e], own[s:e]
+                    else:
+                        ids, lab, sig = pa.concat_arrays([ids, v[s:e]]), np.append(lab, label[s:e]), np.concatenate([sig, own[s:e]])
+                    continue
+                if here != name:
+                    continue
+                step = max(1, (1 << 18) // len(lab))
+                for x in range(s, e, step):
+                    y = min(e, x + step)
+                    same = np.zeros((y - x, len(lab)), np.int8)
+                    for k in range(BANDS * ROWS):
+                        same += own[x:y, k, None] == sig[None, :, k]
+                    r, l = np.nonzero((same >= least) & (label[x:y, None] != lab[None, :]))
+                    if len(r):
+                        yield pa.record_batch([v.take(pa.array(r + x)), ids.take(pa.array(l))], names=["a", "b"])
+
+    return dealt.mapInArrow(meet, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, estimate: float = 0.6, rounds: int = 3) -> DataFrame:

@@ -93,6 +93,45 @@ def test_large_group_and_clean_texts(spark):
     assert sum(ids[i] == 0 for i in range(501)) >= 499 and all(ids[i] == i for i in range(501, 601))
 
 
+def variants(n_words, n_variants, seed):
+    """Texts around one centre: each variant replaces a run of words, its partners another run of the variant."""
+    rng = np.random.default_rng(seed)
+    base, out = prose(rng, n_words, 5000), []
+    for i in range(n_variants):
+        own = list(base)
+        at = int(rng.integers(0, n_words - 10))
+        own[at : at + 10] = [f"v{i}x{k}" for k in range(10)]
+        out.append(" ".join(own))
+        for j in range(2):
+            near = list(own)
+            at = int(rng.integers(0, n_words - 12))
+            near[at : at + 11] = [f"p{i}y{j}z{k}" for k in range(11)]
+            out.append(" ".join(near))
+    return out
+
+
+def test_crowded_buckets_compare_all_pairs(spark):
+    texts = variants(150, 90, 21)
+    df = docs(spark, texts)
+    keyed = near_dedup.keyed_texts(df)
+    table = near_dedup.idf_table(near_dedup.document_frequencies(keyed), len(texts))
+    row, h, tf = near_dedup.bags(pa.array(texts))
+    w = tf * table[near_dedup.slots(h)].astype(float)
+    bags = [dict(zip(h[row == i].tolist(), w[row == i].tolist(), strict=True)) for i in range(len(texts))]
+    signed = {r.doc_id: r for r in near_dedup.signatures(keyed, spark.sparkContext.broadcast(table)).collect()}
+    sig, keys = (np.array([signed[i][c] for i in range(len(texts))]) for c in ("sig", "keys"))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (keys[i] == keys[j]).any() and (sig[i] == sig[j]).sum() >= 24:
+                common = sum(min(bags[i][k], bags[j][k]) for k in bags[i].keys() & bags[j].keys())
+                if common / (sum(bags[i].values()) + sum(bags[j].values()) - common) >= 0.8 and label[i] != label[j]:
+                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert len(set(label)) > 20 and max(Counter(keys.reshape(-1).tolist()).values()) > 60
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**52, 300).astype(np.uint64)
