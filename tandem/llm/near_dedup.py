@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.common import bitmap, cut, in_bitmap
@@ -37,12 +37,19 @@ LEFT, RIGHT = 512, 2048  # texts on the sides of a block, on average
 SALTED = 256  # texts that one leader meets in one group
 
 
+def plain_text() -> Column:
+    """The column text; null and blank texts as empty ones."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.when(F.rlike(text, F.lit(r"^[\x20\x09-\x0D]*$")), F.lit("")).otherwise(text)
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """doc_id, v (128-bit digest of the text), text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    blank = F.rlike(text, F.lit(r"^[\x20\x09-\x0D]*$"))
-    text = F.when(blank, F.lit("")).otherwise(text)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("v"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text")).select("doc_id", digest(F.col("text")).alias("v"), "text")
 
 
 def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,6 +339,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, estimate: float = 0
 
     One row for each row of `docs`.
     """
+    return classified(docs, threshold, estimate, rounds).drop("v")
+
+
+def classified(docs: DataFrame, threshold: float = 0.8, estimate: float = 0.6, rounds: int = 3) -> DataFrame:
+    """The rows of `near_duplicates`, with v (digest of the text)."""
     texts = keyed_texts(docs)
     df = document_frequencies(texts)
     n_docs = docs.count()
@@ -344,16 +356,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, estimate: float = 0
     marked = vertices.select("v", "rep", "copies").join(labels.hint("merge"), "v", "left").join(degree.hint("merge"), "v", "left").withColumn("label", F.coalesce("label", "v"))
     classes = marked.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     marked = cut(marked.join(classes.hint("merge"), "label").select("v", "rep", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.hex("label").alias("class_key")))
-    return signed.select("doc_id", "v").join(marked.hint("merge"), "v").select("doc_id", "class_id", F.col("rep").alias("text_rep"), "class_size", "n_links", "class_key")
+    return signed.select("doc_id", "v").join(marked.hint("merge"), "v").select("doc_id", "class_id", F.col("rep").alias("text_rep"), "class_size", "n_links", "class_key", "v")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each class, columns as they were: the row of the class's least id. If rows share that id, one of them stays."""
-    classes = cut(near_duplicates(docs, **options).select("doc_id", "class_key"))
-    lone = F.lit(-(2**63))
-    first = classes.groupBy("class_key").agg(F.min("doc_id").alias("id")).select(F.coalesce("id", lone).alias("dedup_id")).distinct()
-    rows = docs.withColumn("dedup_key", F.coalesce(F.col("doc_id").cast("long"), lone))
-    kept = rows.join(first.hint("shuffle_hash"), F.col("dedup_key") == F.col("dedup_id"), "left_semi")
-    if classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["dedup_key"])
+    """`docs` with one document of each class, columns as they were: the row of the class's least id, a null id last, and among texts of that id the one of the least digest."""
+    classes = cut(classified(docs, **options).select("doc_id", "class_key", "v"))
+    first = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("m"))
+    first = first.select(F.col("m.doc_id").alias("dedup_first"), F.col("m.v").alias("dedup_v"))
+    rows = docs.withColumn("dedup_id", F.col("doc_id").cast("long")).withColumn("dedup_digest", digest(plain_text()))
+    kept = rows.join(first.hint("shuffle_hash"), F.col("dedup_id").eqNullSafe(F.col("dedup_first")) & (F.col("dedup_digest") == F.col("dedup_v")), "left_semi")
+    if classes.groupBy("doc_id", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["dedup_id", "dedup_digest"])  # equal id and text: the same class
     return kept.select(docs.columns)

@@ -70,14 +70,15 @@ class ImpactIndex:
         bound = sum(x[0] for x in left.values())
         full, checked = bound, bound
         possible = np.arange(n)
+        others = np.flatnonzero(self.ids != own)  # rows of the query's id are no results, however many there are
         for _impact, d, p, values in steps:
             gained[p] += int(query[d]) * values - int(base[d])
             nth[d] += 1
             series = left[d]
             bound += (series[nth[d]] if nth[d] < len(series) else 0) - series[nth[d] - 1]
-            if n > 4 * k and bound < 0.6 * full and bound < 0.8 * checked:
+            if len(others) > 4 * k and bound < 0.6 * full and bound < 0.8 * checked:
                 checked = bound
-                floor = np.partition(gained, n - k - 1)[n - k - 1]  # one more than k, as the query's own row may be among them
+                floor = np.partition(gained[others], len(others) - k)[len(others) - k]
                 possible = np.flatnonzero(gained + bound >= floor)
                 if len(possible) <= max(64, n // 64):
                     break  # the proof: whoever is outside has at most gained + bound, below k others

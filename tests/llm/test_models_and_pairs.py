@@ -149,6 +149,13 @@ def test_near_duplicates_null_ids_and_empty(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0 and near_dedup.deduplicated(df).count() == 2
 
 
+def test_deduplicated_keeps_a_row_of_every_class(spark):
+    texts = ["a b c d e f", "g h i j k l", "m n o p q r", "m n o p q r", "s t u v w x", "y z a b c d", "y z a b c d", "a b c d e f"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip([None, None, None, 7, 5, 5, 5, None], texts, strict=True)], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in near_dedup.deduplicated(df).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (5, texts[4]), (5, texts[5])], key=repr)
+
+
 def lm_tokens(t):
     t = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     import re
@@ -276,6 +283,17 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k_of_every(df.limit(0)).count() == 0
 
 
+def test_top_k_with_repeated_query_ids():
+    rng = np.random.default_rng(12)
+    vectors = rng.integers(-30, -10, (400, 12))
+    query = rng.integers(20, 60, 12)
+    vectors[:20] = 30  # far ahead of all others, all of the query's own id
+    ids = np.arange(400)
+    ids[:20] = 0
+    want = sorted((-int(v @ query), int(i)) for i, v in zip(ids, vectors, strict=True) if i)[:5]
+    assert topk.ImpactIndex(ids, vectors).search(query, 0, 5) == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_twins(spark, name):
     con = duckdb.connect()
