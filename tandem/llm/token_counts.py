@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.common import doc_text
+from tandem.llm.common import cut, doc_text
 from tandem.llm.textkit import sub_batches
 from tandem.llm.tokens import encoder, vocabulary_dir
 
@@ -69,7 +69,7 @@ def context_limits(hist: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    return context_limits(length_histogram(docs, folder))
+    return context_limits(cut(length_histogram(docs, folder)))  # written once: each text is encoded once
 
 
 def at_limits(limits: DataFrame, wanted: list[int]) -> DataFrame:
