@@ -7,10 +7,15 @@ stretch, what a vector could still gain is bounded by the next segment of each
 dimension. The search stops only when that bound proves that all members of the top k
 are among the vectors still possible, and rescores those exactly.
 
-Queries and candidates meet block by block: both are cut into blocks of bounded size, so
-memory does not depend on the table. Vectors that are null, or hold null or non-finite
-components, take no part, nor do null ids. Shorter vectors are filled with zeros. Ties
-go to the smaller id. A query never finds rows of its own id.
+A block of candidates is dealt to one place and indexed once; the queries stream past it
+in batches, so memory depends on the block alone. Only where there are more than
+`slice_rows` queries does a block go to several places, one for each slice of them.
+
+Vectors that are null, or hold null or non-finite components, take no part, nor do null
+ids. Shorter vectors are filled with zeros. Ties go to the smaller id, repeated
+candidates stay apart, and of repeated query ids each row is searched and the best k of
+all count. A query never finds rows of its own id. Components and scores beyond the
+range of a long are held at its limits, for ranking too. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 1 << 28  # components beyond it are multiplied as Python integers
+from tandem.llm.common import cut
+
+EXACT = float(1 << 52)  # sums up to it are exact as doubles
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -28,109 +35,123 @@ def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     """vec_id, v: components as floor(scale * x), for vectors that take part."""
     x = F.transform("embedding", lambda e: e.cast("double"))
     fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return vectors.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine).select("vec_id", F.transform("x", lambda e: F.floor(e * F.lit(scale)).cast("long")).alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine).select("vec_id", F.transform("x", lambda e: F.floor(e * F.lit(scale)).cast("long")).alias("v"))
 
 
 class ImpactIndex:
     """Postings of one block of candidates, per dimension in segments of equal quantised value."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 24):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = 12):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        n, self.dims = self.vectors.shape
-        self.low, self.high = self.vectors.min(0), self.vectors.max(0)
-        self.segments = []  # per dimension: (members, values, least, greatest) of each segment, by ascending value
-        for d in range(self.dims):
-            v = self.vectors[:, d]
-            width = max(1, int((self.high[d] - self.low[d]) // levels) + 1)
-            level = (v - self.low[d]) // width
+        self.low, self.high = self.vectors.min(0).astype(float), self.vectors.max(0).astype(float)
+        self.greatest = np.maximum(np.abs(self.low), np.abs(self.high))
+        self.segments = []  # (dimension, members, values, least, greatest) of each segment
+        for d in range(self.vectors.shape[1]):
+            v = self.vectors[:, d].astype(float)
+            width = max(1.0, (self.high[d] - self.low[d]) // levels + 1)
+            level = ((v - self.low[d]) // width).astype(int)
             by = np.argsort(level, kind="stable")
-            cuts = np.flatnonzero(np.diff(level[by])) + 1
-            parts = np.split(by, cuts)
-            self.segments.append([(p, v[p], int(v[p].min()), int(v[p].max())) for p in parts])
+            for p in np.split(by, np.flatnonzero(np.diff(level[by])) + 1):
+                self.segments.append((d, p, v[p], v[p].min(), v[p].max()))
+        self.dimension = np.array([s[0] for s in self.segments], int)
+        self.least, self.most = (np.array([s[k] for s in self.segments]) for k in (3, 4))
+        self.plain = self.vectors.astype(float)
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), exactly."""
-        n = len(self.ids)
-        if max(np.abs(query).max(initial=0), np.abs(self.low).max(initial=0), np.abs(self.high).max(initial=0)) > LIMIT:
+        """The k best (-score, id), exactly."""
+        n, q = len(self.ids), query.astype(float)
+        if float(np.abs(q) @ self.greatest) >= EXACT:
             exact = self.vectors.astype(object) @ query.astype(object)
-            return self.best(exact, np.arange(n), own, k)
-        base = np.minimum(query * self.low, query * self.high)
-        steps = []
-        for d in np.flatnonzero(query):
-            q = int(query[d])
-            for p, values, least, greatest in self.segments[d]:
-                steps.append(((q * greatest if q > 0 else q * least) - int(base[d]), int(d), p, values))
-        steps.sort(key=lambda s: -s[0])
-        left = {}  # dimensions' impacts still to come, in order
-        for impact, d, _, _ in steps:
-            left.setdefault(d, []).append(impact)
-        gained = np.zeros(n, np.int64)
+            return self.best(np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in exact], np.int64), np.arange(n), own, k)
+        base = np.minimum(q * self.low, q * self.high)
+        weight = q[self.dimension]
+        impact = np.maximum(weight * self.least, weight * self.most) - base[self.dimension]
+        steps = np.lexsort((self.dimension, -impact))
+        steps = steps[weight[steps] != 0]
+        gained = np.zeros(n)
+        left = {d: [*impact[steps[self.dimension[steps] == d]], 0.0] for d in np.flatnonzero(q)}  # impacts still to come, in order
         nth = dict.fromkeys(left, 0)
-        bound = sum(x[0] for x in left.values())
-        full, checked = bound, bound
+        bound = full = checked = sum(x[0] for x in left.values())
         possible = np.arange(n)
         others = np.flatnonzero(self.ids != own)  # rows of the query's id are no results, however many there are
-        for _impact, d, p, values in steps:
-            gained[p] += int(query[d]) * values - int(base[d])
+        for step in steps.tolist():
+            d, p, values, _, _ = self.segments[step]
+            gained[p] += q[d] * values - base[d]
             nth[d] += 1
-            series = left[d]
-            bound += (series[nth[d]] if nth[d] < len(series) else 0) - series[nth[d] - 1]
-            if len(others) > 4 * k and bound < 0.6 * full and bound < 0.8 * checked:
+            bound += left[d][nth[d]] - left[d][nth[d] - 1]
+            if len(others) > 4 * k and bound < 0.7 * full and bound < 0.85 * checked:
                 checked = bound
                 floor = np.partition(gained[others], len(others) - k)[len(others) - k]
                 possible = np.flatnonzero(gained + bound >= floor)
-                if len(possible) <= max(64, n // 64):
+                if len(possible) <= max(64, n // 8):
                     break  # the proof: whoever is outside has at most gained + bound, below k others
-        return self.best(self.vectors[possible] @ query, possible, own, k)
+        scores = self.plain[possible] @ q
+        return self.best(scores.astype(np.int64), possible, own, k)
 
     def best(self, scores: np.ndarray, rows: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
         keep = self.ids[rows] != own
         scores, ids = scores[keep], self.ids[rows][keep]
-        if len(scores) > 4 * k and scores.dtype != object:
+        if len(scores) > 4 * k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             scores, ids = scores[scores >= least], ids[scores >= least]
-        return sorted(((-int(s), int(i)) for s, i in zip(scores, ids, strict=True)))[:k]
+        by = np.lexsort((ids, -scores.astype(float), -scores.astype(object))) if len(scores) and scores.min() == -(2**63) else np.lexsort((ids, -scores))
+        return [(-int(scores[i]), int(ids[i])) for i in by[:k]]
+
+
+def grid(lists: pa.Array, width: int) -> np.ndarray:
+    """Rows of the lists, filled with zeros up to `width`, cut beyond it."""
+    out = np.zeros((len(lists), width), np.int64)
+    off = lists.offsets.to_numpy()
+    flat, size = lists.flatten().to_numpy(zero_copy_only=False), np.diff(off)
+    row, at = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(off[:-1] - off[0], size)
+    out[row[at < width], at[at < width]] = flat[at < width]
+    return out
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 32_768, query_block: int = 512) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 65_536, slice_rows: int = 1 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query. Inputs: vec_id, v as `quantised` gives them."""
     n_blocks = max(1, -(-candidates.count() // block))
-    n_queries = max(1, -(-queries.count() // query_block))
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    cand = candidates.select(place(n_blocks).alias("b"), "vec_id", "v")
-    asks = queries.select(place(n_queries).alias("q"), "vec_id", "v")
-    pairs = F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))
-    cand = cand.withColumn("q", pairs) if n_queries > 1 else cand.withColumn("q", F.lit(0))
-    asks = asks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def search(key, left, right):
-        def grid(t, width):
-            out = np.zeros((t.num_rows, width), np.int64)
-            col = t.column("v").combine_chunks()
-            off = col.offsets.to_numpy()
-            flat, size = col.flatten().to_numpy(zero_copy_only=False), np.diff(off)
-            row = np.repeat(np.arange(len(size)), size)
-            out[row, np.arange(len(flat)) - np.repeat(off[:-1] - off[0], size)] = flat
-            return out
-
-        found = []
-        if left.num_rows and right.num_rows:
-            width = max(int(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max()) for t in (left, right))
-            index = ImpactIndex(left.column("vec_id").to_numpy(), grid(left, width))
-            for i, q in zip(right.column("vec_id").to_pylist(), grid(right, width), strict=True):
-                found += [(i, vec, -score) for score, vec in index.search(q, i, k)]
-        cols = list(zip(*found, strict=True)) if found else [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    found = cand.groupBy("b", "q").cogroup(asks.groupBy("b", "q")).applyInArrow(search, FOUND)
+    n_slices = max(1, -(-queries.count() // slice_rows))
+    place = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cand = candidates.select(place(n_blocks).alias("b"), upto(n_slices).alias("s"), F.lit(0).alias("side"), "vec_id", "v")
+    asks = queries.select(upto(n_blocks).alias("b"), place(n_slices).alias("s"), F.lit(1).alias("side"), "vec_id", "v")
+    dealt = cand.unionByName(asks).repartition("b", "s").sortWithinPartitions("b", "s", "side")
+
+    def search(batches):
+        where, ids, lists, index = None, [], [], None
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            starts = np.concatenate([[0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1, [batch.num_rows]]) if batch.num_rows else [0]
+            found = []
+            for a, z in zip(starts[:-1], starts[1:], strict=True):
+                own, vec, v = tuple(at[:2, a].tolist()), batch.column(3).slice(a, z - a), batch.column(4).slice(a, z - a)
+                if own != where:
+                    where, ids, lists, index = own, [], [], None
+                if not at[2, a]:
+                    ids.append(vec.to_numpy())
+                    lists.append(v)
+                    continue
+                if lists and index is None:
+                    width = max(int(np.diff(x.offsets.to_numpy()).max()) for x in lists)
+                    index = ImpactIndex(np.concatenate(ids), np.concatenate([grid(x, max(width, 1)) for x in lists]))
+                    ids, lists = [], []
+                if index is not None:
+                    for i, q in zip(vec.to_pylist(), grid(v, index.vectors.shape[1]), strict=True):
+                        found += [(i, c, -score) for score, c in index.search(q, i, k)]
+            cols = list(zip(*found, strict=True)) if found else [[], [], []]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(search, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k_of_every(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """Queries: the rows whose vec_id is divisible by `every`, against all rows."""
-    all_rows = quantised(vectors)
+    all_rows = cut(quantised(vectors))
     return top_k(all_rows.where(F.col("vec_id") % every == 0), all_rows, k)
 
 

@@ -269,17 +269,19 @@ def test_block_max_search_is_exact():
 
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
-    vecs = [(int(i), [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(400)] + [(400, None), (401, [float("nan")] * 16), (402, [None, 1.0]), (403, [float("inf")]), (None, [1.0] * 16), (404, [0.5] * 16), (405, [0.5] * 16), (450, []), (500, [1e12] * 16)]
-    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
-    whole = {i: [math.floor(256 * x) for x in e] for i, e in vecs if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
-    big = whole.pop(500)
-    assert len(big) == 16
-    rows = defaultdict(list)
-    for r in topk.top_k(*(topk.quantised(df.where("vec_id is null or vec_id < 500")).where(c) for c in ("vec_id % 50 = 0", "true")), block=97, query_block=3).collect():
-        rows[r.query_id].append((r.rank, r.vec_id, r.score))
-    for q in (i for i in whole if i % 50 == 0):
-        want = sorted(((-sum(a * b for a, b in zip(whole[q], v, strict=False)), i) for i, v in whole.items() if i != q))[:5]
-        assert sorted(rows[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    vecs = [(int(i), [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(400)] + [(400, None), (401, [float("nan")] * 16), (402, [None, 1.0]), (403, [float("inf")]), (None, [1.0] * 16), (404, [0.5] * 16), (405, [0.5] * 16), (450, []), (406, [0.25] * 16), (406, [0.75] * 16)]
+    large = [(500, [1e9] * 16), (501, [1e12] * 16), (502, [-1e16, 3.0]), (550, [1e300] * 16), (503, [2e8] * 16)]
+    hold = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    for rows_ in (vecs, vecs + large):
+        df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+        whole = [(i, [hold(math.floor(256 * x)) if abs(x) < 1e290 else 2**63 - 1 for x in e]) for i, e in rows_ if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+        found = defaultdict(list)
+        all_ = topk.quantised(df)
+        for r in topk.top_k(all_.where("vec_id % 50 = 0"), all_, block=97, slice_rows=3).collect():
+            found[r.query_id].append((r.rank, r.vec_id, r.score))
+        for q, v in ((i, v) for i, v in whole if i % 50 == 0):
+            want = sorted((-hold(sum(a * b for a, b in zip(v, w, strict=False))), i) for i, w in whole if i != q)[:5]
+            assert sorted(found[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)], q
     assert topk.top_k_of_every(df.limit(0)).count() == 0
 
 
