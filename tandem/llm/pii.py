@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import bitmap, cut, in_bitmap
+from tandem.llm.common import bitmap, cut, in_bitmap, salted_join
 from tandem.llm.textkit import Words, signed, span_hashes, sub_batches
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed values of the contract.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # a match never starts inside a run of digits: linear
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BITS = 22
@@ -160,18 +160,18 @@ def find_personal_data(docs: DataFrame, window: int = 12, support: int = 3, remo
     # a term near entities of m texts stands in m texts at least; where that alone keeps P(e|t) low, its places are never looked up
     around = held.select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda n: n["terms"])))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     known = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    pairs = near.join(known.hint("merge"), "entity").select("entity", "n_e", F.explode("terms").alias("term"))
+    pairs = salted_join(near, known, "entity", ["text_id"]).select("entity", "n_e", F.explode("terms").alias("term"))
     counted = pairs.groupBy("term", "entity", "n_e").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     candidates = cut(counted.join(around.hint("merge"), "term").where(F.col("n_te") >= generalise * F.col("n_near")).drop("n_near"))
     n_texts = found.count()
-    places = cut(occurrences(source, bitmap(candidates, "term", BITS)).join(candidates.select("term").distinct().hint("merge"), "term", "left_semi"))
+    places = cut(salted_join(occurrences(source, bitmap(candidates, "term", BITS)), candidates.select("term").distinct(), "term", ["text_id"], "left_semi"))
     flagged = disclosures(found, places, candidates, n_texts, remove, generalise)
     marks = (
-        places.join(flagged.hint("merge"), "term").groupBy(F.col("doc_id").alias("d"), F.col("text_id").alias("x"))
+        salted_join(places, flagged, "term", ["text_id"]).groupBy(F.col("doc_id").alias("d"), F.col("text_id").alias("x"))
         .agg(F.collect_set(F.struct(F.col("action").alias("kind"), "start", "end")).alias("terms"))
     )
     rows = found.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_id") == F.col("x")), "left")
-    own = F.expr("array_sort(filter(coalesce(terms, array()), t -> not exists(spans, s -> s.start < t.end and t.start < s.end)), (a, b) -> cast(sign(a.start - b.start) as int))")
+    own = F.expr("array_sort(filter(coalesce(terms, array()), t -> not exists(spans, s -> s.start < t.end and t.start < s.end)))")  # by kind, then start
     return rows.select("doc_id", "text_id", "spans", own.alias("terms"))
 
 
@@ -186,17 +186,22 @@ def personal_data_digest(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with personal data replaced by its kind in brackets, and revealing terms removed or generalised. Columns as they were."""
-    found = find_personal_data(docs, **options).where(F.size("spans") + F.size("terms") > 0).select(F.col("doc_id").alias("pii_doc"), F.col("text_id").alias("pii_text"), F.concat("spans", "terms").alias("pii_spans"))
-    rows = docs.withColumn("pii_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(found.dropDuplicates(["pii_doc", "pii_text"]).hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("pii_doc")) & (F.col("pii_key") == F.col("pii_text")), "left")
+    """`docs` with personal data replaced by its kind in brackets, and revealing terms removed or generalised.
+
+    All rows stay, with the columns as they were, whatever their names; a null text stays null, an empty table empty.
+    Rows that share an id are treated each by its own text.
+    """
+    found = find_personal_data(docs, **options).where(F.size("spans") + F.size("terms") > 0)
+    found = found.groupBy(F.col("doc_id").alias("d"), F.col("text_id").alias("x")).agg(F.first(F.concat("spans", "terms")).alias("marks"))  # of rows with equal id and text one
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    rows = rows.join(found.hint("merge"), F.col("own").eqNullSafe(F.col("d")) & (F.col("key") == F.col("x")), "left")
 
     @F.pandas_udf("string")
-    def masked(texts, spans):  # noqa: ANN001
+    def masked(texts, marks):  # noqa: ANN001
         import pandas as pd
 
         out = []
-        for t, own in zip(texts, spans, strict=True):
+        for t, own in zip(texts, marks, strict=True):
             if own is None or t is None:
                 out.append(t)
                 continue
@@ -217,7 +222,8 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out, dtype=object)
 
-    rows = rows.withColumn("text", masked("text", "pii_spans"))
+    rows = rows.select("row", "marks", masked("row.text", "marks").alias("text"))
+    new = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("pii_spans").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+        new = new.withField("n_chars", F.when(F.col("marks").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return rows.select(new.alias("row")).select("row.*")
