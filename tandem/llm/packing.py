@@ -1,14 +1,17 @@
 """Operator 5: packing along a space-filling curve.
 
-Each document's hashed word vector is projected to four dimensions by random signs, the
-point is placed on a Hilbert curve, documents are range-sorted by that key, and
-neighbours along the curve fill sequences of `size` tokens one after another. Every
-range partition packs its own run; the rest at its end is cut into sequences whose
-lengths are powers of two, which take no padding.
+Each document's hashed word vector (1 + ln tf per word, scaled to length 1) is projected to
+four dimensions by random signs, the point is placed on a Hilbert curve, documents are
+range-sorted by that key, and neighbours along the curve fill sequences of `size` tokens
+one after another. The borders of the ranges are quantiles of the bytes along the curve,
+not of the documents, so every task gets about as much text. Every range packs its own
+run; the rest at its end is cut into sequences whose lengths are powers of two, which
+take no padding.
 
 Null and empty texts consist of the end id alone. Equal curve positions (copies) are
-spread over partitions by a hash of the row, so a large group of copies is no hot key.
-Repeated rows are packed as often as they occur. An empty table gives no rows.
+spread over ranges by a hash of the row, so a large group of copies is no hot key.
+Rows of equal id and text are packed as often as they occur. Other columns are ignored.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,20 +29,26 @@ from tandem.llm.textkit import Words, mix, sub_batches
 from tandem.llm.tokens import encoder, vocabulary_dir
 
 DIMENSIONS, BITS = 4, 8
+UNIT = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long"
 
 
 def project(words: Words, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
-    """Grid coordinates of each text: sums of random signs of its words, over the root of their number."""
-    h = mix(words.hashes())
-    out = np.zeros((len(words.count), dimensions), np.int64)
-    some = words.count > 0
-    if some.any():
-        root = np.sqrt(words.count[some])
-        for k in range(dimensions):
-            sign = ((h >> np.uint64(k)) & np.uint64(1)).astype(np.int32) * 2 - 1
-            x = np.add.reduceat(sign, words.first[:-1][some]) / root
-            out[some, k] = np.clip((np.arctan(x / 2) / np.pi + 0.5) * (1 << bits), 0, (1 << bits) - 1)
+    """Grid coordinates of each text: its word vector, scaled to length 1, times random signs. Such sums are near standard normal, and their normal quantile is the coordinate."""
+    h = words.hashes()
+    order = np.lexsort((h, words.doc))
+    row, h = words.doc[order], h[order]
+    at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])) if len(h) else order
+    weight = 1 + np.log(np.diff(np.append(at, len(h))))
+    row, h, n = row[at], mix(h[at]), len(words.count)
+    norm = np.sqrt(np.bincount(row, weight**2, n))
+    out = np.zeros((n, dimensions), np.int64)
+    some = norm > 0
+    for k in range(dimensions):
+        sign = ((h >> np.uint64(k)) & np.uint64(1)).astype(np.int64) * 2 - 1
+        x = np.bincount(row, weight * sign, n)[some] / norm[some]
+        share = 0.5 + 0.5 * np.tanh(0.7978845608 * (x + 0.044715 * x**3))
+        out[some, k] = np.clip(share * (1 << bits), 0, (1 << bits) - 1)
     return out
 
 
@@ -81,16 +90,37 @@ def curve_keys(docs: DataFrame) -> DataFrame:
     return doc_text(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(keys, "doc_id long, text string, curve long")
 
 
+def place_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text, curve, place: the order of packing, the curve and under it a hash of the row."""
+    return curve_keys(docs).withColumn("place", F.shiftleft("curve", 31).bitwiseOR(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 31) - 1))))
+
+
+def borders(placed: DataFrame, ranges: int) -> list[int]:
+    """The places that cut the corpus into `ranges` stretches of about equal bytes: quantiles of one row per UNIT bytes of each text, by a mergeable sketch of bounded size."""
+    units = (F.octet_length("text") + 64) / F.lit(float(UNIT)) + F.pmod(F.col("place"), F.lit(1024)) / 1024.0  # a fraction counts as often as the hash is beyond it
+    keys = placed.select("place", F.floor(units).cast("int").alias("n")).where("n > 0").select(F.explode(F.array_repeat("place", F.col("n"))).alias("place"))
+    found = keys.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 16 * ranges)).first()[0] if ranges > 1 else []
+    return sorted(set(found or []))
+
+
 def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, folder: str | None = None, partitions: int | None = None) -> DataFrame:
     """One row per piece of a document: where it starts there, its length, and its place in a sequence.
 
     doc_id, start, length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset, curve.
+    doc_tokens, sequence_id, offset, curve. `partitions` is the number of ranges, the session's shuffle partitions by default.
     """
     folder = folder or vocabulary_dir()
-    order = ["curve", "spread", "doc_id"]
-    keyed = curve_keys(docs).withColumn("spread", F.xxhash64("doc_id", "text"))
-    ranged = keyed.repartitionByRange(*([partitions] if partitions else []), "curve", "spread").sortWithinPartitions(*order).select("doc_id", "text", "curve")
+    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = place_keys(docs)
+    cuts = docs.sparkSession.sparkContext.broadcast(np.array(borders(placed, partitions), np.int64))  # fewer than `partitions` longs
+
+    @F.pandas_udf("int")
+    def range_of(place):  # noqa: ANN001
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(cuts.value, place.to_numpy(), side="left").astype(np.int32))
+
+    ranged = placed.repartitionById(partitions, range_of("place")).sortWithinPartitions("place", "doc_id").select("doc_id", "text", "curve")
 
     def fill(batches):
         enc, base, place = encoder(folder), TaskContext.get().partitionId() << 32, 0
