@@ -1,59 +1,54 @@
 """Operator 4: language-model scores from a weighted backoff automaton.
 
-Smoothed n-grams up to three words become states with failure arcs. A state is the
-longest kept context that ends at a position; its arcs carry the discounted
-probabilities of the words kept after it, its failure arc the backoff weight to the
-next shorter context, and the root has an arc for every word. Read from left to right, a
-text carries a state from token to token and adds up the arcs' logarithms. As a state
-depends on the last two tokens only, the traversal of all positions of a batch is done
-in one vectorised step.
-
-An n-gram of two or three words is kept if its share of all training tokens is at least
-`share`, and its count at least 2. By counting, no order then has more than 1/share
-n-grams, whatever the corpus, so the automaton's inner part has a proven size and is
-sent to every task, with the root's arcs of words whose share is at least `word_share`.
-All other words have no such bound: they stay a table, and the rare words of each text
-are joined with it.
-
-The model is a distribution over the vocabulary and one unknown word: the root is the
-add-0.5 unigram model, discounts are absolute, and failure weights normalise exactly.
-
-Words are keyed by 64-bit hashes; among 10**8 different words two of them meet with a
-chance of 3 in 10,000. Null texts are empty and consist of the end token. Repeated rows
-are learned and scored as often as they occur. Empty tables give no rows; without
-training rows all words are unknown.
+Every n-gram of one to three words of the training texts becomes a state with a failure
+arc; none is left out, so the model grows with the corpus. A state's arcs carry
+
+    p(w | h) = (1 - f(h)) * c(hw) / c(h) + f(h) * p(w | h'),
+
+its failure arc carries f(h) to the next shorter context h', and the root is the add-0.5
+unigram model over the vocabulary and one unknown word. The failure weight is the
+Good-Turing mass of unseen continuations of contexts with about the same count (buckets of
+half octaves): of all training positions after such contexts, the share whose n-gram
+occurs there alone. A context seen once cannot show whether it repeats; its weight is
+halfway between that of contexts seen twice and 1. All conditional distributions sum to 1.
+Read from left to right, a text carries its state from token to token and adds up the
+logarithms; as a state depends on the last two tokens only, the positions of a block of
+texts are traversed in one vectorised step.
+
+The automaton is never gathered in one place. Texts are dealt into blocks of about
+`block_bytes`; each block sends its distinct n-grams, with their training counts there, to
+the parts of the key space (about `part_keys` n-grams each), and gets their counts in the
+corpus back: the part of the automaton that it needs. A message is a sorted run of keys,
+stored as differences. There are blocks * parts messages, so both sizes should grow with
+the executors' memory on very large corpora (256 MB and 64 million at 100 TB).
+
+N-grams are keyed by hashes with 20 bits more than it takes to number the corpus's bytes,
+so that one in some hundred thousands meets another at most, at every size.
+
+Null texts are empty and consist of the end token. Repeated rows are learned and scored as
+often as they occur. Extra columns are ignored. Empty tables give no rows; without
+training rows all words are unknown. A block holds at least one whole text and all rows
+that share a non-null id and the text.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.common import bucket_of, cut
-from tandem.llm.textkit import Words, mix, sub_batches
+from tandem.llm.textkit import Words, mix
 
 END = np.uint64(0x9E3779B97F4A7C15)  # the end token, and the context before a text's first word
-SHARE, WORD_SHARE, DISCOUNT = 4e-6, 5e-7, 0.6
-
-
-class Lookup:
-    """Positions of uint64 keys (well mixed) in a sorted array; -1 if absent."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.append(keys, np.uint64(2**64 - 1))
-        self.bits = max(8, int(np.ceil(np.log2(len(keys) + 1))) + 1)
-        self.shift = np.uint64(64 - self.bits)
-        self.first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << self.shift).astype(np.int32)
-        run = np.diff(np.append(self.first, len(keys)))
-        self.most = int(run.max(initial=0))
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        at = self.first[(h >> self.shift).astype(np.int64)].astype(np.int64)
-        for _ in range(self.most):
-            at += self.keys[at] < h
-        return np.where(self.keys[at] == h, at, -1) if len(self.keys) > 1 else np.full(len(h), -1)
+BLOCK_BYTES, PART_KEYS, SPARE_BITS, BUCKETS = 8 << 20, 3_000_000, 20, 128
+ASKED = "part int, block int, n long, keys binary, counts binary"
+ANSWERED = "block int, part int, n long, counts binary, words long"
+COUNTED = "doc_id array<long>, held_out array<boolean>, n_tokens array<long>, counts binary, words long"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def follow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,199 +56,184 @@ def follow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0x9FB21C651E98DF25) + (b ^ (b >> np.uint64(31))))
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token key, token key before it and so on): every text's words and its end token, in order, with END before each text."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(token keys, position of each text's end token): every text's words and its end token, in order."""
     words = Words(texts, lower=True)
-    n = words.count + 1
-    ends = np.cumsum(n) - 1
-    keys = np.empty(len(words) + len(n), np.uint64)
+    ends = np.cumsum(words.count + 1) - 1
+    keys = np.empty(len(words) + len(ends), np.uint64)
     is_end = np.zeros(len(keys), bool)
     is_end[ends] = True
     keys[is_end], keys[~is_end] = END, words.hashes()
-    row = np.repeat(np.arange(len(n)), n)
-    return row, keys, ends
+    return keys, ends
 
 
-def previous(keys: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each token, END before a text's first; and whether the token two before exists (END included)."""
+def ngrams(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct n-gram keys, per order and token the place of the n-gram that ends there, end of each text). The lowest two bits are the order; a text's first token has no trigram, its bigram is there instead."""
+    keys, ends = tokens(texts)
     before = np.empty_like(keys)
     before[1:], before[:1] = keys[:-1], END
     before[ends[:-1] + 1] = END
-    two = np.ones(len(keys), bool)
-    two[:1] = False
-    two[ends[:-1] + 1] = False
-    return before, two
-
-
-def counted(docs: DataFrame, keys_of, columns: int) -> DataFrame:
-    """Rows (k0..., n): counts of the key tuples that `keys_of` finds in a batch, summed over the corpus."""
-    names = [f"k{i}" for i in range(columns)]
-
-    def count(batches):
-        for b in sub_batches(batches, 5 << 20):
-            parts = keys_of(b.column(b.schema.get_field_index("text")))
-            order = np.argsort(parts[0])
-            first = parts[0][order]
-            at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(first) else order
-            n = np.diff(np.append(at, len(first)))
-            yield pa.record_batch([*(pa.array(p[order[at]].view(np.int64)) for p in parts), pa.array(n, pa.int64())], names=[*names, "n"])
-
-    out = docs.select("text").mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
-    return out.groupBy(*names).agg(F.sum("n").alias("n"))
-
-
-def gathered(df: DataFrame, columns: list[str]) -> list[np.ndarray]:
-    """Columns of a table of proven size (at most 1/share rows), sorted by its first one."""
-    rows = df.select(columns).toPandas()
-    cols = [rows[c].to_numpy(np.int64).view(np.uint64) for c in columns]
-    order = np.argsort(cols[0])
-    return [c[order] for c in cols]
-
-
-class Automaton:
-    """The states and arcs that are sent to tasks: kept words, two-word and three-word n-grams."""
-
-    def __init__(self, n_tokens: int, vocabulary: int, words, pairs, triples, end_count: int):
-        self.total = n_tokens + 0.5 * (vocabulary + 1)
-        self.n_tokens = n_tokens
-        word, word_n = words
-        self.words = Lookup(word)
-        self.root = np.append(np.log10((word_n.astype(np.float64) + 0.5) / self.total), np.nan)
-        pair, a, b, n = pairs
-        n = n.astype(np.float64)
-        at_a, at_b = self.words(a), self.words(b)
-        context_n = word_n[at_a].astype(np.float64)
-        p = (n - DISCOUNT) / context_n
-        self.pairs, self.pair_p = Lookup(pair), p
-        kept, lower = np.bincount(at_a, p, len(word)), np.bincount(at_a, 10 ** self.root[at_b], len(word))
-        self.word_fail = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - lower, 1e-12))
-        triple, ab, c, n3 = triples
-        n3 = n3.astype(np.float64)
-        at_ab = self.pairs(ab)
-        p3 = (n3 - DISCOUNT) / n[at_ab]
-        self.triples, self.triple_w = Lookup(triple), np.log10(np.maximum(p3, 1e-300))
-        below = p[np.maximum(self.pairs(follow(b[at_ab], c)), 0)] if len(triple) else np.zeros(0)
-        kept3, lower3 = np.bincount(at_ab, p3, len(pair)), np.bincount(at_ab, below, len(pair))
-        self.pair_fail = np.where(kept3 > 0, np.log10(np.maximum(1 - kept3, 1e-12) / np.maximum(1 - lower3, 1e-12)), 0.0)
-        self.pair_w = np.log10(np.maximum(p, 1e-300))
-        self.word_fail = np.where(kept > 0, self.word_fail, 0.0)
-
-    def weights(self, keys: np.ndarray, before: np.ndarray, ends: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per token, the weight of the arcs taken (without the root's arc where that is not held here); and the position of its word, -1 if not held."""
-        word = self.words(keys)
-        state1 = np.empty_like(word)  # the one-word context: the word before
-        state1[1:], state1[:1] = word[:-1], -1
-        first = np.concatenate([[0], ends[:-1] + 1])
-        state1[first] = self.words(np.array([END]))[0]
-        pair_key = np.where((word >= 0) & (state1 >= 0), 1, 0).astype(bool)
-        pair = np.full(len(keys), -1)
-        pair_at = np.flatnonzero(pair_key)
-        own = follow(before[pair_at], keys[pair_at])
-        pair[pair_at] = self.pairs(own)
-        state2 = np.full(len(keys), -1)  # the two-word context: the kept pair that ends before this token
-        state2[1:] = pair[:-1]
-        state2[~two] = -1
-        weight = np.zeros(len(keys))
-        open_ = np.ones(len(keys), bool)
-        at = np.flatnonzero((state2 >= 0) & (word >= 0))
-        hit = self.triples(follow(self.pairs.keys[state2[at]], keys[at]))
-        weight[at[hit >= 0]] = self.triple_w[hit[hit >= 0]]
-        open_[at[hit >= 0]] = False
-        fails = open_ & (state2 >= 0)
-        weight[fails] += self.pair_fail[state2[fails]]
-        hit = open_ & (pair >= 0)
-        weight[hit] += self.pair_w[pair[hit]]
-        open_ &= ~hit
-        fails = open_ & (state1 >= 0)
-        weight[fails] += self.word_fail[state1[fails]]
-        roots = open_ & (word >= 0)
-        weight[roots] += self.root[word[roots]]
-        return weight, word
-
-
-def train(docs: DataFrame, share: float = SHARE, word_share: float = WORD_SHARE) -> tuple[Automaton, DataFrame]:
-    """The automaton of all rows of `docs` (doc_id, text), and the table (key, n) of all its words."""
-    spark = docs.sparkSession
-    words = cut(counted(docs, lambda t: [tokens(t)[1]], 1))
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    least = max(2, int(np.ceil(share * size["n"])))
-    kept = gathered(words.where(F.col("n") >= max(2, int(np.ceil(word_share * size["n"])))), ["k0", "n"])
-    held = spark.sparkContext.broadcast(kept[0][kept[1] >= least])
-
-    def pair_keys(texts):
-        _, keys, ends = tokens(texts)
-        before, _ = previous(keys, ends)
-        known = Lookup(held.value)
-        word = known(keys) >= 0
-        old = np.empty_like(word)
-        old[1:], old[:1] = word[:-1], True
-        old[ends[:-1] + 1] = True
-        at = np.flatnonzero(word & old)
-        return [follow(before[at], keys[at]), before[at], keys[at]]
-
-    pairs = gathered(counted(docs, pair_keys, 3).where(F.col("n") >= least), ["k0", "k1", "k2", "n"])
-    ends_n = np.searchsorted(kept[0], END)
-    if not (ends_n < len(kept[0]) and kept[0][ends_n] == END):  # a context needs its own count
-        pairs = [p[pairs[1] != END] for p in pairs]
-    held2 = spark.sparkContext.broadcast(pairs[0])
-
-    def triple_keys(texts):
-        _, keys, ends = tokens(texts)
-        before, two = previous(keys, ends)
-        known = Lookup(held2.value)
-        own = follow(before, keys)
-        pair = known(own) >= 0
-        old = np.zeros(len(keys), bool)
-        old[1:] = pair[:-1]
-        at = np.flatnonzero(pair & old & two)
-        return [follow(own[at - 1], keys[at]), own[at - 1], keys[at]]
-
-    triples = gathered(counted(docs, triple_keys, 3).where(F.col("n") >= least), ["k0", "k1", "k2", "n"])
-    return Automaton(size["n"], size["v"], kept, pairs, triples, 0), words.select(F.col("k0").alias("key"), "n")
-
-
-def score(docs: DataFrame, automaton: Automaton, words: DataFrame) -> DataFrame:
-    """All columns of `docs` but text, with n_tokens, n_known, base_score and score."""
-    held = docs.sparkSession.sparkContext.broadcast(automaton)
-    others = [c for c in docs.columns if c != "text"]
-    total = automaton.total
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-
-    def walk(batches):
-        model: Automaton = held.value
-        for b in sub_batches(batches, 5 << 20):
-            texts = b.column(b.schema.get_field_index("text"))
-            row, keys, ends = tokens(texts)
-            before, two = previous(keys, ends)
-            weight, word = model.weights(keys, before, ends, two)
-            n = len(texts)
-            has = word >= 0
-            rare = np.flatnonzero(~has)
-            rare = rare[np.lexsort((keys[rare], row[rare]))]
-            of, own = row[rare], keys[rare]
-            at = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (own[1:] != own[:-1])])) if len(rare) else rare
-            times = np.diff(np.append(at, len(rare))).astype(np.int32)
-            offsets = np.searchsorted(of[at], np.arange(n + 1)).astype(np.int32)
-            cols = [
-                pa.array(np.bincount(row, minlength=n)), pa.array(np.bincount(row, has, minlength=n).astype(np.int64)),
-                pa.array(np.bincount(row[has], model.root[word[has]], minlength=n)), pa.array(np.bincount(row, weight, minlength=n)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(own[at].view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times)),
-            ]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in others), *cols], names=[*others, "n_tokens", "n_frequent", "base_part", "part", "rare", "times"])
-
-    parts = cut(docs.mapInArrow(walk, f"{schema}, n_tokens long, n_frequent long, base_part double, part double, rare array<long>, times array<int>").withColumn("lm_row", F.monotonically_increasing_id()))
-    events = parts.select("lm_row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("lm_row", F.col("e.rare").alias("key"), "e.times")
-    known = events.join(words.hint("merge"), "key", "left")
-    root = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total))
-    sums = known.groupBy(F.col("lm_row").alias("r")).agg(F.sum(root).alias("rare_score"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    out = parts.drop("rare", "times").join(sums.hint("merge"), F.col("lm_row") == F.col("r"), "left")
-    rare = F.coalesce("rare_score", F.lit(0.0))
-    return out.select(*others, "n_tokens", (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), (F.col("base_part") + rare).alias("base_score"), (F.col("part") + rare).alias("score"))
-
-
-def language_scores(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    pairs = follow(before, keys)
+    triples = np.empty_like(keys)
+    triples[1:] = follow(pairs[:-1], keys[1:])
+    cut_ = lambda h, order: ((h >> np.uint64(64 - bits)) & ~np.uint64(3)) | np.uint64(order)
+    triples = cut_(triples, 3)
+    starts = np.append(0, ends[:-1] + 1)
+    pairs = cut_(pairs, 2)
+    triples[starts] = pairs[starts]
+    own, place = np.unique(np.concatenate([cut_(keys, 1), pairs, triples]), return_inverse=True)
+    return own, place.reshape(3, -1), ends
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers, byte by byte of all of them, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64)
+
+
+def asks(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
+    """part, block, n, keys, counts: the n-grams of each block with their training counts there, dealt over the key space."""
+    borders = np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
+
+    def ask(table: pa.Table) -> pa.Table:
+        own, place, ends = ngrams(table.column("text").combine_chunks(), bits)
+        learn = ~table.column("held_out").to_numpy()
+        size = np.diff(np.append(-1, ends))
+        used = np.repeat(learn, size)
+        used = np.stack([used, used, used])
+        used[2, np.append(0, ends[:-1] + 1)] = False
+        n = np.bincount(place[used], minlength=len(own))
+        cuts = np.concatenate([[0], np.searchsorted(own, borders), [len(own)]])
+        some = np.flatnonzero(np.diff(cuts))
+        step = np.diff(own, prepend=np.uint64(0))
+        step[cuts[some]] = own[cuts[some]]  # every message starts with a whole key
+        spans = [(cuts[i], cuts[i + 1]) for i in some]
+        cols = [some, np.full(len(some), table.column("block")[0].as_py()), np.diff(cuts)[some]]
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array([packed(step[a:z]) for a, z in spans], pa.binary()), pa.array([packed(n[a:z]) for a, z in spans], pa.binary())], names=["part", "block", "n", "keys", "counts"])
+
+    return blocks.groupBy("block").applyInArrow(ask, ASKED)
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """block, part, n, counts: the corpus counts of each message's n-grams, in its order; words: in one message of each part, the number of its words in training texts."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        keys = np.concatenate([np.cumsum(unpacked(k, n), dtype=np.uint64) for k, n in zip(table.column("keys").to_pylist(), sizes, strict=True)])
+        counts = np.concatenate([unpacked(c, n) for c, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])
+        distinct, which = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(distinct), np.uint64)
+        np.add.at(total, which, counts)
+        ends = np.cumsum(sizes)
+        back = [packed(total[which[z - n : z]]) for z, n in zip(ends, sizes, strict=True)]
+        words = np.zeros(len(sizes), np.int64)
+        words[0] = int((((distinct & np.uint64(3)) == 1) & (total > 0)).sum())
+        return pa.table([table.column("block"), table.column("part"), table.column("n"), pa.array(back, pa.binary()), pa.array(words)], names=["block", "part", "n", "counts", "words"])
+
+    return asked.groupBy("part").applyInArrow(answer, ANSWERED)
+
+
+def counted(blocks: DataFrame, answered: DataFrame, bits: int) -> DataFrame:
+    """One row per block: its texts' ids, lengths, and for every token the counts of the word, the bigram and the trigram that end there."""
+
+    def count(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            raise RuntimeError("the documents changed while they were scored")
+        own, place, ends = ngrams(texts.column("text").combine_chunks(), bits)
+        order = np.argsort(found.column("part").to_numpy())
+        blobs, sizes = found.column("counts").to_pylist(), found.column("n").to_pylist()
+        total = np.concatenate([unpacked(blobs[i], sizes[i]) for i in order]) if len(order) else np.zeros(0, np.uint64)
+        if len(total) != len(own):
+            raise RuntimeError("the documents changed while they were scored")
+        at = total[place]
+        at[2, np.append(0, ends[:-1] + 1)] = 0
+        words = sum(found.column("words").to_pylist())
+        return pa.table([pa.array([x], t) for x, t in ((texts.column("doc_id").to_pylist(), pa.list_(pa.int64())), (texts.column("held_out").to_pylist(), pa.list_(pa.bool_())), (np.diff(np.append(-1, ends)).tolist(), pa.list_(pa.int64())), (packed(at.reshape(-1)), pa.binary()), (words, pa.int64()))], names=["doc_id", "held_out", "n_tokens", "counts", "words"])
+
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(count, COUNTED)
+
+
+def contexts(n: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the one-word and of the two-word context of each token (0 where a text's first token has no two-word one), from its counts n (3 x tokens)."""
+    one, two = np.empty_like(n[0]), np.empty_like(n[1])
+    one[1:], two[1:] = n[0, :-1], n[1, :-1]
+    starts = np.append(0, ends[:-1] + 1)
+    one[starts], two[starts] = n[0, ends], 0  # before a text stands the end token
+    return one, two
+
+
+def bucket(n: np.ndarray) -> np.ndarray:
+    """Half octaves of the counts: 0 for 1, 2 for 2, 3 for 3."""
+    return np.minimum((2 * np.log2(np.maximum(n, 1).astype(float))).astype(np.int64), BUCKETS - 1)
+
+
+def failure_weights(rows: DataFrame) -> np.ndarray:
+    """2 x BUCKETS: f of one-word and of two-word contexts by their counts' bucket, from all training positions. At most 2 * BUCKETS rows reach the driver."""
+
+    def tally(batches):
+        seen = np.zeros((2, 2, BUCKETS), np.int64)  # per length of the context: positions, and those whose n-gram occurs once
+        for b in batches:
+            for held, size, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                n, ends = unpacked(blob, 3 * sum(size)).reshape(3, -1), np.cumsum(size) - 1
+                learn = np.repeat(~np.array(held, bool), size)
+                for k, context in enumerate(contexts(n, ends)):
+                    own = learn & (context > 0)
+                    where = bucket(context[own])
+                    seen[k, 0] += np.bincount(where, minlength=BUCKETS)
+                    seen[k, 1] += np.bincount(where, n[k + 1][own] == 1, BUCKETS).astype(np.int64)
+        k, at = np.nonzero(seen[:, 0])
+        yield pa.record_batch([pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(seen[k, 0, at]), pa.array(seen[k, 1, at])], names=["k", "bucket", "n", "once"])
+
+    sums = rows.select("held_out", "n_tokens", "counts").mapInArrow(tally, "k int, bucket int, n long, once long").groupBy("k", "bucket").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()
+    n, once = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
+    for r in sums:
+        n[r["k"], r["bucket"]], once[r["k"], r["bucket"]] = r["n"], r["once"]
+    f = (once + 1) / (n + 2)
+    f[:, 0] = (f[:, 2] + 1) / 2
+    return f
+
+
+def traverse(n: np.ndarray, ends: np.ndarray, n_train: int, vocabulary: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per token, the probability at the root, and that of the state which the text carries there."""
+    n = n.astype(float)
+    p = root = (n[0] + 0.5) / (n_train + 0.5 * (vocabulary + 1))
+    for k, context in enumerate(contexts(n, ends)):
+        fail = np.where(context > 0, f[k, bucket(context)], 1.0)
+        p = (1 - fail) * n[k + 1] / np.maximum(context, 1) + fail * p
+    return root, p
+
+
+def language_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from rows whose crc32(doc_id) mod 5 is not 1."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bucket_of(F.col("doc_id"), 5) == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    automaton, words = train(rows.where("not held_out"), share)
-    out = score(rows, automaton, words)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(automaton.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0)).alias("n")).first()["n"]
+    bits = min(64, math.ceil(math.log2(size + 2)) + SPARE_BITS)
+    parts = max(1, math.ceil(size / 2.4 / part_keys))
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are no hot key
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(max(1, math.ceil(size / block_bytes)))).cast("int"))
+    found = cut(counted(blocks, answers(asks(blocks, parts, bits)), bits))
+    totals = found.agg(
+        F.coalesce(F.sum(F.expr("aggregate(zip_with(held_out, n_tokens, (h, n) -> if(h, 0L, n)), 0L, (a, x) -> a + x)")), F.lit(0)).alias("n"),
+        F.coalesce(F.sum("words"), F.lit(0)).alias("v"),
+    ).first()
+    n_train, vocabulary = int(totals["n"]), int(totals["v"])
+    held = spark.sparkContext.broadcast(failure_weights(found))
+
+    def score(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                sizes = np.array(b.column(2)[i].as_py(), np.int64)
+                n, ends = unpacked(b.column(3)[i].as_py(), 3 * int(sizes.sum())).reshape(3, -1), np.cumsum(sizes) - 1
+                root, p = traverse(n, ends, n_train, vocabulary, held.value)
+                first = np.append(0, ends[:-1] + 1)
+                cols = [sizes, np.add.reduceat((n[0] > 0).astype(np.int64), first), np.add.reduceat(np.log10(root), first), np.add.reduceat(np.log10(p), first)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i].values, b.column(1)[i].values, *map(pa.array, cols)], names=[x.split()[0] for x in SCORED.split(", ")])
+
+    out = found.select("doc_id", "held_out", "n_tokens", "counts").mapInArrow(score, SCORED)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -163,46 +163,44 @@ def lm_tokens(t):
     return [*re.findall(r"[^\x20\x09-\x0D]+", t), "</s>"]
 
 
-def lm_brute(texts, ids, share, word_share=0.0):
+def lm_brute(texts, ids):
     train = [lm_tokens(t) for i, t in zip(ids, texts, strict=True) if zlib.crc32(str(i).encode()) % 5 != 1]
     uni = Counter(w for t in train for w in t)
     n, v = sum(uni.values()), len(uni)
-    least = max(2, math.ceil(share * n))
-    bi, tri = Counter(), Counter()
+    bi, tri, seen = Counter(), Counter(), defaultdict(Counter)
     for t in train:
         s = ["</s>", *t]
         bi.update(zip(s, s[1:], strict=False))
         tri.update(zip(s, s[1:], s[2:], strict=False))
-    bi = {k: c for k, c in bi.items() if c >= least and uni[k[0]] >= least and uni[k[1]] >= least}
-    tri = {k: c for k, c in tri.items() if c >= least and k[:2] in bi and k[1:] in bi}
-    d = lm_score.DISCOUNT
+    half = lambda c: int(2 * math.log2(c))
+    for k, grams, lower in ((1, bi, {(a,): c for a, c in uni.items()}), (2, tri, bi)):
+        for g, c in grams.items():
+            seen[k, half(lower[g[:-1]])].update(n=c, once=c == 1)
+
+    def fail(k, c):
+        f = lambda b: (seen[k, b]["once"] + 1) / (seen[k, b]["n"] + 2)
+        return (f(2) + 1) / 2 if c == 1 else f(half(c))
+
     p1 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-    by1, by2 = defaultdict(list), defaultdict(list)
-    for a, b in bi:
-        by1[a].append(b)
-    for a, b, c in tri:
-        by2[a, b].append(c)
-    fail1 = {a: (1 - sum((bi[a, b] - d) / uni[a] for b in bs)) / (1 - sum(p1(b) for b in bs)) for a, bs in by1.items()}
 
     def p2(a, w):
-        return (bi[a, w] - d) / uni[a] if (a, w) in bi else fail1.get(a, 1.0) * p1(w)
-
-    fail2 = {k: (1 - sum((tri[(*k, c)] - d) / bi[k] for c in cs)) / (1 - sum(p2(k[1], c) for c in cs)) for k, cs in by2.items()}
+        f = fail(1, uni[a]) if uni[a] else 1
+        return (1 - f) * bi[a, w] / max(uni[a], 1) + f * p1(w)
 
     def p3(a, b, w):
-        if a is None:
-            return p2(b, w)
-        return (tri[a, b, w] - d) / bi[a, b] if (a, b, w) in tri else fail2.get((a, b), 1.0) * p2(b, w)
+        f = fail(2, bi[a, b]) if a is not None and bi[a, b] else 1
+        return (1 - f) * tri[a, b, w] / max(bi[a, b], 1) + f * p2(b, w)
 
     return uni, n, v, p1, p2, p3
 
 
-def test_language_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("sizes", [(1 << 20, 10**6), (700, 150)])
+def test_language_scores_equal_brute_force(spark, sizes):
     rng = np.random.default_rng(6)
-    texts = [" ".join(rng.choice(["the", "The", "cat", "sat", "on", "a", "mat", f"rare{i}"], rng.integers(0, 30))) for i in range(150)] + ["", None, "unseen words only"]
+    texts = [" ".join(rng.choice(["the", "The", "cat", "sat", "on", "a", "mat", f"rare{i}"], rng.integers(0, 30))) for i in range(150)] + ["", None, "unseen words only", "a " * 3000] + ["twice told tales are told twice"] * 2
     ids = list(range(len(texts)))
-    uni, n, v, p1, p2, p3 = lm_brute(texts, ids, lm_score.SHARE)
-    rows = {r.doc_id: r for r in lm_score.language_scores(docs(spark, texts)).collect()}
+    uni, n, v, p1, p2, p3 = lm_brute(texts, ids)
+    rows = {r.doc_id: r for r in lm_score.language_scores(docs(spark, texts).withColumn("block", F.lit("clash")), *sizes).collect()}
     for i, t in enumerate(texts):
         ws = lm_tokens(t)
         s = ["</s>", *ws]
@@ -210,10 +208,32 @@ def test_language_scores_equal_brute_force(spark):
         r = rows[i]
         assert r.n_tokens == len(ws) and r.n_known == sum(uni[w] > 0 for w in ws) and r.train_tokens == n and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(sum(math.log10(p1(w)) for w in ws)) and r.score == pytest.approx(want), t
-    for a, b in (("the", "cat"), ("</s>", "the"), ("a", "mat")):  # a distribution over the vocabulary and one unknown word
+    for a, b in (("the", "cat"), ("</s>", "the"), ("a", "mat"), ("told", "tales")):  # a distribution over the vocabulary and one unknown word
         assert sum(p3(a, b, w) for w in [*uni, "never-seen"]) == pytest.approx(1.0)
 
 
+def test_language_scores_of_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b c", None, None, None)] * 40 + [(7, t, "en", "s", 1) for t in ("a b", "a b", "x", None)] + [(None, None, None, None, None)], SCHEMA)
+    rows = lm_score.language_scores(df, 50, 10).collect()
+    assert len(rows) == 45 and len({(r.n_tokens, round(r.score, 9)) for r in rows if r.n_tokens == 4}) == 1
+    learned = [r for r in rows if not r.held_out]
+    assert rows[0].train_tokens == sum(r.n_tokens for r in learned)
+
+
+def test_held_out_texts_with_a_copy_score_apart(spark):
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.2, 80) % 3000) for _ in range(400)]
+    texts += texts[:150]
+    rows = {r.doc_id: r for r in lm_score.language_scores(docs(spark, texts)).collect()}
+    per = {i: (rows[i].score - rows[i].base_score) / rows[i].n_tokens for i in range(400)}
+    held = [i for i in per if rows[i].held_out]
+    copied, alone = [per[i] for i in held if i < 150 and not rows[400 + i].held_out], [per[i] for i in held if i >= 150]
+    assert len(copied) > 10 and min(copied) > max(alone) + 0.3
+    learned = [i for i in per if not rows[i].held_out]
+    twice, once = [per[i] for i in learned if i < 150 and not rows[400 + i].held_out], [per[i] for i in learned if i >= 150]
+    assert np.median(twice) > np.quantile(once, 0.75)
+
+
 def test_language_model_learns_order(spark):
     texts = ["the cat sat on a mat and the dog ran to a tree"] * 200
     held = [r for r in lm_score.language_scores(docs(spark, texts)).collect() if r.held_out]
@@ -247,21 +267,106 @@ def test_toxicity_finds_held_out_cases(spark):
     assert toxicity.toxicity(docs(spark, texts[:3]), labels.limit(0)).where("score = 0").count() == 3
 
 
+def tox_terms(text):
+    words = ["".join(c.lower() if c.isascii() else c for c in w).strip("!?.,;:") for w in (text or "").split()]
+    words = [w for w in words if len(w) >= 2]
+    return Counter([("w", w) for w in words] + [("p", w[:5]) for w in words if len(w) > 5])
+
+
+def pooled(points):
+    """Isotonic fit by its minimax formula: level of x = max over a <= x of min over b >= x of the mean of a..b."""
+    xs = sorted({x for x, _, _ in points})
+    own = {x: (sum(y * w for z, y, w in points if z == x), sum(w for z, _, w in points if z == x)) for x in xs}
+
+    def mean(a, b):
+        part = [own[x] for x in xs[a : b + 1]]
+        return sum(p[0] for p in part) / sum(p[1] for p in part)
+
+    return xs, [max(min(mean(a, b) for b in range(i, len(xs))) for a in range(i + 1)) for i in range(len(xs))], [own[x][1] for x in xs]
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts, y = [], []
+    for i in range(420):
+        words = [f"word{k}" if k % 3 else f"w{k}" for k in rng.zipf(1.4, rng.integers(5, 40)) % 400]
+        if i % 5 == 0:
+            words[1:3] = rng.choice(["awful", "vilely", "Rotten!", "nasty"], 2)
+        if i % 35 == 0:
+            words = words[:1]
+        texts.append(" ".join(words))
+        y.append(int(i % 5 == 0) if i % 17 else 1 - int(i % 5 == 0))
+    texts += ["", None, "never-seen"]
+    df = docs(spark, texts).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(y)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in toxicity.toxicity(df, labels).collect()}
+    fits = {r.doc_id for r in spark.range(420).where("pmod(xxhash64(id, 7), 3) = 0").select(F.col("id").alias("doc_id")).collect()}
+    learn = [i for i in range(420) if zlib.crc32(str(i).encode()) % 4 != 2]
+    ref, cal = [i for i in learn if i not in fits], [i for i in learn if i in fits]
+    bags = [tox_terms(t) for t in texts]
+    space = {t for t, n in Counter(t for i in ref for t in bags[i]).items() if n >= 2}
+    n1, n0 = sum(y[i] for i in ref), sum(1 - y[i] for i in ref)
+    weight = {}
+    for t in space:
+        idf = max(math.log((len(texts) + 1) / (sum(t in b for b in bags) + 1)), 0.01)
+        weight[t] = idf * math.log2(2 + (sum(y[i] for i in ref if t in bags[i]) / n1) / ((sum(1 - y[i] for i in ref if t in bags[i]) + 1) / n0)) ** 2
+    vec = []
+    for b in bags:
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in b.items() if t in space}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vec.append({t: x / norm for t, x in v.items()})
+    rate = sum(y[i] for i in learn) / len(learn)
+
+    def raw(i):
+        near = sorted(((-round(sum(x * vec[j].get(t, 0) for t, x in vec[i].items()), 12), j) for j in ref))[:15]
+        near = [(j, min(-c, 1.0)) for c, j in near if c < 0]
+        w = [1 / (1.05 - c) for _, c in near]
+        return (sum(a * y[j] for a, (j, _) in zip(w, near, strict=True)) + 0.5 * rate) / (sum(w) + 0.5), [j for j, _ in near[:5]]
+
+    back = {k: sum(y[i] == k for i in learn) / sum(y[i] == k for i in cal) for k in (0, 1)}
+    xs, levels, ws = pooled([(raw(i)[0], y[i], back[y[i]]) for i in cal if vec[i]])
+    steps = {}
+    for x, lv, w in zip(xs, levels, ws, strict=True):
+        steps.setdefault(round(lv, 9), []).append((x, w))
+    curve = [(sum(x * w for x, w in p) / sum(w for _, w in p), lv) for lv, p in steps.items()]
+    blank = [(y[i], back[y[i]]) for i in cal if not vec[i]]
+    base = sum(a * w for a, w in blank) / sum(w for _, w in blank) if blank else rate
+    off = 0
+    for i in range(len(texts)):
+        if vec[i]:
+            r, evidence = raw(i)
+            want = float(np.interp(r, *zip(*curve, strict=True)))
+            off += list(rows[i].evidence) != evidence  # sums in another order may swap ties
+        else:
+            want = base
+        assert rows[i].score == pytest.approx(want, abs=1e-6) and rows[i].predicted == int(rows[i].score >= 0.3), i
+        assert rows[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    assert off <= 4 and len(rows) == len(texts)
+
+
+def test_toxicity_with_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(i // 3 if i % 4 else None, f"text {i % 5} some vile words" if i % 2 else "plain text of other words", None, None, None) for i in range(90)], SCHEMA)
+    labels = spark.createDataFrame([(i, None, i % 2) for i in range(30)] * 2 + [(3, None, 1)], "doc_id long, quality int, toxic int")
+    got = [toxicity.toxicity(x, labels).select("doc_id", "score").orderBy("doc_id", "score").collect() for x in (df, df.repartition(7))]
+    assert len(got[0]) == 90 and got[0] == got[1]
+    assert toxicity.toxicity(df.limit(0), labels).count() == 0 and toxicity.toxicity(df, labels.where("toxic = 1")).where("score = 0").count() == 90
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(4)
-    n, terms = 700, np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
+    n, terms = 1700, np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
     rows = np.repeat(np.arange(n), 6)
     cols = np.concatenate([rng.choice(40, 6, replace=False) for _ in range(n)])
-    tf, idf = rng.integers(1, 4, len(rows)), rng.random(40) + 0.5
-    index = toxicity.BlockMaxIndex(terms, idf, np.arange(n), np.zeros(n, int), rows, cols, tf)
+    tf, weight = rng.integers(1, 4, len(rows)), rng.random(40) + 0.5
+    index = toxicity.BlockMaxIndex(terms, weight, np.arange(n), np.zeros(n, int), rows, cols, tf)
     dense = np.zeros((n, 40))
-    dense[rows, cols] = (1 + np.log(tf)) * idf[cols]
+    dense[rows, cols] = (1 + np.log(tf)) * weight[cols]
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     for _ in range(50):
         c = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
         t = rng.integers(1, 4, len(c))
         q = np.zeros(40)
-        q[c] = (1 + np.log(t)) * idf[c]
+        q[c] = (1 + np.log(t)) * weight[c]
         want = np.sort(dense @ (q / np.linalg.norm(q)))[::-1][:15]
         near, cosine = index.query(c, t)
         assert np.allclose(np.pad(cosine, (0, 15 - len(cosine))), want)
