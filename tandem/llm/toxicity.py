@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tandem.llm.common import bucket_of, cut
 from tandem.llm.textkit import Lookup, Words, span_hashes, sub_batches
 
-MAX_EXAMPLES, NEIGHBOURS, BLOCK, PREFIX = 6_000, 15, 128, 5
+MAX_EXAMPLES, NEIGHBOURS, BLOCK, PREFIX = 6_000, 15, 256, 5
 
 
 def term_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
