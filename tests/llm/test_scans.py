@@ -1,6 +1,7 @@
 """Personal data, secrets and quality rules against brute force."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -94,12 +95,71 @@ def test_random_strings_are_found_and_words_left(spark):
     assert hit >= 36 and not any(rows[i] for i in range(len(planted), len(texts)))
 
 
+def by_chance(kind, symbols):
+    return secrets.random_p(kind, len(symbols), *secrets.statistics(kind, symbols))
+
+
 def test_battery_rejects_what_is_not_random():
-    assert min(secrets.battery("hex", "0123456789abcdef" * 4)) < 0.001  # a run up the alphabet
-    assert min(secrets.battery("base64", "aB" * 20)) < 0.001
+    assert by_chance("hex", "0123456789abcdef" * 4) < 0.001  # a run up the alphabet
+    assert by_chance("base64", "aB" * 20) < 0.001
     rng = np.random.default_rng(1)
-    p = [min(secrets.battery("hex", "".join(rng.choice(list("0123456789abcdef"), 40)))) for _ in range(200)]
-    assert np.mean(np.array(p) < 0.001) < 0.05
+    for kind, n in (("hex", 40), ("base64", 16), ("base32", 20)):
+        p = [by_chance(kind, "".join(rng.choice(list(secrets.ALPHABETS[kind][:62]), n))) for _ in range(300)]
+        assert np.mean(np.array(p) < 0.001 / 3) < 0.02, kind
+
+
+def test_secrets_equal_brute_force(spark):
+    rng = np.random.default_rng(17)
+    make = lambda a, n: "".join(rng.choice(list(a), n))
+    b64 = secrets.ALPHABETS["base64"]
+    texts = []
+    for i in range(150):
+        words = [make("aeionrtsl", int(k)) for k in rng.integers(2, 24, 30)]
+        words[2] = [make(b64, int(rng.integers(16, 50))), make("0123456789abcdef", 24), words[2].title() + "2x", "camelCaseNameOfSomething", make("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), "/usr/lib/python3/site-packages/x"][i % 6]
+        texts.append(" ".join(words))
+    place = {c: i for i, c in enumerate(b64)}
+    kind = lambda c: "d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else ""
+
+    def stats(symbols, alphabet):
+        n = len(symbols)
+        equal = sum(symbols[i] == symbols[j] for i in range(n) for j in range(i)) / (n * (n - 1) / 2)
+        kinds = [kind(c) for c in symbols if kind(c)]
+        changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / (len(kinds) - 1)
+        x = [alphabet.index(c) for c in symbols]
+        m = sum(x) / n
+        spread = sum((v - m) ** 2 for v in x)
+        return equal, changes, sum((a - m) * (b - m) for a, b in zip(x, x[1:], strict=False)) / spread if spread else 1.0
+
+    per = {}
+    for t in texts:
+        for w in t.split():
+            if 12 <= len(w) < 64 and all(c in place and c not in "+/" for c in w) and sum(kind(a) != kind(b) for a, b in zip(w, w[1:], strict=False)) <= 3:
+                per.setdefault(int(math.log2(len(w))), []).append(stats(w, b64))
+    everything = [x for xs in per.values() for x in xs]
+    found = {}
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
+            body = m[0].rstrip("=")
+            if len({kind(c) for c in body} - {""}) < 2:
+                continue
+            enc = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body) else "base32" if re.fullmatch("[A-Z2-7]+", body) else "base64"
+            body = body.lower() if enc == "hex" else body.replace("-", "+").replace("_", "/")
+            s = stats(body, secrets.ALPHABETS[enc])
+            if secrets.random_p(enc, len(body), *s) >= 0.001 / 3:
+                own = per.get(int(math.log2(len(body))), [])
+                own = own if len(own) >= 30 else everything
+                nulls = [f for k in range(3) for f in (max((0, 0.05, -1)[k], np.mean([x[k] for x in own])), max((0.02, 0.08, 0.1)[k], np.std([x[k] for x in own])))]
+                p = secrets.ordinary_p(len(body), *s, nulls)
+                found[i, m.start(), m.end()] = int(math.log2(len(body))), min(secrets.GRID, int(-4 * math.log10(max(p, 1e-300))))
+    want = set()
+    for c in {c for c, _ in found.values()}:
+        steps = sorted((s for k, s in found.values() if k == c), reverse=True)
+        ok = [s for s in set(steps) if 10 ** (-s / 4) <= 0.01 * sum(x >= s for x in steps) / len(steps)]
+        want |= {k for k, (d, s) in found.items() if d == c and ok and s >= min(ok)}
+    got = {(r.doc_id, x.start, x.end) for r in secrets.find_secrets(docs(spark, texts)).collect() for x in r.random}
+    base = {(i, s, e) for i, t in enumerate(texts) for _, s, e in brute_secrets(t)}
+    want = {w for w in want if not any(b[0] == w[0] and b[1] < w[2] and w[1] < b[2] for b in base)}
+    assert len(want) > 20 and got == want
 
 
 def brute_quality(t):
