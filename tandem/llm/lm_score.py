@@ -22,8 +22,9 @@ corpus back: the part of the automaton that it needs. A message is a sorted run
 stored as differences. There are blocks * parts messages, so both sizes should grow with
 the executors' memory on very large corpora (256 MB and 64 million at 100 TB).
 
-N-grams are keyed by hashes with 20 bits more than it takes to number the corpus's bytes,
-so that one in some hundred thousands meets another at most, at every size.
+N-grams are keyed by hashes with 18 bits more than it takes to number the corpus's bytes,
+so that one in some hundred thousands meets another at most, at every size. Texts travel
+compressed.
 
 Null texts are empty and consist of the end token. Repeated rows are learned and scored as
 often as they occur. Extra columns are ignored. Empty tables give no rows; without
@@ -41,10 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm.common import bucket_of, cut
-from tandem.llm.textkit import Words, mix
+from tandem.llm.textkit import Words, mix, sub_batches
 
 END = np.uint64(0x9E3779B97F4A7C15)  # the end token, and the context before a text's first word
-BLOCK_BYTES, PART_KEYS, SPARE_BITS, BUCKETS = 8 << 20, 3_000_000, 20, 128
+BLOCK_BYTES, PART_KEYS, SPARE_BITS, BUCKETS = 6 << 20, 3_000_000, 18, 128
 ASKED = "part int, block int, n long, keys binary, counts binary"
 ANSWERED = "block int, part int, n long, counts binary, words long"
 COUNTED = "doc_id array<long>, held_out array<boolean>, n_tokens array<long>, counts binary, words long"
@@ -96,12 +97,27 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """doc_id, held_out, block, size, text: the rows with their texts compressed."""
+
+    def squeeze(batches):
+        for b in sub_batches(batches):
+            texts = [t.encode() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(map(len, texts), pa.int64()), pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())], names=["doc_id", "held_out", "block", "size", "text"])
+
+    return rows.select("doc_id", "held_out", "block", "text").mapInArrow(squeeze, "doc_id long, held_out boolean, block int, size long, text binary")
+
+
+def texts_of(table: pa.Table) -> pa.Array:
+    return pa.array([pa.decompress(z, n, "zstd", asbytes=True) for z, n in zip(table.column("text").to_pylist(), table.column("size").to_pylist(), strict=True)], pa.binary()).cast(pa.string())
+
+
 def asks(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
     """part, block, n, keys, counts: the n-grams of each block with their training counts there, dealt over the key space."""
     borders = np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
 
     def ask(table: pa.Table) -> pa.Table:
-        own, place, ends = ngrams(table.column("text").combine_chunks(), bits)
+        own, place, ends = ngrams(texts_of(table), bits)
         learn = ~table.column("held_out").to_numpy()
         size = np.diff(np.append(-1, ends))
         used = np.repeat(learn, size)
@@ -144,7 +160,7 @@ def counted(blocks: DataFrame, answered: DataFrame, bits: int) -> DataFrame:
     def count(texts: pa.Table, found: pa.Table) -> pa.Table:
         if not texts.num_rows:
             raise RuntimeError("the documents changed while they were scored")
-        own, place, ends = ngrams(texts.column("text").combine_chunks(), bits)
+        own, place, ends = ngrams(texts_of(texts), bits)
         order = np.argsort(found.column("part").to_numpy())
         blobs, sizes = found.column("counts").to_pylist(), found.column("n").to_pylist()
         total = np.concatenate([unpacked(blobs[i], sizes[i]) for i in order]) if len(order) else np.zeros(0, np.uint64)
@@ -216,7 +232,7 @@ def language_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_keys:
     bits = min(64, math.ceil(math.log2(size + 2)) + SPARE_BITS)
     parts = max(1, math.ceil(size / 2.4 / part_keys))
     salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # rows without an id are no hot key
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(max(1, math.ceil(size / block_bytes)))).cast("int"))
+    blocks = dealt(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(max(1, math.ceil(size / block_bytes)))).cast("int")))
     found = cut(counted(blocks, answers(asks(blocks, parts, bits)), bits))
     totals = found.agg(
         F.coalesce(F.sum(F.expr("aggregate(zip_with(held_out, n_tokens, (h, n) -> if(h, 0L, n)), 0L, (a, x) -> a + x)")), F.lit(0)).alias("n"),
