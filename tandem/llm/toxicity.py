@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tandem.llm.common import bucket_of, cut
 from tandem.llm.textkit import Lookup, Words, span_hashes, sub_batches
 
-MAX_EXAMPLES, NEIGHBOURS, BLOCK, PREFIX = 6_000, 15, 256, 5
+MAX_EXAMPLES, NEIGHBOURS, BLOCK, PREFIX = 3_600, 15, 512, 5
 
 
 def term_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,19 +100,33 @@ class BlockMaxIndex:
     """The reference set in TF-IDF space; see the module's text. Row r of the set is text ids[r] with label y[r]; (rows, cols, tf) are its terms."""
 
     def __init__(self, terms: np.ndarray, weight: np.ndarray, ids: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray, tf: np.ndarray):
-        self.lookup, self.weight, self.ids, self.y, self.n = Lookup(terms), weight, ids, y, len(ids)
-        w = (1 + np.log(tf)) * weight[cols]
-        w = w / np.sqrt(np.bincount(rows, w * w, self.n))[rows]
         order = np.lexsort((rows, cols))
-        self.rows, self.w, cols = rows[order].astype(np.int32), w[order], cols[order]
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        self.postings = terms, weight, ids, y, small(rows[order]), small(np.bincount(cols, minlength=len(terms))), small(tf[order])
+        self.steps, self.levels, self.base = np.array([0.0, 1.0]), np.array([0.0, 1.0]), 0.0
+        self.build()
+
+    def __getstate__(self):  # what is sent to tasks: a few bytes per posting
+        return self.postings, self.steps, self.levels, self.base
+
+    def __setstate__(self, state):
+        self.postings, self.steps, self.levels, self.base = state
+        self.build()
+
+    def build(self):
+        """Weights, and entries: one for each term and block, with its postings and its greatest weight."""
+        terms, self.weight, self.ids, self.y, rows, per_term, tf = self.postings
+        self.lookup, self.n = Lookup(terms), len(self.ids)
+        cols = np.repeat(np.arange(len(terms)), per_term)
+        self.rows, w = rows.astype(np.int32), (1 + np.log(tf.astype(float))) * self.weight[cols]
+        self.w = w / np.sqrt(np.bincount(self.rows, w * w, self.n))[self.rows]
         self.blocks = -(-self.n // BLOCK)
         where = cols * self.blocks + self.rows // BLOCK
         at = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else where
-        self.begin = np.append(at, len(where))  # postings of each entry: one term in one block
-        self.block = (self.rows[at] // BLOCK).astype(np.int32)
+        self.begin = np.append(at, len(where))
+        self.block = self.rows[at] // BLOCK
         self.most = np.maximum.reduceat(self.w, at) if len(at) else np.zeros(0)
         self.first = np.searchsorted(cols[at], np.arange(len(terms) + 1))
-        self.steps, self.levels, self.base = np.array([0.0, 1.0]), np.array([0.0, 1.0]), 0.0
 
     def query(self, cols: np.ndarray, tf: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest texts and their cosines, exactly; ties go to the lower row."""
@@ -225,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
             yield pa.record_batch([b.column(0), pa.array(raw, pa.float64())], names=["y", "raw"])
 
     tried = rows.where("fits").select("y", "text").mapInArrow(rate, "y int, raw double").toPandas()  # at most max_examples rows
+    held.unpersist()
     own, raw = tried["y"].to_numpy(np.int64), tried["raw"].to_numpy(float)
     if len(set(own)) == 2:
         weight = np.where(own == 1, totals[1] / (own == 1).sum(), totals[0] / (own == 0).sum())
