@@ -10,6 +10,23 @@ from pyspark.sql.types import StringType
 
 # Accepted spellings of booleans.
 TRUE_WORDS, STRICT_TRUE, STRICT_FALSE = ("1", "true", "yes", "y"), ("true", "1", "yes"), ("false", "0", "no")
+# Markup of answers that means nothing, and what stands for what.
+BOXED = r"\\boxed\{(.*)\}"
+NO_MEANING = r"\\left|\\right|\\!|\\,|\\ |\\?\$|\\?%|\^\{\\circ\}|\^\\circ|\\text\{[^}]*\}|\\mbox\{[^}]*\}"
+ANSWER_FORMS = (
+    (r"\\(cdot|times)", "*"),
+    (r"\\d?frac\{([^{}]+)\}\{([^{}]+)\}", "($1)/($2)"),
+    (r"\\sqrt\{([^{}]+)\}", "sqrt($1)"),
+    (r"\\sqrt([0-9A-Za-z_])", "sqrt($1)"),
+    (r"\\pi", "pi"),
+    (r"\\infty", "oo"),
+    (r"[dt]frac", "frac"),
+    (r"[ ,]", ""),
+)
+NUMBER_FORMS = ((r"\.+$", ""), (r"^(-?[0-9]+)\.0+$", "$1"), (r"^0(\.[0-9]+)$", "$1"))
+# Control characters that stand for lost escapes, and commands with a stray slash.
+LOST_ESCAPES = (("\x08", "\\b"), ("\t", "\\t"), ("\x0c", "\\f"), ("\x0b", "\\v"))
+SLASHED = ("geq", "leq", "neq", "times", "rightarrow")
 
 
 def _c(x: Column | str) -> Column:
@@ -99,23 +116,21 @@ def conditional_rate(num, den) -> Column:
 
 
 def normalize_answer(c) -> Column:
-    """An answer in plain form: markup, spacing and units removed, fractions and roots flat, no trailing or missing zeros."""
+    """An answer in plain form: what is boxed, without markup, units, blanks and thousands marks, fractions and roots flat, whole numbers without decimals."""
     v = F.trim(_c(c))
-    v = F.regexp_replace(v, r"^\\boxed\{(.*)\}$", "$1")
-    v = F.regexp_replace(v, r"\\(left|right|displaystyle|,|;|!|quad|qquad)", "")
-    v = F.regexp_replace(v, r"\\(text|mathrm|mbox)\{[^{}]*\}", "")
-    v = F.regexp_replace(v, r"\\[dt]?frac\{([^{}]*)\}\{([^{}]*)\}", "$1/$2")
-    v = F.regexp_replace(v, r"\\sqrt\{([^{}]*)\}", "sqrt($1)")
-    v = F.regexp_replace(v, r"[\s,$%\\]", "")
+    v = F.when(F.rlike(v, F.lit(BOXED)), F.regexp_extract(v, BOXED, 1)).otherwise(v)
+    v = F.regexp_replace(v, NO_MEANING, "")
+    for pattern, plain in ANSWER_FORMS:
+        v = F.regexp_replace(v, pattern, plain)
     v = F.lower(v)
-    v = F.regexp_replace(v, r"^(-?[0-9]+)\.0+$", "$1")
-    v = F.regexp_replace(v, r"^(-?[0-9]*\.[0-9]*[1-9])0+$", "$1")
-    return F.regexp_replace(v, r"^(-?)\.([0-9]+)$", "$10.$2")
+    for pattern, plain in NUMBER_FORMS:
+        v = F.regexp_replace(v, pattern, plain)
+    return v
 
 
 def grade_exact(candidate, truth) -> Column:
     a = normalize_answer(candidate)
-    return F.when(_c(candidate).isNull() | (a == ""), "no_answer").when(a == normalize_answer(truth), "string_match").otherwise("mismatch")
+    return F.when(_c(candidate).isNull() | (a == ""), "no_answer").when(a == F.coalesce(normalize_answer(truth), F.lit("")), "string_match").otherwise("mismatch")
 
 
 def extract_answer(c) -> Column:
@@ -157,22 +172,30 @@ def extract_json_object(c, schema: str) -> Column:
     return F.when(F.nullif(v, F.lit("")).isNotNull(), F.when(ok, parsed(v)).otherwise(parsed(repaired)))
 
 
-def normalize_status(status, answer, known: tuple[str, ...] = ("completed", "cannot_continue", "logical_break"), default: str = "cannot_continue") -> Column:
-    v = F.lower(F.trim(F.coalesce(_c(status), F.lit(""))))
-    out = F.when(v.isin(*known), v)
-    for k in known:
-        out = out.when(F.contains(v, F.lit(k)), k)
-    return out.when(F.trim(F.coalesce(_c(answer), F.lit(""))) != "", known[0]).otherwise(default)
+def normalize_status(status, answer) -> Column:
+    """completed, cannot_continue or logical_break, whatever the spelling; a reply with an answer is completed where its status says nothing."""
+    v = F.translate(F.lower(F.trim(F.coalesce(_c(status), F.lit("")))), "- ", "__")
+    says = lambda *words: F.rlike(v, F.lit("|".join(words)))
+    return (
+        F.when(v.isin("completed", "cannot_continue", "logical_break"), v).when(says("logical", "break"), "logical_break").when(says("cannot", "unable"), "cannot_continue")
+        .when(says("complete") | (F.trim(F.coalesce(_c(answer), F.lit(""))) != ""), "completed").otherwise("cannot_continue")
+    )
 
 
 def repair_text(c) -> Column:
-    """Control characters that stand for lost escapes restored, repeated spacing commands collapsed, a truncated tail cut at the last sentence end."""
+    """Control characters that stand for lost escapes restored, stray slashes off, long runs of empty commands collapsed; a tail that breaks off inside a formula is cut at the last sentence end, or before the formula."""
     v = _c(c)
-    for char, letter in (("\x08", "b"), ("\x0c", "f"), ("\t", "t")):
-        v = F.replace(v, F.lit(char), F.lit("\\" + letter))
-    v = F.regexp_replace(v, r"(\\[,;!])(\\[,;!])+", "$1")
-    whole = F.rlike(v, F.lit(r"[.!?]\s*$"))
-    return F.when(whole, F.trim(v)).otherwise(F.coalesce(F.nullif(F.regexp_extract(v, r"(?s)^(.*[.!?])", 1), F.lit("")), F.trim(v)))
+    for char, escape in LOST_ESCAPES:
+        v = F.replace(v, F.lit(char), F.lit(escape))
+    v = F.regexp_replace(v, rf"\\/({'|'.join(SLASHED)})", r"\\$1")
+    v = F.regexp_replace(v, r"(?:\\+\s*text\s*\{\s*\}\s*){3,}", r"\\;")
+    v = F.regexp_replace(v, r"(?:\\+\s*,\s*){8,}", r"\\,")
+    end = F.regexp_replace(v, r"\s+$", "")
+    open_formula = (F.regexp_count(end, F.lit(r"\$")) - F.regexp_count(end, F.lit(r"\\\$"))) % 2 == 1
+    broken = open_formula & F.rlike(end, F.lit(r"\\$|\\(?:text|frac|dfrac|sqrt)\{[^}\n]*$"))
+    sentences = F.regexp_extract(end, r"""(?s)^(.*[.!?])["')\]]*(?:\s.*)?$""", 1)
+    before = F.regexp_replace(F.regexp_extract(end, r"(?s)^(.*[^\\]|)\$", 1), r"[ \t\r\n,:;]+$", "")
+    return F.when(broken, F.when(sentences != "", sentences).otherwise(before)).otherwise(v)
 
 
 def excerpt(c, n: int) -> Column:

@@ -6,13 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, kind: str = "cut") -> str:
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share; below a temporary folder where that is unset and the session is local (tests), else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "tandem-checkpoints")
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written below spark.checkpoint.dir and read again; a local temporary folder only where that is unset (tests)."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tandem-checkpoints")
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    """`df` written below the shared folder and read back: lineage ends there."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

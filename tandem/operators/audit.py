@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.operators.aggregates import share_of
+from tandem.operators.ranking import order_statistics
 
 
 def _row(df: DataFrame, name: str, observed: Column, expected: float | Column) -> DataFrame:
@@ -79,7 +80,7 @@ def select_disagreements(audited: DataFrame, human: str, judge: str, blinded: li
 
 def abnormal_flags(runs: DataFrame, answer: str, cost: str) -> DataFrame:
     """Reasons that make a run worth a look (array), and the first as its category; long means above the third quartile by nearest rank."""
-    q = runs.agg(F.expr(f"percentile_disc(0.75) WITHIN GROUP (ORDER BY {cost})").alias("q"))
+    q = order_statistics(runs, [], cost, q=("disc", 0.75))
     rows = runs.crossJoin(F.broadcast(q))  # one row
     reasons = F.array_compact(F.array(
         F.when(F.col("status") != "completed", F.concat(F.lit("status:"), "status")), F.when(F.trim(F.coalesce(F.col(answer), F.lit(""))) == "", "missing_answer"), F.when(F.col(cost) > F.col("q"), "long"),

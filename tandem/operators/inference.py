@@ -34,9 +34,10 @@ def replicate_sums(rows: DataFrame, by: list[str], cluster: str, sums: dict[str,
     """(per group: n, clusters and plain sums; per group and rep: weighted sums)."""
     per = rows.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
     plain = per.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), *(F.sum(k).alias(k) for k in sums))
-    # one draw per cluster and replicate, whatever the number of groups that share it
-    draws = per.select(F.col(cluster).alias("_c")).where("_c is not null").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(seed, "rep", "_c")).where("w > 0")
-    drawn = per.join(draws.hint("merge"), F.col(cluster) == F.col("_c"))
+    # a cluster's groups travel together: one draw per cluster and replicate, and what is shuffled are sums per group and replicate
+    held = per.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("_c")).agg(F.collect_list(F.struct(*by, *sums)).alias("_g"))
+    drawn = held.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(seed, "rep", "_c")).where("w > 0")
+    drawn = drawn.select("rep", "w", F.explode("_g").alias("_x")).select("rep", "w", "_x.*")
     return plain, drawn.groupBy(*by, "rep").agg(*(F.sum(F.col("w") * F.col(k)).alias(k) for k in sums))
 
 
@@ -46,7 +47,7 @@ def interval(values: DataFrame, by: list[str], value: str = "v", level: float =
 
 
 def attach(points: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
-    return points.join(intervals, by) if by else points.crossJoin(intervals)  # single rows
+    return points.join(intervals.hint("merge"), by) if by else points.crossJoin(F.broadcast(intervals))  # single rows
 
 
 def bootstrap_ci(rows: DataFrame, by: list[str], cluster: str, num: Column, den: Column, reps: int = 1000, seed: int = 20260722, level: float = 0.95) -> DataFrame:
@@ -74,7 +75,7 @@ def bootstrap_difference(rows: DataFrame, by: list[str], side: str, cluster: str
         plain, drawn = replicate_sums(rows.where(F.col(side) == s), by, cluster, {"num": num, "den": den}, reps, seed + s)
         parts.append((plain.select(*by, F.col("n").alias(f"n_{s}"), _ratio(F.col("num"), F.col("den")).alias(f"e{s}")), drawn.select(*by, "rep", _ratio(F.col("num"), F.col("den")).alias(f"v{s}"))))
     points = attach(parts[0][0], parts[1][0], by).withColumn("estimate", F.col("e1") - F.col("e0")).drop("e1", "e0")
-    values = parts[0][1].join(parts[1][1], [*by, "rep"]).withColumn("v", F.col("v1") - F.col("v0"))
+    values = parts[0][1].join(parts[1][1].hint("merge"), [*by, "rep"]).withColumn("v", F.col("v1") - F.col("v0"))
     return attach(points, interval(values, by), by)
 
 
@@ -100,30 +101,43 @@ def lcb_of(m: str, a: str, b: str, aa: str, ab: str, bb: str, z: float = 1.645)
     return F.when(F.col(m) < 2, -1.0).otherwise(theta - z * se)
 
 
+def permuted_sums(rows: DataFrame, unit: str, n_1: int, reps: int, seed: int) -> DataFrame:
+    """rep, sx: the sum of x over the first n_1 units by hash, in each replicate.
+
+    Nothing is sorted whole: units are counted by ranges of the hash, and only the range in which the n_1-th one
+    lies, about a thousand units, is ranked.
+    """
+    if not n_1:
+        return rows.sparkSession.createDataFrame([(r, 0.0) for r in range(1, reps + 1)], "rep int, sx double")
+    ranges = max(1, rows.count() // 1000)
+    drawn = rows.select(unit, "x", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("u", hash_unit(seed, "rep", unit)).withColumn("range", F.floor(F.col("u") * ranges))
+    counts = drawn.groupBy("rep", "range").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"))
+    earlier = Window.partitionBy("rep").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "sx": F.coalesce(F.sum("s").over(earlier), F.lit(0.0))})
+    border = cut(placed.where((F.col("before") < n_1) & (F.col("before") + F.col("n") >= n_1)).select("rep", "range", "before", "sx"))  # one row per replicate
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("u", unit))
+    last = drawn.join(F.broadcast(border), ["rep", "range"]).withColumn("rank", rank + F.col("before")).where(F.col("rank") <= n_1)
+    return last.groupBy("rep").agg((F.max("sx") + F.sum("x")).alias("sx"))
+
+
 def permutation_test(df: DataFrame, side: str, value: str, unit: str, reps: int = 200, seed: int = 20260722) -> DataFrame:
     """Two-sided p of the difference of means (side 1 minus 0) when labels are permuted: in each replicate the first n_1 units by hash are side 1."""
     rows = df.where(F.col(value).isNotNull()).select(unit, F.col(side).cast("int").alias("s"), F.col(value).cast("double").alias("x"))
     base = rows.agg(F.count(F.when(F.col("s") == 1, 1)).alias("n1"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"), (F.avg(F.when(F.col("s") == 1, F.col("x"))) - F.avg(F.when(F.col("s") == 0, F.col("x")))).alias("observed"))
-    drawn = rows.select(unit, "x", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(hash_unit(seed, "rep", unit), unit))
-    one = F.broadcast(base)  # a single row
-    left = drawn.withColumn("rank", rank).crossJoin(one.select("n1")).where("rank <= n1").groupBy("rep").agg(F.sum("x").alias("sx"))
-    d = left.crossJoin(one).withColumn("d", F.col("sx") / F.col("n1") - (F.col("total") - F.col("sx")) / (F.col("n") - F.col("n1")))
+    left = permuted_sums(rows, unit, base.first()["n1"], reps, seed)
+    d = left.crossJoin(F.broadcast(base)).withColumn("d", F.col("sx") / F.col("n1") - (F.col("total") - F.col("sx")) / (F.col("n") - F.col("n1")))  # a single row
     return d.groupBy("observed", "n1", "n").agg(((F.sum((F.abs("d") >= F.abs("observed") - 1e-12).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
 def label_permutation_null(df: DataFrame, unit: str, label: str, value: str, level: str, reps: int = 200, seed: int = 20260722) -> DataFrame:
-    """Null distribution of the contrast between a label's level and the rest when labels are dealt anew with their margins kept."""
-    rows = df.where(F.col(value).isNotNull()).select(unit, F.col(label).cast("string").alias("label"), F.col(value).cast("double").alias("x"))
-    from tandem.operators.ranking import running_sums
-
-    labels = running_sums(rows.select(unit, "label"), [], [unit], {}).select("label", "rank")
-    drawn = rows.select(unit, "x", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(hash_unit(seed, "rep", unit), unit)))
-    dealt = drawn.join(labels.hint("merge"), "rank")
-    contrast = lambda c: F.avg(F.when(c, F.col("x"))) - F.avg(F.when(~c, F.col("x")))
-    null = dealt.groupBy("rep").agg(contrast(F.col("label") == level).alias("v"))
+    """Null distribution of the contrast between a label's level and the rest when labels are dealt anew with their margins kept: as many units as bear the level, the first by hash, bear it in a replicate."""
+    rows = df.where(F.col(value).isNotNull()).select(unit, F.coalesce(F.col(label).cast("string") == level, F.lit(False)).alias("s"), F.col(value).cast("double").alias("x"))
+    contrast = F.avg(F.when(F.col("s"), F.col("x"))) - F.avg(F.when(~F.col("s"), F.col("x")))
+    base = rows.agg(contrast.alias("observed"), F.count(F.lit(1)).alias("units"), F.count(F.when(F.col("s"), 1)).alias("n1"), F.sum("x").alias("total"))
+    left = permuted_sums(rows, unit, base.first()["n1"], reps, seed).crossJoin(F.broadcast(base))  # a single row
+    null = left.select((F.try_divide(F.col("sx"), F.col("n1").cast("double")) - F.try_divide(F.col("total") - F.col("sx"), (F.col("units") - F.col("n1")).cast("double"))).alias("v"))
     out = null.agg(F.avg("v").alias("null_mean"), F.percentile("v", F.lit(0.025)).alias("null_lower"), F.percentile("v", F.lit(0.975)).alias("null_upper"))
-    return rows.agg(contrast(F.col("label") == level).alias("observed"), F.count(F.lit(1)).alias("units")).crossJoin(out)  # single rows
+    return base.select("observed", "units").crossJoin(F.broadcast(out))  # single rows
 
 
 def normal_equations(df: DataFrame, y: str, xs: list[str], by: list[str]) -> DataFrame:
@@ -163,7 +177,7 @@ def ols_cluster_bootstrap(df: DataFrame, y: str, xs: list[str], cluster: str, re
 
     fits = sums.mapInPandas(lambda it: (fit(x) for x in it), "rep int, term string, v double")
     point = fits.where("rep = 0").select("term", F.col("v").alias("coefficient"))
-    return point.join(interval(fits.where("rep > 0"), ["term"]), "term")
+    return point.join(interval(fits.where("rep > 0"), ["term"]).hint("merge"), "term")
 
 
 def logistic_fit(df: DataFrame, y: str, xs: list[str], l2: float = 1.0, balanced: bool = True, max_iter: int = 80):

@@ -15,12 +15,12 @@ from tandem.functions.storage import cut
 from tandem.operators.inference import lcb_of
 
 
-def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column | str]) -> DataFrame:
-    """`df` with rank (from 1) and inclusive running sums inside each `by` group.
+def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column | str], totals: bool = False) -> DataFrame:
+    """`df` with rank (from 1) and inclusive running sums inside each `by` group; with `totals`, each sum's total over the group as `<name>_total`.
 
     `order` names columns, '-' in front for descending, and must be total. The
     range-partitioned rows are written once, because range bounds are sampled; the
-    offsets are one row per group and partition.
+    offsets are one row per group and partition, so a common group is no common key.
     """
     keys = [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order]
     col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -29,13 +29,48 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
     inside = Window.partitionBy(*by, "_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumns({f"_s_{n}": F.sum(col(c)).over(inside) for n, c in sums.items()})
-    totals = ranged.groupBy(*by, "_p").agg(*(F.sum(col(c)).alias(f"_t_{n}") for n, c in sums.items()))
-    offsets = totals.select(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), F.col("_p").alias("_q"), *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_f_{n}") for n in sums))
+    parts = ranged.groupBy(*by, "_p").agg(*(F.sum(col(c)).alias(f"_t_{n}") for n, c in sums.items()))
+    whole = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = parts.select(
+        *(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), F.col("_p").alias("_q"), *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_f_{n}") for n in sums),
+        *(F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in sums if totals),
+    )
     on = F.col("_p") == F.col("_q")
     for i, b in enumerate(by):
         on = on & F.col(b).eqNullSafe(F.col(f"_b{i}"))
     out = local.join(offsets.hint("merge"), on)
-    return out.select(*df.columns, *((F.col(f"_s_{n}") + F.col(f"_f_{n}")).alias(n) for n in sums))
+    return out.select(*df.columns, *((F.col(f"_s_{n}") + F.col(f"_f_{n}")).alias(n) for n in sums), *(f"{n}_total" for n in sums if totals))
+
+
+def order_statistics(df: DataFrame, by: list[str], value: str | Column, **wanted: tuple[str, float]) -> DataFrame:
+    """Exact quantiles per group, without a group in one task: distinct values with their counts, and running sums over them.
+
+    `wanted` names results as ("cont", share), linear between ranks, or ("disc", share), the nearest rank. NULLs left out.
+    """
+    g = df.select(*by, (F.col(value) if isinstance(value, str) else value).alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    g = running_sums(g, by, ["_v"], {"to": "_n"}, totals=True)
+    n, out = F.col("to_total"), []
+    at = lambda rank: F.max(F.when((F.col("to") >= rank) & (F.col("to") - F.col("_n") < rank), F.col("_v")))
+    for name, (kind, share) in wanted.items():
+        if kind == "disc":
+            out.append(at(F.greatest(F.lit(1), F.ceil(n * F.lit(float(share)) - 1e-9))).alias(name))
+        else:
+            place = (n - 1) * F.lit(float(share))
+            low = F.floor(place)
+            out += [at(low + 1).cast("double").alias(f"_lo_{name}"), at(F.least(low + 2, n)).cast("double").alias(f"_hi_{name}"), F.max(place - low).alias(f"_at_{name}")]
+    found = g.groupBy(*by).agg(*out)
+    between = lambda k: (F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_at_{k}")).alias(k)
+    return found.select(*by, *(F.col(k) if kind == "disc" else between(k) for k, (kind, _) in wanted.items()))
+
+
+def with_groups(summary: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
+    """`summary` with the columns of `more`, both one row per group; NULL is a group."""
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    named = more.select(*(F.col(b).alias(f"_g_{b}") for b in by), *(c for c in more.columns if c not in by))
+    joined = summary.join(named.hint("merge"), on, "left") if by else summary.crossJoin(F.broadcast(named))  # a single row
+    return joined.drop(*(f"_g_{b}" for b in by))
 
 
 def deterministic_rank(df: DataFrame, by: list[str], tier: Column, score: Column, unit: str, seed: int = 20260722) -> DataFrame:
@@ -155,7 +190,7 @@ def model_risk_coverage(df: DataFrame, by: list[str], score: str, y: str, covera
     """Rate of `y` among the selected share, lowest (or highest) scores first."""
     g = running_sums(df.select(*by, tie, score, F.col(y).cast("long").alias("_y")), by, [score if ascending else "-" + score, tie], {"ys": "_y"})
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).withColumn("k", F.greatest(F.lit(1), F.round(F.col("n") * F.col("coverage"))).cast("long"))
-    return g.join(total, by).where("rank = k").select(*by, "coverage", "k", (F.col("ys") / F.col("k")).alias("rate"))
+    return g.join(total.hint("merge"), by).where("rank = k").select(*by, "coverage", "k", (F.col("ys") / F.col("k")).alias("rate"))
 
 
 def max_prefix_under_budget(curve: DataFrame, rate: str, budgets: list[float]) -> DataFrame:
@@ -200,9 +235,15 @@ def null_floor(cells: DataFrame, threshold: float = 0.0, strict: bool = True) ->
     """
     keys = cells.select("c", "t", "p").distinct()
     grid = keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("c")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t"))))
-    choose = lambda n, k: F.factorial(n) / (F.factorial(k) * F.factorial(n - k))
-    pmf = lambda n, k: choose(F.col(n), F.col(k)) * F.pow(F.col("p"), F.col(k)) * F.pow(1 - F.col("p"), F.col(n) - F.col(k))
+    # logarithms of factorials as sums over 1..n, so that no count overflows; 0 * ln 0 is 0
+    log_factorial = lambda n: F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.lit(0.0), lambda a, x: a + F.log(x.cast("double"))))
+    times = lambda k, p: F.when(k == 0, F.lit(0.0)).otherwise(k * F.log(p))
+    both = grid.withColumns({f"lf_{c}": log_factorial(F.col(c)) for c in ("c", "t", "i", "j")}).withColumns({"lf_ci": log_factorial(F.col("c") - F.col("i")), "lf_tj": log_factorial(F.col("t") - F.col("j"))})
+    won = F.col("i") + F.col("j")
+    log_p = F.col("lf_c") - F.col("lf_i") - F.col("lf_ci") + F.col("lf_t") - F.col("lf_j") - F.col("lf_tj") + times(won, F.col("p")) + times(F.col("c") + F.col("t") - won, 1 - F.col("p"))
+    sure = ((F.col("p") <= 0) & (won > 0)) | ((F.col("p") >= 1) & (won < F.col("c") + F.col("t")))
+    mass = F.when(sure, 0.0).otherwise(F.exp(log_p))
     delta = F.col("j") / F.col("t") - F.col("i") / F.col("c")
     hit = (delta < threshold - 1e-12) if strict else (delta <= threshold + 1e-12)
-    floor = grid.groupBy("c", "t", "p").agg(F.sum(F.when(hit, pmf("c", "i") * pmf("t", "j")).otherwise(0.0)).alias("floor"))
-    return cells.join(floor, ["c", "t", "p"])
+    floor = both.groupBy("c", "t", "p").agg(F.sum(F.when(hit, mass).otherwise(0.0)).alias("floor"))
+    return cells.join(floor.hint("merge"), ["c", "t", "p"])

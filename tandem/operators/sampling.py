@@ -1,4 +1,9 @@
-"""Deterministic sampling, splitting and assignment: order by a stable hash, then count off."""
+"""Deterministic sampling, splitting and assignment: order by a stable hash, then count off.
+
+Where only the first k rows of a stratum count, the filter stands right on the window's
+rank, so that every task keeps its own first k before rows are shuffled. Where all rows
+are ranked, `running_sums` does it without a stratum in one task.
+"""
 
 from __future__ import annotations
 
@@ -77,20 +82,27 @@ def proportional_sample(df: DataFrame, group: str, n: int, unit: str = "unit_id"
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     quota = sizes.withColumn("quota", F.round(F.col("_n") * n / F.sum("_n").over(Window.partitionBy(F.lit(1)))).cast("long")).drop("_n")
     rows = df.join(quota, group)
-    return rows.withColumn("pick_order", nth_in(rows, [group], unit, seed)).where("pick_order <= quota")
+    return rows.withColumn("pick_order", nth_in(rows, [group], unit, seed)).where(F.col("pick_order") <= n).where("pick_order <= quota")  # no group's quota is above n
+
+
+def ranked_in(df: DataFrame, by: list[str], unit: str, seed: int) -> DataFrame:
+    """`df` with rank and rank_total in each stratum, by hash: range-sorted, no stratum in one task."""
+    from tandem.operators.ranking import running_sums
+
+    return running_sums(df.withColumn("_h", stable_hash(unit, seed)), by, ["_h", unit], {}, totals=True).drop("_h")
 
 
 def assign_raters(df: DataFrame, stratum: str, raters: list[str], unit: str = "unit_id", seed: int = 20260722) -> DataFrame:
-    """Two halves of each stratum with two raters each: (unit, half, rater). Four raters: first two for half 1."""
-    half = F.ntile(2).over(Window.partitionBy(stratum).orderBy(*hash_order(unit, seed)))
+    """Two halves of each stratum with two raters each: (unit, half, rater). Four raters: first two for half 1, which gets an odd unit."""
+    half = F.when(2 * F.col("rank") <= F.col("rank_total") + 1, 1).otherwise(2)
     pairs = F.when(F.col("half") == 1, F.array(F.lit(raters[0]), F.lit(raters[1]))).otherwise(F.array(F.lit(raters[2]), F.lit(raters[3])))
-    return df.withColumn("half", half).withColumn("rater", F.explode(pairs))
+    return ranked_in(df, [stratum], unit, seed).withColumn("half", half).withColumn("rater", F.explode(pairs)).drop("rank", "rank_total")
 
 
 def deal_equally(df: DataFrame, group: str, raters: list[str], unit: str = "unit_id", seed: int = 20260722) -> DataFrame:
     """Units of each group dealt in turn, so that every rater gets an equal share of each."""
-    nth = nth_in(df, [group], unit, seed)
-    return df.withColumn("_n", nth).withColumn("rater", F.element_at(F.array(*map(F.lit, raters)), F.pmod(F.col("_n") - 1, F.lit(len(raters))) + 1)).drop("_n")
+    turn = (F.pmod(F.col("rank") - 1, F.lit(len(raters))) + 1).cast("int")
+    return ranked_in(df, [group], unit, seed).withColumn("rater", F.element_at(F.array(*map(F.lit, raters)), turn)).drop("rank", "rank_total")
 
 
 def blind_order(df: DataFrame, hidden: list[str], unit: str = "unit_id", seed: int = 20260722, dual_share: float = 0.2) -> DataFrame:
@@ -100,28 +112,40 @@ def blind_order(df: DataFrame, hidden: list[str], unit: str = "unit_id", seed: i
     return out.drop(*hidden)
 
 
-def fold_sequence(sizes: dict[int, int], k: int) -> dict[int, list[int]]:
-    """Folds of the groups of each size, in order: larger groups first, each to the emptiest fold. Only the histogram of sizes matters."""
-    load, out = [0] * k, {}
+def fold_shares(sizes: dict[int, int], k: int) -> list[tuple[int, int, int, int]]:
+    """(size, fold, first, last): which of the groups of each size, counted from 1, go to which fold.
+
+    Larger groups first, each to the emptiest fold (the first of them on ties); of equal groups only the number per
+    fold matters, so it is found by arithmetic: m groups of size s fill the m lowest of the levels load + j * s.
+    """
+    load, out = [0] * k, []
     for size in sorted(sizes, reverse=True):
-        out[size] = []
-        for _ in range(sizes[size]):
-            fold = min(range(k), key=lambda f: (load[f], f))
-            load[fold] += size
-            out[size].append(fold)
+        m = sizes[size]
+        lo, hi = min(load), max(load) + size * (m // k + 2)
+        below = lambda level, s=size: sum(max(0, -(-(level - x) // s)) for x in load)  # levels under `level`
+        while lo < hi:  # the highest level with at most m levels under it
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if below(mid) <= m else (lo, mid - 1)
+        take = [max(0, -(-(lo - x) // size)) for x in load]
+        for f in range(k):
+            if sum(take) < m and load[f] + take[f] * size == lo:
+                take[f] += 1
+        first = 1
+        for f in range(k):
+            if take[f]:
+                out.append((size, f, first, first + take[f] - 1))
+            first += take[f]
+            load[f] += take[f] * size
     return out
 
 
-def grouped_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 20260722, max_groups: int = 100_000) -> DataFrame:
-    """fold of every group: greedy over the histogram of group sizes, groups of one size in hash order. With more than `max_groups` groups, folds by hash."""
+def grouped_kfold(df: DataFrame, group: str, k: int = 5, seed: int = 20260722) -> DataFrame:
+    """group, group_size, fold: greedy over the histogram of group sizes, whatever the number of groups; groups of one size are dealt in hash order."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
-    histogram = {r["group_size"]: r["n"] for r in sizes.groupBy("group_size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sum(histogram.values()) > max_groups:
-        return sizes.withColumn("fold", hash_mod(stable_hash(group, seed), k).cast("int"))
-    rows = [(s, i + 1, f) for s, folds in fold_sequence(histogram, k).items() for i, f in enumerate(folds)]
-    plan = df.sparkSession.createDataFrame(rows, "group_size long, nth int, fold int")
-    nth = F.row_number().over(Window.partitionBy("group_size").orderBy(*hash_order(group, seed)))
-    return sizes.withColumn("nth", nth).join(plan, ["group_size", "nth"]).drop("nth")
+    histogram = {r["group_size"]: r["n"] for r in sizes.groupBy("group_size").agg(F.count(F.lit(1)).alias("n")).collect()}  # n rows have fewer than sqrt(2 * n) different sizes
+    plan = df.sparkSession.createDataFrame(fold_shares(histogram, k), "group_size long, fold int, first long, last long")
+    ranked = ranked_in(sizes, ["group_size"], group, seed)
+    return ranked.join(F.broadcast(plan), "group_size").where(F.col("rank").between(F.col("first"), F.col("last"))).select(group, "group_size", "fold")
 
 
 def hash_split(df: DataFrame, key: str, mod: int, cut: int, seed: int | str, name: str = "split", parts: tuple[str, str] = ("calibration", "test")) -> DataFrame:

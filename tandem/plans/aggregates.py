@@ -53,13 +53,13 @@ def cells(spark, sf_dir):
     return c.select("unit_id", text("control_labels"), text("target_labels"), pairs_.alias("status_counts"))
 
 
-DIMS = {"rating": "rating", "type": "type", "position": "position", "type_position": "type || '|' || position"}
+DIMS = {"valence": "valence", "type": "type", "position": "position", "type_position": "type || '|' || position"}
 LONG = "SELECT 'overall' AS dimension, 'all' AS \"group\", * FROM eu UNION ALL " + " UNION ALL ".join(f"SELECT '{d}', ({c})::VARCHAR, * FROM eu" for d, c in DIMS.items())
-EU = "SELECT e.*, rating, type, position, cell, price, size FROM eff e JOIN units u USING (unit_id)"
+EU = "SELECT e.*, valence, type, position, cell, price, size FROM eff e JOIN units u USING (unit_id)"
 
 
 def dimensions():
-    return {"rating": "rating", "type": "type", "position": "position", "type_position": F.concat_ws("|", "type", "position")}
+    return {"valence": "valence", "type": "type", "position": "position", "type_position": F.concat_ws("|", "type", "position")}
 
 
 def effect_units(spark, sf_dir):
@@ -78,7 +78,7 @@ def summary(spark, sf_dir):
 
 @query("agg_06_nearest_rank_percentile", sql("SELECT status, quantile_disc(cost, 0.9) AS p90 FROM runs GROUP BY 1"), "p90")
 def nearest(spark, sf_dir):
-    return runs(spark, sf_dir).groupBy("status").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY cost)").alias("p90"))
+    return R.order_statistics(runs(spark, sf_dir), ["status"], "cost", p90=("disc", 0.9))
 
 
 STATS = "count(*) AS n, sum(outcome)::BIGINT AS correct, sum(outcome) * 100 / count(*)::DOUBLE AS accuracy, sum(cost) AS cost_total, avg(cost) AS cost_mean, quantile_cont(cost, 0.5) AS cost_median, quantile_disc(cost, 0.95) AS cost_p95, sum((status='completed')::INT)::BIGINT AS n_completed, sum((status='cannot_continue')::INT)::BIGINT AS n_cannot_continue, sum((status='logical_break')::INT)::BIGINT AS n_logical_break"
@@ -182,19 +182,19 @@ def frames(spark, sf_dir):
     return A.frame_counts(runs(spark, sf_dir), "condition", "status", "cluster_id")
 
 
-WEIGHTS = "SELECT rating, position, natural_share, cohort_share, natural_share / cohort_share AS weight FROM (SELECT rating, position, count(*) / (SELECT count(*) FROM units)::DOUBLE AS natural_share FROM units GROUP BY 1, 2) JOIN (SELECT rating, position, count(*) / (SELECT count(*) FROM units WHERE unit_id % 3 <> 0 OR position = 'late')::DOUBLE AS cohort_share FROM units WHERE unit_id % 3 <> 0 OR position = 'late' GROUP BY 1, 2) USING (rating, position)"
+WEIGHTS = "SELECT valence, position, natural_share, cohort_share, natural_share / cohort_share AS weight FROM (SELECT valence, position, count(*) / (SELECT count(*) FROM units)::DOUBLE AS natural_share FROM units GROUP BY 1, 2) JOIN (SELECT valence, position, count(*) / (SELECT count(*) FROM units WHERE unit_id % 3 <> 0 OR position = 'late')::DOUBLE AS cohort_share FROM units WHERE unit_id % 3 <> 0 OR position = 'late' GROUP BY 1, 2) USING (valence, position)"
 
 
 @query("agg_22_prevalence_weights", sql(WEIGHTS), "natural_share cohort_share weight")
 def weights(spark, sf_dir):
     u = units(spark, sf_dir)
-    return A.prevalence_weights(u, u.where("unit_id % 3 <> 0 or position = 'late'"), ["rating", "position"])
+    return A.prevalence_weights(u, u.where("unit_id % 3 <> 0 or position = 'late'"), ["valence", "position"])
 
 
-@query("agg_23_weighted_mean", sql("SELECT type, sum(weight * target_effect) / sum(weight) AS weighted_effect, sum(weight * (target_effect < 0)::INT) / sum(weight) AS weighted_danger FROM eu JOIN w USING (rating, position) WHERE target_effect IS NOT NULL GROUP BY 1", eu=EU, w=WEIGHTS), "weighted_effect weighted_danger")
+@query("agg_23_weighted_mean", sql("SELECT type, sum(weight * target_effect) / sum(weight) AS weighted_effect, sum(weight * (target_effect < 0)::INT) / sum(weight) AS weighted_danger FROM eu JOIN w USING (valence, position) WHERE target_effect IS NOT NULL GROUP BY 1", eu=EU, w=WEIGHTS), "weighted_effect weighted_danger")
 def weighted(spark, sf_dir):
-    w = weights(spark, sf_dir).select("rating", "position", "weight")
-    e = effect_units(spark, sf_dir).join(w, ["rating", "position"]).withColumn("danger", (F.col("target_effect") < 0).cast("int"))
+    w = weights(spark, sf_dir).select("valence", "position", "weight")
+    e = effect_units(spark, sf_dir).join(w, ["valence", "position"]).withColumn("danger", (F.col("target_effect") < 0).cast("int"))
     return e.groupBy("type").agg(A.weighted_mean("target_effect", "weight").alias("weighted_effect"), A.weighted_mean("danger", "weight").alias("weighted_danger"))
 
 
@@ -270,7 +270,7 @@ def mcnemar(spark, sf_dir):
     return A.paired_mcnemar(pairs(spark, sf_dir).join(units(spark, sf_dir).select("unit_id", "type"), "unit_id"), ["type"])
 
 
-@query("agg_34_removability_prediction", sql(f"SELECT {RATES} FROM (SELECT {CONF} FROM (SELECT type = 'redundant' AS p, NOT (control = 1 AND target = 0) AS t FROM pairs JOIN units USING (unit_id)))"), "agreement precision recall f1 fpr fnr")
-def removability(spark, sf_dir):
+@query("agg_34_redundancy_prediction", sql(f"SELECT {RATES} FROM (SELECT {CONF} FROM (SELECT type = 'redundant' AS p, NOT (control = 1 AND target = 0) AS t FROM pairs JOIN units USING (unit_id)))"), "agreement precision recall f1 fpr fnr")
+def redundancy(spark, sf_dir):
     p = pairs(spark, sf_dir).join(units(spark, sf_dir).select("unit_id", "type"), "unit_id")
     return A.confusion_matrix(p.select((F.col("type") == "redundant").cast("int").alias("p"), (1 - F.col("danger")).alias("t")), "p", "t")

@@ -47,9 +47,9 @@ def boot(rows: str, by: str, seed: int = SEED, reps: int = REPS, more: dict | No
 CI = "estimate ci_lower ci_upper"
 
 
-@query("inf_01_bootstrap_mean_ci", boot("SELECT rating, unit_id AS cluster, target_effect AS num, 1 AS den FROM eu WHERE target_effect IS NOT NULL", "rating", eu=EU), CI)
+@query("inf_01_bootstrap_mean_ci", boot("SELECT valence, unit_id AS cluster, target_effect AS num, 1 AS den FROM eu WHERE target_effect IS NOT NULL", "valence", eu=EU), CI)
 def mean_ci(spark, sf_dir):
-    return I.bootstrap_ci(effect_units(spark, sf_dir).where("target_effect is not null"), ["rating"], "unit_id", F.col("target_effect"), F.lit(1), REPS, SEED)
+    return I.bootstrap_ci(effect_units(spark, sf_dir).where("target_effect is not null"), ["valence"], "unit_id", F.col("target_effect"), F.lit(1), REPS, SEED)
 
 
 @query("inf_02_cluster_bootstrap", boot('SELECT dimension, "group", cluster_id AS cluster, target_effect AS num, 1 AS den FROM long WHERE target_effect IS NOT NULL', 'dimension, "group"', eu=EU, long=LONG), CI)
@@ -58,12 +58,12 @@ def cluster_ci(spark, sf_dir):
     return I.bootstrap_ci(rows, ["dimension", "group"], "cluster_id", F.col("target_effect"), F.lit(1), REPS, SEED)
 
 
-NAT = "SELECT *, CASE rating WHEN -1 THEN 0.2 WHEN 0 THEN 1.0 ELSE 1.8 END AS w FROM eu"
+NAT = "SELECT *, CASE valence WHEN -1 THEN 0.2 WHEN 0 THEN 1.0 ELSE 1.8 END AS w FROM eu"
 
 
 @query("inf_03_weighted_bootstrap", boot("SELECT cluster_id AS cluster, w * target_effect AS num, w AS den FROM nat WHERE target_effect IS NOT NULL", "", eu=EU, nat=NAT), CI)
 def weighted_ci(spark, sf_dir):
-    w = F.when(F.col("rating") == -1, 0.2).when(F.col("rating") == 0, 1.0).otherwise(1.8)
+    w = F.when(F.col("valence") == -1, 0.2).when(F.col("valence") == 0, 1.0).otherwise(1.8)
     rows = effect_units(spark, sf_dir).where("target_effect is not null").withColumn("w", w)
     return I.bootstrap_ci(rows, [], "cluster_id", F.col("w") * F.col("target_effect"), F.col("w"), REPS, SEED)
 
@@ -87,9 +87,9 @@ def difference_sql(rows, by, **ctes):
     )
 
 
-@query("inf_05_bootstrap_difference", difference_sql("SELECT position, unit_id AS cluster, (cell = 'anchor')::INT AS side, target_effect AS num, 1 AS den FROM eu WHERE target_effect IS NOT NULL AND position = 'early'", "position", eu=EU), CI)
+@query("inf_05_bootstrap_difference", difference_sql("SELECT position, unit_id AS cluster, (cell = 'anchor')::INT AS side, target_effect AS num, 1 AS den FROM eu WHERE target_effect IS NOT NULL", "position", eu=EU), CI)
 def difference_ci(spark, sf_dir):
-    rows = effect_units(spark, sf_dir).where("target_effect is not null and position = 'early'").withColumn("side", (F.col("cell") == "anchor").cast("int"))
+    rows = effect_units(spark, sf_dir).where("target_effect is not null").withColumn("side", (F.col("cell") == "anchor").cast("int"))
     return I.bootstrap_difference(rows, ["position"], "side", "unit_id", F.col("target_effect"), F.lit(1), REPS, SEED)
 
 
@@ -134,7 +134,7 @@ def permutation(spark, sf_dir):
 
 
 @query("inf_11_label_permutation_null", sql("""SELECT observed, units, null_mean, null_lower, null_upper FROM (SELECT avg(x) FILTER (cell = 'anchor') - avg(x) FILTER (cell <> 'anchor') AS observed, count(*) AS units FROM a), (
-  SELECT avg(v) AS null_mean, quantile_cont(v, 0.025) AS null_lower, quantile_cont(v, 0.975) AS null_upper FROM (SELECT rep, avg(x) FILTER (label = 'anchor') - avg(x) FILTER (label <> 'anchor') AS v FROM k JOIN (SELECT cell AS label, row_number() OVER (ORDER BY unit_id) AS rank FROM a) USING (rank) GROUP BY rep))""",
+  SELECT avg(v) AS null_mean, quantile_cont(v, 0.025) AS null_lower, quantile_cont(v, 0.975) AS null_upper FROM (SELECT rep, avg(x) FILTER (rank <= n1) - avg(x) FILTER (rank > n1) AS v FROM k, (SELECT count(*) FILTER (cell = 'anchor') AS n1 FROM a) GROUP BY rep))""",
     eu=EU, a="SELECT unit_id, cell, target_effect AS x FROM eu WHERE target_effect IS NOT NULL", k=RANKED), "observed null_mean null_lower null_upper")
 def label_null(spark, sf_dir):
     return I.label_permutation_null(effect_units(spark, sf_dir), "unit_id", "cell", "target_effect", "anchor", 100, SEED)
@@ -186,7 +186,7 @@ ESTIMANDS = ("target_effect", "placebo_effect", "semantic_effect")
     rep_=drawn("sums", 'dimension, "group", estimand'), ci='SELECT dimension, "group", estimand, quantile_cont(v, 0.025) AS ci_lower, quantile_cont(v, 0.975) AS ci_upper FROM rep_ GROUP BY ALL'), "estimate_pp ci_lower_pp ci_upper_pp")
 def effect_summary(spark, sf_dir):
     e = effect_units(spark, sf_dir).withColumn("type_position", F.concat_ws("|", "type", "position"))
-    return E.effect_summary(e, {d: d for d in ("rating", "type", "position", "type_position")}, list(ESTIMANDS), reps=REPS, seed=SEED)
+    return E.effect_summary(e, {d: d for d in ("valence", "type", "position", "type_position")}, list(ESTIMANDS), reps=REPS, seed=SEED)
 
 
 DID = """SELECT e.unit_id, cluster_id, target_effect, placebo_effect AS placebo_legacy_effect, own AS placebo_own_effect, n AS cut_offs, target_effect - own AS did_semantic_effect, target_effect - placebo_effect AS legacy_semantic_effect FROM eff e JOIN (
@@ -261,9 +261,9 @@ def selection(spark, sf_dir):
     return E.selection_effect_differences(e, "eligible", {"price": (F.col("price"), one), "effect": (F.col("target_effect"), one), "essential": ((F.col("type") == "essential").cast("int"), one)}, REPS, SEED)
 
 
-@query("eff_11_prevalence_reweighted", sql("SELECT count(*) AS units, avg(target_effect) AS balanced_effect, sum(w * target_effect) / sum(w) FILTER (target_effect IS NOT NULL) AS natural_effect, sum(w) AS total_weight FROM co JOIN (SELECT rating, n.s / c.s AS w FROM (SELECT rating, count(*) / (SELECT count(*) FROM units)::DOUBLE AS s FROM units GROUP BY 1) n JOIN (SELECT rating, count(*) / (SELECT count(*) FROM co)::DOUBLE AS s FROM co GROUP BY 1) c USING (rating)) USING (rating)", eu=EU, co="SELECT * FROM eu WHERE unit_id % 3 = 0 OR rating = -1"), "balanced_effect natural_effect total_weight")
+@query("eff_11_prevalence_reweighted", sql("SELECT count(*) AS units, avg(target_effect) AS balanced_effect, sum(w * target_effect) / sum(w) FILTER (target_effect IS NOT NULL) AS natural_effect, sum(w) AS total_weight FROM co JOIN (SELECT valence, n.s / c.s AS w FROM (SELECT valence, count(*) / (SELECT count(*) FROM units)::DOUBLE AS s FROM units GROUP BY 1) n JOIN (SELECT valence, count(*) / (SELECT count(*) FROM co)::DOUBLE AS s FROM co GROUP BY 1) c USING (valence)) USING (valence)", eu=EU, co="SELECT * FROM eu WHERE unit_id % 3 = 0 OR valence = -1"), "balanced_effect natural_effect total_weight")
 def reweighted(spark, sf_dir):
-    return E.prevalence_reweighted_effects(effect_units(spark, sf_dir).where("unit_id % 3 = 0 or rating = -1"), units(spark, sf_dir), ["rating"], "target_effect")
+    return E.prevalence_reweighted_effects(effect_units(spark, sf_dir).where("unit_id % 3 = 0 or valence = -1"), units(spark, sf_dir), ["valence"], "target_effect")
 
 
 @query("eff_12_discordance_rates", sql("SELECT run_id, count(*) AS pairs, sum((control=1 AND target=0)::INT) / count(*)::DOUBLE AS joint_danger, sum((control=1 AND target=0)::INT) / nullif(sum(control), 0)::DOUBLE AS danger_given_correct, sum((control=0 AND target=1)::INT) / count(*)::DOUBLE AS joint_benefit, sum((control=0 AND target=1)::INT) / nullif(count(*) - sum(control), 0)::DOUBLE AS benefit_given_wrong FROM pairs GROUP BY 1"), "joint_danger danger_given_correct joint_benefit benefit_given_wrong")
@@ -288,11 +288,11 @@ def standardized(spark, sf_dir):
     return standardize(u, "fold", ["price"], 5).select("unit_id", "fold", F.col("price_z").alias("z"))
 
 
-@query("exp_22_feature_matrix", sql("SELECT unit_id, (rating = -1)::INT AS neg, (position = 'late')::INT AS late, (rating = -1 AND position = 'late')::INT AS neg_late, ln(1 + price) AS log_price FROM units"), "log_price")
+@query("exp_22_feature_matrix", sql("SELECT unit_id, (valence = -1)::INT AS neg, (position = 'late')::INT AS late, (valence = -1 AND position = 'late')::INT AS neg_late, ln(1 + price) AS log_price FROM units"), "log_price")
 def features(spark, sf_dir):
     from tandem.operators.predict import feature_columns
 
-    cols = feature_columns({"neg": F.col("rating") == -1, "late": F.col("position") == "late"}, [("neg", "late")], {"log_price": F.col("price")})
+    cols = feature_columns({"neg": F.col("valence") == -1, "late": F.col("position") == "late"}, [("neg", "late")], {"log_price": F.col("price")})
     return units(spark, sf_dir).select("unit_id", *(c.alias(n) for n, c in cols.items()))
 
 
@@ -303,3 +303,10 @@ def combined(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").where(F.size("embedding") >= 3)
     long = e.select(F.col("vec_id").alias("unit_id"), F.posexplode(F.slice("embedding", 1, 3)).alias("scorer", "score"))
     return combine_scores(long.withColumn("score", F.col("score").cast("double")), 3, {1: -1.0})
+
+
+@query("udf_01_sum_expressions", boot("SELECT type, cluster_id AS cluster, CASE WHEN target_effect < 0 THEN size ELSE 0 END AS num, size AS den FROM eu WHERE target_effect IS NOT NULL", "type", eu=EU), CI)
+def own_statistic(spark, sf_dir):
+    """A statistic that a user brings as two sum expressions: the share of all steps in units that lost."""
+    rows = effect_units(spark, sf_dir).where("target_effect is not null")
+    return I.bootstrap_ci(rows, ["type"], "cluster_id", F.when(F.col("target_effect") < 0, F.col("size")).otherwise(0), F.col("size"), REPS, SEED)

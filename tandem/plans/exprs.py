@@ -55,33 +55,41 @@ def positions(spark, sf_dir):
     return trajectories(spark, sf_dir).select("unit_id", X.position_bin("target_index", "n_steps").alias("position"))
 
 
-NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({c}),
- '^\\boxed\{{(.*)\}}$', '\1'), '\\(left|right|displaystyle|,|;|!|quad|qquad)', '', 'g'), '\\(text|mathrm|mbox)\{{[^{{}}]*\}}', '', 'g'), '\\[dt]?frac\{{([^{{}}]*)\}}\{{([^{{}}]*)\}}', '\1/\2', 'g'),
- '\\sqrt\{{([^{{}}]*)\}}', 'sqrt(\1)', 'g'), '[\s,$%\\]', '', 'g')), '^(-?[0-9]+)\.0+$', '\1'), '^(-?[0-9]*\.[0-9]*[1-9])0+$', '\1'), '^(-?)\.([0-9]+)$', '\10.\2')"""
-ANSWER = r"CASE o_orderkey % 6 WHEN 0 THEN '\boxed{\frac{1}{' || (o_custkey % 9) || '}}' WHEN 1 THEN ' 1,' || (100 + o_custkey % 900) || '.50' WHEN 2 THEN '.5' || (o_custkey % 9) || '0' WHEN 3 THEN '\text{cm}' || (o_custkey % 50) || '.0' WHEN 4 THEN '\sqrt{' || (o_custkey % 7) || '}' ELSE '' END"
+def nested(c: str, rules) -> str:
+    """`c` through regexp_replace for each (pattern, replacement) in turn."""
+    for pattern, put in rules:
+        c = f"regexp_replace({c}, '{pattern}', '{put}', 'g')"
+    return c
+
+
+def normal(c: str) -> str:
+    inner = f"CASE WHEN regexp_matches(trim({c}), '{X.BOXED}') THEN regexp_extract(trim({c}), '{X.BOXED}', 1) ELSE trim({c}) END"
+    dollar = lambda rules: [(p, put.replace("$1", "\\1").replace("$2", "\\2")) for p, put in rules]
+    return nested(f"lower({nested(inner, [(X.NO_MEANING, ''), *dollar(X.ANSWER_FORMS)])})", dollar(X.NUMBER_FORMS))
+
+
+ANSWER_CASES = (
+    r"""'\boxed{\frac{1}{' || (o_custkey % 9) || '}}'""", r"""' 1,' || (100 + o_custkey % 900) || '.50'""", r"""'0.5' || (o_custkey % 9) || '.'""",
+    r"""'$' || (o_custkey % 50) || '.0 \text{ cm}$'""", r"""'so \boxed{\sqrt' || (o_custkey % 7) || '\pi} holds'""", r"""'\dfrac{a+b}{c} \cdot ' || (o_custkey % 5) || '^{\circ}'""",
+    r"""'\left( x \times \sqrt{2} \right) = \infty'""", "''",
+)
+ANSWER = "CASE " + " ".join(f"WHEN o_orderkey % {len(ANSWER_CASES)} = {i} THEN {c}" for i, c in enumerate(ANSWER_CASES)) + " END"
 
 
 def answers(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    c = lambda n: (F.col("o_custkey") % n).cast("string")
-    k = F.col("o_orderkey") % 6
-    a = (
-        F.when(k == 0, F.concat(F.lit("\\boxed{\\frac{1}{"), c(9), F.lit("}}"))).when(k == 1, F.concat(F.lit(" 1,"), (100 + F.col("o_custkey") % 900).cast("string"), F.lit(".50")))
-        .when(k == 2, F.concat(F.lit(".5"), c(9), F.lit("0"))).when(k == 3, F.concat(F.lit("\\text{cm}"), c(50), F.lit(".0"))).when(k == 4, F.concat(F.lit("\\sqrt{"), c(7), F.lit("}"))).otherwise("")
-    )
-    return o.select("o_orderkey", "o_custkey", a.alias("answer"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr(ANSWER.replace("\\", "\\\\")).alias("answer"))
 
 
-@query("exp_10_normalize_answer", f"SELECT o_orderkey, {NORMAL.format(c='answer')} AS plain FROM (SELECT o_orderkey, {ANSWER} AS answer FROM orders)")
+@query("exp_10_normalize_answer", f"SELECT o_orderkey, {normal('answer')} AS plain FROM (SELECT o_orderkey, {ANSWER} AS answer FROM orders)")
 def plain_answers(spark, sf_dir):
     return answers(spark, sf_dir).select("o_orderkey", X.normalize_answer("answer").alias("plain"))
 
 
 @query("exp_11_grade_exact", f"""
-SELECT o_orderkey, CASE WHEN answer IS NULL OR {NORMAL.format(c='answer')} = '' THEN 'no_answer' WHEN {NORMAL.format(c='answer')} = {NORMAL.format(c='truth')} THEN 'string_match' ELSE 'mismatch' END AS tier
-FROM (SELECT o_orderkey, {ANSWER} AS answer, '1/' || (o_custkey % 9) AS truth FROM orders)""")
+SELECT o_orderkey, CASE WHEN answer IS NULL OR {normal('answer')} = '' THEN 'no_answer' WHEN {normal('answer')} = {normal('truth')} THEN 'string_match' ELSE 'mismatch' END AS tier
+FROM (SELECT o_orderkey, {ANSWER} AS answer, '(1)/(' || (o_custkey % 9) || ')' AS truth FROM orders)""")
 def graded(spark, sf_dir):
-    truth = F.concat(F.lit("1/"), (F.col("o_custkey") % 9).cast("string"))
+    truth = F.concat(F.lit("(1)/("), (F.col("o_custkey") % 9).cast("string"), F.lit(")"))
     return answers(spark, sf_dir).select("o_orderkey", X.grade_exact("answer", truth).alias("tier"))
 
 
@@ -110,21 +118,34 @@ def replies(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("j")).select("o_orderkey", "j.correct", "j.reason")
 
 
-@query("exp_14_normalize_status", """
-SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, CASE WHEN s IN ('completed','cannot_continue','logical_break') THEN s WHEN contains(s,'completed') THEN 'completed' WHEN contains(s,'cannot_continue') THEN 'cannot_continue'
-  WHEN contains(s,'logical_break') THEN 'logical_break' WHEN a <> '' THEN 'completed' ELSE 'cannot_continue' END AS status
-FROM (SELECT *, lower(trim(CASE l_linenumber % 4 WHEN 0 THEN ' Completed' WHEN 1 THEN 'status: logical_break!' WHEN 2 THEN 'unknown' ELSE '' END)) AS s, CASE WHEN l_linestatus = 'F' THEN 'x' ELSE ' ' END AS a0, trim(CASE WHEN l_linestatus = 'F' THEN 'x' ELSE ' ' END) AS a FROM lineitem)""")
+STATUSES = " Completed|Logical-Break|logical break|unable to continue|status: cannot continue|COMPLETE!|unknown||stopped".split("|")
+
+
+@query("exp_14_normalize_status", f"""
+SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, CASE WHEN s IN ('completed','cannot_continue','logical_break') THEN s WHEN contains(s,'logical') OR contains(s,'break') THEN 'logical_break'
+  WHEN contains(s,'cannot') OR contains(s,'unable') THEN 'cannot_continue' WHEN contains(s,'complete') OR a <> '' THEN 'completed' ELSE 'cannot_continue' END AS status
+FROM (SELECT *, replace(replace(lower(trim(({STATUSES!r})[1 + (l_partkey % {len(STATUSES)})])), '-', '_'), ' ', '_') AS s, trim(CASE WHEN l_linestatus = 'F' THEN 'x' ELSE ' ' END) AS a FROM lineitem)""")
 def statuses(spark, sf_dir):
-    k = F.col("l_linenumber") % 4
-    s = F.when(k == 0, " Completed").when(k == 1, "status: logical_break!").when(k == 2, "unknown").otherwise("")
+    s = F.get(F.array(*map(F.lit, STATUSES)), (F.col("l_partkey") % len(STATUSES)).cast("int"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", X.normalize_status(s, F.when(F.col("l_linestatus") == "F", "x").otherwise(" ")).alias("status"))
 
 
-@query("exp_15_repair_text", r"""
-SELECT doc_id, CASE WHEN regexp_matches(v, '[.!?]\s*$') THEN trim(v) ELSE coalesce(nullif(regexp_extract(v, '(?s)^(.*[.!?])', 1), ''), trim(v)) END AS text
-FROM (SELECT doc_id, regexp_replace(replace(replace(replace(text, chr(8), '\b'), chr(12), '\f'), chr(9), '\t'), '(\\[,;!])(\\[,;!])+', '\1', 'g') AS v FROM documents)""")
+TAIL = r"""CASE doc_id % 5 WHEN 0 THEN coalesce(text, '') || ' so $x \/geq \frac{1' WHEN 1 THEN coalesce(text, '') || '\text{ }\text{}\text{} \sqrt{' WHEN 2 THEN 'value, $x + \sqrt{2' ELSE text END"""
+
+
+@query("exp_15_repair_text", rf"""
+WITH clean AS (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(t, chr(8), '\b'), chr(9), '\t'), chr(12), '\f'), chr(11), '\v'),
+    '\\/({'|'.join(X.SLASHED)})', '\\\1', 'g'), '(?:\\+\s*text\s*\{{\s*\}}\s*){{3,}}', '\\;', 'g'), '(?:\\+\s*,\s*){{8,}}', '\\,', 'g') AS v
+  FROM (SELECT doc_id, {TAIL} AS t FROM documents)
+), ends AS (
+  SELECT *, regexp_replace(v, '\s+$', '') AS e FROM clean
+)
+SELECT doc_id, CASE WHEN (length(e) - length(replace(e, '$', '')) - (length(e) - length(replace(e, '\$', ''))) // 2) % 2 = 1 AND regexp_matches(e, '\\$|\\(?:text|frac|dfrac|sqrt)\{{[^}}\n]*$')
+  THEN coalesce(nullif(regexp_extract(e, '(?s)^(.*[.!?])["'')\]]*(?:\s.*)?$', 1), ''), regexp_replace(regexp_extract(e, '(?s)^(.*[^\\]|)\$', 1), '[ \t\r\n,:;]+$', '')) ELSE v END AS text
+FROM ends""")
 def repaired(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.repair_text("text").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.repair_text(F.expr(TAIL.replace("\\", "\\\\"))).alias("text"))
 
 
 @query("exp_16_excerpt", r"SELECT doc_id, CASE WHEN length(v) > 80 THEN substr(v, 1, 79) || '…' ELSE v END AS text FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS v FROM documents)")

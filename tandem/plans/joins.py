@@ -37,15 +37,15 @@ def defaults(spark, sf_dir):
     return J.left_join_default(u, p, ["unit_id"], {"n": F.lit(0).cast("long"), "rate": F.col("base")}).select("unit_id", "n", "rate")
 
 
-@query("jon_04_semi_join_covered", sql("SELECT unit_id, rating FROM units WHERE unit_id IN (SELECT unit_id FROM runs WHERE condition = 'placebo_delete') AND unit_id IN (SELECT unit_id FROM runs WHERE condition = 'placebo_control')"))
+@query("jon_04_semi_join_covered", sql("SELECT unit_id, valence FROM units WHERE unit_id IN (SELECT unit_id FROM runs WHERE condition = 'placebo_delete') AND unit_id IN (SELECT unit_id FROM runs WHERE condition = 'placebo_control')"))
 def covered(spark, sf_dir):
     r = runs(spark, sf_dir)
-    return J.semi_join_covered(units(spark, sf_dir).select("unit_id", "rating"), r.where("condition = 'placebo_delete'"), r.where("condition = 'placebo_control'"), key=["unit_id"])
+    return J.semi_join_covered(units(spark, sf_dir).select("unit_id", "valence"), r.where("condition = 'placebo_delete'"), r.where("condition = 'placebo_control'"), key=["unit_id"])
 
 
-@query("jon_05_anti_join_missing", sql("SELECT unit_id, rating FROM units WHERE unit_id NOT IN (SELECT unit_id FROM runs WHERE condition = 'placebo_delete')"))
+@query("jon_05_anti_join_missing", sql("SELECT unit_id, valence FROM units WHERE unit_id NOT IN (SELECT unit_id FROM runs WHERE condition = 'placebo_delete')"))
 def missing(spark, sf_dir):
-    return J.anti_join_missing(units(spark, sf_dir).select("unit_id", "rating"), runs(spark, sf_dir).where("condition = 'placebo_delete'"), ["unit_id"])
+    return J.anti_join_missing(units(spark, sf_dir).select("unit_id", "valence"), runs(spark, sf_dir).where("condition = 'placebo_delete'"), ["unit_id"])
 
 
 @query("jon_06_key_set_diff", sql("""SELECT coalesce(a.unit_id, b.unit_id) AS unit_id, CASE WHEN a.unit_id IS NULL THEN 'only_b' ELSE 'only_a' END AS side
@@ -160,13 +160,13 @@ def signs(spark, sf_dir):
 
 
 @query("jon_18_assemble_master_tables", sql("""
-SELECT u.unit_id, u.rating, u.type, u.position, e.control_rate, e.target_effect, e.semantic_effect, t.wc AS wrong_to_correct, t.cw AS correct_to_wrong, t.cw / nullif(t.cc, 0)::DOUBLE AS danger_rate, coalesce(p.n, 0) AS placebo_runs, p.n IS NOT NULL AS placebo_eligible
+SELECT u.unit_id, u.valence, u.type, u.position, e.control_rate, e.target_effect, e.semantic_effect, t.wc AS wrong_to_correct, t.cw AS correct_to_wrong, t.cw / nullif(t.cc, 0)::DOUBLE AS danger_rate, coalesce(p.n, 0) AS placebo_runs, p.n IS NOT NULL AS placebo_eligible
 FROM units u JOIN eff e USING (unit_id) JOIN (SELECT unit_id, sum((control = 0 AND target = 1)::INT)::BIGINT AS wc, sum((control = 1 AND target = 0)::INT)::BIGINT AS cw, sum(control) AS cc FROM pairs GROUP BY 1) t USING (unit_id)
 LEFT JOIN (SELECT unit_id, count(*) AS n FROM runs WHERE condition = 'placebo_delete' GROUP BY 1) p USING (unit_id)"""), "control_rate target_effect semantic_effect danger_rate")
 def master(spark, sf_dir):
     from tandem.operators.effects import assemble_unit_table
 
-    return assemble_unit_table(units(spark, sf_dir), runs(spark, sf_dir)).select("unit_id", "rating", "type", "position", "control_rate", "target_effect", "semantic_effect", "wrong_to_correct", "correct_to_wrong", "danger_rate", "placebo_runs", "placebo_eligible")
+    return assemble_unit_table(units(spark, sf_dir), runs(spark, sf_dir)).select("unit_id", "valence", "type", "position", "control_rate", "target_effect", "semantic_effect", "wrong_to_correct", "correct_to_wrong", "danger_rate", "placebo_runs", "placebo_eligible")
 
 
 @query("jon_19_intervention_tasks", sql("""

@@ -12,22 +12,22 @@ from tandem.plans.registry import query
 from tandem.plans.views import runs, scores, sql, table, units
 
 H = "substr(sha256('20260722|' || {0}), 1, 16)"
-POL = """SELECT u.unit_id, u.cluster_id, u.rating, e.target_effect AS effect, t.runs, t.danger, t.benefit, t.control_correct, policy,
-  CASE policy WHEN 'rating_first' THEN rating ELSE 0 END::DOUBLE AS tier, CASE policy WHEN 'random' THEN 0 ELSE price END::DOUBLE AS policy_score, CASE rating WHEN -1 THEN 0.5 WHEN 0 THEN 1.0 ELSE 1.5 END::DOUBLE AS w
-FROM units u JOIN eff e USING (unit_id) JOIN (SELECT unit_id, count(*) AS runs, sum((control=1 AND target=0)::INT)::BIGINT AS danger, sum((control=0 AND target=1)::INT)::BIGINT AS benefit, sum(control)::BIGINT AS control_correct FROM pairs GROUP BY 1) t USING (unit_id), (VALUES ('random'), ('rating_first'), ('price')) v(policy)"""
+POL = """SELECT u.unit_id, u.cluster_id, u.valence, e.target_effect AS effect, t.runs, t.danger, t.benefit, t.control_correct, policy,
+  CASE policy WHEN 'valence_first' THEN valence ELSE 0 END::DOUBLE AS tier, CASE policy WHEN 'random' THEN 0 ELSE price END::DOUBLE AS policy_score, CASE valence WHEN -1 THEN 0.5 WHEN 0 THEN 1.0 ELSE 1.5 END::DOUBLE AS w
+FROM units u JOIN eff e USING (unit_id) JOIN (SELECT unit_id, count(*) AS runs, sum((control=1 AND target=0)::INT)::BIGINT AS danger, sum((control=0 AND target=1)::INT)::BIGINT AS benefit, sum(control)::BIGINT AS control_correct FROM pairs GROUP BY 1) t USING (unit_id), (VALUES ('random'), ('valence_first'), ('price')) v(policy)"""
 RANK = f"row_number() OVER (PARTITION BY policy ORDER BY tier, policy_score DESC, {H.format('unit_id')}, unit_id)"
 
 
 def policy_units(spark, sf_dir):
     e = effect_units(spark, sf_dir)
     t = pair_runs(runs(spark, sf_dir)).groupBy("unit_id").agg(F.count(F.lit(1)).alias("runs"), F.sum("danger").alias("danger"), F.sum("benefit").alias("benefit"), F.sum("control_outcome").alias("control_correct"))
-    w = F.when(F.col("rating") == -1, 0.5).when(F.col("rating") == 0, 1.0).otherwise(1.5)
-    return e.join(t, "unit_id").select("unit_id", "cluster_id", "rating", "price", F.col("target_effect").alias("effect"), "runs", "danger", "benefit", "control_correct", w.alias("w"))
+    w = F.when(F.col("valence") == -1, 0.5).when(F.col("valence") == 0, 1.0).otherwise(1.5)
+    return e.join(t, "unit_id").select("unit_id", "cluster_id", "valence", "price", F.col("target_effect").alias("effect"), "runs", "danger", "benefit", "control_correct", w.alias("w"))
 
 
 def policies(spark, sf_dir):
     zero = F.lit(0.0)
-    return R.policy_rows(policy_units(spark, sf_dir), {"random": (zero, zero), "rating_first": (F.col("rating"), F.col("price")), "price": (zero, F.col("price"))})
+    return R.policy_rows(policy_units(spark, sf_dir), {"random": (zero, zero), "valence_first": (F.col("valence"), F.col("price")), "price": (zero, F.col("price"))})
 
 
 @query("rnk_01_deterministic_rank", sql(f"SELECT policy, unit_id, {RANK} AS rank FROM p", p=POL))
@@ -35,11 +35,9 @@ def ranks(spark, sf_dir):
     return R.deterministic_rank(policies(spark, sf_dir), ["policy"], F.col("tier"), F.col("policy_score"), "unit_id").select("policy", "unit_id", "rank")
 
 
-@query("rnk_02_rank_tertiles", sql("SELECT unit_id, (ntile(3) OVER (ORDER BY price, unit_id) - 1)::INT AS tertile FROM units WHERE unit_id < (SELECT count(*) // 3 * 3 FROM units)"))
+@query("rnk_02_rank_tertiles", sql("SELECT unit_id, floor((row_number() OVER (ORDER BY price, unit_id) - 1) * 3 / (SELECT count(*) FROM units))::INT AS tertile FROM units"))
 def tertiles(spark, sf_dir):
-    u = units(spark, sf_dir)
-    n = u.agg((F.floor(F.count(F.lit(1)) / 3) * 3).alias("n3"))
-    return R.rank_tertiles(u.crossJoin(F.broadcast(n)).where("unit_id < n3"), ["price", "unit_id"]).select("unit_id", "tertile")  # one row
+    return R.rank_tertiles(units(spark, sf_dir), ["price", "unit_id"]).select("unit_id", "tertile")
 
 
 @query("rnk_03_top_k_per_family", sql(f"""SELECT 'anchor' AS family, unit_id, row_number() OVER (ORDER BY price DESC, {H.format('unit_id')})::INT AS family_rank FROM units WHERE cell = 'anchor' QUALIFY family_rank <= 8
@@ -96,15 +94,17 @@ def certified_best(spark, sf_dir):
     return R.lcb_certified_prefix(policies(spark, sf_dir), [0.01, 0.05])
 
 
-CTP = "SELECT unit_id, count(*) FILTER (condition = 'control')::INT AS c, count(*) FILTER (condition = 'target_delete')::INT AS t, round(avg(outcome) FILTER (condition IN ('control', 'target_delete')), 2) AS p FROM runs WHERE run_id <= 4 GROUP BY 1 HAVING count(*) FILTER (condition = 'control') > 0 AND count(*) FILTER (condition = 'target_delete') > 0"
-FLOOR = """SELECT c, t, p, sum(CASE WHEN j / t::DOUBLE - i / c::DOUBLE < -1e-12 THEN factorial(c) / (factorial(i) * factorial(c - i)) * power(p, i) * power(1 - p, c - i) * factorial(t) / (factorial(j) * factorial(t - j)) * power(p, j) * power(1 - p, t - j) ELSE 0 END) AS floor
+CTP = "SELECT unit_id, count(*) FILTER (condition = 'control')::INT AS c, count(*) FILTER (condition = 'target_delete')::INT AS t, round(avg(outcome) FILTER (condition IN ('control', 'target_delete')), 2) AS p FROM runs GROUP BY 1 HAVING count(*) FILTER (condition = 'control') > 0 AND count(*) FILTER (condition = 'target_delete') > 0"
+LF = "coalesce(list_sum(list_transform(range(2, {0} + 1), lambda x: ln(x))), 0)"
+FLOOR = f"""SELECT c, t, p, sum(CASE WHEN j / t::DOUBLE - i / c::DOUBLE < -1e-12 AND NOT (p <= 0 AND i + j > 0) AND NOT (p >= 1 AND i + j < c + t)
+  THEN exp({LF.format('c')} - {LF.format('i')} - {LF.format('(c - i)')} + {LF.format('t')} - {LF.format('j')} - {LF.format('(t - j)')} + CASE WHEN i + j = 0 THEN 0 ELSE (i + j) * ln(p) END + CASE WHEN i + j = c + t THEN 0 ELSE (c + t - i - j) * ln(1 - p) END) ELSE 0 END) AS floor
 FROM (SELECT c, t, p, unnest(range(c + 1))::INT AS i FROM (SELECT DISTINCT c, t, p FROM cells)) JOIN (SELECT c AS c2, t AS t2, p AS p2, unnest(range(t + 1))::INT AS j FROM (SELECT DISTINCT c, t, p FROM cells)) ON c = c2 AND t = t2 AND p = p2 GROUP BY 1, 2, 3"""
 
 
 def binomial_cells(spark, sf_dir):
     both = F.col("condition").isin("control", "target_delete")
     n = lambda c: F.sum((F.col("condition") == c).cast("int")).cast("int")
-    return runs(spark, sf_dir).where("run_id <= 4").groupBy("unit_id").agg(n("control").alias("c"), n("target_delete").alias("t"), F.round(F.avg(F.when(both, F.col("outcome"))), 2).alias("p")).where("c > 0 and t > 0")
+    return runs(spark, sf_dir).groupBy("unit_id").agg(n("control").alias("c"), n("target_delete").alias("t"), F.round(F.avg(F.when(both, F.col("outcome"))), 2).alias("p")).where("c > 0 and t > 0")
 
 
 @query("exp_19_null_floor", sql("SELECT c, t, p, unit_id, floor FROM cells JOIN (" + FLOOR + ") USING (c, t, p)", cells=CTP), "p floor")
@@ -139,7 +139,7 @@ def calibrated(spark, sf_dir):
 
 @query("crv_09_nested_policy_selection")
 def nested(spark, sf_dir):
-    u = policy_units(spark, sf_dir).withColumns({"neg": (F.col("rating") == -1).cast("double"), "log_price": F.log1p("price")}).where("effect is not null")
+    u = policy_units(spark, sf_dir).withColumns({"neg": (F.col("valence") == -1).cast("double"), "log_price": F.log1p("price")}).where("effect is not null")
     return P.nested_policy_selection(u, ["neg", "log_price"], splits=2, inner=2)
 
 
@@ -205,7 +205,7 @@ def signals(spark, sf_dir):
 
 @query("met_09_cross_validated_predictions")
 def out_of_fold(spark, sf_dir):
-    u = policy_units(spark, sf_dir).where("effect is not null").withColumns({"y": (F.col("effect") < 0).cast("int"), "neg": (F.col("rating") == -1).cast("double"), "log_price": F.log1p("price"), "fold": X.hash_mod(X.stable_hash("cluster_id", 7), 3).cast("int")})
+    u = policy_units(spark, sf_dir).where("effect is not null").withColumns({"y": (F.col("effect") < 0).cast("int"), "neg": (F.col("valence") == -1).cast("double"), "log_price": F.log1p("price"), "fold": X.hash_mod(X.stable_hash("cluster_id", 7), 3).cast("int")})
     p = P.cross_validated_predictions(u, "y", {"A": ["neg"], "B": ["neg", "log_price"]}, "fold", 3)
     return R.roc_auc(p.withColumnRenamed("p", "score"), ["model"])
 
@@ -220,3 +220,11 @@ def benchmark(spark, sf_dir):
     hidden = e.select("unit_id", (F.col("target_effect") < 0).cast("int").alias("danger"), (F.col("target_effect") > 0).cast("int").alias("benefit"))
     predictions = e.where("unit_id % 10 <> 0").select("unit_id", ((F.col("size") % 10) / 10.0).alias("p_danger"), ((F.col("size") % 7) / 7.0).alias("p_benefit"))
     return P.benchmark_evaluate(predictions, hidden)
+
+
+@query("udf_03_ordering_rule", sql(f"SELECT policy, unit_id, row_number() OVER (PARTITION BY policy ORDER BY CASE policy WHEN 'shortest' THEN size ELSE 0 END, CASE policy WHEN 'shortest' THEN 0 ELSE price / size END DESC, {H.format('unit_id')}, unit_id) AS rank FROM units, (VALUES ('shortest'), ('dearest')) v(policy)"))
+def own_rules(spark, sf_dir):
+    """Orderings that a user brings: a tier and a score as any columns."""
+    rules = {"shortest": (F.col("size"), F.lit(0.0)), "dearest": (F.lit(0), F.col("price") / F.col("size"))}
+    rows = R.policy_rows(units(spark, sf_dir), rules)
+    return R.deterministic_rank(rows, ["policy"], F.col("tier"), F.col("policy_score"), "unit_id").select("policy", "unit_id", "rank")

@@ -1,12 +1,9 @@
 """Queries of sampling, integrity, sources and streams."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tandem.functions import exprs as X
-from tandem.functions.storage import cut
+from tandem.functions.storage import shared_folder
 from tandem.operators import aggregates as A
 from tandem.operators import audit as C
 from tandem.operators import inference as I
@@ -28,9 +25,9 @@ def eligible(spark, sf_dir):
     return units(spark, sf_dir).join(have, "unit_id", "left").withColumn("eligible", F.coalesce("eligible", F.lit(0)))
 
 
-@query("smp_01_balanced_cohort", sql(f"SELECT unit_id, rating, position, stratum_order FROM (SELECT *, row_number() OVER (PARTITION BY rating, position ORDER BY {h('unit_id', SEED + 1)}, unit_id)::INT AS stratum_order FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, type ORDER BY {h('unit_id')}, unit_id) AS n FROM units) WHERE n = 1) WHERE stratum_order <= 20"))
+@query("smp_01_balanced_cohort", sql(f"SELECT unit_id, valence, position, stratum_order FROM (SELECT *, row_number() OVER (PARTITION BY valence, position ORDER BY {h('unit_id', SEED + 1)}, unit_id)::INT AS stratum_order FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, type ORDER BY {h('unit_id')}, unit_id) AS n FROM units) WHERE n = 1) WHERE stratum_order <= 20"))
 def cohort(spark, sf_dir):
-    return S.balanced_cohort(units(spark, sf_dir), ["rating", "position"], F.concat_ws("|", "cluster_id", "type"), 20).select("unit_id", "rating", "position", "stratum_order")
+    return S.balanced_cohort(units(spark, sf_dir), ["valence", "position"], F.concat_ws("|", "cluster_id", "type"), 20).select("unit_id", "valence", "position", "stratum_order")
 
 
 QUOTA = "CASE position WHEN 'early' THEN 34 ELSE 33 END"
@@ -48,9 +45,9 @@ def quota(spark, sf_dir):
     return S.quota_sample(eligible(spark, sf_dir), "position", ["early", "middle", "late"], 100, "eligible", by="type").select("type", "unit_id", "position", "picked_by", "pick_order")
 
 
-@query("smp_03_disjoint_groups", sql("SELECT unit_id, CASE WHEN cell = 'anchor' THEN 'anchor' WHEN rating = -1 THEN 'negative' WHEN position = 'late' THEN 'late' ELSE 'rest' END AS grp FROM units"))
+@query("smp_03_disjoint_groups", sql("SELECT unit_id, CASE WHEN cell = 'anchor' THEN 'anchor' WHEN valence = -1 THEN 'negative' WHEN position = 'late' THEN 'late' ELSE 'rest' END AS grp FROM units"))
 def groups(spark, sf_dir):
-    g = S.disjoint_groups({"anchor": F.col("cell") == "anchor", "negative": F.col("rating") == -1, "late": F.col("position") == "late"}, "rest")
+    g = S.disjoint_groups({"anchor": F.col("cell") == "anchor", "negative": F.col("valence") == -1, "late": F.col("position") == "late"}, "rest")
     return units(spark, sf_dir).select("unit_id", g.alias("grp"))
 
 
@@ -99,10 +96,18 @@ def dealt(spark, sf_dir):
 
 @query("smp_09_blind_order", sql(f"SELECT unit_id, lpad((('0x' || {h('unit_id')})::UBIGINT % 100000000)::VARCHAR, 8, '0') AS blind_id, {h('unit_id')} AS blind_key, (('0x' || {h('unit_id')})::UBIGINT % 1000) < 200 AS dual_coded FROM units"))
 def blind(spark, sf_dir):
-    return S.blind_order(units(spark, sf_dir).select("unit_id", "type", "rating"), ["type", "rating"])
+    return S.blind_order(units(spark, sf_dir).select("unit_id", "type", "valence"), ["type", "valence"])
+
+
+FOLDS = f"""WITH RECURSIVE g AS (SELECT cluster_id, count(*) AS group_size FROM units GROUP BY 1), o AS (SELECT group_size, row_number() OVER (ORDER BY group_size DESC) AS i FROM g),
+step(i, group_size, fold, loads) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::INT, [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL SELECT o.i, o.group_size, f::INT, list_transform(loads, lambda x, j: CASE WHEN j = f THEN x + o.group_size ELSE x END) FROM (SELECT *, list_position(loads, list_min(loads)) AS f FROM step) s JOIN o ON o.i = s.i + 1
+), shares AS (SELECT group_size, fold - 1 AS fold, sum(count(*)) OVER (PARTITION BY group_size ORDER BY fold) AS last, count(*) AS n FROM step WHERE i > 0 GROUP BY group_size, fold)
+SELECT r.cluster_id, r.group_size, s.fold::INT AS fold FROM (SELECT *, row_number() OVER (PARTITION BY group_size ORDER BY {h('cluster_id')}, cluster_id) AS nth FROM g) r JOIN shares s ON r.group_size = s.group_size AND r.nth > s.last - s.n AND r.nth <= s.last"""
 
 
-@query("smp_10_grouped_kfold")
+@query("smp_10_grouped_kfold", sql(FOLDS).replace("WITH units", "WITH RECURSIVE units", 1).replace("\nWITH RECURSIVE g AS", ", g AS", 1))
 def kfold(spark, sf_dir):
     return S.grouped_kfold(units(spark, sf_dir), "cluster_id", 5)
 
@@ -171,8 +176,7 @@ def abnormal(spark, sf_dir):
 
 def scratch(spark) -> str:
     """A new folder below the shared one, for files that a query writes and reads."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/tandem-checkpoints"
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return shared_folder(spark, "files")
 
 
 @query("src_01_csv_strings", "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, text FROM conversations")
@@ -216,10 +220,10 @@ def keyed(spark, sf_dir):
 NEST = "SELECT unit_id AS line, unnest(range(len(steps))) AS step_index, unnest(steps) AS step, target_index FROM traj"
 
 
-@query("src_06_nested_records", sql("SELECT line, step_index::INT AS step_index, c::INT AS completion_index, c = (step_index % 2) AS is_chosen, CASE c WHEN 0 THEN step ELSE 'alt' END AS text, (CASE c WHEN 0 THEN 1 ELSE -1 END)::INT AS rating FROM n, (VALUES (0), (1)) v(c)", n=NEST))
+@query("src_06_nested_records", sql("SELECT line, step_index::INT AS step_index, c::INT AS completion_index, c = (step_index % 2) AS is_chosen, CASE c WHEN 0 THEN step ELSE 'alt' END AS text, (CASE c WHEN 0 THEN 1 ELSE -1 END)::INT AS valence FROM n, (VALUES (0), (1)) v(c)", n=NEST))
 def nested(spark, sf_dir):
     t = trajectories(spark, sf_dir)
-    step = F.transform("steps", lambda s, i: F.struct((i % 2).alias("chosen_completion"), F.array(F.struct(s.alias("text"), F.lit(1).alias("rating")), F.struct(F.lit("alt").alias("text"), F.lit(-1).alias("rating"))).alias("completions")))
+    step = F.transform("steps", lambda s, i: F.struct((i % 2).alias("chosen_completion"), F.array(F.struct(s.alias("text"), F.lit(1).alias("valence")), F.struct(F.lit("alt").alias("text"), F.lit(-1).alias("valence"))).alias("completions")))
     return RD.flatten_nested(t.select("unit_id", step.alias("steps")), "unit_id", "steps")
 
 
@@ -237,7 +241,11 @@ def jsonl_sink(spark, sf_dir):
     return RD.read_jsonl(spark, path, "c_custkey BIGINT, c_mktsegment STRING").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_03_summary_json")
+def rows_json(column: str) -> str:
+    return f"""(SELECT string_agg(r, ',' ORDER BY r) FROM (SELECT '{{"{column}":"' || {column} || '","n":' || count(*) || '}}' AS r FROM runs GROUP BY {column}))"""
+
+
+@query("snk_03_summary_json", sql(f"""SELECT '{{"conditions":[' || {rows_json('condition')} || '],"statuses":[' || {rows_json('status')} || ']}}' AS document"""))
 def summary_json(spark, sf_dir):
     r = runs(spark, sf_dir)
     return RD.summary_document({"conditions": r.groupBy("condition").agg(F.count(F.lit(1)).alias("n")), "statuses": r.groupBy("status").agg(F.count(F.lit(1)).alias("n"))})
@@ -245,7 +253,7 @@ def summary_json(spark, sf_dir):
 
 @query("snk_04_append_pending", sql("SELECT count(DISTINCT unit_id) AS keys FROM units"))
 def appended(spark, sf_dir):
-    u, path = units(spark, sf_dir).select("unit_id", "rating"), scratch(spark)
+    u, path = units(spark, sf_dir).select("unit_id", "valence"), scratch(spark)
     RD.append_pending(u.where("unit_id % 3 = 0"), path, "unit_id")
     RD.append_pending(u, path, "unit_id")
     return spark.read.schema(u.schema).json(path).agg(F.count("unit_id").alias("keys"))
@@ -289,7 +297,9 @@ def counted(spark, sf_dir):
     path = scratch(spark)
     table(spark, sf_dir, "events").repartition(4, "event_id").write.json(path)
     s = ST.read_runs_stream(spark, path, STREAM).withColumn("y", F.col("value") > 10)
-    return cut(ST.drain(ST.live_unit_counts(s, ["user_id", "event_type"], "y"), f"live_{uuid.uuid4().hex}", "complete", scratch(spark)))
+    sink = scratch(spark)
+    ST.drain_counts(ST.live_unit_counts(s, ["user_id", "event_type"], "y"), sink, scratch(spark))
+    return ST.latest_counts(spark, sink, ["user_id", "event_type"])
 
 
 @query("udf_02_sample_statistic")

@@ -23,7 +23,7 @@ FROM (
 
 UNITS = """
 SELECT p_partkey AS unit_id, p_brand || '|' || CAST(p_size AS STRING) AS cluster_id, p_size AS size, p_retailprice AS price,
-  CASE WHEN p_size <= 17 THEN -1 WHEN p_size <= 34 THEN 0 ELSE 1 END AS rating,
+  CASE WHEN p_size <= 17 THEN -1 WHEN p_size <= 34 THEN 0 ELSE 1 END AS valence,
   CASE WHEN p_type IN ('ECONOMY', 'LARGE') THEN 'essential' WHEN p_type IN ('MEDIUM', 'PROMO') THEN 'redundant' ELSE 'harmful' END AS type,
   CASE WHEN (p_size - 1) / 49.0 < 1 / 3.0 THEN 'early' WHEN (p_size - 1) / 49.0 < 2 / 3.0 THEN 'middle' ELSE 'late' END AS position,
   CASE WHEN p_size <= 17 AND p_type IN ('ECONOMY', 'LARGE', 'MEDIUM') THEN 'anchor' ELSE 'other' END AS cell

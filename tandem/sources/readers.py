@@ -62,10 +62,10 @@ def summed_metadata(docs: DataFrame, text: str) -> DataFrame:
 
 
 def flatten_nested(records: DataFrame, line: str, steps: str) -> DataFrame:
-    """One row per completion of nested records: line, step, completion index, chosen flag, text, rating."""
+    """One row per completion of nested records: line, step, completion index, chosen flag, text, valence."""
     s = records.select(F.col(line).alias("line"), F.posexplode(steps).alias("step_index", "step"))
     c = s.select("line", "step_index", F.col("step.chosen_completion").alias("chosen"), F.posexplode("step.completions").alias("completion_index", "completion"))
-    return c.select("line", "step_index", "completion_index", (F.col("completion_index") == F.col("chosen")).alias("is_chosen"), "completion.text", "completion.rating")
+    return c.select("line", "step_index", "completion_index", (F.col("completion_index") == F.col("chosen")).alias("is_chosen"), "completion.text", "completion.valence")
 
 
 def ordered_columns(df: DataFrame, fields: list[str], strict: bool = False) -> DataFrame:

@@ -41,7 +41,17 @@ def live_unit_counts(stream: DataFrame, by: list[str], outcome: str) -> DataFram
     return stream.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.sum(F.col(outcome).cast("long")).alias("correct"))
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there into a memory table of that name."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def drain_counts(counts: DataFrame, sink: str, checkpoint: str) -> None:
+    """Runs a stream of counts over what is there; each trigger writes the groups that it changed, as Parquet below `sink`, in a folder of its own that a repeated trigger writes anew."""
+
+    def write(batch: DataFrame, nth: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={nth}")
+
+    counts.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_counts(spark: SparkSession, sink: str, by: list[str]) -> DataFrame:
+    """The newest row of each group that `drain_counts` wrote."""
+    rows = spark.read.parquet(sink)
+    values = [c for c in rows.columns if c not in (*by, "batch")]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*values), "batch").alias("x")).select(*by, "x.*")

@@ -1,6 +1,7 @@
 """Hand-written edge cases and properties."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -26,11 +27,62 @@ def runs(spark, rows):
 
 
 def test_answers(spark):
-    df = spark.createDataFrame([(r"\boxed{\frac{1}{2}}",), ("0.50",), ("1,000",), ("3.0",), ("",), (None,), (r"\boxed{\sqrt{3}}",)], "a string")
-    assert [r[0] for r in df.select(X.normalize_answer("a")).collect()] == ["1/2", "0.5", "1000", "3", "", None, "sqrt(3)"]
+    cases = {
+        r"so \boxed{\frac{1}{2}} holds": "(1)/(2)", "0.50": ".50", "1,000": "1000", "3.0": "3", "-12.00": "-12", "": "", r"\boxed{\sqrt{3}}": "sqrt(3)", r"\sqrt2 \pi": "sqrt(2)pi", r"\infty": "oo",
+        r"3 \cdot 4 \times x": "3*4*x", r"90^\circ": "90", r"90^{\circ}": "90", r"\dfrac{a+b}{c}": "(a+b)/(c)", r"\tfrac{1}{2}": r"\frac{1}{2}", r"$5\%$.": "5", r"7\text{ cm}": "7", r"\left(1,\,2\right)": "(12)", "X": "x", "00.5": "00.5",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "a string, want string")
+    assert [(r.a, r.got) for r in df.select("a", "want", X.normalize_answer("a").alias("got")).collect() if r.got != cases[r.a]] == []
+    g = spark.createDataFrame([(r"\frac{a+b}{c}", "a+b/c"), (r"\frac{a}{b}", r"\dfrac{a}{b}"), (" ", "1"), (None, "1"), ("2.", "2.0")], "a string, b string")
+    assert [r[0] for r in g.select(X.grade_exact("a", "b")).collect()] == ["mismatch", "string_match", "no_answer", "no_answer", "string_match"]
     assert one(spark.createDataFrame([(r"x \boxed{a{b}c} y",)], "a string").select(X.extract_answer_balanced("a")))[0] == "a{b}c"
 
 
+def test_statuses(spark):
+    cases = [("Logical-Break", "x", "logical_break"), ("logical break", "x", "logical_break"), ("unable to continue", "x", "cannot_continue"), ("a break", "", "logical_break"), ("Completed.", "", "completed"), ("odd", "x", "completed"), ("odd", " ", "cannot_continue"), (None, None, "cannot_continue")]
+    df = spark.createDataFrame(cases, "s string, a string, want string")
+    assert [tuple(r) for r in df.select("s", "a", X.normalize_status("s", "a")).collect()] == cases
+
+
+def test_text_repair(spark):
+    cases = {
+        "\x0crac{1}{2} and \x08eta, \theta, \x0bec": r"\frac{1}{2} and \beta, \theta, \vec", r"a \/geq b \/neq c": r"a \geq b \neq c", r"x \text{} \text{ }\text{}y": r"x \;y", r"x \text{}\text{}y": r"x \text{}\text{}y",
+        "x" + r"\,\, \," * 3 + "y": r"x\,y", "One. Two is $x": "One. Two is $x", "One. Two is $\\frac{1": "One.", "no end, $\\sqrt{2": "no end", "It is \\$5. So $a \\": "It is \\$5.", "Even $x$ \\frac{1": "Even $x$ \\frac{1",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "a string")
+    assert [(r.a, r.got) for r in df.select("a", X.repair_text("a").alias("got")).collect() if r.got != cases[r.a]] == []
+
+
+def test_order_statistics_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x)) for g in (None, "a", "b") for x in rng.integers(0, 40, 97 if g else 50)] + [("c", None), ("d", 5.0)]
+    got = {r.g: r for r in R.order_statistics(spark.createDataFrame(rows, "g string, x double").repartition(5), ["g"], "x", med=("cont", 0.5), q=("cont", 0.3), top=("disc", 0.95)).collect()}
+    for g in (None, "a", "b", "d"):
+        x = np.sort([v for k, v in rows if k == g and v is not None])
+        assert got[g].med == np.quantile(x, 0.5) and got[g].q == pytest.approx(np.quantile(x, 0.3)) and got[g].top == x[int(np.ceil(0.95 * len(x))) - 1]
+    assert "c" not in got
+
+
+def test_null_floor_of_large_counts(spark):
+    r = one(R.null_floor(spark.createDataFrame([(21, 21, 0.5), ], "c int, t int, p double")))
+    want = sum(math.comb(21, i) * math.comb(21, j) for i in range(22) for j in range(i)) / 2**42
+    assert r.floor == pytest.approx(want)
+    ends = {(x.c, x.p): x.floor for x in R.null_floor(spark.createDataFrame([(500, 40, 0.3), (4, 4, 0.0), (4, 4, 1.0)], "c int, t int, p double")).collect()}
+    assert 0.4 < ends[500, 0.3] < 0.6 and ends[4, 0.0] == 0 and ends[4, 1.0] == 0
+
+
+def test_folds_fill_the_emptiest(spark):
+    for sizes, k in (({1: 100, 7: 3, 50: 1}, 5), ({3: 10}, 4), ({9: 1, 2: 1}, 3), ({}, 2)):
+        load = [0] * k
+        want = {}
+        for s in sorted(sizes, reverse=True):
+            for _ in range(sizes[s]):
+                f = load.index(min(load))
+                load[f] += s
+                want[s, f] = want.get((s, f), 0) + 1
+        assert {(s, f): b - a + 1 for s, f, a, b in S.fold_shares(sizes, k)} == want
+
+
 def test_strict_bool_rejects(spark):
     df = spark.createDataFrame([("maybe",)], "a string").select(X.parse_bool_strict("a"))
     with pytest.raises(Exception, match="not a boolean"):
@@ -188,5 +240,7 @@ def test_verdict_before_generation(spark, tmp_path):
     (g / "1.json").write_text('{"task": "a", "ts": "2024-01-01T01:00:00Z", "answer": "x"}\n')
     gs = spark.readStream.schema("task STRING, ts TIMESTAMP, answer STRING").json(str(g))
     vs = spark.readStream.schema("task STRING, vt TIMESTAMP, correct BOOLEAN").json(str(v))
-    out = ST.drain(ST.verdict_join_streams(gs, vs, "task", "answer", "ts", "vt"), "verdicts_test", "append", str(tmp_path / "cp"))
+    out = str(tmp_path / "out")
+    ST.verdict_join_streams(gs, vs, "task", "answer", "ts", "vt").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(out)
     assert [(r.task, r.verdict) for r in out.collect()] == [("a", True)]
