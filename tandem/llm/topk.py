@@ -110,7 +110,7 @@ def grid(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 65_536, slice_rows: int = 1 << 20) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 32_768, slice_rows: int = 1 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query. Inputs: vec_id, v as `quantised` gives them."""
     n_blocks = max(1, -(-candidates.count() // block))
     n_slices = max(1, -(-queries.count() // slice_rows))
