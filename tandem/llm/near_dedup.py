@@ -2,15 +2,14 @@
 
 1. Document frequencies of five-word shingles, over all documents, in a count sketch of
    2**20 slots: its size does not depend on the corpus. A shingle weighs
-   tf * (1 + ln((N+1)/(df+1)) / (4 ln(N+1))).
+   tf * (1 + ln((N+1)/(df+1)) / (4 ln(N+2))), a damped inverse document frequency.
 2. Improved consistent weighted sampling draws `BANDS * ROWS` samples per text; two texts
    agree in each with a probability equal to their weighted Jaccard similarity.
 3. Bands of ROWS samples give bucket keys. Equal texts are one vertex from here on.
-4. Inside a bucket no pairs are expanded. In each round its most central text (the one
-   whose buckets are largest) is its leader and is compared with all others; texts like
-   it are done there, the rest has a leader of its own in the next round. What is left
-   after `rounds` is compared pairwise where a bucket's product of sizes is small, and
-   otherwise inside sub-buckets of texts that share a second band.
+4. In each round a bucket's most central text (the one whose buckets are largest) is its
+   leader and is compared with all others; texts like it are done there, the rest has a
+   leader of its own in the next round. After `rounds`, all pairs of a bucket that are
+   not in one class yet meet in blocks of bounded size, whatever the bucket's size.
 5. Candidates whose samples agree in at least `estimate` are verified on whole texts by
    exact weighted Jaccard similarity; groups of a leader are salted.
 6. Connected components of the verified links are the classes.
@@ -18,6 +17,8 @@
 Null texts are empty; all texts without words are one class, as equal texts are. Texts
 of one to four words have one shingle. Rows of equal id and text get equal rows. A null
 id is kept and never becomes a representative unless all ids of its class are null.
+Extra columns are ignored, or kept as they are by `deduplicated`, whatever their names.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import bitmap, cut, in_bitmap
+from tandem.llm.common import bitmap, cut, hot_join, in_bitmap
 from tandem.llm.textkit import Words, mix, mix_int, prefix_starts, process_cache, shingles, sub_batches
 
 N_WORDS, BANDS, ROWS = 5, 10, 4
@@ -155,9 +156,8 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, vertices: DataFrame, estimate: float) -> DataFrame:
-    """The candidate pairs (a, b) whose samples agree in a share of at least `estimate`."""
-    sig = vertices.select(F.col("v"), "sig")
-    both = pairs.join(sig.select(F.col("v").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a").join(sig.select(F.col("v").alias("b"), F.col("sig").alias("sb")).hint("merge"), "b")
+    """The candidate pairs (a, b) whose samples agree in a share of at least `estimate`. b, a leader, may stand in very many pairs."""
+    both = hot_join(cut(pairs), vertices.select(F.col("v").alias("b"), F.col("sig").alias("sb")), "b").join(vertices.select(F.col("v").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a")
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     return both.where(same >= estimate * BANDS * ROWS).select("a", "b")
 
@@ -353,19 +353,23 @@ def classified(docs: DataFrame, threshold: float = 0.8, estimate: float = 0.6, r
     found = cut(links(texts, vertices, idf, threshold, estimate, rounds))
     labels = components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
-    marked = vertices.select("v", "rep", "copies").join(labels.hint("merge"), "v", "left").join(degree.hint("merge"), "v", "left").withColumn("label", F.coalesce("label", "v"))
+    marked = cut(vertices.select("v", "rep", "copies").join(labels.hint("merge"), "v", "left").join(degree.hint("merge"), "v", "left").withColumn("label", F.coalesce("label", "v")))
     classes = marked.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    marked = cut(marked.join(classes.hint("merge"), "label").select("v", "rep", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.hex("label").alias("class_key")))
-    return signed.select("doc_id", "v").join(marked.hint("merge"), "v").select("doc_id", "class_id", F.col("rep").alias("text_rep"), "class_size", "n_links", "class_key", "v")
+    marked = cut(hot_join(marked, classes, "label").select("v", "rep", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.hex("label").alias("class_key")))
+    return hot_join(signed.select("doc_id", "v"), marked, "v").select("doc_id", "class_id", F.col("rep").alias("text_rep"), "class_size", "n_links", "class_key", "v")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each class, columns as they were: the row of the class's least id, a null id last, and among texts of that id the one of the least digest."""
+    """`docs` with one document of each class, columns as they were, whatever their names.
+
+    The row of the class's least id stays, a null id last, and among texts of that id the one of the least digest; of
+    rows with equal id and text one. Rows that share an id but no class all stay. An empty table stays empty.
+    """
     classes = cut(classified(docs, **options).select("doc_id", "class_key", "v"))
     first = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("m"))
-    first = first.select(F.col("m.doc_id").alias("dedup_first"), F.col("m.v").alias("dedup_v"))
-    rows = docs.withColumn("dedup_id", F.col("doc_id").cast("long")).withColumn("dedup_digest", digest(plain_text()))
-    kept = rows.join(first.hint("shuffle_hash"), F.col("dedup_id").eqNullSafe(F.col("dedup_first")) & (F.col("dedup_digest") == F.col("dedup_v")), "left_semi")
+    first = first.select(F.col("m.doc_id").alias("first"), F.col("m.v").alias("v"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), digest(plain_text()).alias("digest"))
+    kept = rows.join(first.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("v")), "left_semi")
     if classes.groupBy("doc_id", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["dedup_id", "dedup_digest"])  # equal id and text: the same class
-    return kept.select(docs.columns)
+        kept = kept.dropDuplicates(["own", "digest"])  # equal id and text: the same class
+    return kept.select("row.*")
