@@ -8,8 +8,11 @@ ranges of them are the range sort: each source is cut into ranges of about
 are added. A document whose words cross its source's budget is taken in part, so every
 budget is met exactly; sources with a target above their size repeat whole epochs.
 
-A null source is a source, and comes last. A null text has size 0. Rows with equal id
-and size tie and are interchangeable. Sources without words get target 0.
+A null source is a source, and comes last. A null text has size 0. The key of a row is a
+hash of its id and text, so a common or null id is no hot key; rows with equal id and text
+tie and are interchangeable. Sources without words get target 0. Extra columns are
+ignored, or kept as they are by `mixed_documents`, whatever their names. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -17,17 +20,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.common import WORD, cut
+from tandem.llm.common import WORD, cut, hot_join
 
 BROADCAST_SOURCES = 20_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), key (hash-random)."""
-    return docs.select(
-        "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)).alias("size"),
-    )
+def sizes(docs: DataFrame, *others: str, seed: int = 20240601) -> DataFrame:
+    """doc_id, source, size (words), key (hash-random), and `others`."""
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0))
+    return docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), key.alias("key"), *others)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -47,47 +50,59 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return per.withColumn("target", F.coalesce(F.least("cap", F.col("weight") * level), F.col("cap"))).select("source", "n_docs", "source_size", "weight", "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 20240601, range_rows: int = 4096) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source: the words of each document that the mix takes, repeats counted."""
-    sized = cut(sizes(docs))
-    plan = cut(targets(sized, weights, share, most)).select(
-        F.col("source").alias("s"), "source_size", "target",
+def taken_words(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, range_rows: int) -> DataFrame:
+    """`sized` (a written table) with source_size, target and taken: the words of each row that the mix takes, repeats counted."""
+    host = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-"))  # a key of the source that is never null
+    plan = cut(targets(sized, weights, share, most).withColumn("host", host)).select(
+        "host", "source_size", "target",
         F.ceil(F.col("n_docs") / range_rows).alias("ranges"),
         F.round("target").cast("long").alias("budget"),
     )
-    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan.hint("merge")
-    rows = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    named = sized.withColumn("host", host)
+    rows = named.join(F.broadcast(plan), "host") if plan.count() <= BROADCAST_SOURCES else hot_join(named, plan, "host")
     rows = rows.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(float(1 << 32))))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("host", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("source", "range").agg(F.sum("size").alias("n")).select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    rows = rows.join(offsets.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    earlier = Window.partitionBy("host").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("host", "range").agg(F.sum("size").alias("n")).select("host", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    rows = rows.join(offsets.hint("merge"), ["host", "range"])
     epochs = F.coalesce(F.floor(F.try_divide(F.col("budget"), F.col("source_size"))), F.lit(0))
     rest = F.col("budget") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - F.col("start") - F.col("offset")))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with the columns of `docs`: a document taken k times whole comes k times, a part of it as its first words."""
-    taken = mix_sources(docs, **options).groupBy("doc_id").agg(F.sum("size").alias("mix_size"), F.sum("taken").alias("mix_taken"))
-    own = docs.withColumn("mix_id", F.col("doc_id"))
-    rows = own.join(taken.withColumnRenamed("doc_id", "mix_doc").hint("merge"), F.col("mix_id").eqNullSafe(F.col("mix_doc")))
-    whole = F.coalesce(F.floor(F.try_divide(F.col("mix_taken"), F.col("mix_size"))), F.lit(0)).cast("int")
-    rest = (F.col("mix_taken") - whole * F.col("mix_size")).cast("int")
-    rows = rows.withColumn("mix_part", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest("mix_part", F.lit(1))), " ")
-    rows = rows.withColumn("text", F.when(F.col("mix_part") > 0, part).otherwise(F.col("text")))
+    return rows.select(*sized.columns, "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 20240601, range_rows: int = 4096) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source: the words of each document that the mix takes, repeats counted."""
+    found = taken_words(cut(sizes(docs, seed=seed)), weights, share, most, range_rows)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 20240601, range_rows: int = 4096) -> DataFrame:
+    """The documents of the mix with the columns of `docs`, whatever their names: a row taken k times whole comes k times, a part of it as its first words.
+
+    The rows are written once with a number each, and what the mix takes is joined back by it, so rows that share an
+    id, or have none, are taken each by itself. Texts without words are not taken. An empty table stays empty.
+    """
+    own = cut(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("nth")))
+    sized = cut(sizes(own.select("row.doc_id", "row.source", "row.text", "nth"), "nth", seed=seed))
+    found = taken_words(sized, weights, share, most, range_rows).where("taken > 0").select("nth", "size", "taken")
+    rows = own.join(found.hint("merge"), "nth")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") - whole * F.col("size")).cast("int")
+    rows = rows.select("row", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))).alias("part"))
+    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.greatest("part", F.lit(1))), " ")
+    rows = rows.select("row", "part", F.when(F.col("part") > 0, first).otherwise(F.col("row.text")).alias("text"))
+    new = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("mix_part") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+        new = new.withField("n_chars", F.when(F.col("part") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return rows.select(new.alias("row")).select("row.*")
 
 
 MIX_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5('20240601|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -101,7 +116,7 @@ WITH sized AS (
   SELECT source, source_size, coalesce(least(cap, weight * max(CASE WHEN level < cap / weight THEN level END) OVER ()), cap) AS target FROM levels
 ), placed AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, d.source, round(p.target)::BIGINT AS budget,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('20240601|' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target,
