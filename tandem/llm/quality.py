@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import cut
+from tandem.llm.common import cut, hot_join
 from tandem.llm.textkit import Words, buffers, mix_int, sub_batches
 
 BLANKS = "\t\n\x0b\x0c\r "
@@ -40,7 +40,9 @@ def repeated_words(words: Words, n: int = 3) -> np.ndarray:
     for k in range(n):
         key = (key ^ h[at + k]) * np.uint64(mix_int(k + 7) | 1)
         key ^= key >> np.uint64(29)
-    key = (row.astype(np.uint64) << np.uint64(52)) | (key >> np.uint64(12))
+    bits = np.uint64(64 - (len(runs) - 1).bit_length()) if len(runs) > 1 else np.uint64(64)  # of the hash: all 64 for a text of its own batch, as long ones are
+    if bits < 64:
+        key = (row.astype(np.uint64) << bits) | (key >> (np.uint64(64) - bits))
     order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
     twice = np.zeros(len(row), bool)
@@ -101,12 +103,21 @@ def host_verdicts(ruled: DataFrame, host_limit: float = 0.6) -> DataFrame:
     return one.select("source", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk <= host_limit).alias("host_kept"))
 
 
+def host_key(source: str):
+    """A key of the source that is never null: `-` for a null one, `+` and its name for others."""
+    return F.coalesce(F.concat(F.lit("+"), F.col(source).cast("string")), F.lit("-"))
+
+
+def with_host(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Joined on host: all hosts broadcast where they are few (checked), else only the common ones."""
+    return rows.join(F.broadcast(hosts), "host") if hosts.count() <= BROADCAST_HOSTS else hot_join(rows, hosts, "host")
+
+
 def quality_rules(docs: DataFrame, host_limit: float = 0.6) -> DataFrame:
     """Measures, base_failed, host_rate and kept for each row of `docs`."""
     ruled = cut(rules(measure(docs)))
-    hosts = cut(host_verdicts(ruled, host_limit).select(F.col("source").alias("host"), "host_rate", "host_kept"))
-    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts.hint("merge")
-    rows = ruled.join(hosts, F.col("source").eqNullSafe(F.col("host")))
+    hosts = cut(host_verdicts(ruled, host_limit).select(host_key("source").alias("host"), "host_rate", "host_kept"))
+    rows = with_host(ruled.withColumn("host", host_key("source")), hosts)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("host_kept")).alias("kept"), F.round("host_rate", 6).alias("host_rate"), "source",
@@ -114,13 +125,13 @@ def quality_rules(docs: DataFrame, host_limit: float = 0.6) -> DataFrame:
 
 
 def clean(docs: DataFrame, host_limit: float = 0.6) -> DataFrame:
-    """`docs` without the rows that the rules reject, columns as they were.
+    """`docs` without the rows that the rules reject, columns as they were, whatever their names.
 
     Hosts are judged first; then each row is measured again where it lies, so that no
-    text is shuffled and rows that share an id are judged by their own text.
+    text is shuffled and rows that share an id are judged by their own text. Null texts
+    go, as they hold too few words. An empty table stays empty.
     """
-    hosts = cut(host_verdicts(rules(measure(docs)), host_limit).select(F.col("source").alias("quality_host"), "host_kept"))
-    hosts = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts.hint("merge")
+    hosts = cut(host_verdicts(rules(measure(docs)), host_limit).select(host_key("source").alias("host"), "host_kept"))
 
     @F.pandas_udf("boolean")
     def passes(texts):  # noqa: ANN001
@@ -132,8 +143,11 @@ def clean(docs: DataFrame, host_limit: float = 0.6) -> DataFrame:
             found.append((words.count >= 50) & (100 * repeated_words(words) <= 50 * words.count))
         return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
 
-    rows = docs.join(hosts, docs["source"].cast("string").eqNullSafe(F.col("quality_host"))).where("host_kept")
-    return rows.where(passes(F.coalesce("text", F.lit("")))).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), host_key("source").alias("host"))
+    rows = rows.where(passes(F.coalesce("row.text", F.lit(""))))
+    if hosts.count() > BROADCAST_HOSTS:
+        rows = cut(rows)  # measured once, as it is read several times
+    return with_host(rows, hosts).where("host_kept").select("row.*")
 
 
 QUALITY_SQL = r"""
