@@ -121,7 +121,10 @@ def cluster_sums(pairs: DataFrame, by: list[str], cluster: str) -> DataFrame:
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Counts of every pair of levels, zero cells kept, shares of all and of the row, expected count. Only tables of levels are crossed."""
+    """Counts of every pair of levels, zero cells kept, shares of all and of the row, expected count.
+
+    Only tables of levels are crossed: for columns of few levels each (their product is the size of the result), not for free text.
+    """
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     grid = cells.select("a").distinct().crossJoin(cells.select("b").distinct())  # levels, not rows
     full = grid.join(cells, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))

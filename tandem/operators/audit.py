@@ -53,7 +53,7 @@ def consistency_report(effects: DataFrame, summary: DataFrame) -> DataFrame:
 def golden_compare(actual: DataFrame, expected: DataFrame, key: list[str], values: list[str], tolerance: float) -> DataFrame:
     """Keyed comparison: one row per key and value, missing keys on either side fail."""
     long = lambda df, n: df.select(*key, F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.col(v).cast("double").alias(n)) for v in values))).alias("x")).select(*key, "x.*")
-    both = long(actual, "actual").join(long(expected, "expected"), [*key, "value"], "full_outer")
+    both = long(actual, "actual").join(long(expected, "expected").hint("merge"), [*key, "value"], "full_outer")
     same = F.coalesce(F.abs(F.col("actual") - F.col("expected")) <= tolerance, F.col("actual").isNull() & F.col("expected").isNull())
     return both.withColumn("status", F.when(same, "PASS").otherwise("FAIL"))
 

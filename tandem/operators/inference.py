@@ -180,24 +180,75 @@ def ols_cluster_bootstrap(df: DataFrame, y: str, xs: list[str], cluster: str, re
     return point.join(interval(fits.where("rep > 0"), ["term"]).hint("merge"), "term")
 
 
-def logistic_fit(df: DataFrame, y: str, xs: list[str], l2: float = 1.0, balanced: bool = True, max_iter: int = 80):
-    """Spark ML logistic regression with an L2 penalty on slopes only; `balanced` weighs both classes alike. Returns the model and the weighted table."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+def logistic_fits(rows: DataFrame, keys: list[str], y: str, xs: list[str], l2: float = 1.0, balanced: bool = True, uses: dict[str, list[str]] | None = None, max_iter: int = 40, scale: bool = True) -> DataFrame:
+    """Regularised logistic regressions, one per value of `keys`, all in the same Spark jobs: keys, fit_b (intercept and slopes), fit_m and fit_s (what features are moved and multiplied by first).
 
-    rows = df.dropna(subset=[y, *xs]).withColumn(y, F.col(y).cast("double"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("p")).first()
-    pos, neg = n["p"] or 0.0, n["n"] - (n["p"] or 0.0)
-    w = F.when(F.col(y) == 1, n["n"] / (2 * max(pos, 1))).otherwise(n["n"] / (2 * max(neg, 1))) if balanced else F.lit(1.0)
-    rows = VectorAssembler(inputCols=xs, outputCol="features").transform(rows.withColumn("w", w.cast("double")))
-    model = LogisticRegression(labelCol=y, featuresCol="features", weightCol="w", regParam=l2 / max(n["n"], 1), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6).fit(rows)
-    return model, rows
+    Newton steps: gradient and information are sums over rows, grouped by key; p x p systems are solved on the driver,
+    so the number of fits must be small (thousands), the rows need not. L2 acts on slopes only; `balanced` weighs both
+    classes of a fit alike; `scale` standardises by the fit's own rows (an sd up to 1e-6 counts as 1). `uses` maps
+    values of the key `model` to the features that it has, others stay 0. Rows with NULLs are left out.
+    """
+    rows = cut(rows.dropna(subset=[y, *xs]).select(*keys, F.col(y).cast("double").alias("_y"), *(F.col(x).cast("double").alias(x) for x in xs)))
+    spark, p = rows.sparkSession, len(xs) + 1
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    first = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"), *(F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)), *(F.stddev_pop(x).alias(f"d{i}") for i, x in enumerate(xs))).collect()
+    fits = {}
+    for r in first:
+        key, n, pos = tuple(r[k] for k in keys), r["n"], r["pos"]
+        move = [r[f"m{i}"] if scale else 0.0 for i in range(p - 1)]
+        times = [1.0 if not scale or r[f"d{i}"] <= 1e-6 else 1 / r[f"d{i}"] for i in range(p - 1)]
+        if uses:
+            times = [t if x in uses[r["model"]] else 0.0 for t, x in zip(times, xs, strict=True)]
+        w = (n / (2 * max(n - pos, 1.0)), n / (2 * max(pos, 1.0))) if balanced else (1.0, 1.0)
+        fits[key] = {"b": np.zeros(p), "m": move, "s": times, "w": w}
+
+    def as_table(chosen):
+        data = [(*k, [float(v) for v in f["b"]], f["m"], f["s"], *f["w"]) for k, f in chosen.items()]
+        return spark.createDataFrame(data, f"{kinds}{', ' if kinds else ''}fit_b array<double>, fit_m array<double>, fit_s array<double>, fit_w0 double, fit_w1 double")
+
+    open_ = dict(fits)
+    for _ in range(max_iter):
+        if not open_:
+            break
+        now = F.broadcast(as_table(open_))
+        both = rows.join(now, keys) if keys else rows.crossJoin(now)
+        z = [F.lit(1.0), *((F.col(x) - F.col("fit_m")[i]) * F.col("fit_s")[i] for i, x in enumerate(xs))]
+        eta = sum((F.col("fit_b")[i] * z[i] for i in range(1, p)), F.col("fit_b")[0])
+        both = both.select(*keys, "_y", eta.alias("_eta"), *(v.alias(f"_z{i}") for i, v in enumerate(z)), F.when(F.col("_y") == 1, F.col("fit_w1")).otherwise(F.col("fit_w0")).alias("_w"))
+        both = both.withColumn("_p", 1 / (1 + F.exp(-F.col("_eta"))))
+        var, res = F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-7)) * F.col("_w"), (F.col("_y") - F.col("_p")) * F.col("_w")
+        sums = both.groupBy(*keys).agg(*(F.sum(var * F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"h{i}_{j}") for i in range(p) for j in range(i, p)), *(F.sum(res * F.col(f"_z{i}")).alias(f"g{i}") for i in range(p)))
+        for r in sums.collect():
+            key = tuple(r[k] for k in keys)
+            h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) + np.diag([1e-8, *[l2] * (p - 1)])
+            g = np.array([r[f"g{i}"] for i in range(p)]) - l2 * np.array([0.0, *open_[key]["b"][1:]])
+            for i in range(1, p):  # features that a fit does not have
+                if not open_[key]["s"][i - 1]:
+                    h[i, :] = h[:, i] = g[i] = 0.0
+                    h[i, i] = 1.0
+            step = np.linalg.lstsq(h, g, rcond=None)[0]
+            open_[key]["b"] = open_[key]["b"] + step
+            open_[key]["done"] = float(np.abs(step).max()) < 1e-9
+        open_ = {k: f for k, f in open_.items() if not f.get("done")}
+    return as_table(fits).select(*keys, "fit_b", "fit_m", "fit_s")
+
+
+def probability(xs: list[str]) -> Column:
+    """The fitted probability of rows that carry the columns fit_b, fit_m and fit_s."""
+    eta = sum((F.col("fit_b")[i + 1] * (F.col(x).cast("double") - F.col("fit_m")[i]) * F.col("fit_s")[i] for i, x in enumerate(xs)), F.col("fit_b")[0])
+    return 1 / (1 + F.exp(-eta))
+
+
+def logistic_coefficients(df: DataFrame, y: str, xs: list[str], l2: float = 1.0, balanced: bool = True) -> DataFrame:
+    """term, coefficient of one fit on features as they are."""
+    fit = logistic_fits(df, [], y, xs, l2, balanced, scale=False)
+    return fit.select(F.explode(F.arrays_zip(F.array(*map(F.lit, ["intercept", *xs])).alias("term"), F.col("fit_b").alias("coefficient"))).alias("x")).select("x.term", "x.coefficient")
 
 
 def cluster_robust_logit(df: DataFrame, y: str, xs: list[str], cluster: str, l2: float = 1e-6) -> DataFrame:
     """Odds ratios with sandwich intervals: scores summed per cluster in Spark, p x p algebra on the driver."""
-    model, rows = logistic_fit(df, y, xs, l2, balanced=False)
-    beta = np.array([model.intercept, *model.coefficients.toArray()])
+    rows = df.dropna(subset=[y, *xs])
+    beta = np.array(logistic_fits(rows, [], y, xs, l2, balanced=False, scale=False).first()["fit_b"])
     cols = [F.lit(1.0), *(F.col(x).cast("double") for x in xs)]
     eta = sum((F.lit(float(b)) * c for b, c in zip(beta, cols, strict=True)), F.lit(0.0))
     p = 1 / (1 + F.exp(-eta))

@@ -134,7 +134,7 @@ def prioritised_lookup(wanted: DataFrame, first: DataFrame, siblings: DataFrame)
 def index_lookup(units: DataFrame, records: DataFrame) -> DataFrame:
     """The step text at every listed index: units (unit_id, record_id, indices), records (record_id, steps). NULL out of range."""
     listed = units.select("unit_id", "record_id", F.posexplode("indices").alias("nth", "step_index"))
-    return listed.join(records, "record_id").select("unit_id", F.col("nth").cast("long").alias("nth"), F.col("step_index").cast("long").alias("step_index"), F.get("steps", F.col("step_index").cast("int")).alias("step"))
+    return listed.join(records.hint("merge"), "record_id").select("unit_id", F.col("nth").cast("long").alias("nth"), F.col("step_index").cast("long").alias("step_index"), F.get("steps", F.col("step_index").cast("int")).alias("step"))
 
 
 def provenance_match(wanted: DataFrame, completions: DataFrame) -> DataFrame:

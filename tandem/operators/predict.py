@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.exprs import hash_mod, stable_hash, wilson_upper
+from tandem.functions.exprs import stable_hash, wilson_upper
 from tandem.functions.storage import cut
-from tandem.operators.inference import logistic_fit
+from tandem.operators.inference import bootstrap_ci, logistic_fits, probability
 from tandem.operators.ranking import average_precision, certified_prefixes, roc_auc, running_sums, spearman
 
 
@@ -44,21 +44,29 @@ def combine_scores(scores: DataFrame, n_scorers: int, signs: dict | None = None)
     return out.where(F.col("_n") == n_scorers).drop("_n")
 
 
-def cross_validated_predictions(df: DataFrame, y: str, models: dict[str, list[str]], fold: str, k: int = 5, l2: float = 1.0) -> DataFrame:
-    """Out-of-fold probabilities: unit_id, model, fold, y, p. Each fit is a Spark ML job over all other folds."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def cross_validated_predictions(df: DataFrame, by: list[str], y: str, models: dict[str, list[str]], fold: str, k: int = 5, l2: float = 1.0, keep: tuple[str, ...] = ("unit_id",)) -> DataFrame:
+    """Out-of-fold probabilities: by, model, fold, keep, y, p. All fits (group x model x fold) share the same jobs; features are scaled by the fit's own rows."""
+    xs = list(dict.fromkeys(c for cols in models.values() for c in cols))
+    named = df.withColumn("model", F.explode(F.array(*map(F.lit, models)))).withColumnRenamed(fold, "_own")
+    train = named.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("_fold") != F.col("_own"))
+    fits = logistic_fits(train, [*by, "model", "_fold"], y, xs, l2, uses=models)
+    held = named.join(F.broadcast(fits), [*by, "model"]).where(F.col("_fold") == F.col("_own"))  # a row per fit
+    return held.dropna(subset=[y, *xs]).select(*by, "model", F.col("_own").cast("int").alias("fold"), *keep, F.col(y).cast("int").alias("y"), probability(xs).alias("p"))
 
-    parts = []
-    for name, cols in models.items():
-        scaled = cut(standardize(df.dropna(subset=[y, *cols]), fold, cols, k))  # read again by every fit
-        zs = [f"{c}_z" for c in cols]
-        for f in range(k):
-            model, _ = logistic_fit(scaled.where(F.col(fold) != f), y, zs, l2)
-            held = VectorAssembler(inputCols=zs, outputCol="features").transform(scaled.where(F.col(fold) == f))
-            p = model.transform(held.withColumn("w", F.lit(1.0)))
-            parts.append(p.select("unit_id", F.lit(name).alias("model"), F.col(fold).cast("int").alias("fold"), F.col(y).cast("int").alias("y"), vector_to_array("probability")[1].alias("p")))
-    return reduce(DataFrame.unionByName, parts)
+
+def fold_metrics(predictions: DataFrame, by: list[str], deltas: list[tuple[str, str]], reps: int = 1000, seed: int = 20260722, unit: str = "unit_id") -> DataFrame:
+    """by, model, metric, n (folds), estimate, ci_lower, ci_upper: AUPRC, AUROC and Brier score as means over folds with fold-bootstrap intervals, and paired AUPRC differences `left-right`."""
+    keys = [*by, "model", "fold"]
+    scored = cut(predictions.withColumnRenamed("p", "score"))
+    ap = average_precision(scored, keys, "score", "y", unit).select(*keys, F.lit("auprc").alias("metric"), F.col("average_precision").alias("v"))
+    auc = roc_auc(scored, keys, "score", "y").select(*keys, F.lit("auroc").alias("metric"), F.col("auroc").alias("v"))
+    brier = scored.groupBy(*keys).agg(F.avg(F.pow(F.col("score") - F.col("y"), 2)).alias("v")).select(*keys, F.lit("brier").alias("metric"), "v")
+    rows = cut(ap.unionByName(auc).unionByName(brier).where("v is not null"))  # folds x models x metrics rows
+    parts = [rows]
+    for left, right in deltas:
+        a, b = (rows.where((F.col("metric") == "auprc") & (F.col("model") == m)).select(*by, "fold", F.col("v").alias(n)) for m, n in ((left, "a"), (right, "b")))
+        parts.append(a.join(F.broadcast(b), [*by, "fold"]).select(*by, F.lit(f"{left}-{right}").alias("model"), "fold", F.lit("delta_auprc").alias("metric"), (F.col("a") - F.col("b")).alias("v")))
+    return bootstrap_ci(reduce(DataFrame.unionByName, parts), [*by, "model", "metric"], "fold", F.col("v"), F.lit(1), reps, seed).drop("clusters")
 
 
 def signal_audit(scores: DataFrame, effects: DataFrame, min_units: int = 50) -> DataFrame:
@@ -68,7 +76,7 @@ def signal_audit(scores: DataFrame, effects: DataFrame, min_units: int = 50) ->
     auc = roc_auc(both, ["scorer"], "score", "harmed").select("scorer", "auroc")
     ap = average_precision(both, ["scorer"], "score", "harmed").select("scorer", "average_precision")
     rho = spearman(both, ["scorer"], "score", "target_effect").select("scorer", "spearman")
-    return size.join(auc, "scorer").join(ap, "scorer").join(rho, "scorer")
+    return size.join(auc.hint("merge"), "scorer").join(ap.hint("merge"), "scorer").join(rho.hint("merge"), "scorer")
 
 
 def benchmark_evaluate(predictions: DataFrame, hidden: DataFrame, key: str = "unit_id") -> DataFrame:
@@ -86,11 +94,11 @@ def wilson_calibrated_policy(rows: DataFrame, split: str, score: str, danger: st
     """The largest coverage whose Wilson bound on the calibration half is within the budget, and what it gives on the test half."""
     g = running_sums(rows.select(split, unit, score, F.col(danger).cast("long").alias("_d")), [split], [score, unit], {"d": "_d"})
     n = rows.groupBy(split).agg(F.count(F.lit(1)).alias("n")).withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).withColumn("k", F.floor(F.col("n") * F.col("coverage")))
-    at = g.join(n, split).where("rank = k").select(split, "coverage", "k", (F.col("d") / F.col("k")).alias("rate"))
+    at = g.join(F.broadcast(n), split).where("rank = k").select(split, "coverage", "k", (F.col("d") / F.col("k")).alias("rate"))
     cal = at.where(F.col(split) == "calibration").withColumn("upper", wilson_upper("rate", "k", z)).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
     chosen = cal.where("upper <= budget").groupBy("budget").agg(F.max(F.struct("coverage", "upper")).alias("c")).select("budget", "c.*")
     test = at.where(F.col(split) == "test").select("coverage", F.col("k").alias("test_k"), F.col("rate").alias("test_rate"))
-    return chosen.join(test, "coverage")
+    return chosen.join(F.broadcast(test), "coverage")  # one row per coverage
 
 
 def score_policies(scores: DataFrame, units: DataFrame, least: float, most_spread: float) -> DataFrame:
@@ -120,39 +128,43 @@ def split_half_null(runs: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("units"), F.avg(d).alias("mean_difference"), F.avg((d < 0).cast("double")).alias("share_negative"), F.avg((d <= -0.5).cast("double")).alias("share_half_down"))
 
 
-def nested_policy_selection(units: DataFrame, features: list[str], splits: int = 4, budget: float = 0.05, inner: int = 3, cluster: str = "cluster_id", seed: int = 20260722) -> DataFrame:
-    """Outer splits by cluster: scores are fitted inside the calibration part, a prefix is certified there, and its coverage applied to the test part.
-
-    One row per split: certified coverage, and on the test part the units selected and their mean effect.
-    The calibration and test curves of all splits come out of the same jobs; the split is a policy key.
-    """
-    units, parts = cut(units), []
-    for s in range(splits):
-        marked = units.withColumn("part", F.when(hash_mod(stable_hash(cluster, f"{seed}-{s}"), 2) == 0, "calibration").otherwise("test"))
-        cal = marked.where("part = 'calibration'").withColumn("fold", hash_mod(stable_hash(cluster, f"{seed}-{s}-inner"), inner).cast("int"))
-        y = (F.col("effect") < 0).cast("int")
-        own = cross_validated_predictions(cal.withColumn("y_", y), "y_", {"m": features}, "fold", inner).select("unit_id", "p")
-        everything = cal.withColumn("y_", y).withColumn("fold", F.lit(1)).unionByName(marked.where("part = 'test'").withColumn("y_", y).withColumn("fold", F.lit(0)))
-        test = _fit_and_apply(everything, features)
-        scored = marked.join(own.unionByName(test), "unit_id")
-        parts.append(scored.select(F.concat(F.lit(f"{s}|"), "part").alias("policy"), "unit_id", cluster, "effect", F.lit(0.0).alias("tier"), (-F.col("p")).alias("policy_score"), F.lit(1.0).alias("w")))
-    rows = cut(reduce(DataFrame.unionByName, parts))
-    p = certified_prefixes(rows, cluster, 10).join(F.broadcast(rows.groupBy("policy").agg(F.count(F.lit(1)).alias("n"))), "policy").select(F.split("policy", r"\|")[0].cast("int").alias("split"), F.split("policy", r"\|")[1].alias("part"), "k", "n", "estimate", "lcb")
-    chosen = p.where("part = 'calibration'").groupBy("split").agg(F.max(F.when(F.col("lcb") >= -budget, F.col("k") / F.col("n"))).alias("coverage"))
-    test = p.where("part = 'test'").join(chosen, "split").where(F.col("k") <= F.col("coverage") * F.col("n"))
-    best = test.groupBy("split").agg(F.max(F.struct("k", "estimate")).alias("b"))
-    return chosen.join(best, "split", "left").select("split", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("b.k", F.lit(0)).alias("selected"), F.col("b.estimate").alias("mean_effect"))
-
-
-def _fit_and_apply(df: DataFrame, features: list[str]) -> DataFrame:
-    """Fitted on fold 1, applied to fold 0, scaled by fold 1."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    scaled = cut(standardize(df, "fold", features, 2))
-    zs = [f"{c}_z" for c in features]
-    model, _ = logistic_fit(scaled.where("fold = 1"), "y_", zs)
-    out = model.transform(VectorAssembler(inputCols=zs, outputCol="features").transform(scaled.where("fold = 0").withColumn("w", F.lit(1.0))))
-    return out.select("unit_id", vector_to_array("probability")[1].alias("p"))
+def nested_policy_selection(pairs: DataFrame, units: DataFrame, static: dict[str, tuple[Column, Column]], models: dict[str, list[str]], splits: int = 20, inner: int = 5, budgets: tuple[float, ...] = (0.01, 0.05), cluster: str = "cluster_id", seed: int = 20260722, step: int = 10) -> DataFrame:
+    """Policies certified on one half of the clusters and tried on the other, over `splits` outer splits.
 
+    Models predict danger and benefit of a unit from runs of the calibration half: its own units by `inner` folds, the
+    test half by a fit on all of them; the score is P(benefit) - P(danger). On the calibration half the largest prefix
+    whose cluster-robust bound is within the budget gives a coverage, which is applied to the test half. Splits,
+    folds, models, tasks, policies and weightings are key columns of the same jobs.
 
+    pairs: unit_id, `cluster`, danger, benefit, control_outcome and the features of its unit; units: unit_id, `cluster`,
+    effect, w (natural weight) and the features. One row per regime, policy and budget: splits with any coverage,
+    median, least and greatest coverage, median test effect per selected unit and median share of harmed units.
+    """
+    xs = list(dict.fromkeys(c for cols in models.values() for c in cols))
+    part = lambda s: F.pmod(F.xxhash64(F.col(cluster), s, F.lit(seed)), F.lit(2)) == 0
+    fold = lambda s: F.pmod(F.xxhash64(F.col(cluster), s, F.lit(seed + 1)), F.lit(inner)).cast("int")
+    over = lambda df: df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumns({"cal": part(F.col("split")), "own": fold(F.col("split"))})
+    task = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), F.col(t).cast("int").alias("y")) for t in ("danger", "benefit"))))
+    named = over(pairs).where("cal").select("split", "own", *xs, task.alias("t")).select("split", "own", *xs, "t.*").withColumn("model", F.explode(F.array(*map(F.lit, models))))
+    train = named.withColumn("fit", F.explode(F.sequence(F.lit(-1), F.lit(inner - 1)))).where("fit <> own")  # fit -1: all of the calibration half
+    fits = logistic_fits(train, ["split", "task", "model", "fit"], "y", xs, uses=models)
+    asked = over(units).withColumn("fit", F.when(F.col("cal"), F.col("own")).otherwise(F.lit(-1)))
+    p = asked.join(F.broadcast(fits), ["split", "fit"]).withColumn("p", probability(xs) * F.when(F.col("task") == "benefit", 1).otherwise(-1))  # a row per fit
+    learned = p.groupBy("split", "cal", "unit_id", cluster, "effect", "w", F.concat(F.lit("model "), "model").alias("policy")).agg(F.lit(0.0).alias("tier"), F.sum("p").alias("policy_score"))
+    rules = F.explode(F.array(*(F.struct(F.lit(n).alias("policy"), t.cast("double").alias("tier"), s.cast("double").alias("policy_score")) for n, (t, s) in static.items())))
+    fixed = over(units).select("split", "cal", "unit_id", cluster, "effect", "w", rules.alias("r")).select("split", "cal", "unit_id", cluster, "effect", "w", "r.*")
+    rows = fixed.unionByName(learned.select(fixed.columns)).withColumn("regime", F.explode(F.array(F.lit("balanced"), F.lit("natural")))).withColumn("w", F.when(F.col("regime") == "balanced", 1.0).otherwise(F.col("w")))
+    name = F.concat_ws("|", "regime", "policy", "split")
+    rows = cut(rows.select("cal", "unit_id", cluster, "effect", "w", "tier", "policy_score", name.alias("policy")))
+    bounds = certified_prefixes(rows.where("cal"), cluster, step).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+    size = rows.groupBy("policy").agg(F.sum(F.col("cal").cast("long")).alias("n_cal"), F.sum((~F.col("cal")).cast("long")).alias("n_test"))
+    chosen = bounds.groupBy("policy", "budget").agg(F.max(F.when((F.col("lcb") >= -F.col("budget")) & (F.col("k") % step == 0), F.col("k"))).alias("k"))
+    chosen = chosen.join(size.hint("merge"), "policy").withColumn("coverage", F.coalesce(F.col("k") / F.col("n_cal"), F.lit(0.0))).withColumn("k_test", F.round(F.col("coverage") * F.col("n_test")).cast("long"))
+    sums = {"sa": F.col("w") * F.col("effect"), "sb": F.col("w"), "harmed": F.when(F.col("effect") < 0, F.col("w")).otherwise(0.0)}
+    test = running_sums(rows.where("not cal").withColumn("_h", stable_hash("unit_id", seed)), ["policy"], ["tier", "-policy_score", "_h", "unit_id"], sums)
+    at = chosen.join(test.select("policy", F.col("rank").alias("k_test"), (F.col("sa") / F.col("sb")).alias("net"), (F.col("harmed") / F.col("sb")).alias("share")).hint("merge"), ["policy", "k_test"], "left")
+    keys = F.split("policy", r"\|")
+    return at.groupBy(keys[0].alias("regime"), keys[1].alias("policy"), "budget").agg(
+        F.count(F.lit(1)).alias("splits"), F.sum((F.col("coverage") > 0).cast("int")).alias("splits_with_coverage"), F.percentile("coverage", F.lit(0.5)).alias("median_coverage"), F.min("coverage").alias("least_coverage"),
+        F.max("coverage").alias("greatest_coverage"), F.percentile("net", F.lit(0.5)).alias("median_test_effect"), F.percentile("share", F.lit(0.5)).alias("median_test_harmed"),
+    )

@@ -145,10 +145,49 @@ def ols(spark, sf_dir):
     return I.ols_cluster_bootstrap(effect_units(spark, sf_dir), "target_effect", ["size"], "cluster_id", 50, SEED).select("term", "coefficient")
 
 
-@query("inf_12b_ols_intervals")
+def elimination(source: str, p: int, right: list[str], keep: str) -> tuple[dict[str, str], str]:
+    """CTEs that solve p equations a_i_j with right sides <name>_i: Gauss-Jordan steps, each a select over the one before; and the last one's name."""
+    names = [f"a_{{0}}_{j}" for j in range(p)] + [r + "_{0}" for r in right]
+    ctes, last = {}, source
+    for k in range(p):
+        cols = [f"{n.format(k)} / a_{k}_{k} AS {n.format(k)}" if i == k else f"{n.format(i)} - a_{i}_{k} * {n.format(k)} / a_{k}_{k} AS {n.format(i)}" for i in range(p) for n in names]
+        ctes[f"{source}_e{k}"] = f"SELECT {keep}{', ' if keep else ''}{', '.join(cols)} FROM {last}"
+        last = f"{source}_e{k}"
+    return ctes, last
+
+
+def newton(rows: str, y: str, xs: list[str], l2: float, weight: str, steps: int = 8) -> tuple[dict[str, str], str]:
+    """CTEs of a logistic regression by Newton steps over the table `rows`; the last has b_0... in one row."""
+    x, p = ["1", *xs], len(xs) + 1
+    ctes, last = {"nw_0": "SELECT " + ", ".join(f"0::DOUBLE AS b_{i}" for i in range(p))}, "nw_0"
+    for t in range(1, steps + 1):
+        eta = " + ".join(f"b_{i} * ({c})" for i, c in enumerate(x))
+        v, r = f"greatest(pr * (1 - pr), 1e-7) * ({weight})", f"({y} - pr) * ({weight})"
+        sums = [f"sum({v} * ({x[i]}) * ({x[j]})) + {(l2 if i else 1e-8) if i == j else 0}::DOUBLE AS a_{i}_{j}" for i in range(p) for j in range(p)]
+        sums += [f"sum({r} * ({x[i]})) - {l2 if i else 0}::DOUBLE * any_value(b_{i}) AS g_{i}" for i in range(p)] + [f"any_value(b_{i}) AS b_{i}" for i in range(p)]
+        ctes[f"m{t}"] = f"SELECT {', '.join(sums)} FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS pr FROM {rows}, {last})"
+        more, end = elimination(f"m{t}", p, ["g"], ", ".join(f"b_{i}" for i in range(p)))
+        ctes |= more | {f"nw_{t}": "SELECT " + ", ".join(f"b_{i} + g_{i} AS b_{i}" for i in range(p)) + f" FROM {end}"}
+        last = f"nw_{t}"
+    return ctes, last
+
+
+OLS = ["size", "price", "late", "essential"]
+OLS_X = ["1", *OLS]
+OLS_SUMS = {f"a_{i}_{j}": f"({a}) * ({b})" for i, a in enumerate(OLS_X) for j, b in enumerate(OLS_X)} | {f"g_{i}": f"({a}) * target_effect" for i, a in enumerate(OLS_X)}
+OLS_W, OLS_U = weight(SEED, "rep", "cluster")
+OLS_STEPS, OLS_END = elimination("sy", len(OLS_X), ["g"], "rep")
+
+
+@query("inf_12b_ols_intervals", sql(
+    " UNION ALL ".join(f"SELECT '{n}' AS term, any_value(g_{i}) FILTER (rep = 0) AS coefficient, quantile_cont(g_{i}, 0.025) FILTER (rep > 0) AS ci_lower, quantile_cont(g_{i}, 0.975) FILTER (rep > 0) AS ci_upper FROM {OLS_END}" for i, n in enumerate(["intercept", *OLS])),
+    eu=EU, ox="SELECT *, (position = 'late')::INT AS late, (type = 'essential')::INT AS essential FROM eu WHERE target_effect IS NOT NULL",
+    oc="SELECT cluster_id AS cluster, " + ", ".join(f"sum({v})::DOUBLE AS {k}" for k, v in OLS_SUMS.items()) + " FROM ox GROUP BY 1",
+    sy="SELECT rep, " + ", ".join(f"sum(w * {k}) AS {k}" for k in OLS_SUMS) + f" FROM (SELECT *, CASE WHEN rep = 0 THEN 1 ELSE {OLS_W} END AS w FROM (SELECT oc.*, rep, {OLS_U} AS u FROM oc, range(0, {REPS + 1}) r(rep))) GROUP BY rep",
+    **OLS_STEPS), "coefficient ci_lower ci_upper")
 def ols_intervals(spark, sf_dir):
     e = effect_units(spark, sf_dir).withColumns({"late": (F.col("position") == "late").cast("int"), "essential": (F.col("type") == "essential").cast("int")})
-    return I.ols_cluster_bootstrap(e, "target_effect", ["size", "price", "late", "essential"], "cluster_id", REPS, SEED)
+    return I.ols_cluster_bootstrap(e, "target_effect", OLS, "cluster_id", REPS, SEED)
 
 
 def regression_rows(spark, sf_dir):
@@ -157,17 +196,33 @@ def regression_rows(spark, sf_dir):
     return r.join(u, "unit_id").withColumn("anchor_deleted", F.col("anchor") * F.col("deleted"))
 
 
-@query("inf_13_logistic_fit")
+REGRESSION = "SELECT r.outcome, r.cluster_id, (r.condition = 'target_delete')::INT AS deleted, (cell = 'anchor')::INT AS anchor, (cell = 'anchor' AND r.condition = 'target_delete')::INT AS anchor_deleted, size / 50.0::DOUBLE AS size50 FROM runs r JOIN units USING (unit_id) WHERE r.condition IN ('control', 'target_delete')"
+LOGIT = ["deleted", "anchor", "anchor_deleted", "size50"]
+LOGIT_STEPS, LOGIT_END = newton("rx", "outcome", LOGIT, 1.0, "CASE WHEN outcome = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END")
+
+
+@query("inf_13_logistic_fit", sql(" UNION ALL ".join(f"SELECT '{n}' AS term, b_{i} AS coefficient FROM {LOGIT_END}" for i, n in enumerate(["intercept", *LOGIT])),
+    rg=REGRESSION, rx="SELECT *, count(*) OVER ()::DOUBLE AS n, sum(outcome) OVER ()::DOUBLE AS pos FROM rg", **LOGIT_STEPS), "coefficient")
 def logistic(spark, sf_dir):
-    xs = ["deleted", "anchor", "anchor_deleted", "size50"]
-    model, _ = I.logistic_fit(regression_rows(spark, sf_dir), "outcome", xs)
-    values = [("intercept", float(model.intercept)), *zip(xs, map(float, model.coefficients.toArray()), strict=True)]
-    return spark.createDataFrame(values, "term string, coefficient double")
+    return I.logistic_coefficients(regression_rows(spark, sf_dir), "outcome", LOGIT)
+
+
+ROBUST_XS = ["deleted", "anchor", "anchor_deleted"]
+RX = ["1", *ROBUST_XS]
+ROBUST_STEPS, ROBUST_END = newton("rg", "outcome", ROBUST_XS, 1e-6, "1")
+ROBUST_P = "1 / (1 + exp(-(" + " + ".join(f"b_{i} * ({x})" for i, x in enumerate(RX)) + ")))"
+BREAD_STEPS, BREAD_END = elimination("info", 4, [f"u{j}" for j in range(4)], "")
 
 
-@query("inf_14_cluster_robust_logit")
+@query("inf_14_cluster_robust_logit", sql(
+    " UNION ALL ".join(f"SELECT '{n}' AS term, b_{i} AS coefficient, se_{i} AS se, exp(b_{i}) AS odds_ratio, exp(b_{i} - 1.96 * se_{i}) AS or_lower, exp(b_{i} + 1.96 * se_{i}) AS or_upper FROM errors, fitted" for i, n in enumerate(["intercept", *ROBUST_XS])),
+    rg=REGRESSION, **ROBUST_STEPS, fitted=f"SELECT * FROM {ROBUST_END}", pr=f"SELECT rg.*, {ROBUST_P} AS pr FROM rg, fitted",
+    info="SELECT " + ", ".join([f"sum(pr * (1 - pr) * ({a}) * ({b})) AS a_{i}_{j}" for i, a in enumerate(RX) for j, b in enumerate(RX)] + [f"{int(i == j)}::DOUBLE AS u{j}_{i}" for i in range(4) for j in range(4)]) + " FROM pr",
+    **BREAD_STEPS, sc="SELECT cluster_id, " + ", ".join(f"sum((outcome - pr) * ({x})) AS s_{i}" for i, x in enumerate(RX)) + " FROM pr GROUP BY 1",
+    meat="SELECT count(*) AS m, " + ", ".join(f"sum(s_{i} * s_{j}) AS m_{i}_{j}" for i in range(4) for j in range(4)) + " FROM sc",
+    errors="SELECT " + ", ".join(f"sqrt(m / (m - 1)::DOUBLE * ({' + '.join(f'u{j}_{i} * m_{j}_{k} * u{k}_{i}' for j in range(4) for k in range(4))})) AS se_{i}" for i in range(4)) + f" FROM {BREAD_END}, meat"), "coefficient se odds_ratio or_lower or_upper")
 def robust_logit(spark, sf_dir):
-    return I.cluster_robust_logit(regression_rows(spark, sf_dir), "outcome", ["deleted", "anchor", "anchor_deleted"], "cluster_id")
+    return I.cluster_robust_logit(regression_rows(spark, sf_dir), "outcome", ROBUST_XS, "cluster_id")
 
 
 @query("inf_15_power_grid", sql(f"""SELECT size, scale, count(*) AS sims, avg((abs(m - mean + mean * scale) > 1.96 * sd / sqrt(size))::INT) AS power FROM (

@@ -6,6 +6,7 @@ from tandem.functions import exprs as X
 from tandem.operators import aggregates as A
 from tandem.operators import predict as P
 from tandem.operators import ranking as R
+from tandem.operators import sampling as S
 from tandem.operators.joins import pair_runs
 from tandem.plans.aggregates import EU, effect_units
 from tandem.plans.registry import query
@@ -137,10 +138,25 @@ def calibrated(spark, sf_dir):
     return P.wilson_calibrated_policy(s, "split", "score", "y", [0.45, 0.55], [0.1, 0.25, 0.5, 1.0]).select("budget", "coverage", "upper", "test_k", "test_rate")
 
 
+MODELS = {"A": ["neg"], "B": ["log_price"], "C": ["neg", "late"], "D": ["neg", "late", "log_price"], "E": ["neg", "late", "log_price", "log_size"]}
+FEATURES = ("neg", "late", "log_price", "log_size")
+
+
+def predictive_units(spark, sf_dir):
+    return units(spark, sf_dir).withColumns({"neg": (F.col("valence") == -1).cast("double"), "late": (F.col("position") == "late").cast("double"), "log_price": F.log1p("price"), "log_size": F.log1p("size")})
+
+
+def predictive_pairs(spark, sf_dir):
+    p = pair_runs(runs(spark, sf_dir)).select("unit_id", "run_id", "danger", "benefit", "control_outcome")
+    return p.join(predictive_units(spark, sf_dir).select("unit_id", "cluster_id", *FEATURES), "unit_id")
+
+
 @query("crv_09_nested_policy_selection")
 def nested(spark, sf_dir):
-    u = policy_units(spark, sf_dir).withColumns({"neg": (F.col("valence") == -1).cast("double"), "log_price": F.log1p("price")}).where("effect is not null")
-    return P.nested_policy_selection(u, ["neg", "log_price"], splits=2, inner=2)
+    u = policy_units(spark, sf_dir).where("effect is not null").select("unit_id", "effect", "w", "valence").join(predictive_units(spark, sf_dir).select("unit_id", "cluster_id", "price", *FEATURES), "unit_id")
+    zero = F.lit(0.0)
+    static = {"random": (zero, zero), "valence_first": (F.col("valence"), F.col("price")), "price": (zero, F.col("price"))}
+    return P.nested_policy_selection(predictive_pairs(spark, sf_dir), u, static, {m: MODELS[m] for m in "DE"})
 
 
 SC = "SELECT o_orderkey AS unit_id, list_avg(s) AS m, list_max(s) - list_min(s) AS spread, o_totalprice / 100000 - 2.5 AS effect FROM (SELECT *, [(o_custkey % 11) / 10.0::DOUBLE, (o_custkey % 7) / 6.0::DOUBLE] AS s FROM orders)"
@@ -205,9 +221,13 @@ def signals(spark, sf_dir):
 
 @query("met_09_cross_validated_predictions")
 def out_of_fold(spark, sf_dir):
-    u = policy_units(spark, sf_dir).where("effect is not null").withColumns({"y": (F.col("effect") < 0).cast("int"), "neg": (F.col("valence") == -1).cast("double"), "log_price": F.log1p("price"), "fold": X.hash_mod(X.stable_hash("cluster_id", 7), 3).cast("int")})
-    p = P.cross_validated_predictions(u, "y", {"A": ["neg"], "B": ["neg", "log_price"]}, "fold", 3)
-    return R.roc_auc(p.withColumnRenamed("p", "score"), ["model"])
+    folds = S.grouped_kfold(units(spark, sf_dir), "cluster_id", 5).select("cluster_id", "fold")
+    rows = predictive_pairs(spark, sf_dir).join(folds.hint("merge"), "cluster_id")
+    # danger can only befall runs that were right, benefit only those that were wrong
+    task = F.when(F.col("control_outcome") == 1, "danger").otherwise("benefit")
+    rows = rows.withColumns({"task": task, "y": F.when(F.col("control_outcome") == 1, F.col("danger")).otherwise(F.col("benefit")), "row": F.concat_ws("-", "unit_id", "run_id")})
+    p = P.cross_validated_predictions(rows, ["task"], "y", MODELS, "fold", 5, keep=("row",))
+    return P.fold_metrics(p, ["task"], [("C", "A"), ("D", "C"), ("E", "D"), ("E", "A")], unit="row")
 
 
 PRED = "SELECT unit_id, (size % 10) / 10.0::DOUBLE AS pd, (size % 7) / 7.0::DOUBLE AS pb, (target_effect < 0)::INT AS danger, (target_effect > 0)::INT AS benefit FROM eu WHERE target_effect IS NOT NULL"

@@ -302,7 +302,7 @@ def counted(spark, sf_dir):
     return ST.latest_counts(spark, sink, ["user_id", "event_type"])
 
 
-@query("udf_02_sample_statistic")
+@query("udf_02_sample_statistic", sql(f"SELECT type, quantile_cont(target_effect, 0.9) - quantile_cont(target_effect, 0.1) AS statistic FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY {h('unit_id')}, unit_id) AS n FROM eu WHERE target_effect IS NOT NULL) WHERE n <= 5000 GROUP BY 1", eu=EU), "statistic")
 def custom_statistic(spark, sf_dir):
     from tandem.functions.udfs import grouped_statistic
 

@@ -12,6 +12,7 @@ from tandem.operators import aggregates as A
 from tandem.operators import audit as C
 from tandem.operators import inference as I
 from tandem.operators import joins as J
+from tandem.operators import predict as P
 from tandem.operators import ranking as R
 from tandem.operators import sampling as S
 from tandem.sources import readers as RD
@@ -244,3 +245,86 @@ def test_verdict_before_generation(spark, tmp_path):
     ST.verdict_join_streams(gs, vs, "task", "answer", "ts", "vt").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(out)
     assert [(r.task, r.verdict) for r in out.collect()] == [("a", True)]
+
+
+def newton(x, y, l2=1.0, balanced=True):
+    """Independent fit: intercept and slopes by plain Newton steps."""
+    x, y = np.column_stack([np.ones(len(x)), x]), np.asarray(y, float)
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))) if balanced else np.ones(len(y))
+    b, ridge = np.zeros(x.shape[1]), l2 * np.diag([0.0, *[1.0] * (x.shape[1] - 1)])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve(x.T @ (x * (w * p * (1 - p))[:, None]) + ridge, x.T @ (w * (y - p)) - ridge @ b)
+    return b
+
+
+def scaled(x, by):
+    sd = by.std(0)
+    return (x - by.mean(0)) / np.where(sd <= 1e-6, 1, sd)
+
+
+def test_out_of_fold_predictions_equal_single_fits(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(3, 2, 240), rng.integers(0, 2, 240), np.full(240, 7.0)])
+    y = (rng.random(240) < 1 / (1 + np.exp(-(x[:, 0] - 3 + x[:, 1])))).astype(int)
+    fold, task = rng.integers(0, 3, 240), rng.integers(0, 2, 240)
+    df = spark.createDataFrame([(i, f"t{task[i]}", int(fold[i]), int(y[i]), *map(float, x[i])) for i in range(240)], "unit_id int, task string, fold int, y int, a double, b double, c double")
+    models = {"one": ["a"], "all": ["a", "b", "c"]}
+    got = {(r.model, r.unit_id): r.p for r in P.cross_validated_predictions(df, ["task"], "y", models, "fold", 3).collect()}
+    assert len(got) == 480
+    for name, cols in models.items():
+        at = ["abc".index(c) for c in cols]
+        for t in (0, 1):
+            for f in range(3):
+                learn, held = (task == t) & (fold != f), np.flatnonzero((task == t) & (fold == f))
+                b = newton(scaled(x[learn][:, at], x[learn][:, at]), y[learn])
+                p = 1 / (1 + np.exp(-(b[0] + scaled(x[held][:, at], x[learn][:, at]) @ b[1:])))
+                assert np.allclose([got[name, i] for i in held], p, atol=1e-6)
+
+
+def test_nested_policies_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    n, splits, inner = 160, 3, 2
+    f, cluster = rng.normal(0, 1, n), rng.integers(0, 40, n)
+    effect, w = np.round(f * 0.3 + rng.normal(0, 0.2, n), 3), rng.choice([0.5, 1.0, 2.0], n)
+    units = spark.createDataFrame([(i, f"c{cluster[i]}", float(effect[i]), float(w[i]), float(f[i])) for i in range(n)], "unit_id long, cluster_id string, effect double, w double, f double")
+    runs_ = [(i, f"c{cluster[i]}", int(rng.random() < 0.5 - effect[i] / 2), int(rng.random() < 0.5 + effect[i] / 2), float(f[i])) for i in range(n) for _ in range(3)]
+    pairs = spark.createDataFrame(runs_, "unit_id long, cluster_id string, danger int, benefit int, f double")
+    got = {(r.regime, r.policy, r.budget): r for r in P.nested_policy_selection(pairs, units, {"fixed": (F.lit(0), F.col("f"))}, {"M": ["f"]}, splits, inner, (0.02, 0.3)).collect()}
+    deal = {(r.cluster_id, r.s): (r.cal, r.own) for r in units.select("cluster_id").distinct().crossJoin(spark.range(splits).select(F.col("id").cast("int").alias("s"))).select("cluster_id", "s", (F.expr("pmod(xxhash64(cluster_id, s, 20260722), 2)") == 0).alias("cal"), F.expr(f"pmod(xxhash64(cluster_id, s, 20260723), {inner})").alias("own")).collect()}
+    h = [r.h for r in units.orderBy("unit_id").select(X.stable_hash("unit_id", 20260722).alias("h")).collect()]
+    rf, found = np.array([r[4] for r in runs_]), {}
+    for s in range(splits):
+        cal = np.array([deal[f"c{c}", s][0] for c in cluster])
+        own = np.array([deal[f"c{c}", s][1] for c in cluster])
+        of = np.array([r[0] for r in runs_])
+        score = np.zeros(n)
+        for k in (-1, *range(inner)):
+            learn = cal[of] & (own[of] != k)
+            ask = ~cal if k == -1 else cal & (own == k)
+            for c, sign in ((2, -1), (3, 1)):
+                b = newton(scaled(rf[learn], rf[learn])[:, None], [r[c] for r, u in zip(runs_, learn, strict=True) if u])
+                score[ask] += sign / (1 + np.exp(-(b[0] + b[1] * scaled(f[ask], rf[learn]))))
+        for policy, value in (("fixed", f), ("model M", score)):
+            for regime, weight in (("balanced", np.ones(n)), ("natural", w)):
+                order = lambda side, v=value: sorted(np.flatnonzero(side), key=lambda i: (-v[i], h[i], i))
+                a, t = order(cal), order(~cal)
+                for budget in (0.02, 0.3):
+                    best = 0
+                    for k in range(10, len(a) + 1, 10):
+                        sums = {}
+                        for i in a[:k]:
+                            sums.setdefault(cluster[i], np.zeros(2))
+                            sums[cluster[i]] += (weight[i] * effect[i], weight[i])
+                        m = np.array(list(sums.values()))
+                        theta = m[:, 0].sum() / m[:, 1].sum()
+                        lcb = theta - 1.645 * np.sqrt(len(m) / (len(m) - 1) * ((m[:, 0] - theta * m[:, 1]) ** 2).sum()) / m[:, 1].sum() if len(m) > 1 else -1
+                        best = k if lcb >= -budget else best
+                    top = t[: int(best / len(a) * len(t) + 0.5)]
+                    net = (weight[top] * effect[top]).sum() / weight[top].sum() if top else None
+                    found.setdefault((regime, policy, budget), []).append((best / len(a), net))
+    assert set(found) == set(got)
+    for key, rows_ in found.items():
+        nets = [x for _, x in rows_ if x is not None]
+        assert got[key].splits == splits and got[key].median_coverage == pytest.approx(np.median([c for c, _ in rows_])), key
+        assert (got[key].median_test_effect is None and not nets) or got[key].median_test_effect == pytest.approx(np.median(nets)), key
