@@ -81,15 +81,6 @@ def test_pack_is_whole_and_gapless(spark, plain):
         check_pack(packing.pack(docs(spark), size=256, partitions=partitions).collect(), TEXTS, plain, 256)
 
 
-def test_hilbert_visits_neighbours():
-    side = 4
-    grid = np.array([[i, j, k] for i in range(side) for j in range(side) for k in range(side)])
-    key = packing.hilbert(grid, bits=2)
-    assert sorted(key) == list(range(side**3))
-    ordered = grid[np.argsort(key)]
-    assert (np.abs(np.diff(ordered, axis=0)).sum(1) == 1).all()
-
-
 def test_targets_by_filling(spark):
     rng = np.random.default_rng(2)
     sizes = {f"s{i}": int(rng.integers(0, 400)) for i in range(9)} | {None: 50}
@@ -138,3 +129,59 @@ def test_repeated_rows_and_extra_columns(spark, plain):
     df = docs(spark, ["same text"] * 5).withColumns({"curve": F.lit("clash"), "spread": F.lit(1)})
     assert packing.pack(df, size=8).agg(F.sum("length")).first()[0] == 5 * (len(plain("same text")) + 1)
     assert mixing.mix_sources(df.withColumn("size", F.lit(7)).withColumn("doc_id", F.lit(1).cast("long"))).count() == 5
+
+
+def test_projection_equals_plain_sums():
+    texts = ["a b b c", "", "Ünï x " * 7, "the cat sat on the mat " * 20]
+    words = packing.Words(pa.array(texts))
+    key = dict(zip(words.strings(np.arange(len(words))), packing.mix(words.hashes()).tolist(), strict=True))
+    got = packing.project(words)
+    for t, point in zip(texts, got.tolist(), strict=True):
+        tf = Counter(t.split())
+        norm = sum((1 + np.log(n)) ** 2 for n in tf.values()) ** 0.5
+        for k in range(packing.DIMENSIONS):
+            x = sum((1 + np.log(n)) * (1 if key[w] >> k & 1 else -1) for w, n in tf.items()) / norm if tf else None
+            want = 0 if x is None else min(255, int(256 * (0.5 + 0.5 * np.tanh(0.7978845608 * (x + 0.044715 * x**3)))))
+            assert abs(point[k] - want) <= 1, (t, k)
+
+
+@pytest.mark.parametrize("dims, bits", [(2, 4), (3, 3), (4, 2)])
+def test_hilbert_is_one_path_through_all_cells(dims, bits):
+    cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
+    key = packing.hilbert(cells, bits)
+    assert sorted(key.tolist()) == list(range(len(cells)))
+    assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(1) == 1).all()
+
+
+def test_pieces_follow_the_curve_in_balanced_ranges(spark, plain):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, int(n)) % 500) for n in rng.lognormal(5, 1, 500)] + ["copy of a text " * 90] * 150
+    df = docs(spark, texts)
+    rows = sorted(packing.pack(df, partitions=6).collect(), key=lambda r: (r.sequence_id, r.offset))
+    place = {r.doc_id: r.place for r in packing.place_keys(df).collect()}
+    ranges = defaultdict(list)
+    for r in rows:
+        ranges[r.sequence_id >> 32].append(r)
+    size = [sum(len(texts[r.doc_id]) for r in own if not r.start) for own in ranges.values()]
+    assert len(ranges) == 6 and max(size) < 1.6 * np.mean(size)  # of bytes, though a hundred and fifty copies lie on one place of the curve
+    last = -1
+    for _, own in sorted(ranges.items()):
+        order = [r.doc_id for r in own if not r.start]
+        assert [place[i] for i in order] == sorted(place[i] for i in order) and place[order[0]] > last
+        last = place[order[-1]]
+        # the same documents poured into sequences one after another
+        pieces, at, total = [], 0, sum(len(plain(texts[i])) + 1 for i in order)
+        cuts = list(range(2048, total, 2048))
+        tail, end = total % 2048, total - total % 2048
+        while tail:
+            step = 1 << (tail.bit_length() - 1)
+            end, tail = end + step, tail - step
+            cuts.append(end)
+        cuts = sorted({*cuts, total})
+        for i in order:
+            n, start = len(plain(texts[i])) + 1, 0
+            while start < n:
+                stop = min(n, start + next(c for c in cuts if c > at) - at)
+                pieces.append((i, start, stop - start))
+                at, start = at + stop - start, stop
+        assert [(r.doc_id, r.start, r.length) for r in own] == pieces
