@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.exprs import stable_hash
 from tandem.functions.storage import cut
-from tandem.operators.inference import lcb_of
+from tandem.operators.inference import bootstrap_ci, lcb_of
 
 
 def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column | str], totals: bool = False) -> DataFrame:
@@ -179,6 +179,21 @@ def risk_coverage_curve(ranked: DataFrame, step: int = 10) -> DataFrame:
     )
 
 
+def operating_points(ranked: DataFrame, natural: Column, coverages: list[float], cluster: str = "cluster_id", reps: int = 1000, seed: int = 20260722) -> DataFrame:
+    """policy, point, k, n, clusters, estimate, ci_lower, ci_upper: net change of the whole cohort when the first k units are taken, with its bootstrap interval.
+
+    Points are the policy's natural set, as many units as `natural` holds for, and fixed coverages. Input as for
+    `risk_coverage_curve`, with the cluster.
+    """
+    rows = ranked.withColumn("_h", stable_hash("unit_id", 20260722)).withColumn("_natural", F.when(natural, 1).otherwise(0))
+    g = running_sums(rows, ["policy"], ["tier", "-policy_score", "_h", "unit_id"], {"_set": "_natural"}, totals=True)
+    at = [F.struct(F.lit("natural").alias("point"), F.col("_set_total").cast("long").alias("k"))]
+    at += [F.struct(F.lit(f"{c:g}").alias("point"), F.greatest(F.lit(1), F.round(F.col("rank_total") * F.lit(float(c)))).cast("long").alias("k")) for c in coverages]
+    taken = g.select("policy", cluster, "effect", "rank", F.explode(F.array(*at)).alias("x")).select("policy", cluster, "effect", "rank", "x.*")
+    num = F.when(F.col("rank") <= F.col("k"), F.col("effect")).otherwise(0.0)
+    return bootstrap_ci(taken, ["policy", "point", "k"], cluster, num, F.lit(1), reps, seed)
+
+
 def random_policy_expectation(units: DataFrame, grid: list[float]) -> DataFrame:
     """Closed-form curve of a uniform choice at given coverages."""
     t = units.agg(F.count(F.lit(1)).alias("n"), F.avg("effect").alias("mean_effect"), F.sum("danger").alias("d"), F.sum("runs").alias("r"))

@@ -9,6 +9,7 @@ from tandem.operators import ranking as R
 from tandem.operators import sampling as S
 from tandem.operators.joins import pair_runs
 from tandem.plans.aggregates import EU, effect_units
+from tandem.plans.effects import CI, REPS, SEED, boot
 from tandem.plans.registry import query
 from tandem.plans.views import runs, scores, sql, table, units
 
@@ -69,9 +70,12 @@ def model_curve(spark, sf_dir):
     return R.model_risk_coverage(scores(spark, sf_dir), ["scorer"], "score", "y", [0.05, 0.25, 1.0])
 
 
-@query("crv_04_operating_points", sql(f"SELECT policy, k, net_change, mean_effect FROM ({CURVE}) WHERE k IN (50, 100, 200)", p=POL, rk=RUN), "net_change mean_effect")
+POINTS = """SELECT policy, point, CASE point WHEN 'natural' THEN sum((valence = -1)::INT)::BIGINT ELSE greatest(1, round(count(*) * try_cast(point AS DOUBLE)))::BIGINT END AS size FROM p, (VALUES ('natural'), ('0.05'), ('0.1'), ('0.25')) v(point) GROUP BY 1, 2"""
+
+
+@query("crv_04_operating_points", boot("SELECT policy, point, size AS k, cluster_id AS cluster, CASE WHEN rk.k <= size THEN effect ELSE 0 END AS num, 1 AS den FROM rk JOIN pts USING (policy)", "policy, point, k", p=POL, rk=RUN, pts=POINTS), CI)
 def operating(spark, sf_dir):
-    return R.risk_coverage_curve(policies(spark, sf_dir)).where(F.col("k").isin(50, 100, 200)).select("policy", "k", "net_change", "mean_effect")
+    return R.operating_points(policies(spark, sf_dir), F.col("valence") == -1, [0.05, 0.1, 0.25], reps=REPS, seed=SEED)
 
 
 @query("crv_05_max_prefix_under_budget", sql(f"SELECT policy, budget, coalesce(max(k) FILTER (danger_rate <= budget), 0) AS k, coalesce(arg_max(net_change, k) FILTER (danger_rate <= budget), 0) AS net_change, arg_max(danger_rate, k) FILTER (danger_rate <= budget) AS rate FROM ({CURVE}), (VALUES (0.2::DOUBLE), (0.25), (0.3)) b(budget) GROUP BY 1, 2", p=POL, rk=RUN), "budget net_change rate")
