@@ -135,7 +135,7 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, folder: str | None
             doc, start, ids, total, curve = piece
             return doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + sequence, offset, curve
 
-        for b in sub_batches(batches, 8 << 20, 20_000):
+        for b in sub_batches(batches, 4 << 20, 20_000):
             ids, counts = enc.encode(b.column(1))
             docs_, curves = b.column(0).to_pylist(), b.column(2).to_pylist()
             out, at = [], 0

@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,31 +197,25 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     rows = rows.join(found.hint("merge"), F.col("own").eqNullSafe(F.col("d")) & (F.col("key") == F.col("x")), "left")
 
-    @F.pandas_udf("string")
-    def masked(texts, marks):  # noqa: ANN001
-        import pandas as pd
+    def put_for(kind: str, word: str) -> str:
+        if kind == "removed":
+            return "[REMOVED]"
+        if kind == "generalised":
+            return "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[TERM]"
+        return f"[{kind.upper()}]"
 
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        touched = pc.and_(marks.is_valid(), texts.is_valid())
         out = []
-        for t, own in zip(texts, marks, strict=True):
-            if own is None or t is None:
-                out.append(t)
-                continue
+        for t, own in zip(texts.filter(touched).to_pylist(), marks.filter(touched).to_pylist(), strict=True):
             parts, at = [], 0
             for s in sorted(own, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] < at:
-                    at = max(at, s["end"])
-                    continue
-                word = t[s["start"] : s["end"]]
-                if s["kind"] == "removed":
-                    put = "[REMOVED]"
-                elif s["kind"] == "generalised":
-                    put = "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[TERM]"
-                else:
-                    put = f"[{s['kind'].upper()}]"
-                parts += [t[at : s["start"]], put]
-                at = s["end"]
+                if s["start"] >= at:
+                    parts += [t[at : s["start"]], put_for(s["kind"], t[s["start"] : s["end"]])]
+                at = max(at, s["end"])
             out.append("".join([*parts, t[at:]]))
-        return pd.Series(out, dtype=object)
+        return pc.replace_with_mask(texts, touched, pa.array(out, texts.type))
 
     rows = rows.select("row", "marks", masked("row.text", "marks").alias("text"))
     new = F.col("row").withField("text", F.col("text"))

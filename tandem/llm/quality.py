@@ -133,15 +133,13 @@ def clean(docs: DataFrame, host_limit: float = 0.6) -> DataFrame:
     """
     hosts = cut(host_verdicts(rules(measure(docs)), host_limit).select(host_key("source").alias("host"), "host_kept"))
 
-    @F.pandas_udf("boolean")
-    def passes(texts):  # noqa: ANN001
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def passes(texts: pa.Array) -> pa.Array:
         found = []
-        for b in sub_batches(iter([pa.record_batch([pa.array(texts, pa.string())], names=["text"])])):
+        for b in sub_batches(iter([pa.record_batch([texts.cast(pa.string())], names=["text"])])):
             words = Words(b.column(0))
             found.append((words.count >= 50) & (100 * repeated_words(words) <= 50 * words.count))
-        return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
+        return pa.array(np.concatenate(found) if found else np.zeros(0, bool))
 
     rows = docs.select(F.struct("*").alias("row"), host_key("source").alias("host"))
     rows = rows.where(passes(F.coalesce("row.text", F.lit(""))))

@@ -39,7 +39,7 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], dtype=np.uint64))[0])
 
 
-def sub_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, max_docs: int = 4000, column: str = "text") -> Iterator[pa.RecordBatch]:
+def sub_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 2 << 20, max_docs: int = 4000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about `max_bytes` at most (one long text may hold more)."""
     for batch in batches:
         if not batch.num_rows:

@@ -29,7 +29,7 @@ def length_histogram(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
     def count(batches):
         enc = encoder(folder)
-        for b in sub_batches(batches, 8 << 20, 20_000):
+        for b in sub_batches(batches, 4 << 20, 20_000):
             _, n = enc.encode(b.column(0))
             seen = np.bincount(n)
             at = np.flatnonzero(seen)
