@@ -173,11 +173,9 @@ def verify(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, idf, thresho
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("v").alias("k")), "k", FILTER_BITS))  # 2 MB
 
-    @F.pandas_udf("boolean")
-    def maybe(k):  # noqa: ANN001
-        import pandas as pd
-
-        return pd.Series(in_bitmap(bits.value, k.to_numpy().view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def maybe(k: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits.value, k.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     # of a group of equal texts only the representative's row is shuffled, keyed by its id too, so that no large group meets one task
     rep = wanted.join(vertices.select("v", "rep").hint("merge"), "v").select(F.col("v").alias("w"), "rep")

@@ -114,11 +114,9 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, folder: str | None
     placed = place_keys(docs)
     cuts = docs.sparkSession.sparkContext.broadcast(np.array(borders(placed, partitions), np.int64))  # fewer than `partitions` longs
 
-    @F.pandas_udf("int")
-    def range_of(place):  # noqa: ANN001
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(cuts.value, place.to_numpy(), side="left").astype(np.int32))
+    @F.arrow_udf("int")
+    def range_of(place: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts.value, place.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
 
     ranged = placed.repartitionById(partitions, range_of("place")).sortWithinPartitions("place", "doc_id").select("doc_id", "text", "curve")
 
