@@ -8,8 +8,9 @@
 3. Bands of ROWS samples give bucket keys. Equal texts are one vertex from here on.
 4. In each round a bucket's most central text (the one whose buckets are largest) is its
    leader and is compared with all others; texts like it are done there, the rest has a
-   leader of its own in the next round. After `rounds`, all pairs of a bucket that are
-   not in one class yet meet in blocks of bounded size, whatever the bucket's size.
+   leader of its own in the next round. After `rounds`, texts of a bucket that are not in
+   one class yet meet in blocks of bounded size, whatever the bucket's size: first each
+   with those that agree most with it, then, where that joined nothing, with all.
 5. Candidates whose samples agree in at least `estimate` are verified on whole texts by
    exact weighted Jaccard similarity; groups of a leader are salted.
 6. Connected components of the verified links are the classes.
@@ -35,6 +36,7 @@ N_WORDS, BANDS, ROWS = 5, 10, 4
 SLOT_BITS, BLOCK = 20, 4096
 FILTER_BITS = 24
 LEFT, RIGHT = 512, 2048  # texts on the sides of a block, on average
+NEAREST = 2
 SALTED = 256  # texts that one leader meets in one group
 
 
@@ -233,12 +235,12 @@ def links(texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate
     central = held.groupBy("v").agg((F.sum("n") + F.max("copies")).alias("c"))
     members = cut(held.join(central.hint("merge"), "v").select("key", "v", "c", "n"))
     open_, tried, found = members.select("key", "v", "c"), None, []
-    for turn in range(rounds + 1):
+    for turn in range(rounds + 2):
         if turn < rounds:
             lead, pairs = leader_pairs(open_, members)
             keyed = cut(pairs)
-        else:
-            keyed = cut(cross_pairs(members, labels_so_far(found), vertices, estimate, rounds))
+        else:  # the nearest partners first: what they join needs no more pairs
+            keyed = cut(cross_pairs(members, labels_so_far(found), vertices, estimate, rounds, NEAREST if turn == rounds else None))
         # each pair once, with the leader as b: its text is sent to its groups, not the other way round
         g, l = F.greatest("a", "b"), F.least("a", "b")
         pairs = keyed.groupBy(g.alias("g"), l.alias("l")).agg(F.min("b").alias("b")).select(F.when(F.col("b") == F.col("g"), F.col("l")).otherwise(F.col("g")).alias("a"), "b")
@@ -276,8 +278,8 @@ def labels_so_far(found: list[DataFrame]) -> DataFrame | None:
     return components(links_)
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame | None, vertices: DataFrame, estimate: float, rounds: int) -> DataFrame:
-    """a, b: all pairs that share a bucket but no class so far, and whose samples agree in at least `estimate`.
+def cross_pairs(members: DataFrame, labels: DataFrame | None, vertices: DataFrame, estimate: float, rounds: int, nearest: int | None) -> DataFrame:
+    """a, b: pairs that share a bucket but no class so far, and whose samples agree in at least `estimate`: all of them, or for each text the `nearest` that agree most in every stretch of others.
 
     One end of such a pair is outside the bucket's largest class. These ends are dealt over blocks of about LEFT
     texts, each of which meets the whole bucket in parts of about RIGHT texts, so that no task holds a bucket.
@@ -325,7 +327,13 @@ def cross_pairs(members: DataFrame, labels: DataFrame | None, vertices: DataFram
                     same = np.zeros((y - x, len(lab)), np.int8)
                     for k in range(BANDS * ROWS):
                         same += own[x:y, k, None] == sig[None, :, k]
-                    r, l = np.nonzero((same >= least) & (label[x:y, None] != lab[None, :]))
+                    same[(same < least) | (label[x:y, None] == lab[None, :])] = 0
+                    if nearest and y - x > nearest:
+                        best = np.argpartition(same, -nearest, axis=0)[-nearest:]
+                        kept = np.zeros_like(same)
+                        np.put_along_axis(kept, best, np.take_along_axis(same, best, 0), 0)
+                        same = kept
+                    r, l = np.nonzero(same)
                     if len(r):
                         yield pa.record_batch([v.take(pa.array(r + x)), ids.take(pa.array(l))], names=["a", "b"])
 
