@@ -9,8 +9,8 @@
 4. In each round a bucket's most central text (the one whose buckets are largest) is its
    leader and is compared with all others; texts like it are done there, the rest has a
    leader of its own in the next round. After `rounds`, texts of a bucket that are not in
-   one class yet meet in blocks of bounded size, whatever the bucket's size: first each
-   with those that agree most with it, then, where that joined nothing, with all.
+   one class yet meet in blocks of bounded size, whatever the bucket's size, and are
+   compared there.
 5. Candidates whose samples agree in at least `estimate` are verified on whole texts by
    exact weighted Jaccard similarity; groups of a leader are salted.
 6. Connected components of the verified links are the classes.
@@ -36,7 +36,6 @@ N_WORDS, BANDS, ROWS = 5, 10, 4
 SLOT_BITS, BLOCK = 20, 4096
 FILTER_BITS = 24
 LEFT, RIGHT = 512, 2048  # texts on the sides of a block, on average
-NEAREST = 2
 SALTED = 256  # texts that one leader meets in one group
 
 
@@ -170,9 +169,8 @@ def leader_pairs(open_: DataFrame, members: DataFrame) -> tuple[DataFrame, DataF
     return lead, members.join(lead.hint("merge"), "key").where(F.col("v") != F.col("b")).select(F.col("v").alias("a"), "b", "key")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, idf, threshold: float) -> DataFrame:
-    """a, b, similarity: pairs at `threshold` or more by exact weighted Jaccard similarity of whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+def wanted_texts(wanted: DataFrame, texts: DataFrame, vertices: DataFrame) -> DataFrame:
+    """v, text of the wanted vertices: one row of each group of equal texts."""
     bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("v").alias("k")), "k", FILTER_BITS))  # 2 MB
 
     @F.arrow_udf("boolean")
@@ -181,7 +179,12 @@ def verify(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, idf, thresho
 
     # of a group of equal texts only the representative's row is shuffled, keyed by its id too, so that no large group meets one task
     rep = wanted.join(vertices.select("v", "rep").hint("merge"), "v").select(F.col("v").alias("w"), "rep")
-    held = texts.where(maybe(F.xxhash64("v"))).join(rep.hint("merge"), (F.col("v") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("v", "text")
+    return texts.where(maybe(F.xxhash64("v"))).join(rep.hint("merge"), (F.col("v") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("v", "text")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, idf, threshold: float) -> DataFrame:
+    """a, b, similarity: pairs at `threshold` or more by exact weighted Jaccard similarity of whole texts."""
+    held = wanted_texts(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), texts, vertices)
     groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALTED).alias("salts"))
     dealt = pairs.join(groups.hint("merge"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     members = dealt.join(held.withColumnRenamed("v", "a").hint("merge"), "a").select("b", "salt", F.col("a").alias("v"), "text", F.lit(1).alias("turn"))
@@ -235,34 +238,30 @@ def links(texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate
     central = held.groupBy("v").agg((F.sum("n") + F.max("copies")).alias("c"))
     members = cut(held.join(central.hint("merge"), "v").select("key", "v", "c", "n"))
     open_, tried, found = members.select("key", "v", "c"), None, []
-    for turn in range(rounds + 2):
-        if turn < rounds:
-            lead, pairs = leader_pairs(open_, members)
-            keyed = cut(pairs)
-        else:  # the nearest partners first: what they join needs no more pairs
-            keyed = cut(cross_pairs(members, labels_so_far(found), vertices, estimate, rounds, NEAREST if turn == rounds else None))
+    for _ in range(rounds):
+        lead, pairs = leader_pairs(open_, members)
+        keyed = cut(pairs)
         # each pair once, with the leader as b: its text is sent to its groups, not the other way round
         g, l = F.greatest("a", "b"), F.least("a", "b")
         pairs = keyed.groupBy(g.alias("g"), l.alias("l")).agg(F.min("b").alias("b")).select(F.when(F.col("b") == F.col("g"), F.col("l")).otherwise(F.col("g")).alias("a"), "b")
-        if turn < rounds:
-            pairs = agreeing(pairs, vertices, estimate)
+        pairs = agreeing(pairs, vertices, estimate)
         if tried is not None:
             pairs = pairs.join(tried.select(g.alias("g"), l.alias("l")).hint("merge"), (g == F.col("g")) & (l == F.col("l")), "left_anti")
         pairs = cut(pairs)
         if pairs.limit(1).count():
             tried = pairs if tried is None else tried.unionByName(pairs)
             found.append(cut(verify(pairs, texts, vertices, idf, threshold).dropDuplicates(["a", "b"])))
-        if turn < rounds:
-            linked = keyed.select("key", "a", "b")
-            if found:
-                both = found[-1].select("a", "b") if len(found) == 1 else found[0].select("a", "b").unionByName(found[-1].select("a", "b"))
-                both = both.union(both.select("b", "a")).distinct()
-                linked = linked.join(both.hint("merge"), ["a", "b"])
-                done = linked.select("key", F.col("a").alias("v")).union(lead.select("key", F.col("b").alias("v")))
-            else:
-                done = lead.select("key", F.col("b").alias("v"))
-            open_ = cut(open_.join(done.distinct().hint("merge"), ["key", "v"], "left_anti"))
-    out = found[0] if found else vertices.sparkSession.createDataFrame([], "a binary, b binary, similarity double")
+        linked = keyed.select("key", "a", "b")
+        if found:
+            both = found[-1].select("a", "b") if len(found) == 1 else found[0].select("a", "b").unionByName(found[-1].select("a", "b"))
+            both = both.union(both.select("b", "a")).distinct()
+            linked = linked.join(both.hint("merge"), ["a", "b"])
+            done = linked.select("key", F.col("a").alias("v")).union(lead.select("key", F.col("b").alias("v")))
+        else:
+            done = lead.select("key", F.col("b").alias("v"))
+        open_ = cut(open_.join(done.distinct().hint("merge"), ["key", "v"], "left_anti"))
+    found.append(cut(cross_links(members, labels_so_far(found), texts, vertices, idf, threshold, estimate, rounds)))
+    out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
@@ -278,11 +277,12 @@ def labels_so_far(found: list[DataFrame]) -> DataFrame | None:
     return components(links_)
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame | None, vertices: DataFrame, estimate: float, rounds: int, nearest: int | None) -> DataFrame:
-    """a, b: pairs that share a bucket but no class so far, and whose samples agree in at least `estimate`: all of them, or for each text the `nearest` that agree most in every stretch of others.
+def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate: float, rounds: int) -> DataFrame:
+    """a, b, similarity: verified links between texts that share a bucket but no class so far, so many that all of them are joined.
 
     One end of such a pair is outside the bucket's largest class. These ends are dealt over blocks of about LEFT
-    texts, each of which meets the whole bucket in parts of about RIGHT texts, so that no task holds a bucket.
+    texts, each of which meets the whole bucket in parts of about RIGHT texts, so that no task holds a bucket. Texts
+    travel once per block, pairs are compared there, and what leaves it are links alone.
     """
     if labels is None:
         own = members.select("key", "v", F.col("v").alias("label"))
@@ -294,30 +294,32 @@ def cross_pairs(members: DataFrame, labels: DataFrame | None, vertices: DataFram
     mixed = classes.select("key", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.m")).alias("o")).where((F.col("o") > 0) & (F.col("n") > min(rounds + 1, 3)))
     own = own.join(mixed.hint("merge"), "key").withColumn("rest", F.col("label") != F.col("main")).withColumn("lefts", F.ceil(F.col("o") / LEFT)).withColumn("rights", F.ceil(F.col("n") / RIGHT))
     own = cut(own.select("key", "v", F.xxhash64("label").alias("label"), "rest", "lefts", "rights"))
-    own = own.join(vertices.select("v", "sig").hint("merge"), "v")
+    own = own.join(vertices.select("v", "sig").hint("merge"), "v").join(wanted_texts(own.select("v").distinct(), texts, vertices).hint("merge"), "v")
     at_left, at_right = F.pmod(F.xxhash64("v"), F.col("lefts")), F.pmod(F.xxhash64("v", F.lit(1)), F.col("rights"))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = own.where("rest").select("key", at_left.alias("i"), upto("rights").alias("j"), F.lit(0).alias("side"), "v", "label", "sig")
-    right = own.select("key", upto("lefts").alias("i"), at_right.alias("j"), F.lit(1).alias("side"), "v", "label", "sig")
+    left = own.where("rest").select("key", at_left.alias("i"), upto("rights").alias("j"), F.lit(0).alias("side"), "v", "label", "sig", "text")
+    right = own.select("key", upto("lefts").alias("i"), at_right.alias("j"), F.lit(1).alias("side"), "v", "label", "sig", "text")
     dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
     least = int(np.ceil(estimate * BANDS * ROWS - 1e-9))
 
     def meet(batches):
-        name, ids, lab, sig = None, None, None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
+        name, ids, lab, sig, held = None, [], np.zeros(0, np.int64), None, []
+        for b in sub_batches(batches, column="text"):
             group = np.stack([b.column(c).to_numpy() for c in range(4)])
             starts = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1, [b.num_rows]])
-            v, label = b.column(4), b.column(5).to_numpy()
+            v, label = b.column(4).to_pylist(), b.column(5).to_numpy().copy()
             own = b.column(6).flatten().to_numpy().reshape(-1, BANDS * ROWS)
+            row, h, tf = bags(b.column(7))
+            w, at = tf * idf.value[slots(h)].astype(np.float64), prefix_starts(row, b.num_rows)
+            bag = [(h[at[i] : at[i + 1]], w[at[i] : at[i + 1]]) for i in range(b.num_rows)]
+            found = []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 here = tuple(group[:3, s].tolist())
                 if not group[3, s]:
                     if here != name:
-                        name, ids, lab, sig = here, v[s:e], label[s:e], own[s:e]
-                    else:
-                        ids, lab, sig = pa.concat_arrays([ids, v[s:e]]), np.append(lab, label[s:e]), np.concatenate([sig, own[s:e]])
+                        name, ids, lab, sig, held = here, [], lab[:0], own[:0], []
+                    ids, held = ids + v[s:e], held + bag[s:e]
+                    lab, sig = np.append(lab, label[s:e]), np.concatenate([sig, own[s:e]])
                     continue
                 if here != name:
                     continue
@@ -327,17 +329,24 @@ def cross_pairs(members: DataFrame, labels: DataFrame | None, vertices: DataFram
                     same = np.zeros((y - x, len(lab)), np.int8)
                     for k in range(BANDS * ROWS):
                         same += own[x:y, k, None] == sig[None, :, k]
-                    same[(same < least) | (label[x:y, None] == lab[None, :])] = 0
-                    if nearest and y - x > nearest:
-                        best = np.argpartition(same, -nearest, axis=0)[-nearest:]
-                        kept = np.zeros_like(same)
-                        np.put_along_axis(kept, best, np.take_along_axis(same, best, 0), 0)
-                        same = kept
-                    r, l = np.nonzero(same)
-                    if len(r):
-                        yield pa.record_batch([v.take(pa.array(r + x)), ids.take(pa.array(l))], names=["a", "b"])
-
-    return dealt.mapInArrow(meet, "a binary, b binary")
+                    same[label[x:y, None] == lab[None, :]] = 0
+                    r, l = np.nonzero(same >= least)
+                    for k in np.argsort(-same[r, l], kind="stable").tolist():  # those that agree most come first: what they join needs no more pairs
+                        i, j = x + int(r[k]), int(l[k])
+                        if label[i] == lab[j]:
+                            continue
+                        (hi, wi), (hj, wj) = bag[i], held[j]
+                        p = np.minimum(np.searchsorted(hj, hi), len(hj) - 1)
+                        common = np.minimum(wi, wj[p])[hj[p] == hi].sum()
+                        similarity = common / (wi.sum() + wj.sum() - common)
+                        if similarity >= threshold:
+                            found.append((v[i], ids[j], float(similarity)))
+                            gone = label[i]
+                            label[label == gone], lab[lab == gone] = lab[j], lab[j]
+            cols = list(zip(*found, strict=True)) if found else [[], [], []]
+            yield pa.record_batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64())], names=["a", "b", "similarity"])
+
+    return dealt.mapInArrow(meet, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, estimate: float = 0.6, rounds: int = 3) -> DataFrame:
