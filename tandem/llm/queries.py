@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import lm_score, mixing, near_dedup, packing, pii, quality, secrets, token_counts, topk, toxicity
+from tandem.llm import conversations, decontamination, lm_score, mixing, near_dedup, packing, periodic, pii, quality, secrets, token_counts, topk, toxicity
 from tandem.llm.common import table
 
 
@@ -48,5 +48,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_near_dedup, op4_lm_score, op5_packing, op6_mixing, op7_toxicity, op8_topk, op9_secrets, op10_quality)}
-ORACLES = {"op6_mixing": mixing.MIX_SQL, "op8_topk": topk.TOP_K_SQL, "op10_quality": quality.QUALITY_SQL}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged as the contract says, with its faults and its cheapest repair."""
+    return conversations.audits(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document, a tenth of them with the contract's repetition, with its periodic runs."""
+    return periodic.run_digest(periodic.periodic_runs(table(spark, sf_dir, "documents"), faulty=True))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document against every window of the benchmark."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_pii, op3_near_dedup, op4_lm_score, op5_packing, op6_mixing, op7_toxicity, op8_topk, op9_secrets, op10_quality,
+        op11_conversations, op12_periodic_runs, op13_decontamination,
+    )
+}
+ORACLES = {"op6_mixing": mixing.MIX_SQL, "op8_topk": topk.TOP_K_SQL, "op10_quality": quality.QUALITY_SQL, "op11_conversations": conversations.REPAIR_SQL, "op13_decontamination": decontamination.CONTAMINATION_SQL}
