@@ -1,89 +1,156 @@
 """Distributed resampling and regression.
 
-Replicates are a column. Rows are reduced to sufficient sums per cluster first; each
-(replicate, cluster) gets a Poisson(1) weight from a hash, so all groups of one call
-share their draws, any engine can repeat them, and an estimate per replicate is an
-ordinary grouped sum of bounded rows.
+Rows are reduced to sufficient sums per group and cluster first. A cluster's Poisson(1)
+weights of all replicates come from hashes of the cluster and a block of replicates, so all
+groups of one call share their draws and any engine can repeat them. Replicates are a vector:
+tasks add weighted sums of all replicates to one array per group, and what is shuffled then are
+groups, not groups times replicates. A NULL group is a group, and a NULL cluster is a cluster,
+in the estimate as in the draws.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.exprs import hash_unit
+from tandem.functions.keys import null_safe_join
 from tandem.functions.storage import cut
 
 # The distribution function of Poisson(1).
 POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(9))
-
-
-def poisson_weight(seed: int, rep: str, cluster: str) -> Column:
-    u = hash_unit(seed, rep, cluster)
-    return sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
+DRAWS = 8  # 32-bit draws of one hash
+VECTOR_BYTES = 64 << 20  # of a task's arrays; beyond, they are sent and begun anew
+
+
+def poisson_weights(seed: int, clusters: list[str | None], reps: int) -> np.ndarray:
+    """Clusters x replicates: for replicate r (from 1) and cluster c, draw (r-1) mod 8 of sha256('seed|(r-1) div 8|c') through the distribution function; a NULL cluster has no third part."""
+    blocks = range(-(-reps // DRAWS))
+    raw = b"".join(hashlib.sha256(f"{seed}|{k}{'' if c is None else '|' + c}".encode()).digest() for c in clusters for k in blocks)
+    u = np.frombuffer(raw, ">u4").reshape(len(clusters), len(blocks) * DRAWS)[:, :reps] / 2.0**32
+    return np.searchsorted(POISSON, u, side="right")
+
+
+def replicate_vectors(rows: DataFrame, by: list[str], cluster: str, sums: dict[str, Column], reps: int, seed: int) -> DataFrame:
+    """by, n (rows), clusters, and for each sum an array of its plain value and its weighted value in each replicate. An empty table has no groups."""
+    per = rows.groupBy(*by, F.col(cluster).cast("string").alias("_c")).agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(f"_s_{k}") for k, c in sums.items()))
+    kinds, sums, held, width = per.schema, list(sums), len(by), reps + 1
+    schema = ", ".join([*(f"`{b}` {kinds[b].dataType.simpleString()}" for b in by), "n long", "clusters long", *(f"`_s_{k}` array<double>" for k in sums)])
+    names = [*by, "n", "clusters", *(f"_s_{k}" for k in sums)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts, vectors, types = {}, np.zeros((0, 2), np.int64), np.zeros((0, len(sums), width)), []
+
+        def out():
+            keys = list(zip(*at, strict=True)) if at and held else [[] for _ in range(held)]
+            arrays = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(vectors[: len(at), s]).ravel())) for s in range(len(sums))]
+            return pa.record_batch([*(pa.array(k, t) for k, t in zip(keys, types, strict=True)), pa.array(counts[: len(at), 0]), pa.array(counts[: len(at), 1]), *arrays], names=names)
+
+        for whole in batches:
+            types = [whole.schema.field(i).type for i in range(held)]
+            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                clusters = b.column(held).to_pylist()
+                code = {c: i for i, c in enumerate(dict.fromkeys(clusters))}
+                weights = np.ones((len(code), width))
+                weights[:, 1:] = poisson_weights(seed, list(code), reps)
+                weights = weights[[code[c] for c in clusters]]
+                keys = zip(*(b.column(i).to_pylist() for i in range(held)), strict=True) if held else [()] * b.num_rows
+                group = np.array([at.setdefault(k, len(at)) for k in keys])
+                if len(at) > len(counts):
+                    more = max(len(at), 2 * len(counts)) - len(counts)
+                    counts, vectors = np.concatenate([counts, np.zeros((more, 2), np.int64)]), np.concatenate([vectors, np.zeros((more, len(sums), width))])
+                order = np.argsort(group, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(group[order]) > 0))
+                own = group[order][first]
+                counts[own, 0] += np.add.reduceat(b.column(held + 1).to_numpy()[order], first)
+                counts[own, 1] += np.diff(np.append(first, len(order)))
+                for s in range(len(sums)):
+                    vectors[own, s] += np.add.reduceat(weights[order] * b.column(held + 2 + s).to_numpy()[order, None], first, axis=0)
+                if vectors.nbytes > VECTOR_BYTES:
+                    yield out()
+                    at, counts, vectors = {}, counts[:0], vectors[:0]
+        if at:
+            yield out()
+
+    def merge(parts: pa.Table) -> pa.Table:
+        arrays = [pa.array([parts.column(f"_s_{k}").combine_chunks().flatten().to_numpy().reshape(len(parts), width).sum(0)]) for k in sums]
+        total = [pa.array([int(parts.column(c).to_numpy().sum())]) for c in ("n", "clusters")]
+        return pa.table([*(parts.column(b).slice(0, 1) for b in by), *total, *arrays], names=names)
+
+    # a cluster's groups stand together, so that its weights are drawn once
+    partial = per.repartition("_c").sortWithinPartitions("_c").mapInArrow(add, schema)
+    return partial.groupBy(*by).applyInArrow(merge, schema)
+
+
+def vector_ratio(num: str, den: str) -> Column:
+    """The ratio of two vectors; NULL where the second is 0."""
+    return F.zip_with(num, den, _ratio)
+
+
+def vector_quantiles(df: DataFrame, vector: Column, **wanted: float) -> DataFrame:
+    """`df` with linear quantiles of the replicates of a vector (all but its first value), NULLs left out."""
+    out = df.withColumn("_v", F.array_sort(F.filter(F.slice(vector, 2, F.greatest(F.size(vector) - 1, F.lit(1))), lambda x: x.isNotNull())))
+    for name, share in wanted.items():
+        place = (F.size("_v") - 1) * F.lit(float(share))
+        low = F.greatest(F.floor(place), F.lit(0)).cast("int")
+        a, b = F.get("_v", low), F.get("_v", low + 1)
+        out = out.withColumn(name, a + (F.coalesce(b, a) - a) * (place - low))
+    return out.drop("_v")
 
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0)))
 
 
-def replicate_sums(rows: DataFrame, by: list[str], cluster: str, sums: dict[str, Column], reps: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(per group: n, clusters and plain sums; per group and rep: weighted sums)."""
-    per = rows.groupBy(*by, cluster).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(k) for k, c in sums.items()))
-    plain = per.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), *(F.sum(k).alias(k) for k in sums))
-    # a cluster's groups travel together: one draw per cluster and replicate, and what is shuffled are sums per group and replicate
-    held = per.where(F.col(cluster).isNotNull()).groupBy(F.col(cluster).alias("_c")).agg(F.collect_list(F.struct(*by, *sums)).alias("_g"))
-    drawn = held.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(seed, "rep", "_c")).where("w > 0")
-    drawn = drawn.select("rep", "w", F.explode("_g").alias("_x")).select("rep", "w", "_x.*")
-    return plain, drawn.groupBy(*by, "rep").agg(*(F.sum(F.col("w") * F.col(k)).alias(k) for k in sums))
-
-
 def interval(values: DataFrame, by: list[str], value: str = "v", level: float = 0.95) -> DataFrame:
     tail = (1 - level) / 2
     return values.groupBy(*by).agg(F.percentile(value, F.lit(tail)).alias("ci_lower"), F.percentile(value, F.lit(1 - tail)).alias("ci_upper"))
 
 
-def attach(points: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
-    return points.join(intervals.hint("merge"), by) if by else points.crossJoin(F.broadcast(intervals))  # single rows
+def with_interval(df: DataFrame, vector: Column, level: float = 0.95) -> DataFrame:
+    tail = (1 - level) / 2
+    return vector_quantiles(df, vector, ci_lower=tail, ci_upper=1 - tail)
 
 
 def bootstrap_ci(rows: DataFrame, by: list[str], cluster: str, num: Column, den: Column, reps: int = 1000, seed: int = 20260722, level: float = 0.95) -> DataFrame:
-    """Percentile interval of sum(num)/sum(den) under cluster resampling: mean, ratio and weighted statistics alike.
+    """by, n, clusters, estimate, ci_lower, ci_upper: percentile interval of sum(num)/sum(den) under cluster resampling: mean, ratio and weighted statistics alike.
 
     A weighted mean has num = w*x, den = w; a unit bootstrap has the unit as its cluster.
     """
-    plain, drawn = replicate_sums(rows, by, cluster, {"num": num, "den": den}, reps, seed)
-    points = plain.select(*by, "n", "clusters", _ratio(F.col("num"), F.col("den")).alias("estimate"))
-    return attach(points, interval(drawn.select(*by, _ratio(F.col("num"), F.col("den")).alias("v")), by, level=level), by)
+    v = replicate_vectors(rows, by, cluster, {"num": num, "den": den}, reps, seed).withColumn("_r", vector_ratio("_s_num", "_s_den"))
+    return with_interval(v.select(*by, "n", "clusters", F.get("_r", F.lit(0)).alias("estimate"), "_r"), F.col("_r"), level).drop("_r")
 
 
 def bootstrap_multi(rows: DataFrame, by: list[str], cluster: str, effects: dict[str, tuple[Column, Column]], reps: int = 1000, seed: int = 20260722) -> DataFrame:
     """Several statistics on the same draws: one row per group and effect."""
     sums = {f"{n}_{k}": c for n, pair in effects.items() for k, c in zip(("num", "den"), pair, strict=True)}
-    plain, drawn = replicate_sums(rows, by, cluster, sums, reps, seed)
-    long = lambda df, more, name: df.select(*by, *more, F.explode(F.array(*(F.struct(F.lit(n).alias("effect"), _ratio(F.col(f"{n}_num"), F.col(f"{n}_den")).alias(name)) for n in effects))).alias("x")).select(*by, *more, "x.*")
-    return attach(long(plain, ["clusters"], "estimate"), interval(long(drawn, [], "v"), [*by, "effect"]), [*by, "effect"])
+    v = replicate_vectors(rows, by, cluster, sums, reps, seed)
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("effect"), vector_ratio(f"_s_{n}_num", f"_s_{n}_den").alias("_r")) for n in effects)))
+    long = v.select(*by, "clusters", each.alias("x")).select(*by, "clusters", "x.*")
+    return with_interval(long.select(*by, "effect", "clusters", F.get("_r", F.lit(0)).alias("estimate"), "_r"), F.col("_r")).drop("_r")
 
 
 def bootstrap_difference(rows: DataFrame, by: list[str], side: str, cluster: str, num: Column, den: Column, reps: int = 1000, seed: int = 20260722) -> DataFrame:
-    """Interval of the statistic on side 1 minus side 0, each side with its own stream of draws."""
-    parts = []
-    for s in (1, 0):
-        plain, drawn = replicate_sums(rows.where(F.col(side) == s), by, cluster, {"num": num, "den": den}, reps, seed + s)
-        parts.append((plain.select(*by, F.col("n").alias(f"n_{s}"), _ratio(F.col("num"), F.col("den")).alias(f"e{s}")), drawn.select(*by, "rep", _ratio(F.col("num"), F.col("den")).alias(f"v{s}"))))
-    points = attach(parts[0][0], parts[1][0], by).withColumn("estimate", F.col("e1") - F.col("e0")).drop("e1", "e0")
-    values = parts[0][1].join(parts[1][1].hint("merge"), [*by, "rep"]).withColumn("v", F.col("v1") - F.col("v0"))
-    return attach(points, interval(values, by), by)
+    """by, n_1, n_0, estimate, ci_lower, ci_upper: the statistic on side 1 minus side 0, each side with its own stream of draws; groups without one side are left out."""
+    one, zero = (
+        replicate_vectors(rows.where(F.col(side) == s), by, cluster, {"num": num, "den": den}, reps, seed + s).select(*by, F.col("n").alias(f"n_{s}"), vector_ratio("_s_num", "_s_den").alias(f"_r{s}"))
+        for s in (1, 0)
+    )
+    both = null_safe_join(one, zero, by).withColumn("_d", F.zip_with("_r1", "_r0", lambda a, b: a - b))
+    return with_interval(both.select(*by, "n_1", "n_0", F.get("_d", F.lit(0)).alias("estimate"), "_d"), F.col("_d")).drop("_d")
 
 
 def one_sided_lcb(rows: DataFrame, by: list[str], cluster: str, num: Column, den: Column, reps: int = 1000, seed: int = 20260722, alpha: float = 0.05) -> DataFrame:
     """Lower bound by the alpha quantile of the replicates; -1 with fewer than two clusters."""
-    plain, drawn = replicate_sums(rows, by, cluster, {"num": num, "den": den}, reps, seed)
-    low = drawn.groupBy(*by).agg(F.percentile(_ratio(F.col("num"), F.col("den")), F.lit(alpha)).alias("low"))
-    return attach(plain, low, by).select(*by, "clusters", _ratio(F.col("num"), F.col("den")).alias("estimate"), F.when(F.col("clusters") < 2, -1.0).otherwise(F.col("low")).alias("lcb"))
+    v = replicate_vectors(rows, by, cluster, {"num": num, "den": den}, reps, seed).withColumn("_r", vector_ratio("_s_num", "_s_den"))
+    low = vector_quantiles(v, F.col("_r"), low=alpha)
+    return low.select(*by, "clusters", F.get("_r", F.lit(0)).alias("estimate"), F.when(F.col("clusters") < 2, -1.0).otherwise(F.col("low")).alias("lcb"))
 
 
 def cluster_robust_lcb(rows: DataFrame, by: list[str], cluster: str, num: Column, den: Column, z: float = 1.645) -> DataFrame:
@@ -156,12 +223,12 @@ def solve(xx: list[float], xy: list[float]) -> np.ndarray | None:
 
 
 def ols_cluster_bootstrap(df: DataFrame, y: str, xs: list[str], cluster: str, reps: int = 200, seed: int = 20260722) -> DataFrame:
-    """term, coefficient and its interval. Sums per cluster, weighted sums per replicate, then p x p systems; singular draws are left out."""
-    per = normal_equations(df.dropna(subset=[y, *xs]), y, xs, [cluster])
+    """term, coefficient and its interval. Vectors of the p*p sums over replicates, then p x p systems; singular draws are left out."""
+    cols = [F.lit(1.0), *(F.col(x).cast("double") for x in xs)]
     p, q = len(xs) + 1, (len(xs) + 1) * (len(xs) + 2) // 2
-    flat = per.select(cluster, *(F.col("xx")[i].alias(f"a{i}") for i in range(q)), *(F.col("xy")[i].alias(f"b{i}") for i in range(p)))
-    drawn = flat.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(seed, "rep", cluster)))
-    sums = drawn.groupBy("rep").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in flat.columns if c != cluster))
+    sums = {f"a{i}": c for i, c in enumerate(a * b for i, a in enumerate(cols) for b in cols[i:])} | {f"b{i}": c * F.col(y).cast("double") for i, c in enumerate(cols)}
+    v = replicate_vectors(df.dropna(subset=[y, *xs]), [], cluster, sums, reps, seed)
+    sums = v.select(F.posexplode(F.arrays_zip(*(F.col(f"_s_{k}").alias(k) for k in sums))).alias("rep", "x")).select("rep", "x.*")
     names = ["intercept", *xs]
 
     def fit(pdf):
@@ -233,9 +300,95 @@ def logistic_fits(rows: DataFrame, keys: list[str], y: str, xs: list[str], l2: f
     return as_table(fits).select(*keys, "fit_b", "fit_m", "fit_s")
 
 
-def probability(xs: list[str]) -> Column:
-    """The fitted probability of rows that carry the columns fit_b, fit_m and fit_s."""
-    eta = sum((F.col("fit_b")[i + 1] * (F.col(x).cast("double") - F.col("fit_m")[i]) * F.col("fit_s")[i] for i, x in enumerate(xs)), F.col("fit_b")[0])
+def masked_logistic_fits(rows: DataFrame, xs: list[str], fits: list[tuple[str, int, list[str]]], l2: float = 1.0, balanced: bool = True, max_iter: int = 40) -> list[dict]:
+    """Many regularised logistic regressions over one copy of the rows: for each of `fits` (key, mask, features), its b (intercept and slopes), m and s (what `xs` are moved and multiplied by first; 0 for features it doesn't have).
+
+    rows: _key (text), _pos and _neg (how many ones and zeros share these features), `xs`, and _masks (array of booleans:
+    in which masks the row lies). A fit takes the rows of its key in its mask. Each Newton step is one pass in which a
+    task multiplies its rows with the coefficients of all fits at once and sends one row of sums per fit; p x p
+    systems are solved on the driver, so fits and features must be few (thousands, tens), the rows need not. Features
+    are standardised by all rows on the way, so that sums of squares keep their digits. Otherwise as `logistic_fits`.
+    """
+    p, n_fits = len(xs) + 1, len(fits)
+    if not fits:
+        return []
+    one = rows.agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)), *(F.stddev_pop(x).alias(f"d{i}") for i, x in enumerate(xs))).first()
+    centre = np.array([one[f"m{i}"] or 0.0 for i in range(p - 1)])
+    spread = np.array([one[f"d{i}"] or 0.0 for i in range(p - 1)])
+    spread[spread <= 0] = 1.0
+    wanted = rows.select("_key", F.col("_pos").cast("double"), F.col("_neg").cast("double"), *(F.col(x).cast("double") for x in xs), "_masks")
+    keys, mask_of = [k for k, _, _ in fits], np.array([m for _, m, _ in fits])
+    code = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    key_of = np.array([code[k] for k in keys])
+    upper = np.triu_indices(p)
+
+    def summed(kernel, names: list[str]) -> np.ndarray:
+        """`kernel`(features with a one in front, pos, neg, rows x fits membership) gives sums x fits; added up over all rows."""
+
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(names), n_fits))
+            step = max(1, 2_000_000 // n_fits)
+            for whole in batches:
+                for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    x = np.column_stack([np.ones(b.num_rows), *((b.column(3 + i).to_numpy() - centre[i]) / spread[i] for i in range(p - 1))])
+                    masks = b.column(2 + p).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    own = np.array([code.get(k, -1) for k in b.column(0).to_pylist()])
+                    total += kernel(x, b.column(1).to_numpy(), b.column(2).to_numpy(), (own[:, None] == key_of) & masks[:, mask_of])
+            yield pa.record_batch([pa.array(np.arange(n_fits)), *(pa.array(t) for t in total)], names=["fit", *names])
+
+        got = wanted.mapInArrow(over, "fit long, " + ", ".join(f"{n} double" for n in names)).groupBy("fit").agg(*(F.sum(n).alias(n) for n in names)).collect()
+        out = np.zeros((n_fits, len(names)))
+        for r in got:
+            out[r["fit"]] = [r[n] for n in names]
+        return out
+
+    def moments(x, pos, neg, member):
+        n = ((pos + neg)[:, None] * member).astype(float)
+        return np.concatenate([n.sum(0)[None], (pos[:, None] * member).sum(0)[None], x[:, 1:].T @ n, (x[:, 1:] ** 2).T @ n])
+
+    first = summed(moments, ["n", "pos", *(f"s{i}" for i in range(p - 1)), *(f"q{i}" for i in range(p - 1))])
+    n, pos = first[:, 0], first[:, 1]
+    mean = first[:, 2 : p + 1] / np.maximum(n, 1)[:, None]
+    sd = np.sqrt(np.maximum(first[:, p + 1 :] / np.maximum(n, 1)[:, None] - mean**2, 0)) * spread  # in the features' own units
+    times = np.where(sd <= 1e-6, 1.0, 1 / np.where(sd <= 1e-6, 1.0, sd))
+    times *= np.array([[x in own for x in xs] for _, _, own in fits], float).reshape(n_fits, p - 1)
+    w0, w1 = (n / (2 * np.maximum(n - pos, 1)), n / (2 * np.maximum(pos, 1))) if balanced else (np.ones(n_fits), np.ones(n_fits))
+    c = times * spread  # a fit's own feature is c * (x - mean), with x standardised by all rows
+    beta, open_ = np.zeros((n_fits, p)), n > 0
+    for _ in range(max_iter):
+        if not open_.any():
+            break
+        raw = np.column_stack([beta[:, 0] - (beta[:, 1:] * c * mean).sum(1), beta[:, 1:] * c])
+
+        def newton(x, pos, neg, member, raw=raw, w0=w0, w1=w1, open_=open_):
+            member = member & open_
+            at = 1 / (1 + np.exp(-(x @ raw.T)))
+            ones, zeros = pos[:, None] * w1 * member, neg[:, None] * w0 * member
+            var = np.maximum(at * (1 - at), 1e-7) * (ones + zeros)
+            return np.concatenate([x.T @ (ones * (1 - at) - zeros * at), (x[:, upper[0]] * x[:, upper[1]]).T @ var])
+
+        sums = summed(newton, [*(f"g{i}" for i in range(p)), *(f"h{i}_{j}" for i, j in zip(*upper, strict=True))])
+        for f in np.flatnonzero(open_):
+            h = np.zeros((p, p))
+            h[upper] = sums[f, p:]
+            h = h + np.triu(h, 1).T
+            turn = np.diag(np.append(1.0, c[f]))
+            turn[0, 1:] = -c[f] * mean[f]
+            h = turn.T @ h @ turn + np.diag([1e-8, *[l2] * (p - 1)])
+            g = turn.T @ sums[f, :p] - l2 * np.append(0.0, beta[f, 1:])
+            gone = np.flatnonzero(np.append(1.0, c[f]) == 0)  # features that a fit does not have
+            h[gone, :] = h[:, gone] = g[gone] = 0.0
+            h[gone, gone] = 1.0
+            step = np.linalg.lstsq(h, g, rcond=None)[0]
+            beta[f] += step
+            open_[f] = float(np.abs(step).max()) >= 1e-9
+    return [{"b": beta[f].tolist(), "m": (mean[f] * spread + centre).tolist(), "s": times[f].tolist()} for f in range(n_fits)]
+
+
+def probability(xs: list[str], fit: str = "") -> Column:
+    """The fitted probability of rows that carry the columns fit_b, fit_m and fit_s (below the struct `fit`, if given)."""
+    b, m, s = (F.col(f"{fit}fit_{c}") for c in "bms")
+    eta = sum((b[i + 1] * (F.col(x).cast("double") - m[i]) * s[i] for i, x in enumerate(xs)), b[0])
     return 1 / (1 + F.exp(-eta))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.exprs import stable_hash, wilson_upper
+from tandem.functions.keys import null_safe_join
 from tandem.functions.storage import cut
-from tandem.operators.inference import bootstrap_ci, logistic_fits, probability
-from tandem.operators.ranking import average_precision, certified_prefixes, roc_auc, running_sums, spearman
+from tandem.operators.inference import bootstrap_ci, masked_logistic_fits, one_sided_lcb, probability
+from tandem.operators.ranking import average_precision, certified_prefixes, null_floor, roc_auc, running_sums, spearman
 
 
 def feature_columns(flags: dict[str, Column], interactions: list[tuple[str, str]], lengths: dict[str, Column]) -> dict[str, Column]:
@@ -21,17 +22,28 @@ def feature_columns(flags: dict[str, Column], interactions: list[tuple[str, str]
 
 
 def standardize(df: DataFrame, fold: str, cols: list[str], k: int) -> DataFrame:
-    """`col`_z by mean and population sd of all other folds; an sd up to 1e-6 counts as 1. Training folds' sums come from each fold's own."""
-    per = df.groupBy(fold).agg(*(f(c).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("s", F.sum))), *(F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols))
-    total = per.agg(*(F.sum(c).alias(f"t_{c}") for c in per.columns if c != fold))
-    other = per.crossJoin(F.broadcast(total))  # k rows and one
+    """`col`_z by mean and population sd of all other folds (k of them, few); an sd up to 1e-6 counts as 1. NULL where there is no other fold.
+
+    Folds are reduced to counts, means and squared distances from their means; those of the other folds are merged
+    around the fold's own mean, so that large means cost no digits.
+    """
+    per = df.groupBy(fold).agg(*(f(c).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))))
+    other = per.select(F.col(fold).alias("_f"), *(F.col(f"{n}_{c}").alias(f"o{n}_{c}") for c in cols for n in "nmv"))
+    both = per.crossJoin(F.broadcast(other)).where(~F.col(fold).eqNullSafe(F.col("_f")))  # k rows each
+    away = lambda c: F.col(f"om_{c}") - F.coalesce(f"m_{c}", F.lit(0.0))
+    sums = both.groupBy(fold).agg(
+        *(F.first(f"m_{c}").alias(f"m_{c}") for c in cols), *(F.sum(f"on_{c}").alias(f"n_{c}") for c in cols), *(F.sum(F.col(f"on_{c}") * away(c)).alias(f"s_{c}") for c in cols),
+        *(F.sum(F.col(f"on_{c}") * (F.col(f"ov_{c}") + away(c) * away(c))).alias(f"q_{c}") for c in cols),
+    )
     stats = []
     for c in cols:
-        n, s, q = (F.col(f"t_{x}_{c}") - F.col(f"{x}_{c}") for x in "nsq")
-        mean, sd = s / n, F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))
-        stats += [mean.alias(f"m_{c}"), F.when(sd <= 1e-6, 1.0).otherwise(sd).alias(f"d_{c}")]
-    out = df.join(F.broadcast(other.select(fold, *stats)), fold)  # k rows
-    return out.withColumns({f"{c}_z": (F.col(c) - F.col(f"m_{c}")) / F.col(f"d_{c}") for c in cols}).drop(*(f"{x}_{c}" for c in cols for x in "md"))
+        n, s, q = (F.col(f"{x}_{c}") for x in "nsq")
+        off = F.try_divide(s, n)
+        sd = F.sqrt(F.greatest(F.try_divide(q, n) - off * off, F.lit(0.0)))
+        stats += [(F.coalesce(f"m_{c}", F.lit(0.0)) + off).alias(f"_m_{c}"), F.when(sd <= 1e-6, 1.0).otherwise(sd).alias(f"_d_{c}")]
+    found = sums.select(F.col(fold).alias("_f"), *stats)
+    out = df.join(F.broadcast(found), F.col(fold).eqNullSafe(F.col("_f")), "left")  # k rows
+    return out.withColumns({f"{c}_z": (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_d_{c}") for c in cols}).drop("_f", *(f"_{x}_{c}" for c in cols for x in "md"))
 
 
 def combine_scores(scores: DataFrame, n_scorers: int, signs: dict | None = None) -> DataFrame:
@@ -44,14 +56,32 @@ def combine_scores(scores: DataFrame, n_scorers: int, signs: dict | None = None)
     return out.where(F.col("_n") == n_scorers).drop("_n")
 
 
+def group_key(by: list[str]) -> Column:
+    """The values of `by` as one text; NULL is a value."""
+    return F.to_json(F.struct(*(F.col(b) for b in by), F.lit(0).alias("_")), {"ignoreNullFields": "false"})
+
+
+def fit_table(spark, kinds: str, keys: list[tuple], fits: list[dict]) -> DataFrame:
+    data = [(*k, f["b"], f["m"], f["s"]) for k, f in zip(keys, fits, strict=True)]
+    return spark.createDataFrame(data, f"{kinds}, fit_b array<double>, fit_m array<double>, fit_s array<double>")
+
+
 def cross_validated_predictions(df: DataFrame, by: list[str], y: str, models: dict[str, list[str]], fold: str, k: int = 5, l2: float = 1.0, keep: tuple[str, ...] = ("unit_id",)) -> DataFrame:
-    """Out-of-fold probabilities: by, model, fold, keep, y, p. All fits (group x model x fold) share the same jobs; features are scaled by the fit's own rows."""
+    """Out-of-fold probabilities: by, model, fold, keep, y, p. Features are scaled by the fit's own rows; rows with NULLs in them are left out.
+
+    All fits (group x model x fold) share one copy of the rows, reduced to counts per group, fold and features; in
+    which fits' training parts a row lies is an array. `fold` runs from 0 to k - 1; groups must be few.
+    """
     xs = list(dict.fromkeys(c for cols in models.values() for c in cols))
-    named = df.withColumn("model", F.explode(F.array(*map(F.lit, models)))).withColumnRenamed(fold, "_own")
-    train = named.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("_fold") != F.col("_own"))
-    fits = logistic_fits(train, [*by, "model", "_fold"], y, xs, l2, uses=models)
-    held = named.join(F.broadcast(fits), [*by, "model"]).where(F.col("_fold") == F.col("_own"))  # a row per fit
-    return held.dropna(subset=[y, *xs]).select(*by, "model", F.col("_own").cast("int").alias("fold"), *keep, F.col(y).cast("int").alias("y"), probability(xs).alias("p"))
+    whole = df.dropna(subset=[y, fold, *xs]).withColumn("_key", group_key(by))
+    train = cut(whole.groupBy("_key", F.col(fold).cast("int").alias("_own"), *(F.col(x).cast("double").alias(x) for x in xs)).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg")))
+    groups = sorted(r[0] for r in train.select("_key").distinct().collect())
+    named = [(g, f, m) for g in groups for f in range(k) for m in models]
+    masked = train.withColumn("_masks", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("_own")))
+    fits = masked_logistic_fits(masked, xs, [(g, f, models[m]) for g, f, m in named], l2)
+    table = fit_table(df.sparkSession, "_key string, _own int, model string", named, fits)
+    held = whole.withColumn("_own", F.col(fold).cast("int")).join(F.broadcast(table), ["_key", "_own"])  # a row per fit
+    return held.select(*by, "model", F.col("_own").alias("fold"), *keep, F.col(y).cast("int").alias("y"), probability(xs).alias("p"))
 
 
 def fold_metrics(predictions: DataFrame, by: list[str], deltas: list[tuple[str, str]], reps: int = 1000, seed: int = 20260722, unit: str = "unit_id") -> DataFrame:
@@ -109,23 +139,60 @@ def score_policies(scores: DataFrame, units: DataFrame, least: float, most_sprea
     return both.agg(F.count(F.lit(1)).alias("units"), F.sum(pick.cast("long")).alias("selected"), F.sum((low & ~agree).cast("long")).alias("abstained"), F.avg(F.when(pick, F.col("effect"))).alias("mean_effect"), F.avg(F.when(pick, (F.col("effect") < 0).cast("double"))).alias("danger_share"))
 
 
-def probe_and_rollback(runs: DataFrame, probe_run: int = 1) -> DataFrame:
-    """The target's probe run decides per unit; the later runs evaluate. Accepting always against rolling back failed probes."""
-    of = lambda c, probe: F.avg(F.when((F.col("condition") == c) & ((F.col("run_id") == probe_run) if probe else (F.col("run_id") != probe_run)), F.col("outcome")))
-    per = runs.groupBy("unit_id").agg(of("target_delete", True).alias("probe"), of("target_delete", False).alias("t"), of("control", False).alias("c")).dropna()
+def score_curves(scores: DataFrame, units: DataFrame, n_scorers: int, most_spread: float = 0.3, step: int = 20, seed: int = 20260722) -> DataFrame:
+    """policy, k, coverage, net_change, danger_rate, benefit_rate: taking the k units of the lowest score, at every `step`-th k.
+
+    One policy per scorer, over the units that it scores; and `ensemble`, by mean score over the units that all scorers
+    cover and on which they do not differ by more than `most_spread`, abstaining elsewhere. Coverage and net change
+    refer to all units; ties go by a hash of the unit. scores: unit_id, scorer, score; units: unit_id, effect, runs,
+    danger, benefit.
+    """
+    each = scores.where("score is not null").select("unit_id", F.concat(F.lit("score "), "scorer").alias("policy"), F.col("score").cast("double").alias("policy_score"))
+    agreed = combine_scores(scores, n_scorers).where(F.col("spread") <= most_spread).select("unit_id", F.lit("ensemble").alias("policy"), F.col("mean_score").alias("policy_score"))
+    rows = units.select("unit_id", "effect", "runs", "danger", "benefit").join(each.unionByName(agreed).hint("merge"), "unit_id")
+    sums = {"_e": "effect", "_r": "runs", "_d": "danger", "_b": "benefit"}
+    at = running_sums(rows.withColumn("_h", stable_hash("unit_id", seed)), ["policy"], ["policy_score", "_h", "unit_id"], sums).where(F.col("rank") % step == 0)
+    total = units.agg(F.count(F.lit(1)).alias("_n"))
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.col("_r"))
+    return at.crossJoin(F.broadcast(total)).select("policy", F.col("rank").alias("k"), (F.col("rank") / F.col("_n")).alias("coverage"), (F.col("_e") / F.col("_n")).alias("net_change"), share("_d").alias("danger_rate"), share("_b").alias("benefit_rate"))  # one row
+
+
+def probe_and_rollback(runs: DataFrame, sets: dict[str, Column], cluster: str = "cluster_id", probe_run: int = 1, least: int = 3, reps: int = 1000, seed: int = 20260722) -> DataFrame:
+    """candidate_set, policy, candidates, accept_rate, net, net_lcb, harmed_share, null_floor, excess: the target's probe run decides per unit, the later runs evaluate.
+
+    `naive` accepts always; `rollback` keeps a unit whose probe failed as it was, without effect or chance of harm. Units
+    count that have a probe and at least `least` other runs under both conditions. The floor is the share of harmed
+    units that chance makes at a common rate; net_lcb is the 5 % quantile under cluster resampling. `sets` names
+    predicates over unit_id, the cluster and any column of `runs` that is constant in a unit.
+    """
+    of = lambda c: F.max(F.when(F.col("condition") == c, F.col("outcome")))
+    extra = [c for c in runs.columns if c not in ("unit_id", "run_id", "condition", "outcome")]
+    per_run = runs.where(F.col("condition").isin("control", "target_delete")).groupBy("unit_id", "run_id").agg(of("control").alias("_c"), of("target_delete").alias("_t"), *(F.first(c, ignorenulls=True).alias(c) for c in extra))
+    judged = (F.col("run_id") != probe_run) & F.col("_c").isNotNull() & F.col("_t").isNotNull()
+    per = per_run.groupBy("unit_id").agg(
+        F.max(F.when(F.col("run_id") == probe_run, F.col("_t"))).alias("probe"), F.count(F.when(judged, 1)).alias("c"), F.sum(F.when(judged, F.col("_c"))).alias("_sc"), F.sum(F.when(judged, F.col("_t"))).alias("_st"),
+        *(F.first(c, ignorenulls=True).alias(c) for c in extra),
+    ).where(F.col("probe").isNotNull() & (F.col("c") >= least))
+    per = per.withColumns({"t": F.col("c"), "p": (F.col("_sc") + F.col("_st")) / (2 * F.col("c")), "_d": F.col("_st") / F.col("c") - F.col("_sc") / F.col("c")})
+    both = null_floor(per)
     ok = F.col("probe") == 1
-    return per.agg(
-        F.count(F.lit(1)).alias("units"), F.avg(ok.cast("double")).alias("accept_rate"), F.avg(F.col("t") - F.col("c")).alias("naive_gain"),
-        F.avg(F.when(ok, F.col("t") - F.col("c")).otherwise(0.0)).alias("rollback_gain"), F.avg((F.col("t") < F.col("c")).cast("double")).alias("naive_harmed"), F.avg((ok & (F.col("t") < F.col("c"))).cast("double")).alias("rollback_harmed"),
-    )
+    ways = [F.struct(F.lit("naive").alias("policy"), F.lit(1.0).alias("_a"), F.col("_d").alias("delta"), F.col("floor").alias("_f")), F.struct(F.lit("rollback").alias("policy"), ok.cast("double").alias("_a"), F.when(ok, F.col("_d")).otherwise(0.0).alias("delta"), F.when(ok, F.col("floor")).otherwise(0.0).alias("_f"))]
+    named = F.explode(F.array_compact(F.array(*(F.when(test, F.lit(n)) for n, test in sets.items()))))
+    rows = cut(both.withColumn("candidate_set", named).select("candidate_set", "unit_id", cluster, F.explode(F.array(*ways)).alias("x")).select("candidate_set", "unit_id", cluster, "x.*"))
+    keys = ["candidate_set", "policy"]
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"), F.avg("_a").alias("accept_rate"), F.avg("delta").alias("net"), F.avg((F.col("delta") < 0).cast("double")).alias("harmed_share"), F.avg("_f").alias("null_floor"))
+    low = one_sided_lcb(rows, keys, cluster, F.col("delta"), F.lit(1), reps, seed).select(*keys, F.col("lcb").alias("net_lcb"))
+    return null_safe_join(out, low, keys).withColumn("excess", F.greatest(F.lit(0.0), F.col("harmed_share") - F.col("null_floor")))
 
 
 def split_half_null(runs: DataFrame) -> DataFrame:
-    """Control runs 1-2 against 3-4: the differences that noise alone makes."""
-    half = lambda a, b: F.avg(F.when(F.col("run_id").isin(a, b), F.col("outcome")))
-    per = runs.where("condition = 'control'").groupBy("unit_id").agg(half(1, 2).alias("a"), half(3, 4).alias("b")).dropna()
+    """Control runs 1-2 against 3-4, of units that have all four: the differences that noise alone makes, the share of harm that a common rate predicts, and the excess over it."""
+    at = lambda *ids: F.avg(F.when(F.col("run_id").isin(*ids), F.col("outcome")))
+    per = runs.where("condition = 'control' and run_id between 1 and 4").groupBy("unit_id").agg(F.count_distinct("run_id").alias("_n"), at(1, 2).alias("a"), at(3, 4).alias("b"), at(1, 2, 3, 4).alias("p")).where("_n = 4")
+    rows = null_floor(per.withColumns({"c": F.lit(2).cast("long"), "t": F.lit(2).cast("long")}))
     d = F.col("b") - F.col("a")
-    return per.agg(F.count(F.lit(1)).alias("units"), F.avg(d).alias("mean_difference"), F.avg((d < 0).cast("double")).alias("share_negative"), F.avg((d <= -0.5).cast("double")).alias("share_half_down"))
+    out = rows.agg(F.count(F.lit(1)).alias("units"), F.avg(d).alias("mean_difference"), F.avg((d < 0).cast("double")).alias("share_negative"), F.avg((d <= -0.5).cast("double")).alias("share_half_down"), F.avg("floor").alias("null_floor"))
+    return out.withColumn("excess", F.greatest(F.lit(0.0), F.col("share_negative") - F.col("null_floor")))
 
 
 def nested_policy_selection(pairs: DataFrame, units: DataFrame, static: dict[str, tuple[Column, Column]], models: dict[str, list[str]], splits: int = 20, inner: int = 5, budgets: tuple[float, ...] = (0.01, 0.05), cluster: str = "cluster_id", seed: int = 20260722, step: int = 10) -> DataFrame:
@@ -134,7 +201,8 @@ def nested_policy_selection(pairs: DataFrame, units: DataFrame, static: dict[str
     Models predict danger and benefit of a unit from runs of the calibration half: its own units by `inner` folds, the
     test half by a fit on all of them; the score is P(benefit) - P(danger). On the calibration half the largest prefix
     whose cluster-robust bound is within the budget gives a coverage, which is applied to the test half. Splits,
-    folds, models, tasks, policies and weightings are key columns of the same jobs.
+    folds, models and tasks are fitted over one copy of the runs; splits, policies and weightings of the units are key
+    columns of the same jobs.
 
     pairs: unit_id, `cluster`, danger, benefit, control_outcome and the features of its unit; units: unit_id, `cluster`,
     effect, w (natural weight) and the features. One row per regime, policy and budget: splits with any coverage,
@@ -144,13 +212,18 @@ def nested_policy_selection(pairs: DataFrame, units: DataFrame, static: dict[str
     part = lambda s: F.pmod(F.xxhash64(F.col(cluster), s, F.lit(seed)), F.lit(2)) == 0
     fold = lambda s: F.pmod(F.xxhash64(F.col(cluster), s, F.lit(seed + 1)), F.lit(inner)).cast("int")
     over = lambda df: df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumns({"cal": part(F.col("split")), "own": fold(F.col("split"))})
-    task = F.explode(F.array(*(F.struct(F.lit(t).alias("task"), F.col(t).cast("int").alias("y")) for t in ("danger", "benefit"))))
-    named = over(pairs).where("cal").select("split", "own", *xs, task.alias("t")).select("split", "own", *xs, "t.*").withColumn("model", F.explode(F.array(*map(F.lit, models))))
-    train = named.withColumn("fit", F.explode(F.sequence(F.lit(-1), F.lit(inner - 1)))).where("fit <> own")  # fit -1: all of the calibration half
-    fits = logistic_fits(train, ["split", "task", "model", "fit"], "y", xs, uses=models)
+    # one copy of the runs for all splits, folds, models and tasks: counts per cluster and features, with the training parts that they lie in as an array; part -1 is the whole calibration half
+    task = F.explode(F.array(*(F.struct(F.lit(t).alias("_key"), F.col(t).cast("long").alias("_y")) for t in ("danger", "benefit"))))
+    flat = pairs.dropna(subset=xs).select(cluster, *(F.col(x).cast("double").alias(x) for x in xs), task.alias("t")).select(cluster, *xs, "t.*").where("_y is not null")
+    counts = cut(flat.groupBy("_key", cluster, *xs).agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg")))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda s: F.transform(F.sequence(F.lit(-1), F.lit(inner - 1)), lambda f: part(s) & (f != fold(s))))
+    named = [(s, f, m, t) for s in range(splits) for f in range(-1, inner) for m in models for t in ("danger", "benefit")]
+    fits = masked_logistic_fits(counts.withColumn("_masks", F.flatten(parts)), xs, [(t, s * (inner + 1) + f + 1, models[m]) for s, f, m, t in named])
     asked = over(units).withColumn("fit", F.when(F.col("cal"), F.col("own")).otherwise(F.lit(-1)))
-    p = asked.join(F.broadcast(fits), ["split", "fit"]).withColumn("p", probability(xs) * F.when(F.col("task") == "benefit", 1).otherwise(-1))  # a row per fit
-    learned = p.groupBy("split", "cal", "unit_id", cluster, "effect", "w", F.concat(F.lit("model "), "model").alias("policy")).agg(F.lit(0.0).alias("tier"), F.sum("p").alias("policy_score"))
+    both = fit_table(units.sparkSession, "split int, fit int, model string, task string", named, fits).groupBy("split", "fit", "model").pivot("task", ["danger", "benefit"]).agg(F.first(F.struct("fit_b", "fit_m", "fit_s")))
+    p = asked.join(F.broadcast(both), ["split", "fit"])  # a row per fit
+    score = probability(xs, "benefit.") - probability(xs, "danger.")
+    learned = p.select("split", "cal", "unit_id", cluster, "effect", "w", F.concat(F.lit("model "), "model").alias("policy"), F.lit(0.0).alias("tier"), score.alias("policy_score"))
     rules = F.explode(F.array(*(F.struct(F.lit(n).alias("policy"), t.cast("double").alias("tier"), s.cast("double").alias("policy_score")) for n, (t, s) in static.items())))
     fixed = over(units).select("split", "cal", "unit_id", cluster, "effect", "w", rules.alias("r")).select("split", "cal", "unit_id", cluster, "effect", "w", "r.*")
     rows = fixed.unionByName(learned.select(fixed.columns)).withColumn("regime", F.explode(F.array(F.lit("balanced"), F.lit("natural")))).withColumn("w", F.when(F.col("regime") == "balanced", 1.0).otherwise(F.col("w")))

@@ -7,10 +7,13 @@ metric are grouped first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.exprs import stable_hash
+from tandem.functions.keys import null_safe_join
 from tandem.functions.storage import cut
 from tandem.operators.inference import bootstrap_ci, lcb_of
 
@@ -65,12 +68,7 @@ def order_statistics(df: DataFrame, by: list[str], value: str | Column, **wanted
 
 def with_groups(summary: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
     """`summary` with the columns of `more`, both one row per group; NULL is a group."""
-    on = F.lit(True)
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
-    named = more.select(*(F.col(b).alias(f"_g_{b}") for b in by), *(c for c in more.columns if c not in by))
-    joined = summary.join(named.hint("merge"), on, "left") if by else summary.crossJoin(F.broadcast(named))  # a single row
-    return joined.drop(*(f"_g_{b}" for b in by))
+    return null_safe_join(summary, more, by, "left")
 
 
 def deterministic_rank(df: DataFrame, by: list[str], tier: Column, score: Column, unit: str, seed: int = 20260722) -> DataFrame:
@@ -146,7 +144,7 @@ def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.join(average_ranks(rows, by, x), [*by, x]).join(average_ranks(rows, by, y), [*by, y])
+    ranked = null_safe_join(null_safe_join(rows, average_ranks(rows, by, x), [*by, x]), average_ranks(rows, by, y), [*by, y])
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(f"{x}_rank", f"{y}_rank").alias("spearman"))
 
 
@@ -205,7 +203,7 @@ def model_risk_coverage(df: DataFrame, by: list[str], score: str, y: str, covera
     """Rate of `y` among the selected share, lowest (or highest) scores first."""
     g = running_sums(df.select(*by, tie, score, F.col(y).cast("long").alias("_y")), by, [score if ascending else "-" + score, tie], {"ys": "_y"})
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).withColumn("k", F.greatest(F.lit(1), F.round(F.col("n") * F.col("coverage"))).cast("long"))
-    return g.join(total.hint("merge"), by).where("rank = k").select(*by, "coverage", "k", (F.col("ys") / F.col("k")).alias("rate"))
+    return null_safe_join(g, total, by).where("rank = k").select(*by, "coverage", "k", (F.col("ys") / F.col("k")).alias("rate"))
 
 
 def max_prefix_under_budget(curve: DataFrame, rate: str, budgets: list[float]) -> DataFrame:
@@ -243,22 +241,61 @@ def lcb_certified_prefix(ranked: DataFrame, budgets: list[float], cluster: str =
     return best.select("policy", "budget", F.coalesce("x.k", F.lit(0)).alias("k"), F.col("x.estimate").alias("estimate"), F.col("x.lcb").alias("lcb"))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!: exact logarithms up to 15, Stirling's series beyond (error below 1e-13)."""
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    return F.when(n < 16, F.get(F.array(*(F.lit(math.lgamma(k + 1)) for k in range(16))), n.cast("int"))).otherwise(series)
+
+
+def binomial_mass(n: Column, p: Column, k: Column) -> Column:
+    """P(k of n) for a chance p; 0 * ln 0 is 0."""
+    times = lambda m, q: F.when(m == 0, F.lit(0.0)).otherwise(m * F.log(q))
+    inside = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + times(k, p) + times(n - k, 1 - p))
+    return F.when(p <= 0, (k == 0).cast("double")).when(p >= 1, (k == n).cast("double")).otherwise(inside)
+
+
+def null_floors(cells: DataFrame, thresholds: dict[str, tuple[float, bool]]) -> DataFrame:
+    """Adds to rows with c, t, p a column per threshold (limit, strict): P(delta < limit), or <= if not strict, where delta = j/t - i/c for two independent binomials j of t and i of c with a common p.
+
+    For each outcome i the j that count are all up to a border, so the distribution function of j is read there: c + t
+    rows per distinct (c, t, p), however large the counts. Masses and their running sums are written once per distinct
+    (count, p).
+    """
+    keys = cut(cells.select(F.col("c").cast("long").alias("c"), F.col("t").cast("long").alias("t"), F.col("p").cast("double").alias("p")).where("c > 0 and t > 0 and p is not null").distinct())
+    counts = keys.select(F.col("c").alias("m"), "p").unionByName(keys.select(F.col("t").alias("m"), "p")).distinct()
+    masses = counts.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m")))).withColumn("mass", binomial_mass(F.col("m"), F.col("p"), F.col("k")))
+    masses = cut(masses.withColumn("up_to", F.sum("mass").over(Window.partitionBy("m", "p").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))))
+    delta = lambda j: j / F.col("t") - F.col("i") / F.col("c")
+
+    def border(limit: float, strict: bool) -> Column:
+        """The greatest j that counts, or -1."""
+        hit = (lambda j: delta(j) < limit - 1e-12) if strict else (lambda j: delta(j) <= limit + 1e-12)
+        near = F.floor(F.col("t") * (F.col("i") / F.col("c") + limit)).cast("long")
+        return F.greatest(F.lit(-1), F.least(F.col("t"), F.when(hit(near + 1), near + 1).when(hit(near), near).otherwise(near - 1)))
+
+    grid = keys.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c"))))
+    asked = grid.withColumn("x", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), border(*x).alias("j")) for n, x in thresholds.items())))).select("c", "t", "p", "i", "x.*")
+    own = masses.select(F.col("m").alias("c"), "p", F.col("k").alias("i"), "mass")
+    other = masses.select(F.col("m").alias("t"), "p", F.col("k").alias("j"), "up_to")
+    both = asked.join(own.hint("merge"), ["c", "p", "i"]).join(other.hint("merge"), ["t", "p", "j"], "left")
+    floors = both.groupBy("c", "t", "p").agg(*(F.sum(F.when(F.col("name") == n, F.col("mass") * F.coalesce("up_to", F.lit(0.0))).otherwise(0.0)).alias(n) for n in thresholds))
+    return cells.join(floors.hint("merge"), ["c", "t", "p"])
+
+
 def null_floor(cells: DataFrame, threshold: float = 0.0, strict: bool = True) -> DataFrame:
-    """P(delta < threshold), or <= if not strict, for two independent binomials with a common p: adds `floor` to rows with c, t, p.
+    """P(delta < threshold), or <= if not strict, for two independent binomials with a common p: adds `floor` to rows with c, t, p."""
+    return null_floors(cells, {"floor": (threshold, strict)})
+
+
+def tail_risk(cells: DataFrame, by: list[str], severe: float = -0.5) -> DataFrame:
+    """by, units, and for harm (effect < 0) and severe harm (effect <= `severe`) the observed share, the share that chance alone makes, and the excess over it, held at 0.
 
-    Distinct (c, t, p) only are expanded, over the (c+1)(t+1) outcomes of each.
+    cells: by, c, t, p (runs of both sides and their common rate), effect, w (weight).
     """
-    keys = cells.select("c", "t", "p").distinct()
-    grid = keys.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("c")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("t"))))
-    # logarithms of factorials as sums over 1..n, so that no count overflows; 0 * ln 0 is 0
-    log_factorial = lambda n: F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.lit(0.0), lambda a, x: a + F.log(x.cast("double"))))
-    times = lambda k, p: F.when(k == 0, F.lit(0.0)).otherwise(k * F.log(p))
-    both = grid.withColumns({f"lf_{c}": log_factorial(F.col(c)) for c in ("c", "t", "i", "j")}).withColumns({"lf_ci": log_factorial(F.col("c") - F.col("i")), "lf_tj": log_factorial(F.col("t") - F.col("j"))})
-    won = F.col("i") + F.col("j")
-    log_p = F.col("lf_c") - F.col("lf_i") - F.col("lf_ci") + F.col("lf_t") - F.col("lf_j") - F.col("lf_tj") + times(won, F.col("p")) + times(F.col("c") + F.col("t") - won, 1 - F.col("p"))
-    sure = ((F.col("p") <= 0) & (won > 0)) | ((F.col("p") >= 1) & (won < F.col("c") + F.col("t")))
-    mass = F.when(sure, 0.0).otherwise(F.exp(log_p))
-    delta = F.col("j") / F.col("t") - F.col("i") / F.col("c")
-    hit = (delta < threshold - 1e-12) if strict else (delta <= threshold + 1e-12)
-    floor = both.groupBy("c", "t", "p").agg(F.sum(F.when(hit, mass).otherwise(0.0)).alias("floor"))
-    return cells.join(floor.hint("merge"), ["c", "t", "p"])
+    rows = null_floors(cells, {"_floor": (0.0, True), "_severe": (severe, False)})
+    mean = lambda x: F.try_divide(F.sum(F.col("w") * x), F.sum("w"))
+    of = {"share_negative": (F.col("effect") < 0).cast("double"), "null_floor": F.col("_floor"), "share_severe": (F.col("effect") <= severe).cast("double"), "severe_floor": F.col("_severe")}
+    out = rows.where("effect is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("units"), *(mean(x).alias(n) for n, x in of.items()))
+    over = lambda a, b: F.greatest(F.lit(0.0), F.col(a) - F.col(b))
+    return out.withColumns({"excess": over("share_negative", "null_floor"), "severe_excess": over("share_severe", "severe_floor")})

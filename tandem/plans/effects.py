@@ -20,8 +20,9 @@ def unit(seed, *parts):
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def weight(seed, *parts):
-    u = unit(seed, *parts)
+def weight(seed, rep: str, cluster: str):
+    """(Poisson weight of `u`, `u`: the draw of a replicate and a cluster, eight to a hash)."""
+    u = f"(('0x' || substr(sha256(concat_ws('|', '{seed}', ({rep} - 1) // {I.DRAWS}, {cluster})), 1 + 8 * (({rep} - 1) % {I.DRAWS}), 8))::BIGINT / 4294967296.0::DOUBLE)"
     return "list_sum([" + ", ".join(f"(u >= {c!r})::INT" for c in I.POISSON) + "])", u
 
 
@@ -35,9 +36,9 @@ def drawn(sums: str, by: str, num: str = "num", den: str = "den", seed: int = SE
 def boot(rows: str, by: str, seed: int = SEED, reps: int = REPS, more: dict | None = None, low: str = "quantile_cont(v, 0.025)", **ctes: str) -> str:
     """Twin of bootstrap_ci over rows (by..., cluster, num, den)."""
     by_ = f"{by}, " if by else ""
-    using = f"JOIN ci USING ({by})" if by else ", ci"
+    using = "JOIN ci ON " + " AND ".join(f"point.{b} IS NOT DISTINCT FROM ci.{b}" for b in by.split(", ")) if by else ", ci"
     return sql(
-        f"SELECT {by_}n, clusters, estimate, ci_lower, ci_upper FROM point {using}", **ctes, rows_=rows,
+        f"SELECT {', '.join([*(f'point.{b}' for b in by.split(', ') if by), 'n'])}, clusters, estimate, ci_lower, ci_upper FROM point {using}", **ctes, rows_=rows,
         sums=f"SELECT {by_}cluster, count(*) AS n, sum(num)::DOUBLE AS num, sum(den)::DOUBLE AS den FROM rows_ GROUP BY {by_}cluster",
         point=f"SELECT {by_}sum(n)::BIGINT AS n, count(*) AS clusters, sum(num) / nullif(sum(den), 0) AS estimate FROM sums" + (f" GROUP BY {by}" if by else ""),
         rep_=drawn("sums", by), ci=f"SELECT {by_}quantile_cont(v, 0.025) AS ci_lower, quantile_cont(v, 0.975) AS ci_upper FROM rep_" + (f" GROUP BY {by}" if by else ""),

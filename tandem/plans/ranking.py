@@ -9,7 +9,7 @@ from tandem.operators import ranking as R
 from tandem.operators import sampling as S
 from tandem.operators.joins import pair_runs
 from tandem.plans.aggregates import EU, effect_units
-from tandem.plans.effects import CI, REPS, SEED, boot
+from tandem.plans.effects import CI, REPS, SEED, boot, drawn
 from tandem.plans.registry import query
 from tandem.plans.views import runs, scores, sql, table, units
 
@@ -99,30 +99,41 @@ def certified_best(spark, sf_dir):
     return R.lcb_certified_prefix(policies(spark, sf_dir), [0.01, 0.05])
 
 
-CTP = "SELECT unit_id, count(*) FILTER (condition = 'control')::INT AS c, count(*) FILTER (condition = 'target_delete')::INT AS t, round(avg(outcome) FILTER (condition IN ('control', 'target_delete')), 2) AS p FROM runs GROUP BY 1 HAVING count(*) FILTER (condition = 'control') > 0 AND count(*) FILTER (condition = 'target_delete') > 0"
-LF = "coalesce(list_sum(list_transform(range(2, {0} + 1), lambda x: ln(x))), 0)"
-FLOOR = f"""SELECT c, t, p, sum(CASE WHEN j / t::DOUBLE - i / c::DOUBLE < -1e-12 AND NOT (p <= 0 AND i + j > 0) AND NOT (p >= 1 AND i + j < c + t)
-  THEN exp({LF.format('c')} - {LF.format('i')} - {LF.format('(c - i)')} + {LF.format('t')} - {LF.format('j')} - {LF.format('(t - j)')} + CASE WHEN i + j = 0 THEN 0 ELSE (i + j) * ln(p) END + CASE WHEN i + j = c + t THEN 0 ELSE (c + t - i - j) * ln(1 - p) END) ELSE 0 END) AS floor
-FROM (SELECT c, t, p, unnest(range(c + 1))::INT AS i FROM (SELECT DISTINCT c, t, p FROM cells)) JOIN (SELECT c AS c2, t AS t2, p AS p2, unnest(range(t + 1))::INT AS j FROM (SELECT DISTINCT c, t, p FROM cells)) ON c = c2 AND t = t2 AND p = p2 GROUP BY 1, 2, 3"""
+CTP = "SELECT unit_id, count(*) FILTER (condition = 'control') AS c, count(*) FILTER (condition = 'target_delete') AS t, avg(outcome) FILTER (condition IN ('control', 'target_delete')) AS p FROM runs GROUP BY 1 HAVING count(*) FILTER (condition = 'control') > 0 AND count(*) FILTER (condition = 'target_delete') > 0"
+MASS = "CASE WHEN p <= 0 THEN ({k} = 0)::INT WHEN p >= 1 THEN ({k} = {n})::INT ELSE exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln(p) + ({n} - {k}) * ln(1 - p)) END"
+
+
+def floor_sql(cells: str) -> str:
+    """Twin of null_floors by all pairs of outcomes."""
+    return f"""SELECT c, t, p, coalesce(sum(mass) FILTER (d < -1e-12), 0) AS floor, coalesce(sum(mass) FILTER (d <= -0.5 + 1e-12), 0) AS severe_floor FROM (
+  SELECT c, t, p, j / t::DOUBLE - i / c::DOUBLE AS d, ({MASS.format(k='i', n='c')}) * ({MASS.format(k='j', n='t')}) AS mass
+  FROM (SELECT c, t, p, i, unnest(range(t + 1)) AS j FROM (SELECT c, t, p, unnest(range(c + 1)) AS i FROM (SELECT DISTINCT c, t, p FROM {cells})))) GROUP BY 1, 2, 3"""
 
 
 def binomial_cells(spark, sf_dir):
     both = F.col("condition").isin("control", "target_delete")
-    n = lambda c: F.sum((F.col("condition") == c).cast("int")).cast("int")
-    return runs(spark, sf_dir).groupBy("unit_id").agg(n("control").alias("c"), n("target_delete").alias("t"), F.round(F.avg(F.when(both, F.col("outcome"))), 2).alias("p")).where("c > 0 and t > 0")
+    n = lambda c: F.count(F.when(F.col("condition") == c, 1))
+    return runs(spark, sf_dir).groupBy("unit_id").agg(n("control").alias("c"), n("target_delete").alias("t"), F.avg(F.when(both, F.col("outcome"))).alias("p")).where("c > 0 and t > 0")
 
 
-@query("exp_19_null_floor", sql("SELECT c, t, p, unit_id, floor FROM cells JOIN (" + FLOOR + ") USING (c, t, p)", cells=CTP), "p floor")
+@query("exp_19_null_floor", sql("SELECT c, t, p, unit_id, floor FROM cells JOIN (" + floor_sql("cells") + ") USING (c, t, p)", cells=CTP), "p floor")
 def floors(spark, sf_dir):
     return R.null_floor(binomial_cells(spark, sf_dir))
 
 
-@query("crv_07_tail_risk", sql("SELECT count(*) AS units, avg((target_effect < 0)::INT) AS share_negative, avg((target_effect <= -0.5)::INT) AS share_half_down, avg(floor) AS null_floor, avg((target_effect < 0)::INT) - avg(floor) AS excess FROM cells JOIN (" + FLOOR + ") USING (c, t, p) JOIN eff USING (unit_id) WHERE target_effect IS NOT NULL", cells=CTP), "share_negative share_half_down null_floor excess")
+NATURAL = "CASE valence WHEN -1 THEN 0.5 WHEN 0 THEN 1.0 ELSE 1.5 END"
+
+
+@query("crv_07_tail_risk", sql("""SELECT regime, units, share_negative, null_floor, greatest(0, share_negative - null_floor) AS excess, share_severe, severe_floor, greatest(0, share_severe - severe_floor) AS severe_excess FROM (
+  SELECT regime, count(*) AS units, sum(w * (target_effect < 0)::INT) / sum(w) AS share_negative, sum(w * floor) / sum(w) AS null_floor, sum(w * (target_effect <= -0.5)::INT) / sum(w) AS share_severe, sum(w * severe_floor) / sum(w) AS severe_floor
+  FROM (SELECT *, CASE regime WHEN 'balanced' THEN 1 ELSE """ + NATURAL + """ END::DOUBLE AS w FROM cells JOIN (""" + floor_sql("cells") + """) USING (c, t, p) JOIN eff USING (unit_id) JOIN (SELECT unit_id, valence FROM units) USING (unit_id), (VALUES ('balanced'), ('natural')) v(regime) WHERE target_effect IS NOT NULL) GROUP BY 1)""", cells=CTP),
+    "share_negative null_floor excess share_severe severe_floor severe_excess")
 def tail(spark, sf_dir):
-    e = A.unit_effects(runs(spark, sf_dir)).select("unit_id", "target_effect").where("target_effect is not null")
-    rows = R.null_floor(binomial_cells(spark, sf_dir)).join(e, "unit_id")
-    neg = A.share_of(F.col("target_effect") < 0)
-    return rows.agg(F.count(F.lit(1)).alias("units"), neg.alias("share_negative"), A.share_of(F.col("target_effect") <= -0.5).alias("share_half_down"), F.avg("floor").alias("null_floor"), (neg - F.avg("floor")).alias("excess"))
+    e = A.unit_effects(runs(spark, sf_dir)).select("unit_id", F.col("target_effect").alias("effect")).where("effect is not null")
+    natural = F.when(F.col("valence") == -1, 0.5).when(F.col("valence") == 0, 1.0).otherwise(1.5)
+    rows = binomial_cells(spark, sf_dir).join(e, "unit_id").join(units(spark, sf_dir).select("unit_id", "valence"), "unit_id")
+    regime = F.explode(F.array(F.struct(F.lit("balanced").alias("regime"), F.lit(1.0).alias("w")), F.struct(F.lit("natural").alias("regime"), natural.alias("w"))))
+    return R.tail_risk(rows.select("*", regime.alias("x")).select("*", "x.*"), ["regime"])
 
 
 @query("exp_20_wilson_upper", sql("SELECT type, position, r AS rate, n, (r + 2.706025/(2*n) + 1.645*sqrt(r*(1-r)/n + 2.706025/(4*n*n::DOUBLE)))/(1 + 2.706025/n) AS upper FROM (SELECT type, position, avg(outcome) AS r, count(*) AS n FROM runs JOIN units USING (unit_id) GROUP BY 1, 2)"), "rate upper")
@@ -173,12 +184,51 @@ def score_policy(spark, sf_dir):
     return P.score_policies(P.combine_scores(long, 2), o.select("unit_id", (F.col("o_totalprice") / 100000 - 2.5).alias("effect")), 0.5, 0.3)
 
 
-@query("crv_11_probe_and_rollback", sql("SELECT count(*) AS units, avg((probe = 1)::INT) AS accept_rate, avg(t - c) AS naive_gain, avg(CASE WHEN probe = 1 THEN t - c ELSE 0 END) AS rollback_gain, avg((t < c)::INT) AS naive_harmed, avg((probe = 1 AND t < c)::INT) AS rollback_harmed FROM (SELECT unit_id, avg(outcome) FILTER (condition = 'target_delete' AND run_id = 1) AS probe, avg(outcome) FILTER (condition = 'target_delete' AND run_id <> 1) AS t, avg(outcome) FILTER (condition = 'control' AND run_id <> 1) AS c FROM runs GROUP BY 1) WHERE probe IS NOT NULL AND t IS NOT NULL AND c IS NOT NULL"), "accept_rate naive_gain rollback_gain naive_harmed rollback_harmed")
+CURVES = """SELECT policy, k, k / (SELECT count(*) FROM o)::DOUBLE AS coverage, es / (SELECT count(*) FROM o) AS net_change, ds / rs::DOUBLE AS danger_rate, bs / rs::DOUBLE AS benefit_rate FROM (
+  SELECT policy, row_number() OVER w AS k, sum(effect) OVER w AS es, sum(runs) OVER w AS rs, sum(danger) OVER w AS ds, sum(benefit) OVER w AS bs FROM r WINDOW w AS (PARTITION BY policy ORDER BY s, """ + H.format("unit_id") + """, unit_id ROWS UNBOUNDED PRECEDING)) WHERE k % 20 = 0"""
+CURVE_ROWS = {
+    "o": "SELECT o_orderkey AS unit_id, (o_custkey % 11) / 10.0::DOUBLE AS s0, (o_custkey % 7) / 6.0::DOUBLE AS s1, o_totalprice / 100000 - 2.5 AS effect, 4 AS runs, o_orderkey % 4 AS danger, o_custkey % 3 AS benefit FROM orders",
+    "r": "SELECT *, 'score 0' AS policy, s0 AS s FROM o UNION ALL SELECT *, 'score 1', s1 FROM o WHERE unit_id % 9 <> 0 UNION ALL SELECT *, 'ensemble', (s0 + s1) / 2 FROM o WHERE unit_id % 9 <> 0 AND abs(s0 - s1) <= 0.3",
+}
+CURVE_RATES = "coverage net_change danger_rate benefit_rate"
+
+
+def score_curve(spark, sf_dir):
+    """Two scorers of orders; the second leaves out a ninth of them."""
+    o = table(spark, sf_dir, "orders").withColumn("unit_id", F.col("o_orderkey"))
+    second = F.when(F.col("unit_id") % 9 != 0, (F.col("o_custkey") % 7) / 6.0)
+    long = o.select("unit_id", F.posexplode(F.array((F.col("o_custkey") % 11) / 10.0, second)).alias("scorer", "score"))
+    u = o.select("unit_id", (F.col("o_totalprice") / 100000 - 2.5).alias("effect"), F.lit(4).alias("runs"), (F.col("o_orderkey") % 4).alias("danger"), (F.col("o_custkey") % 3).alias("benefit"))
+    return P.score_curves(long, u, 2, 0.3, 20)
+
+
+@query("crv_10b_score_curves", sql(CURVES, **CURVE_ROWS), CURVE_RATES)
+def score_policy_curves(spark, sf_dir):
+    return score_curve(spark, sf_dir)
+
+
+@query("crv_10c_score_budgets", sql(f"SELECT policy, budget, coalesce(max(k) FILTER (danger_rate <= budget), 0) AS k, coalesce(arg_max(net_change, k) FILTER (danger_rate <= budget), 0) AS net_change, arg_max(danger_rate, k) FILTER (danger_rate <= budget) AS rate FROM ({CURVES}), (VALUES (0.2::DOUBLE), (0.37), (0.4)) b(budget) GROUP BY 1, 2", **CURVE_ROWS), "budget net_change rate")
+def score_budgets(spark, sf_dir):
+    return R.max_prefix_under_budget(score_curve(spark, sf_dir), "danger_rate", [0.2, 0.37, 0.4])
+
+
+PROBED = """SELECT r.unit_id, any_value(cluster_id) AS cluster_id, any_value(valence) AS valence, max(t) FILTER (run_id = 1) AS probe, count(*) FILTER (run_id <> 1 AND c IS NOT NULL AND t IS NOT NULL) AS n, sum(c) FILTER (run_id <> 1 AND c IS NOT NULL AND t IS NOT NULL) AS sc, sum(t) FILTER (run_id <> 1 AND c IS NOT NULL AND t IS NOT NULL) AS st
+FROM (SELECT unit_id, run_id, max(outcome) FILTER (condition = 'control') AS c, max(outcome) FILTER (condition = 'target_delete') AS t FROM runs WHERE condition IN ('control', 'target_delete') GROUP BY 1, 2) r JOIN units USING (unit_id) GROUP BY 1"""
+PROBE_ROWS = """SELECT candidate_set, policy, unit_id, cluster_id AS cluster, CASE WHEN policy = 'naive' OR probe = 1 THEN 1 ELSE 0 END AS a, CASE WHEN policy = 'naive' OR probe = 1 THEN st / n::DOUBLE - sc / n::DOUBLE ELSE 0 END AS num, 1 AS den, CASE WHEN policy = 'naive' OR probe = 1 THEN floor ELSE 0 END AS f
+FROM cells JOIN floors USING (c, t, p), (VALUES ('naive'), ('rollback')) v(policy), (VALUES ('valence -1'), ('all')) k(candidate_set) WHERE candidate_set = 'all' OR valence = -1"""
+
+
+@query("crv_11_probe_and_rollback", sql(
+    "SELECT candidate_set, policy, candidates, accept_rate, net, CASE WHEN clusters < 2 THEN -1 ELSE low END AS net_lcb, harmed_share, null_floor, greatest(0, harmed_share - null_floor) AS excess FROM (SELECT candidate_set, policy, count(*) AS candidates, count(DISTINCT cluster) AS clusters, avg(a) AS accept_rate, avg(num) AS net, avg((num < 0)::INT) AS harmed_share, avg(f) AS null_floor FROM rows_ GROUP BY 1, 2) JOIN (SELECT candidate_set, policy, quantile_cont(v, 0.05) AS low FROM rep_ GROUP BY 1, 2) USING (candidate_set, policy)",
+    probed=PROBED, cells="SELECT *, n AS c, n AS t, (sc + st) / (2 * n)::DOUBLE AS p FROM probed WHERE probe IS NOT NULL AND n >= 3", floors=floor_sql("cells"), rows_=PROBE_ROWS,
+    sums="SELECT candidate_set, policy, cluster, sum(num)::DOUBLE AS num, sum(den)::DOUBLE AS den FROM rows_ GROUP BY 1, 2, 3", rep_=drawn("sums", "candidate_set, policy")), "accept_rate net net_lcb harmed_share null_floor excess")
 def rollback(spark, sf_dir):
-    return P.probe_and_rollback(runs(spark, sf_dir))
+    r = runs(spark, sf_dir).select("unit_id", "run_id", "condition", "outcome").join(units(spark, sf_dir).select("unit_id", "cluster_id", "valence"), "unit_id")
+    return P.probe_and_rollback(r, {"valence -1": F.col("valence") == -1, "all": F.lit(True)}, reps=REPS, seed=SEED)
 
 
-@query("crv_12_split_half_null", sql("SELECT count(*) AS units, avg(b - a) AS mean_difference, avg((b - a < 0)::INT) AS share_negative, avg((b - a <= -0.5)::INT) AS share_half_down FROM (SELECT unit_id, avg(outcome) FILTER (run_id IN (1, 2)) AS a, avg(outcome) FILTER (run_id IN (3, 4)) AS b FROM runs WHERE condition = 'control' GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL"), "mean_difference share_negative share_half_down")
+@query("crv_12_split_half_null", sql("SELECT units, mean_difference, share_negative, share_half_down, null_floor, greatest(0, share_negative - null_floor) AS excess FROM (SELECT count(*) AS units, avg(b - a) AS mean_difference, avg((b - a < 0)::INT) AS share_negative, avg((b - a <= -0.5)::INT) AS share_half_down, avg(floor) AS null_floor FROM cells JOIN (" + floor_sql("cells") + ") USING (c, t, p))",
+    cells="SELECT *, 2 AS c, 2 AS t FROM (SELECT unit_id, avg(outcome) FILTER (run_id IN (1, 2)) AS a, avg(outcome) FILTER (run_id IN (3, 4)) AS b, avg(outcome) AS p FROM runs WHERE condition = 'control' AND run_id <= 4 GROUP BY 1 HAVING count(DISTINCT run_id) = 4)"), "mean_difference share_negative share_half_down null_floor excess")
 def split_half(spark, sf_dir):
     return P.split_half_null(runs(spark, sf_dir))
 
