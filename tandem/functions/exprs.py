@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Accepted spellings of booleans.
 TRUE_WORDS, STRICT_TRUE, STRICT_FALSE = ("1", "true", "yes", "y"), ("true", "1", "yes"), ("false", "0", "no")
@@ -24,6 +23,14 @@ ANSWER_FORMS = (
     (r"[ ,]", ""),
 )
 NUMBER_FORMS = ((r"\.+$", ""), (r"^(-?[0-9]+)\.0+$", "$1"), (r"^0(\.[0-9]+)$", "$1"))
+# Characters that count as white space at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Empty and repeated commands, ends of a text that breaks off, and keys that wrap a reply.
+EMPTY_TEXTS, REPEATED_SPACES = r"(?:\\+\s*text\s*\{\s*\}\s*){3,}", r"(?:\\+\s*,\s*){8,}"
+BROKEN_END = r"\\$|\\(?:text|frac|dfrac|sqrt)\{[^}\n]*$"
+SENTENCES = r"""(?s)^(.*[.!?])["')\]]*(?:\s.*)?$"""
+PLAIN_ESCAPES = (('\\"', '"'), ("\\\\", "\\"), ("\\/", "/"), ("\\n", "\n"), ("\\r", "\r"))
+WRAPPING_KEYS = ("continuation", "output", "content", "answer")
 # Control characters that stand for lost escapes, and commands with a stray slash.
 LOST_ESCAPES = (("\x08", "\\b"), ("\t", "\\t"), ("\x0c", "\\f"), ("\x0b", "\\v"))
 SLASHED = ("geq", "leq", "neq", "times", "rightarrow")
@@ -33,9 +40,14 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(c) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(_c(c), F.lit(WHITE))
+
+
 def as_float(c) -> Column:
     """Trimmed number, NULL for empty or unreadable text; NaN is never kept."""
-    v = F.nullif(F.trim(_c(c)), F.lit("")).try_cast("double")
+    v = F.nullif(strip(c), F.lit("")).try_cast("double")
     return F.when(~F.isnan(v), v)
 
 
@@ -47,12 +59,12 @@ def as_int(c, default: int | None = None) -> Column:
 
 
 def as_bool(c) -> Column:
-    return F.coalesce(F.lower(F.trim(_c(c))).isin(*TRUE_WORDS), F.lit(False))
+    return F.coalesce(F.lower(strip(c)).isin(*TRUE_WORDS), F.lit(False))
 
 
 def parse_bool_strict(c) -> Column:
     """Only the strict spellings; anything else is an error when the row is computed."""
-    v = F.lower(F.trim(_c(c)))
+    v = F.lower(strip(c))
     return F.when(v.isin(*STRICT_TRUE), True).when(v.isin(*STRICT_FALSE), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), F.coalesce(_c(c), F.lit("NULL")))).cast("boolean"))
 
 
@@ -117,7 +129,7 @@ def conditional_rate(num, den) -> Column:
 
 def normalize_answer(c) -> Column:
     """An answer in plain form: what is boxed, without markup, units, blanks and thousands marks, fractions and roots flat, whole numbers without decimals."""
-    v = F.trim(_c(c))
+    v = strip(c)
     v = F.when(F.rlike(v, F.lit(BOXED)), F.regexp_extract(v, BOXED, 1)).otherwise(v)
     v = F.regexp_replace(v, NO_MEANING, "")
     for pattern, plain in ANSWER_FORMS:
@@ -140,24 +152,23 @@ def extract_answer(c) -> Column:
     return F.coalesce(F.try_element_at(boxed, F.lit(-1)), F.nullif(said, F.lit("")))
 
 
-@F.pandas_udf(StringType())
-def extract_answer_balanced(texts):  # noqa: ANN001, ANN201
-    """The last boxed answer with balanced braces; Arrow batches, as nesting is not regular."""
+def extract_answer_balanced(c) -> Column:
+    """The last boxed answer with balanced braces; NULL where it is not closed.
+
+    A running sum over the braces that follow the last mark: what follows is cut behind each brace, and a fold over the
+    pieces holds the depth and the characters so far, until the depth falls below that of the mark.
+    """
+    mark = "\\boxed{"
+    rest = F.substring_index(_c(c), mark, -1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.lit(-1).alias("end"))
 
-    def one(t):
-        if t is None or (at := t.rfind("\\boxed{")) < 0:
-            return None
-        depth, start = 0, at + len("\\boxed{")
-        for i in range(start, len(t)):
-            if t[i] == "{":
-                depth += 1
-            elif t[i] == "}":
-                if not depth:
-                    return t[start:i]
-                depth -= 1
-        return None
+    def fold(state: Column, piece: Column) -> Column:
+        step = F.when(F.endswith(piece, F.lit("{")), 1).when(F.endswith(piece, F.lit("}")), -1).otherwise(0)
+        depth, chars = state["depth"] + step, state["chars"] + F.char_length(piece)
+        return F.when(state["end"] >= 0, state).otherwise(F.struct(depth.alias("depth"), chars.alias("chars"), F.when(depth < 0, chars - 1).otherwise(F.lit(-1)).alias("end")))
 
-    return texts.map(one)
+    end = F.aggregate(F.split(rest, r"(?<=[{}])"), start, fold)["end"]
+    return F.when(F.contains(_c(c), F.lit(mark)) & (end >= 0), F.substring(rest, F.lit(1), end))
 
 
 def extract_json_object(c, schema: str) -> Column:
@@ -174,27 +185,58 @@ def extract_json_object(c, schema: str) -> Column:
 
 def normalize_status(status, answer) -> Column:
     """completed, cannot_continue or logical_break, whatever the spelling; a reply with an answer is completed where its status says nothing."""
-    v = F.translate(F.lower(F.trim(F.coalesce(_c(status), F.lit("")))), "- ", "__")
+    v = F.translate(F.lower(strip(F.coalesce(_c(status), F.lit("")))), "- ", "__")
     says = lambda *words: F.rlike(v, F.lit("|".join(words)))
     return (
         F.when(v.isin("completed", "cannot_continue", "logical_break"), v).when(says("logical", "break"), "logical_break").when(says("cannot", "unable"), "cannot_continue")
-        .when(says("complete") | (F.trim(F.coalesce(_c(answer), F.lit(""))) != ""), "completed").otherwise("cannot_continue")
+        .when(says("complete") | (strip(F.coalesce(_c(answer), F.lit(""))) != ""), "completed").otherwise("cannot_continue")
     )
 
 
-def repair_text(c) -> Column:
-    """Control characters that stand for lost escapes restored, stray slashes off, long runs of empty commands collapsed; a tail that breaks off inside a formula is cut at the last sentence end, or before the formula."""
+def unwrapped_reply(c) -> dict[str, Column]:
+    """text and cut of a reply that may be a JSON object: its text under the first of the known keys; of an object that breaks off in its `continuation`, what there is of that text, and cut is true."""
     v = _c(c)
+    parsed = F.when(F.startswith(strip(v), F.lit("{")), F.try_parse_json(strip(v)))
+    whole = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
+    value = lambda k: F.try_variant_get(parsed, f"$.{k}", "variant")
+    said = F.coalesce(*(F.when(F.schema_of_variant(value(k)) == "STRING", F.try_variant_get(parsed, f"$.{k}", "string")) for k in WRAPPING_KEYS))
+    opening = r'^\s*\{\s*"continuation"\s*:\s*"'
+    broken = ~whole & F.rlike(v, F.lit(opening))
+    rest = F.regexp_replace(F.regexp_replace(v, opening, ""), r'"\}$', "")
+    return {"text": F.when(whole & said.isNotNull(), said).when(broken, unescaped(rest)).otherwise(v), "cut": F.coalesce(broken, F.lit(False))}
+
+
+def unescaped(c) -> Column:
+    """The text of a JSON string that may break off: code points, quotes, slashes and line ends are decoded, other escapes are left as they are."""
+    tokens = F.regexp_extract_all(_c(c), F.lit(r"(?s)((?:\\u[0-9a-fA-F]{4})+|\\.|[^\\]+|\\)"), F.lit(1))
+
+    def read(t: Column) -> Column:
+        points = F.decode(F.unhex(F.replace(t, F.lit("\\u"), F.lit(""))), "UTF-16BE")
+        plain = F.when(F.rlike(t, F.lit(r"^\\u[0-9a-fA-F]{4}")), points)
+        for escape, char in PLAIN_ESCAPES:
+            plain = plain.when(t == escape, char)
+        return plain.otherwise(t)
+
+    return F.array_join(F.transform(tokens, read), "")
+
+
+def repair_text(c, unwrap: bool = False) -> Column:
+    """Control characters that stand for lost escapes restored, stray slashes off, long runs of empty commands collapsed; a tail that breaks off inside a formula is cut at the last sentence end, or before the formula.
+
+    With `unwrap`, a JSON object around the text is taken off first, and the text of an object that breaks off has its tail cut.
+    """
+    reply = unwrapped_reply(c) if unwrap else {"text": _c(c), "cut": F.lit(False)}
+    v = reply["text"]
     for char, escape in LOST_ESCAPES:
         v = F.replace(v, F.lit(char), F.lit(escape))
     v = F.regexp_replace(v, rf"\\/({'|'.join(SLASHED)})", r"\\$1")
-    v = F.regexp_replace(v, r"(?:\\+\s*text\s*\{\s*\}\s*){3,}", r"\\;")
-    v = F.regexp_replace(v, r"(?:\\+\s*,\s*){8,}", r"\\,")
+    v = F.regexp_replace(v, EMPTY_TEXTS, r"\\;")
+    v = F.regexp_replace(v, REPEATED_SPACES, r"\\,")
     end = F.regexp_replace(v, r"\s+$", "")
     open_formula = (F.regexp_count(end, F.lit(r"\$")) - F.regexp_count(end, F.lit(r"\\\$"))) % 2 == 1
-    broken = open_formula & F.rlike(end, F.lit(r"\\$|\\(?:text|frac|dfrac|sqrt)\{[^}\n]*$"))
-    sentences = F.regexp_extract(end, r"""(?s)^(.*[.!?])["')\]]*(?:\s.*)?$""", 1)
-    before = F.regexp_replace(F.regexp_extract(end, r"(?s)^(.*[^\\]|)\$", 1), r"[ \t\r\n,:;]+$", "")
+    broken = reply["cut"] | (open_formula & F.rlike(end, F.lit(BROKEN_END)))
+    sentences = F.regexp_extract(end, SENTENCES, 1)
+    before = F.when(open_formula, F.regexp_replace(F.regexp_extract(end, r"(?s)^(.*[^\\]|)\$", 1), r"[ \t\r\n,:;]+$", "")).otherwise(end)
     return F.when(broken, F.when(sentences != "", sentences).otherwise(before)).otherwise(v)
 
 
@@ -242,7 +284,7 @@ def scale_pp(c, digits: int = 2) -> Column:
 
 def length_ratio_ok(original, rewritten, lo: float = 0.5, hi: float = 1.7) -> Column:
     """A rewrite counts if it is there, differs, and its length is between lo and hi times the original's."""
-    a, b = F.trim(_c(original)), F.trim(_c(rewritten))
+    a, b = strip(original), strip(rewritten)
     ratio = F.char_length(b) / F.nullif(F.char_length(a), F.lit(0))
     return F.coalesce((b != "") & (a != b) & (ratio >= lo) & (ratio <= hi), F.lit(False))
 

@@ -14,4 +14,5 @@ def null_safe_join(left: DataFrame, right: DataFrame, by: list[str], how: str =
     on = F.lit(True)
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
-    return left.join(named.hint("merge"), on, how).drop(*(f"_g_{b}" for b in by))
+    joined = left.join(named.hint("merge"), on, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*(f"_g_{b}" for b in by))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.functions.exprs import position_bin, stable_hash
+from tandem.functions.exprs import hash_unit, position_bin, stable_hash
 
 
 def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
@@ -90,16 +90,25 @@ def match_nearest_position(traj: DataFrame, k: int = 2) -> DataFrame:
 def discordant_triads(runs: DataFrame, seed: int = 20260722) -> DataFrame:
     """One target-placebo pair with different outcomes per unit, drawn by hash, with the target's control run.
 
-    The distinct outcomes of a pair of runs are an equal key in disguise: target runs meet only placebo
-    runs of the same unit and the other outcome.
+    The draw has two stages, so that no pairs are built: the direction with the chance of its number of pairs, then a
+    target run (one that has a control run of the same number) and a placebo run of the other outcome, each the least
+    by hash. That is a uniform draw from all pairs, in one aggregate per unit.
     """
-    of = lambda c, name: runs.where(F.col("condition") == c).select("unit_id", F.col("run_id").alias(f"{name}_run"), F.col("outcome").alias(f"{name}_outcome"))
-    target, placebo = of("target_delete", "target"), of("placebo_delete", "placebo").withColumn("target_outcome", 1 - F.col("placebo_outcome"))
-    pairs = target.join(placebo, ["unit_id", "target_outcome"])
-    triads = pairs.join(of("control", "control").withColumnRenamed("control_run", "target_run"), ["unit_id", "target_run"])
-    drawn = Window.partitionBy("unit_id").orderBy(stable_hash(F.concat_ws("|", "unit_id", "target_run", "placebo_run"), seed), "target_run", "placebo_run")
-    direction = F.when(F.col("target_outcome") == 1, "target_correct").otherwise("placebo_correct")
-    return triads.withColumn("nth", F.row_number().over(drawn)).where("nth = 1").select("unit_id", "target_run", "placebo_run", "control_outcome", "target_outcome", "placebo_outcome", direction.alias("direction"))
+    of = lambda c: runs.where(F.col("condition") == c).select("unit_id", "run_id", "outcome")
+    controls = of("control").withColumnRenamed("outcome", "control_outcome")
+    sides = of("target_delete").join(controls, ["unit_id", "run_id"]).withColumn("side", F.lit("target")).unionByName(of("placebo_delete").withColumns({"control_outcome": F.lit(None).cast(controls.schema["control_outcome"].dataType), "side": F.lit("placebo")}))
+    drawn = F.struct(stable_hash(F.concat_ws("|", "side", "unit_id", "run_id"), seed).alias("h"), "run_id", "control_outcome")
+    cells = {f"{side}_{y}": (F.col("side") == side) & (F.col("outcome") == y) for side in ("target", "placebo") for y in (0, 1)}
+    per = sides.groupBy("unit_id").agg(*(F.count(F.when(test, 1)).alias(f"n_{c}") for c, test in cells.items()), *(F.min(F.when(test, drawn)).alias(c) for c, test in cells.items()))
+    right, wrong = F.col("n_target_1") * F.col("n_placebo_0"), F.col("n_target_0") * F.col("n_placebo_1")
+    won = hash_unit(seed, F.lit("direction"), "unit_id") * (right + wrong) < right
+    pick = lambda a, b: F.when(won, F.col(a)).otherwise(F.col(b))
+    found = per.where(right + wrong > 0).select("unit_id", won.alias("won"), pick("target_1", "target_0").alias("t"), pick("placebo_0", "placebo_1").alias("p"))
+    y = F.col("won").cast("int")
+    return found.select(
+        "unit_id", F.col("t.run_id").alias("target_run"), F.col("p.run_id").alias("placebo_run"), F.col("t.control_outcome").alias("control_outcome"), y.alias("target_outcome"), (1 - y).alias("placebo_outcome"),
+        F.when(F.col("won"), "target_correct").otherwise("placebo_correct").alias("direction"),
+    )
 
 
 def own_control_join(runs: DataFrame, placebo: str = "placebo_delete", own: str = "placebo_control", on: tuple[str, ...] = ("unit_id", "placebo_index")) -> DataFrame:
@@ -109,18 +118,24 @@ def own_control_join(runs: DataFrame, placebo: str = "placebo_delete", own: str
     return both.withColumn("effect", F.col("placebo_rate") - F.col("own_control_rate"))
 
 
-def fallback_match(wanted: DataFrame, records: DataFrame) -> DataFrame:
+def fallback_match(wanted: DataFrame, records: DataFrame, strict: bool = False) -> DataFrame:
     """For each wanted (unit_id, problem, text, declared_index): the record (record_id, problem, steps) with the text at that index, else the first with it anywhere.
 
-    matched index, fallback flag; unmatched units have NULLs.
+    matched index, fallback flag; unmatched units have NULLs, or are an error if `strict`. The records' steps are an
+    inverted index of two levels, each with one row per key: (problem, text, position) and (problem, text), the text as
+    its sha256, with the first record. Wanted rows look up both by equality, so none meets more than two.
     """
-    at = F.array_position("steps", F.col("text")) - 1
-    both = wanted.join(records, "problem", "left").withColumn("exact", F.get("steps", F.col("declared_index").cast("int")) == F.col("text")).withColumn("at", at)
-    usable = both.where(F.col("exact") | (F.col("at") >= 0))
-    first = Window.partitionBy("unit_id").orderBy(F.when(F.col("exact"), 0).otherwise(1), "record_id")
-    best = usable.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    found = best.select("unit_id", "record_id", F.when(F.col("exact"), F.col("declared_index")).otherwise(F.col("at")).cast("long").alias("matched_index"), (~F.coalesce("exact", F.lit(False))).alias("index_fallback_used"))
-    return wanted.select("unit_id").join(found, "unit_id", "left")
+    steps = records.select("problem", "record_id", F.posexplode("steps").alias("at", "step")).select("problem", F.sha2("step", 256).alias("text_key"), F.col("at").cast("long").alias("at"), "record_id")
+    placed = steps.groupBy("problem", "text_key", "at").agg(F.min("record_id").alias("record_id"))
+    exact = placed.select("problem", "text_key", F.col("at").alias("declared"), F.col("record_id").alias("exact_record"))
+    anywhere = placed.groupBy("problem", "text_key").agg(F.min(F.struct("record_id", "at")).alias("other"))
+    keyed = wanted.select("unit_id", "problem", F.sha2("text", 256).alias("text_key"), F.col("declared_index").cast("long").alias("declared"))
+    both = keyed.join(exact.hint("merge"), ["problem", "text_key", "declared"], "left").join(anywhere.hint("merge"), ["problem", "text_key"], "left")
+    hit = F.col("exact_record").isNotNull()
+    record = F.coalesce("exact_record", "other.record_id")
+    if strict:
+        record = F.when(record.isNull(), F.raise_error(F.concat(F.lit("unmatched unit "), F.col("unit_id").cast("string"))).cast(records.schema["record_id"].dataType)).otherwise(record)
+    return both.select("unit_id", record.alias("record_id"), F.when(hit, F.col("declared")).otherwise(F.col("other.at")).alias("matched_index"), F.when(record.isNotNull(), ~hit).alias("index_fallback_used"))
 
 
 def prioritised_lookup(wanted: DataFrame, first: DataFrame, siblings: DataFrame) -> DataFrame:
@@ -140,7 +155,7 @@ def index_lookup(units: DataFrame, records: DataFrame) -> DataFrame:
 def provenance_match(wanted: DataFrame, completions: DataFrame) -> DataFrame:
     """role of each (problem, text): that of its last occurrence among completions (problem, text, role, order), or not_found."""
     last = completions.groupBy("problem", "text").agg(F.max_by("role", "order").alias("role"))
-    return wanted.join(last, ["problem", "text"], "left").withColumn("role", F.coalesce("role", F.lit("not_found")))
+    return wanted.join(last.hint("merge"), ["problem", "text"], "left").withColumn("role", F.coalesce("role", F.lit("not_found")))
 
 
 def override_merge(base: DataFrame, corrections: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

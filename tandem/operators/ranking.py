@@ -18,6 +18,9 @@ from tandem.functions.storage import cut
 from tandem.operators.inference import bootstrap_ci, lcb_of
 
 
+BROADCAST_GROUPS = 50_000
+
+
 def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column | str], totals: bool = False) -> DataFrame:
     """`df` with rank (from 1) and inclusive running sums inside each `by` group; with `totals`, each sum's total over the group as `<name>_total`.
 
@@ -45,25 +48,57 @@ def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str,
     return out.select(*df.columns, *((F.col(f"_s_{n}") + F.col(f"_f_{n}")).alias(n) for n in sums), *(f"{n}_total" for n in sums if totals))
 
 
-def order_statistics(df: DataFrame, by: list[str], value: str | Column, **wanted: tuple[str, float]) -> DataFrame:
-    """Exact quantiles per group, without a group in one task: distinct values with their counts, and running sums over them.
+def order_statistics(df: DataFrame, by: list[str], value: str | Column, accuracy: int = 2000, **wanted: tuple[str, float]) -> DataFrame:
+    """Exact quantiles per group, by narrowing: a mergeable sketch gives two values around each wanted rank, one pass counts what lies below and keeps what lies between, and only that is ranked.
 
-    `wanted` names results as ("cont", share), linear between ranks, or ("disc", share), the nearest rank. NULLs left out.
+    `wanted` names results as ("cont", share), linear between ranks, or ("disc", share), the nearest rank. NULLs left
+    out; a NULL group is a group. The sketch's ranks are wrong by at most rows / `accuracy`, so at most some 4 /
+    `accuracy` of a group's distinct values are written per result.
     """
-    g = df.select(*by, (F.col(value) if isinstance(value, str) else value).alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    g = running_sums(g, by, ["_v"], {"to": "_n"}, totals=True)
-    n, out = F.col("to_total"), []
-    at = lambda rank: F.max(F.when((F.col("to") >= rank) & (F.col("to") - F.col("_n") < rank), F.col("_v")))
+    rows = df.select(*by, (F.col(value) if isinstance(value, str) else value).alias("_v")).where("_v is not null")
+    near = [min(1.0, max(0.0, s + d)) for _, s in wanted.values() for d in (-2 / accuracy, 2 / accuracy)]
+    bounds = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", near, accuracy).alias("_b"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
+    few = bounds.count() <= BROADCAST_GROUPS
+    limits = bounds.select(*by, *(F.when(F.lit(near[2 * i + side]) == side, F.col(("_min", "_max")[side])).otherwise(F.col("_b")[2 * i + side]).alias(f"_{'lh'[side]}{i}") for i in range(len(wanted)) for side in (0, 1)))
+    held = null_safe_broadcast(rows, limits, by) if few else null_safe_join(rows, limits, by)
+    inside = F.explode(F.array_compact(F.array(*(F.when((F.col("_v") >= F.col(f"_l{i}")) & (F.col("_v") <= F.col(f"_h{i}")), F.lit(n)) for i, n in enumerate(wanted)))))
+    narrow = held.select(*by, "_v", inside.alias("_name")).groupBy(*by, "_name", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_sums(narrow, [*by, "_name"], ["_v"], {"to": "_c"})
+    less, more = (lambda i: F.col("_v") < F.col(f"_l{i}")), (lambda i: F.col("_v") > F.col(f"_h{i}"))
+    around = held.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), *(F.count(F.when(less(i), 1)).alias(f"_under_{n}") for i, n in enumerate(wanted)),
+        *(F.max(F.when(less(i), F.col("_v"))).alias(f"_prev_{n}") for i, n in enumerate(wanted)), *(F.min(F.when(more(i), F.col("_v"))).alias(f"_next_{n}") for i, n in enumerate(wanted)),
+    )
+    n = F.col("_n")
+    ranks, taken = {}, []
     for name, (kind, share) in wanted.items():
-        if kind == "disc":
-            out.append(at(F.greatest(F.lit(1), F.ceil(n * F.lit(float(share)) - 1e-9))).alias(name))
-        else:
-            place = (n - 1) * F.lit(float(share))
-            low = F.floor(place)
-            out += [at(low + 1).cast("double").alias(f"_lo_{name}"), at(F.least(low + 2, n)).cast("double").alias(f"_hi_{name}"), F.max(place - low).alias(f"_at_{name}")]
-    found = g.groupBy(*by).agg(*out)
-    between = lambda k: (F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * F.col(f"_at_{k}")).alias(k)
-    return found.select(*by, *(F.col(k) if kind == "disc" else between(k) for k, (kind, _) in wanted.items()))
+        place = (n - 1) * F.lit(float(share))
+        ranks[name] = {"lo": F.greatest(F.lit(1), F.ceil(n * F.lit(float(share)) - 1e-9))} if kind == "disc" else {"lo": F.floor(place) + 1, "hi": F.least(F.floor(place) + 2, n), "part": place - F.floor(place)}
+        own, to = F.col("_name") == name, F.col("to") + F.col(f"_under_{name}")
+        taken += [F.max(F.when(own & (to >= r) & (to - F.col("_c") < r), F.col("_v"))).alias(f"_{k}_{name}") for k, r in ranks[name].items() if k != "part"]
+        taken.append(F.sum(F.when(own, F.col("_c")).otherwise(0)).alias(f"_in_{name}"))
+    found = null_safe_join(null_safe_join(ranked, around, by).groupBy(*by).agg(*taken), around, by)
+
+    def at(name: str, side: str) -> Column:
+        """The value of a rank: among those kept, or the neighbour below or above them."""
+        rank, under = ranks[name][side], F.col(f"_under_{name}")
+        near = F.when(rank == under, F.col(f"_prev_{name}")).when(rank == under + F.col(f"_in_{name}") + 1, F.col(f"_next_{name}"))
+        return F.coalesce(F.col(f"_{side}_{name}"), near)
+
+    def result(name: str, kind: str) -> Column:
+        low = at(name, "lo")
+        return (low if kind == "disc" else low.cast("double") + (at(name, "hi").cast("double") - low.cast("double")) * ranks[name]["part"]).alias(name)
+
+    return found.select(*by, *(result(name, kind) for name, (kind, _) in wanted.items()))
+
+
+def null_safe_broadcast(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """`rows` with their group's columns, NULL equal to NULL; `groups` has been counted."""
+    named = groups.select(*(F.col(b).alias(f"_g_{b}") for b in by), *(c for c in groups.columns if c not in by))
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    return (rows.join(F.broadcast(named), on) if by else rows.crossJoin(F.broadcast(named))).drop(*(f"_g_{b}" for b in by))
 
 
 def with_groups(summary: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:

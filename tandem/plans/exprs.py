@@ -6,8 +6,9 @@ from tandem.functions import exprs as X
 from tandem.plans.registry import query
 from tandem.plans.views import sql, table, trajectories
 
+BARE = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 RAW = """SELECT l_orderkey, l_partkey, l_linenumber, l_quantity,
-  CASE l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' || CAST(l_quantity AS STRING) || ' ' WHEN 2 THEN 'Yes' WHEN 3 THEN '-' || CAST(l_quantity AS STRING) ELSE 'n/a' END AS raw FROM {lineitem}"""
+  CASE l_linenumber % 5 WHEN 0 THEN chr(10) WHEN 1 THEN ' ' || CAST(l_quantity AS STRING) || chr(13) || chr(10) WHEN 2 THEN chr(9) || 'Yes' || chr(10) WHEN 3 THEN '-' || CAST(l_quantity AS STRING) || chr(9) ELSE 'n/a' END AS raw FROM {lineitem}"""
 
 
 def raw(spark, sf_dir):
@@ -18,8 +19,8 @@ RAW_SQL = RAW.format(lineitem="lineitem")
 
 
 @query("exp_01_casts", f"""
-SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, try_cast(nullif(trim(raw), '') AS DOUBLE) AS as_float,
-  coalesce(trunc(try_cast(nullif(trim(raw), '') AS DOUBLE))::BIGINT, 0) AS as_int, coalesce(lower(trim(raw)) IN ('1','true','yes','y'), false) AS as_bool
+SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, try_cast(nullif({BARE.format('raw')}, '') AS DOUBLE) AS as_float,
+  coalesce(trunc(try_cast(nullif({BARE.format('raw')}, '') AS DOUBLE))::BIGINT, 0) AS as_int, coalesce(lower({BARE.format('raw')}) IN ('1','true','yes','y'), false) AS as_bool
 FROM ({RAW_SQL})""")
 def casts(spark, sf_dir):
     return raw(spark, sf_dir).select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", X.as_float("raw").alias("as_float"), X.as_int("raw", 0).alias("as_int"), X.as_bool("raw").alias("as_bool"))
@@ -27,7 +28,7 @@ def casts(spark, sf_dir):
 
 @query("exp_02_strict_bool", "SELECT l_orderkey, l_partkey, l_linenumber, l_linestatus = 'F' AS flag FROM lineitem")
 def strict_bool(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").withColumn("raw", F.when(F.col("l_linestatus") == "F", " TRUE").otherwise("no "))
+    df = table(spark, sf_dir, "lineitem").withColumn("raw", F.when(F.col("l_linestatus") == "F", " TRUE\n").otherwise("no\t\r\n"))
     return df.select("l_orderkey", "l_partkey", "l_linenumber", X.parse_bool_strict("raw").alias("flag"))
 
 
@@ -63,13 +64,14 @@ def nested(c: str, rules) -> str:
 
 
 def normal(c: str) -> str:
-    inner = f"CASE WHEN regexp_matches(trim({c}), '{X.BOXED}') THEN regexp_extract(trim({c}), '{X.BOXED}', 1) ELSE trim({c}) END"
+    bare = BARE.format(c)
+    inner = f"CASE WHEN regexp_matches({bare}, '{X.BOXED}') THEN regexp_extract({bare}, '{X.BOXED}', 1) ELSE {bare} END"
     dollar = lambda rules: [(p, put.replace("$1", "\\1").replace("$2", "\\2")) for p, put in rules]
     return nested(f"lower({nested(inner, [(X.NO_MEANING, ''), *dollar(X.ANSWER_FORMS)])})", dollar(X.NUMBER_FORMS))
 
 
 ANSWER_CASES = (
-    r"""'\boxed{\frac{1}{' || (o_custkey % 9) || '}}'""", r"""' 1,' || (100 + o_custkey % 900) || '.50'""", r"""'0.5' || (o_custkey % 9) || '.'""",
+    r"""'\boxed{\frac{1}{' || (o_custkey % 9) || '}}'""", r"""chr(9) || ' 1,' || (100 + o_custkey % 900) || '.50' || chr(10)""", r"""'0.5' || (o_custkey % 9) || '.'""",
     r"""'$' || (o_custkey % 50) || '.0 \text{ cm}$'""", r"""'so \boxed{\sqrt' || (o_custkey % 7) || '\pi} holds'""", r"""'\dfrac{a+b}{c} \cdot ' || (o_custkey % 5) || '^{\circ}'""",
     r"""'\left( x \times \sqrt{2} \right) = \infty'""", "''",
 )
@@ -102,10 +104,13 @@ def extracted(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.extract_answer(reply).alias("answer"))
 
 
-@query("exp_12b_extract_balanced", r"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '\frac{' || o_custkey || '}{2}' END AS answer FROM orders")
+@query("exp_12b_extract_balanced", r"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '\frac{' || o_custkey || '}{2}' WHEN 1 THEN repeat('{', (o_custkey % 40)::INT) || 'é' || repeat('}', (o_custkey % 40)::INT) WHEN 2 THEN '' END AS answer FROM orders")
 def balanced(spark, sf_dir):
     c = F.col("o_custkey").cast("string")
-    reply = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("so \\boxed{\\frac{"), c, F.lit("}{2}} done"))).otherwise(F.lit("open \\boxed{\\frac{1"))
+    deep = F.repeat(F.lit("{"), (F.col("o_custkey") % 40).cast("int"))
+    nested = F.concat(F.lit("\\boxed{no} then \\boxed{"), deep, F.lit("é"), F.repeat(F.lit("}"), (F.col("o_custkey") % 40).cast("int")), F.lit("} and }} more"))
+    k = F.col("o_orderkey") % 4
+    reply = F.when(k == 0, F.concat(F.lit("so \\boxed{\\frac{"), c, F.lit("}{2}} done"))).when(k == 1, nested).when(k == 2, "none: \\boxed{}").otherwise(F.lit("open \\boxed{\\frac{1"))
     return table(spark, sf_dir, "orders").select("o_orderkey", X.extract_answer_balanced(reply).alias("answer"))
 
 
@@ -148,6 +153,15 @@ def repaired(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.repair_text(F.expr(TAIL.replace("\\", "\\\\"))).alias("text"))
 
 
+WRAPPED = r"""CASE o_orderkey % 5 WHEN 0 THEN '{"continuation": "Is \\frac{1}{2}.\nSo ' || o_custkey || '"}' WHEN 1 THEN '  {"continuation" : "One \"x\".\nTwo \u00e9 is \alpha ' || o_custkey WHEN 2 THEN '{"n": ' || o_custkey || ', "output": 5, "content": "kept ' || o_custkey || '"}'
+  WHEN 3 THEN '{"continuation":"no end $a + \\sqrt{' || o_custkey ELSE '{set} of ' || o_custkey END"""
+
+
+@query("exp_15b_unwrap_reply", r"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Is \frac{1}{2}.' || chr(10) || 'So ' || o_custkey WHEN 1 THEN 'One "x".' WHEN 2 THEN 'kept ' || o_custkey WHEN 3 THEN 'no end' ELSE '{set} of ' || o_custkey END AS text FROM orders""".replace(r"'Is \frac", r"'Is \frac".replace("\\\\", "\\")))
+def unwrapped(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.repair_text(F.expr(WRAPPED.replace("\\", "\\\\")), unwrap=True).alias("text"))
+
+
 @query("exp_16_excerpt", r"SELECT doc_id, CASE WHEN length(v) > 80 THEN substr(v, 1, 79) || '…' ELSE v END AS text FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS v FROM documents)")
 def excerpts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.excerpt("text", 80).alias("text"))

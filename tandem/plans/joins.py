@@ -79,12 +79,16 @@ def by_position(spark, sf_dir):
     return J.match_nearest_position(trajectories(spark, sf_dir))
 
 
+SIDE = "min({{'h': {0}, 'run': run_id, 'c': control_outcome}}) FILTER (side = '{1}' AND outcome = {2})"
+
+
 @query("jon_09_discordant_triads", sql(f"""
-SELECT unit_id, target_run, placebo_run, control_outcome, target_outcome, placebo_outcome, CASE WHEN target_outcome = 1 THEN 'target_correct' ELSE 'placebo_correct' END AS direction FROM (
-  SELECT t.unit_id, t.run_id AS target_run, p.run_id AS placebo_run, c.outcome AS control_outcome, t.outcome AS target_outcome, p.outcome AS placebo_outcome,
-    row_number() OVER (PARTITION BY t.unit_id ORDER BY {SHA.format("t.unit_id || '|' || t.run_id || '|' || p.run_id")}, t.run_id, p.run_id) AS nth
-  FROM runs t JOIN runs p ON t.unit_id = p.unit_id AND t.outcome <> p.outcome AND t.condition = 'target_delete' AND p.condition = 'placebo_delete'
-  JOIN runs c ON c.unit_id = t.unit_id AND c.run_id = t.run_id AND c.condition = 'control') WHERE nth = 1"""))
+SELECT unit_id, CASE WHEN won THEN t1.run ELSE t0.run END AS target_run, CASE WHEN won THEN p0.run ELSE p1.run END AS placebo_run, CASE WHEN won THEN t1.c ELSE t0.c END AS control_outcome,
+  won::INT AS target_outcome, 1 - won::INT AS placebo_outcome, CASE WHEN won THEN 'target_correct' ELSE 'placebo_correct' END AS direction FROM (
+  SELECT *, ('0x' || substr(md5('20260722|direction|' || unit_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (nt1 * np0 + nt0 * np1) < nt1 * np0 AS won FROM (
+    SELECT unit_id, {', '.join(f"count(*) FILTER (side = '{side}' AND outcome = {y}) AS n{side[0]}{y}, {SIDE.format(SHA.format("side || '|' || unit_id || '|' || run_id"), side, y)} AS {side[0]}{y}" for side in ('target', 'placebo') for y in (0, 1))}
+    FROM (SELECT t.unit_id, t.run_id, t.outcome, c.outcome AS control_outcome, 'target' AS side FROM runs t JOIN runs c ON c.unit_id = t.unit_id AND c.run_id = t.run_id AND c.condition = 'control' AND t.condition = 'target_delete'
+      UNION ALL SELECT unit_id, run_id, outcome, NULL, 'placebo' FROM runs WHERE condition = 'placebo_delete') GROUP BY 1) WHERE nt1 * np0 + nt0 * np1 > 0)"""))
 def triads(spark, sf_dir):
     return J.discordant_triads(runs(spark, sf_dir))
 
@@ -130,13 +134,13 @@ def indices(spark, sf_dir):
 
 
 @query("jon_14_provenance_match", sql("""
-SELECT t.unit_id, coalesce(r.role, 'not_found') AS role FROM (SELECT unit_id, source, steps[target_index + 1] AS text FROM traj WHERE unit_id % 2 = 0) t
+SELECT t.unit_id, coalesce(r.role, 'not_found') AS role FROM (SELECT unit_id, source, steps[target_index + 1] AS text FROM traj) t
 LEFT JOIN (SELECT source, text, max_by(CASE WHEN step_index = target_index THEN 'chosen' ELSE 'alternative' END, unit_id * 100000 + step_index) AS role FROM (SELECT source, s.* , s.step AS text FROM steps s JOIN traj USING (unit_id)) WHERE unit_id % 4 <> 0 GROUP BY 1, 2) r USING (source, text)""", steps=STEPS))
 def provenance(spark, sf_dir):
     t = trajectories(spark, sf_dir)
     all_steps = t.where("unit_id % 4 <> 0").select(F.col("source").alias("problem"), "unit_id", "target_index", F.posexplode("steps").alias("i", "text"))
     role = F.when(F.col("i") == F.col("target_index"), "chosen").otherwise("alternative")
-    wanted = t.where("unit_id % 2 = 0").select("unit_id", F.col("source").alias("problem"), F.get("steps", F.col("target_index").cast("int")).alias("text"))
+    wanted = t.select("unit_id", F.col("source").alias("problem"), F.get("steps", F.col("target_index").cast("int")).alias("text"))
     return J.provenance_match(wanted, all_steps.select("problem", "text", role.alias("role"), (F.col("unit_id") * 100000 + F.col("i")).alias("order"))).select("unit_id", "role")
 
 

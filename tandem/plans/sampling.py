@@ -12,6 +12,7 @@ from tandem.plans.aggregates import EU, effect_units
 from tandem.plans.registry import query
 from tandem.plans.views import raters, runs, sql, table, trajectories, units
 from tandem.sources import readers as RD
+from tandem.sources import sinks as SK
 from tandem.streaming import ingest as ST
 
 H = "substr(sha256('{1}|' || {0}), 1, 16)"
@@ -193,10 +194,10 @@ def jsonl(spark, sf_dir):
     return RD.read_jsonl(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE, props STRING")
 
 
-@query("src_03_jsonl_shards", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+@query("src_03_jsonl_shards", "SELECT event_type, count(*) AS n, sum(CASE WHEN event_id % 3 > 0 THEN event_id END)::BIGINT AS ids FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
 def shards(spark, sf_dir):
     path = scratch(spark)
-    table(spark, sf_dir, "events").select("event_id", "event_type", F.col("event_type").alias("part")).write.partitionBy("part").json(path)
+    table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 > 0, F.col("event_id")).alias("event_id"), "event_type", F.col("event_type").alias("part")).write.partitionBy("part").json(path)
     df = RD.read_jsonl_shards(spark, [f"{path}/part=click/*.json", f"{path}/part=view/*.json", f"{path}/part=click/*.json"], "event_id BIGINT, event_type STRING")
     return df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
@@ -251,12 +252,18 @@ def summary_json(spark, sf_dir):
     return RD.summary_document({"conditions": r.groupBy("condition").agg(F.count(F.lit(1)).alias("n")), "statuses": r.groupBy("status").agg(F.count(F.lit(1)).alias("n"))})
 
 
-@query("snk_04_append_pending", sql("SELECT count(DISTINCT unit_id) AS keys FROM units"))
+@query("snk_04_append_pending", "SELECT key, valence, n FROM (SELECT key, min(valence) AS valence, count(*) FILTER (valence IS NOT NULL) AS n FROM (SELECT CASE WHEN p_partkey % 5 <> 0 THEN p_partkey // 2 END AS key, p_size AS valence FROM part) GROUP BY key)")
 def appended(spark, sf_dir):
-    u, path = units(spark, sf_dir).select("unit_id", "valence"), scratch(spark)
-    RD.append_pending(u.where("unit_id % 3 = 0"), path, "unit_id")
-    RD.append_pending(u, path, "unit_id")
-    return spark.read.schema(u.schema).json(path).agg(F.count("unit_id").alias("keys"))
+    """Three batches, the second sent twice: keys repeat inside and across them, and a fifth of the parts has none. The first size of each key stays."""
+    p, path = table(spark, sf_dir, "part"), scratch(spark)
+    key = F.when(F.col("p_partkey") % 5 != 0, F.floor(F.col("p_partkey") / 2))
+    rows = p.select(key.alias("key"), F.col("p_size").alias("valence"))
+    least = rows.groupBy("key").agg(F.min("valence").alias("valence"))
+    for batch, part in (("a", least.where("key is null or key % 3 = 0")), ("b", rows), ("b", rows), ("c", rows)):
+        SK.append_pending(part, path, "key", batch, ["valence"])
+    once = SK.read_sink(spark, path, rows.schema).groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("valence").alias("valence"))
+    n = rows.groupBy(F.coalesce("key", F.lit(-1)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return once.where("times = 1").join(n.hint("merge"), F.coalesce("key", F.lit(-1)) == F.col("k")).select("key", "valence", "n")
 
 
 @query("snk_05_shard_assign", "SELECT o_orderkey, (o_orderkey % 16)::INT AS shard FROM orders")
@@ -282,6 +289,14 @@ def ingested(spark, sf_dir):
     return spark.read.parquet(sink).select("event_id", "user_id", "event_type")
 
 
+@query("str_01b_ingest_runs_once", "SELECT event_id, user_id, event_type FROM events")
+def ingested_once(spark, sf_dir):
+    path, sink, checkpoint = event_files(spark, sf_dir), scratch(spark), scratch(spark)
+    for _ in range(2):  # a second start finds all batches committed
+        ST.ingest_runs_once(spark, path, STREAM, sink, checkpoint, "task", ["ts", "event_id"], 2).awaitTermination()
+    return SK.read_sink(spark, sink, STREAM).select("event_id", "user_id", "event_type")
+
+
 @query("str_02_verdict_join_stream", "SELECT event_id, CASE WHEN event_type = 'error' THEN false ELSE value > 10 END AS verdict FROM events WHERE event_type = 'error' OR event_id % 3 <> 0")
 def judged(spark, sf_dir):
     path = event_files(spark, sf_dir)

@@ -93,8 +93,8 @@ def raters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order-level scores against a binary outcome, for several scorers: (unit_id, scorer, score, y, cluster_id)."""
-    o = table(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')")
+    """order-level scores against a binary outcome (finished or not), for several scorers: (unit_id, scorer, score, y, cluster_id)."""
+    o = table(spark, sf_dir, "orders")
     y = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
     named = F.explode(F.array(F.struct(F.lit("price").alias("scorer"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("score")), F.struct(F.lit("customer").alias("scorer"), (F.col("o_custkey") % 97).cast("double").alias("score"))))
     return o.select(F.col("o_orderkey").alias("unit_id"), (F.col("o_custkey") % 300).alias("cluster_id"), y.alias("y"), named.alias("s")).select("unit_id", "cluster_id", "y", "s.*")
@@ -103,7 +103,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES_SQL = """
 SELECT o_orderkey AS unit_id, o_custkey % 300 AS cluster_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, scorer,
   CASE WHEN scorer = 'price' THEN floor(o_totalprice / 1000) ELSE (o_custkey % 97)::DOUBLE END AS score
-FROM orders, (VALUES ('price'), ('customer')) v(scorer) WHERE o_orderstatus IN ('F', 'O')
+FROM orders, (VALUES ('price'), ('customer')) v(scorer)
 """
 
 

@@ -20,18 +20,26 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.Struc
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = T.StructType([*fields.fields, T.StructField("_corrupt_record", T.StringType())])
     df = spark.read.schema(full).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").withColumn("_file", F.input_file_name())
-    if not strict:
-        return df
-    bad = F.raise_error(F.concat(F.lit("malformed line in "), F.col("_file"), F.lit(": "), F.col("_corrupt_record")))
-    first = fields.fields[0]
-    return df.withColumn(first.name, F.when(F.col("_corrupt_record").isNotNull(), bad.cast(first.dataType)).otherwise(F.col(first.name))).drop("_corrupt_record", "_file")
+    return lines_checked(df, fields).drop("_file") if strict else df
 
 
-def read_jsonl_shards(spark: SparkSession, globs: list[str], schema: str) -> DataFrame:
-    """Union of all files that match, each once, with their name as `shard`. A pattern without a match is Spark's own error."""
-    fields = T.StructType.fromDDL(schema)
-    df = spark.read.schema(fields).json(sorted(set(globs)))
-    return df.withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1)).where(F.coalesce(*(F.col(f.name).isNotNull() for f in fields.fields[:1])))
+def lines_checked(df: DataFrame, fields: T.StructType) -> DataFrame:
+    """`df` without _corrupt_record, whatever columns are read later: a malformed line is an error with its file."""
+    first = F.coalesce(F.nullif(F.to_json(F.struct(fields.fields[0].name)), F.lit("{}")), F.lit(""))  # a column of the data has to be read beside the record
+    bad = F.raise_error(F.concat(F.lit("malformed line in "), F.col("_file"), F.lit(": "), F.col("_corrupt_record"), first))
+    return df.where(F.when(F.col("_corrupt_record").isNotNull(), bad.cast("boolean")).otherwise(F.lit(True))).drop("_corrupt_record")
+
+
+def read_jsonl_shards(spark: SparkSession, globs: list[str], schema: str, strict: bool = True) -> DataFrame:
+    """Union of all files that match, each once, with their name as `shard`. A pattern without a match is Spark's own error.
+
+    No line is lost: blank ones are skipped, fields may be NULL, and a malformed line is an error (strict) or a row with
+    its text in _corrupt_record.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    df = read_jsonl(spark, sorted(set(globs)), fields, strict=False)
+    df = df.withColumn("shard", F.element_at(F.split("_file", "/"), -1))
+    return (lines_checked(df, fields) if strict else df).drop("_file")
 
 
 def embedded_json(html: Column, start: str, end: str, schema: str) -> Column:
@@ -92,22 +100,6 @@ def summary_document(metrics: dict[str, DataFrame]) -> DataFrame:
     return out.select(F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{n}":['), F.array_join(n, ","), F.lit("]")) for n in metrics)), F.lit("}")).alias("document"))
 
 
-def pending(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Tasks whose key is not in the sink yet."""
-    return tasks.join(done.select(key).distinct(), key, "left_anti")
-
-
-def append_pending(tasks: DataFrame, path: str, key: str) -> int:
-    """Appends pending tasks to a JSON-lines sink; how many keys it then holds."""
-    spark = tasks.sparkSession
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-        tasks = pending(tasks, spark.read.schema(tasks.schema).json(path), key)
-    tasks.write.mode("append").json(path)
-    return spark.read.schema(tasks.schema).json(path).select(key).distinct().count()
-
-
 def shard_assign(df: DataFrame, order: str, n: int) -> DataFrame:
     """Shard of each row by its display order."""
     return df.withColumn("shard", F.pmod(F.col(order) - 1, F.lit(n)).cast("int"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.sources.sinks import append_pending
+
 
 def read_runs_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
@@ -21,6 +23,20 @@ def ingest_runs_stream(spark: SparkSession, path: str, schema: str, sink: str, c
     return stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def ingest_runs_once(spark: SparkSession, path: str, schema: str, sink: str, checkpoint: str, key: str, order: list[str], files_per_trigger: int = 1):
+    """Drains the files that are there into a sink with a commit record per batch: the first record of each key ever, without a watermark.
+
+    A trigger that is run again after a failure, its batch committed or not, leaves each key once. Batches are named by
+    the stream's checkpoint and number.
+    """
+
+    def write(batch: DataFrame, nth: int) -> None:
+        append_pending(batch, sink, key, f"{checkpoint}#{nth}", order)
+
+    stream = read_runs_stream(spark, path, schema, files_per_trigger)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def verdict_join_stream(generations: DataFrame, verdicts: DataFrame, key: str, answer: str) -> DataFrame:
     """Generations with their verdict (static or streaming side): an empty answer is wrong by rule and needs none."""
     empty = F.trim(F.coalesce(F.col(answer), F.lit(""))) == ""
