@@ -123,8 +123,8 @@ def figure_source(summary: DataFrame, wanted: list[tuple[str, str]], points: Dat
     """Named groups of a summary in a given order, over the points they summarise; a missing group is an error."""
     spark = summary.sparkSession
     order = spark.createDataFrame([(i, d, g) for i, (d, g) in enumerate(wanted)], "nth int, dimension string, group string")
-    rows = order.join(summary, ["dimension", "group"], "left")
+    rows = order.join(summary.hint("merge"), ["dimension", "group"], "left")
     checked = rows.withColumn("estimate", F.when(F.col("n").isNull(), F.raise_error(F.concat_ws(" ", F.lit("missing group"), "dimension", "group")).cast("double")).otherwise(F.col("estimate")))
     bars = checked.select(F.lit("group").alias("layer"), "nth", "group", F.col("estimate").alias("y"), F.lit(0.0).alias("x"))
-    dots = points.join(order.select("nth", "group"), "group").select(F.lit("unit").alias("layer"), "nth", "group", "y", "x")
+    dots = points.join(F.broadcast(order.select("nth", "group")), "group").select(F.lit("unit").alias("layer"), "nth", "group", "y", "x")
     return bars.unionByName(dots)

@@ -120,15 +120,16 @@ def benchmark_evaluate(predictions: DataFrame, hidden: DataFrame, key: str = "un
     return parts[0].unionByName(parts[1]).crossJoin(missing)  # one row
 
 
-def wilson_calibrated_policy(rows: DataFrame, split: str, score: str, danger: str, budgets: list[float], coverages: list[float], z: float = 1.645, unit: str = "unit_id") -> DataFrame:
-    """The largest coverage whose Wilson bound on the calibration half is within the budget, and what it gives on the test half."""
-    g = running_sums(rows.select(split, unit, score, F.col(danger).cast("long").alias("_d")), [split], [score, unit], {"d": "_d"})
-    n = rows.groupBy(split).agg(F.count(F.lit(1)).alias("n")).withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).withColumn("k", F.floor(F.col("n") * F.col("coverage")))
-    at = g.join(F.broadcast(n), split).where("rank = k").select(split, "coverage", "k", (F.col("d") / F.col("k")).alias("rate"))
+def wilson_calibrated_policy(rows: DataFrame, by: list[str], split: str, score: str, danger: str, budgets: list[float], coverages: list[float], z: float = 1.645, unit: str = "unit_id") -> DataFrame:
+    """Per group, the largest coverage whose Wilson bound on the calibration half is within the budget, and what it gives on the test half."""
+    keys = [*by, split]
+    g = running_sums(rows.select(*keys, unit, score, F.col(danger).cast("long").alias("_d")), keys, [score, unit], {"d": "_d"})
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).withColumn("rank", F.floor(F.col("n") * F.col("coverage")))
+    at = cut(null_safe_join(n, g, [*keys, "rank"]).select(*keys, "coverage", F.col("rank").alias("k"), (F.col("d") / F.col("rank")).alias("rate")))  # a row per group, half and coverage
     cal = at.where(F.col(split) == "calibration").withColumn("upper", wilson_upper("rate", "k", z)).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
-    chosen = cal.where("upper <= budget").groupBy("budget").agg(F.max(F.struct("coverage", "upper")).alias("c")).select("budget", "c.*")
-    test = at.where(F.col(split) == "test").select("coverage", F.col("k").alias("test_k"), F.col("rate").alias("test_rate"))
-    return chosen.join(F.broadcast(test), "coverage")  # one row per coverage
+    chosen = cal.where("upper <= budget").groupBy(*by, "budget").agg(F.max(F.struct("coverage", "upper")).alias("c")).select(*by, "budget", "c.*")
+    test = at.where(F.col(split) == "test").select(*by, "coverage", F.col("k").alias("test_k"), F.col("rate").alias("test_rate"))
+    return null_safe_join(chosen, test, [*by, "coverage"])
 
 
 def score_policies(scores: DataFrame, units: DataFrame, least: float, most_spread: float) -> DataFrame:

@@ -238,7 +238,8 @@ def model_risk_coverage(df: DataFrame, by: list[str], score: str, y: str, covera
     """Rate of `y` among the selected share, lowest (or highest) scores first."""
     g = running_sums(df.select(*by, tie, score, F.col(y).cast("long").alias("_y")), by, [score if ascending else "-" + score, tie], {"ys": "_y"})
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).withColumn("k", F.greatest(F.lit(1), F.round(F.col("n") * F.col("coverage"))).cast("long"))
-    return null_safe_join(g, total, by).where("rank = k").select(*by, "coverage", "k", (F.col("ys") / F.col("k")).alias("rate"))
+    # the rank is part of the key, so that a common group is no common key
+    return null_safe_join(g, total.withColumn("rank", F.col("k")), [*by, "rank"]).select(*by, "coverage", "k", (F.col("ys") / F.col("k")).alias("rate"))
 
 
 def max_prefix_under_budget(curve: DataFrame, rate: str, budgets: list[float]) -> DataFrame:
@@ -253,13 +254,12 @@ def certified_prefixes(ranked: DataFrame, cluster: str = "cluster_id", step: int
 
     A row that adds (a, b) = (w*effect, w) to a cluster at (A, B) changes the sums of
     A*A, A*B and B*B by 2Aa+a*a, Ab+Ba+ab and 2Bb+b*b; A and B are running sums inside the
-    cluster, the three changes and the count of first occurrences run over the policy.
+    cluster before the row, the three changes and the count of first occurrences run over the policy.
     """
     h = ranked.withColumn("_h", stable_hash("unit_id", 20260722)).withColumns({"a": F.col("w") * F.col("effect"), "b": F.col("w").cast("double")})
     order = ["tier", "-policy_score", "_h", "unit_id"]
-    own = Window.partitionBy("policy", cluster).orderBy("tier", F.desc("policy_score"), "_h", "unit_id")
-    so_far = own.rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumns({"ca": F.coalesce(F.sum("a").over(so_far), F.lit(0.0)), "cb": F.coalesce(F.sum("b").over(so_far), F.lit(0.0)), "new": F.when(F.row_number().over(own) == 1, 1).otherwise(0)})
+    h = running_sums(h, ["policy", cluster], order, {"ca": "a", "cb": "b"})  # by ranges: a common cluster is no common key
+    h = h.withColumns({"ca": F.col("ca") - F.col("a"), "cb": F.col("cb") - F.col("b"), "new": (F.col("rank") == 1).cast("int")}).drop("rank")
     ca, cb, a, b = (F.col(c) for c in ("ca", "cb", "a", "b"))
     sums = {"m": "new", "sa": "a", "sb": "b", "saa": 2 * ca * a + a * a, "sab": ca * b + cb * a + a * b, "sbb": 2 * cb * b + b * b}
     h = h.withColumns({f"_{n}": (F.col(c) if isinstance(c, str) else c) for n, c in sums.items()})

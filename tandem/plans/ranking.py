@@ -142,15 +142,15 @@ def wilson(spark, sf_dir):
     return g.withColumn("upper", X.wilson_upper("rate", "n"))
 
 
-@query("crv_08_wilson_calibrated_policy", sql("""SELECT budget, c.coverage, upper, test_k, test_rate FROM (SELECT budget, max(coverage) AS coverage, arg_max(upper, coverage) AS upper FROM (SELECT *, (r + 2.706025/(2*k) + 1.645*sqrt(r*(1-r)/k + 2.706025/(4*k*k::DOUBLE)))/(1 + 2.706025/k) AS upper FROM cov WHERE split = 'calibration'), (VALUES (0.45::DOUBLE), (0.55)) b(budget) WHERE upper <= budget GROUP BY 1) c
-  JOIN (SELECT coverage, k AS test_k, r AS test_rate FROM cov WHERE split = 'test') t ON c.coverage = t.coverage""",
-    sp="SELECT unit_id, score, y, CASE WHEN ('0x' || substr(sha256('3|' || cluster_id), 1, 16))::UBIGINT % 10 < 5 THEN 'calibration' ELSE 'test' END AS split FROM scores WHERE scorer = 'price'",
-    cov="SELECT split, coverage, k, ys / k::DOUBLE AS r FROM (SELECT split, row_number() OVER w AS rk, sum(y) OVER w AS ys FROM sp WINDOW w AS (PARTITION BY split ORDER BY score, unit_id ROWS UNBOUNDED PRECEDING)) JOIN (SELECT split, coverage, floor(n * coverage)::BIGINT AS k FROM (SELECT split, count(*) AS n FROM sp GROUP BY 1), (VALUES (0.1::DOUBLE), (0.25), (0.5), (1.0)) g(coverage)) USING (split) WHERE rk = k"), "budget coverage upper test_rate")
+@query("crv_08_wilson_calibrated_policy", sql("""SELECT scorer, budget, c.coverage, upper, test_k, test_rate FROM (SELECT scorer, budget, max(coverage) AS coverage, arg_max(upper, coverage) AS upper FROM (SELECT *, (r + 2.706025/(2*k) + 1.645*sqrt(r*(1-r)/k + 2.706025/(4*k*k::DOUBLE)))/(1 + 2.706025/k) AS upper FROM cov WHERE split = 'calibration'), (VALUES (0.45::DOUBLE), (0.55)) b(budget) WHERE upper <= budget GROUP BY 1, 2) c
+  JOIN (SELECT scorer, coverage, k AS test_k, r AS test_rate FROM cov WHERE split = 'test') t USING (scorer, coverage)""",
+    sp="SELECT unit_id, scorer, score, y, CASE WHEN ('0x' || substr(sha256('3|' || cluster_id), 1, 16))::UBIGINT % 10 < 5 THEN 'calibration' ELSE 'test' END AS split FROM scores",
+    cov="SELECT scorer, split, coverage, k, ys / k::DOUBLE AS r FROM (SELECT scorer, split, row_number() OVER w AS rk, sum(y) OVER w AS ys FROM sp WINDOW w AS (PARTITION BY scorer, split ORDER BY score, unit_id ROWS UNBOUNDED PRECEDING)) JOIN (SELECT scorer, split, coverage, floor(n * coverage)::BIGINT AS k FROM (SELECT scorer, split, count(*) AS n FROM sp GROUP BY 1, 2), (VALUES (0.1::DOUBLE), (0.25), (0.5), (1.0)) g(coverage)) USING (scorer, split) WHERE rk = k"), "budget coverage upper test_rate")
 def calibrated(spark, sf_dir):
     from tandem.operators.sampling import hash_split
 
-    s = hash_split(scores(spark, sf_dir).where("scorer = 'price'"), "cluster_id", 10, 5, 3)
-    return P.wilson_calibrated_policy(s, "split", "score", "y", [0.45, 0.55], [0.1, 0.25, 0.5, 1.0]).select("budget", "coverage", "upper", "test_k", "test_rate")
+    s = hash_split(scores(spark, sf_dir), "cluster_id", 10, 5, 3)
+    return P.wilson_calibrated_policy(s, ["scorer"], "split", "score", "y", [0.45, 0.55], [0.1, 0.25, 0.5, 1.0]).select("scorer", "budget", "coverage", "upper", "test_k", "test_rate")
 
 
 MODELS = {"A": ["neg"], "B": ["log_price"], "C": ["neg", "late"], "D": ["neg", "late", "log_price"], "E": ["neg", "late", "log_price", "log_size"]}
