@@ -11,7 +11,10 @@ count once.
 
 Null texts are empty. Rows of equal id and text give equal rows. Empty tables give no
 rows. Only contexts of entities are shuffled; of the other documents only the terms
-that a fixed-size bitmap of candidates lets through.
+that a bitmap of the candidates lets through, which has eight bits per candidate at least
+(up to 2**30 bits, 128 MB). Very long texts are searched whole, in time linear in their
+length. Spans that tie in their start are ordered by kind. Other columns are not read, and
+are kept by `sanitise`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # a match never starts inside a run of digits: linear
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-BITS = 22
+LEAST_BITS, MOST_BITS = 22, 30
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -128,7 +131,7 @@ def entities(docs: DataFrame, window: int) -> DataFrame:
 
 def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """doc_id, text_id, term, start, end: each place in the corpus of a term that may be a candidate."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)  # 2**BITS bits, whatever the corpus
+    held = docs.sparkSession.sparkContext.broadcast(bits)  # 2**MOST_BITS bits at most
 
     def places(batches):
         for b in sub_batches(batches):
@@ -165,7 +168,8 @@ def find_personal_data(docs: DataFrame, window: int = 12, support: int = 3, remo
     counted = pairs.groupBy("term", "entity", "n_e").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
     candidates = cut(counted.join(around.hint("merge"), "term").where(F.col("n_te") >= generalise * F.col("n_near")).drop("n_near"))
     n_texts = found.count()
-    places = cut(salted_join(occurrences(source, bitmap(candidates, "term", BITS)), candidates.select("term").distinct(), "term", ["text_id"], "left_semi"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (8 * candidates.count()).bit_length()))
+    places = cut(salted_join(occurrences(source, bitmap(candidates, "term", bits)), candidates.select("term").distinct(), "term", ["text_id"], "left_semi"))
     flagged = disclosures(found, places, candidates, n_texts, remove, generalise)
     marks = (
         salted_join(places, flagged, "term", ["text_id"]).groupBy(F.col("doc_id").alias("d"), F.col("text_id").alias("x"))

@@ -9,42 +9,52 @@ from tandem.llm.common import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every length of the documents, read as a context limit."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and revealing terms of every whole document."""
     return pii.personal_data_digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document under the model of those not held out."""
     return lm_score.language_scores(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 2,048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document with its score, learned from the labels not held out."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best matches of every vector whose id is divisible by 50, among all vectors."""
     return topk.top_k_of_every(table(spark, sf_dir, "embeddings"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole document."""
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document with its measures and the verdict of its host."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 

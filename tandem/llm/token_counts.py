@@ -77,11 +77,9 @@ def at_limits(limits: DataFrame, wanted: list[int]) -> DataFrame:
 
     limit, docs_within, docs_longer, truncated_total. `wanted` is a short list of the caller.
     """
-    want = limits.sparkSession.createDataFrame([(int(x),) for x in wanted], "limit long")
-    best = (
-        want.crossJoin(F.broadcast(limits.select(F.min("context_limit").alias("least"), F.first("total_tokens").alias("total_tokens"), F.sum("n_docs").alias("docs"))))
-        .join(limits.select("context_limit", "docs_within", "docs_longer", "tokens_within"), F.col("context_limit") <= F.col("limit"), "left")
-        .groupBy("limit", "docs").agg(F.max(F.struct("context_limit", "docs_within", "docs_longer", "tokens_within")).alias("b"))
-    )
+    below = F.struct("context_limit", "docs_within", "docs_longer", "tokens_within")
+    one = limits.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), *(F.max(F.when(F.col("context_limit") <= int(x), below)).alias(f"b{i}") for i, x in enumerate(wanted)))
+    each = F.explode(F.array(*(F.struct(F.lit(int(x)).cast("long").alias("limit"), F.col(f"b{i}").alias("b")) for i, x in enumerate(wanted))))
+    best = one.select("docs", each.alias("x")).select("docs", "x.limit", "x.b")
     longer = F.coalesce(F.col("b.docs_longer"), F.col("docs"))
     return best.select("limit", F.coalesce("b.docs_within", F.lit(0)).alias("docs_within"), longer.alias("docs_longer"), (F.coalesce("b.tokens_within", F.lit(0)) + longer * F.col("limit")).alias("truncated_total"))

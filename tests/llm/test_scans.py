@@ -62,6 +62,90 @@ def test_revealing_terms(spark):
     assert clean[60] == texts[60]
 
 
+def brute_terms(texts, window=12, support=3, remove=0.95, generalise=0.75):
+    """Spans of revealing terms per text, by plain dictionaries."""
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+    def words(t):
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t):
+            w = m[0].strip(marks)
+            start = m.start() + (len(m[0]) - len(m[0].lstrip(marks)) if w else len(m[0]))
+            yield start, start + len(w), "".join(c.lower() if c.isascii() else c for c in w)
+
+    n_e, n_te, n_t = {}, {}, {}
+    for t in {t or "" for t in texts}:
+        spans, ws = brute_pii(t), list(words(t))
+        for w in {w for _, _, w in ws if len(w.encode()) >= 3}:
+            n_t[w] = n_t.get(w, 0) + 1
+        around = {}
+        for kind, s, e in spans:
+            before = [k for k, (_, z, _) in enumerate(ws) if z <= s]
+            after = [k for k, (a, _, _) in enumerate(ws) if a >= e]
+            lo, hi = len(before), len(ws) - len(after)
+            for k in [*range(max(0, lo - window), lo), *range(hi, min(len(ws), hi + window))]:
+                a, z, w = ws[k]
+                if len(w.encode()) >= 3 and not any(x < z and a < y for _, x, y in spans):
+                    around.setdefault((kind, t[s:e].lower()), set()).add(w)
+            around.setdefault((kind, t[s:e].lower()), set())
+        for entity, near in around.items():
+            n_e[entity] = n_e.get(entity, 0) + 1
+            for w in near:
+                n_te[w, entity] = n_te.get((w, entity), 0) + 1
+    share = {}
+    for (w, entity), n in n_te.items():
+        if n >= support and n_e[entity] >= support:
+            share[w] = max(share.get(w, 0), min(1.0, n / n_t[w]))
+    action = {w: "removed" if s >= remove else "generalised" for w, s in share.items() if s >= generalise}
+    return [sorted((action[w], a, z) for a, z, w in words(t or "") if w in action and not any(x < z and a < y for _, x, y in brute_pii(t or ""))) for t in texts]
+
+
+def test_terms_and_actions_equal_brute_force(spark):
+    rng = np.random.default_rng(23)
+    vocabulary = [f"word{i}" for i in range(60)] + ["it", "Ünïcode", "(quoted)", "x_y", "--", "a.b"]
+    entities, names = ["jo@x.org", "Jo@X.org", "10.0.0.7", "+44 20 7946 0958", "amy@y.net", "4539578763621486"], ["Kowalski", "«Ngata»", "Oyelaran,", "zed", "Petrov!", "Quayle"]
+    texts = ["", None]
+    for _ in range(220):
+        words = list(rng.choice(vocabulary, int(rng.integers(3, 40))))
+        k = int(rng.integers(0, len(entities)))
+        at = int(rng.integers(0, len(words)))
+        if rng.random() < 0.6:
+            words[at:at] = [names[k], entities[k]] if rng.random() < 0.9 else [entities[k]]
+        elif rng.random() < 0.06 * k:
+            words[at:at] = [names[k]]
+        texts.append(" ".join(words))
+    texts += texts[5:40]  # copies count once
+    want = brute_terms(texts)
+    rows = pii.find_personal_data(docs(spark, texts)).collect()
+    assert {k for spans in want for k, _, _ in spans} == {"removed", "generalised"} and len(rows) == len(texts)
+    for r in rows:
+        assert sorted((t.kind, t.start, t.end) for t in r.terms) == want[r.doc_id], texts[r.doc_id]
+    put = lambda kind, word: "[REMOVED]" if kind == "removed" else "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[TERM]" if kind == "generalised" else f"[{kind.upper()}]"
+    for r in pii.sanitise(docs(spark, texts)).collect():
+        t, at, out = texts[r.doc_id], 0, []
+        spans = [(s, e, f"[{k.upper()}]") for k, s, e in brute_pii(t or "")] + [(s, e, put(k, t[s:e])) for k, s, e in want[r.doc_id]]
+        for s, e, word in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if s >= at:
+                out += [t[at:s], word]
+            at = max(at, e)
+        assert r.text == (None if t is None else "".join([*out, t[at:]]))
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(31)
+    long = " ".join("".join(rng.choice(list("aeionrst"), int(k))) for k in rng.integers(2, 9, 220_000)) + " mail a@b.co token=abcdefgh1234 end" + "x" * 5_000
+    assert len(long) > 1_300_000
+    texts = [long, "short a@b.co", None]
+    for r in pii.personal_data_digest(pii.find_personal_data(docs(spark, texts))).collect():
+        assert r.base_sha256 == sha(brute_pii(texts[r.doc_id] or ""))
+    for r in secrets.secret_digest(secrets.find_secrets(docs(spark, texts))).collect():
+        assert r.base_sha256 == sha(brute_secrets(texts[r.doc_id] or ""))
+    for r in quality.quality_rules(docs(spark, texts)).collect():
+        t = texts[r.doc_id] or ""
+        assert (r.n_words, r.word_chars) == (len(t.split()), sum(map(len, t.split())))
+    kept = {r.doc_id: len(r.text or "") for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert kept[0] == len(long) - len("a@b.co") + len("[EMAIL]") and len(quality.clean(docs(spark, [long])).collect()) == 1
+
+
 def test_copies_are_no_evidence(spark):
     texts = ["zorblax j@x.org quux"] * 20 + ["plain words"] * 5
     assert all(not r.terms for r in pii.find_personal_data(docs(spark, texts)).collect())
