@@ -227,18 +227,19 @@ def nested_policy_selection(pairs: DataFrame, units: DataFrame, static: dict[str
     learned = p.select("split", "cal", "unit_id", cluster, "effect", "w", F.concat(F.lit("model "), "model").alias("policy"), F.lit(0.0).alias("tier"), score.alias("policy_score"))
     rules = F.explode(F.array(*(F.struct(F.lit(n).alias("policy"), t.cast("double").alias("tier"), s.cast("double").alias("policy_score")) for n, (t, s) in static.items())))
     fixed = over(units).select("split", "cal", "unit_id", cluster, "effect", "w", rules.alias("r")).select("split", "cal", "unit_id", cluster, "effect", "w", "r.*")
-    rows = fixed.unionByName(learned.select(fixed.columns)).withColumn("regime", F.explode(F.array(F.lit("balanced"), F.lit("natural")))).withColumn("w", F.when(F.col("regime") == "balanced", 1.0).otherwise(F.col("w")))
-    name = F.concat_ws("|", "regime", "policy", "split")
-    rows = cut(rows.select("cal", "unit_id", cluster, "effect", "w", "tier", "policy_score", name.alias("policy")))
-    bounds = certified_prefixes(rows.where("cal"), cluster, step).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+    # one ranking per policy and split serves both weightings
+    rows = fixed.unionByName(learned.select(fixed.columns)).withColumn("policy", F.concat_ws("|", "policy", "split")).withColumn("one", F.lit(1.0))
+    rows = cut(rows.select("cal", "unit_id", cluster, "effect", "w", "one", "tier", "policy_score", "policy"))
+    regimes = {"balanced": "one", "natural": "w"}
+    bounds = certified_prefixes(rows.where("cal"), cluster, step, regimes).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
     size = rows.groupBy("policy").agg(F.sum(F.col("cal").cast("long")).alias("n_cal"), F.sum((~F.col("cal")).cast("long")).alias("n_test"))
-    chosen = bounds.groupBy("policy", "budget").agg(F.max(F.when((F.col("lcb") >= -F.col("budget")) & (F.col("k") % step == 0), F.col("k"))).alias("k"))
+    chosen = bounds.groupBy("regime", "policy", "budget").agg(F.max(F.when((F.col("lcb") >= -F.col("budget")) & (F.col("k") % step == 0), F.col("k"))).alias("k"))
     chosen = chosen.join(size.hint("merge"), "policy").withColumn("coverage", F.coalesce(F.col("k") / F.col("n_cal"), F.lit(0.0))).withColumn("k_test", F.round(F.col("coverage") * F.col("n_test")).cast("long"))
-    sums = {"sa": F.col("w") * F.col("effect"), "sb": F.col("w"), "harmed": F.when(F.col("effect") < 0, F.col("w")).otherwise(0.0)}
+    sums = {f"{n}_{r}": c for r, w in regimes.items() for n, c in (("sa", F.col(w) * F.col("effect")), ("sb", F.col(w)), ("harmed", F.when(F.col("effect") < 0, F.col(w)).otherwise(0.0)))}
     test = running_sums(rows.where("not cal").withColumn("_h", stable_hash("unit_id", seed)), ["policy"], ["tier", "-policy_score", "_h", "unit_id"], sums)
-    at = chosen.join(test.select("policy", F.col("rank").alias("k_test"), (F.col("sa") / F.col("sb")).alias("net"), (F.col("harmed") / F.col("sb")).alias("share")).hint("merge"), ["policy", "k_test"], "left")
-    keys = F.split("policy", r"\|")
-    return at.groupBy(keys[0].alias("regime"), keys[1].alias("policy"), "budget").agg(
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("regime"), (F.col(f"sa_{r}") / F.col(f"sb_{r}")).alias("net"), (F.col(f"harmed_{r}") / F.col(f"sb_{r}")).alias("share")) for r in regimes)))
+    at = chosen.join(test.select("policy", F.col("rank").alias("k_test"), each.alias("x")).select("policy", "k_test", "x.*").hint("merge"), ["regime", "policy", "k_test"], "left")
+    return at.groupBy("regime", F.split("policy", r"\|")[0].alias("policy"), "budget").agg(
         F.count(F.lit(1)).alias("splits"), F.sum((F.col("coverage") > 0).cast("int")).alias("splits_with_coverage"), F.percentile("coverage", F.lit(0.5)).alias("median_coverage"), F.min("coverage").alias("least_coverage"),
         F.max("coverage").alias("greatest_coverage"), F.percentile("net", F.lit(0.5)).alias("median_test_effect"), F.percentile("share", F.lit(0.5)).alias("median_test_harmed"),
     )
