@@ -34,7 +34,7 @@ from tandem.llm.textkit import Words, mix, mix_int, prefix_starts, process_cache
 
 N_WORDS, BANDS, ROWS = 5, 10, 4
 SLOT_BITS, BLOCK = 20, 4096
-FILTER_BITS = 24
+LEAST_BITS, MOST_BITS = 24, 30  # of the map that picks wanted texts: eight bits a text between these
 LEFT, RIGHT = 512, 2048  # texts on the sides of a block, on average
 SALTED = 256  # texts that one leader meets in one group
 
@@ -171,7 +171,9 @@ def leader_pairs(open_: DataFrame, members: DataFrame) -> tuple[DataFrame, DataF
 
 def wanted_texts(wanted: DataFrame, texts: DataFrame, vertices: DataFrame) -> DataFrame:
     """v, text of the wanted vertices: one row of each group of equal texts."""
-    bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("v").alias("k")), "k", FILTER_BITS))  # 2 MB
+    wanted = cut(wanted)
+    width = min(MOST_BITS, max(LEAST_BITS, (8 * wanted.count()).bit_length()))
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("v").alias("k")), "k", width))  # 2 to 128 MB
 
     @F.arrow_udf("boolean")
     def maybe(k: pa.Array) -> pa.Array:
@@ -277,12 +279,60 @@ def labels_so_far(found: list[DataFrame]) -> DataFrame | None:
     return components(links_)
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many samples each row of `x` agrees with each row of `y`."""
+    same = np.zeros((len(x), len(y)), np.int8)
+    for k in range(BANDS * ROWS):
+        same += x[:, k, None] == y[None, :, k]
+    return same
+
+
+def with_partners(dealt: DataFrame, least: int) -> DataFrame:
+    """The rows of `dealt` (key, i, j: a block; side, v, label, sig), without sig, that agree in `least` samples with a row of the block's other side and another label."""
+
+    def meet(batches):
+        name, held, lab, sig, hit = None, [], np.zeros(0, np.int64), np.zeros((0, BANDS * ROWS), np.int32), np.zeros(0, bool)
+
+        def lefts():
+            at = 0
+            for part in held:
+                yield part.filter(pa.array(hit[at : at + part.num_rows]))
+                at += part.num_rows
+
+        for b in batches:
+            group = np.stack([b.column(c).to_numpy() for c in range(4)])
+            starts = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1, [b.num_rows]]) if b.num_rows else [0]
+            label, own = b.column(5).to_numpy(), b.column(6).flatten().to_numpy().reshape(-1, BANDS * ROWS)
+            rows = b.select(["key", "i", "j", "side", "v", "label"])
+            found = np.zeros(b.num_rows, bool)
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                here = tuple(group[:3, s].tolist())
+                if not group[3, s]:
+                    if here != name:
+                        yield from lefts()
+                        name, held, lab, sig, hit = here, [], lab[:0], sig[:0], hit[:0]
+                    held.append(rows.slice(s, e - s))
+                    lab, sig, hit = np.append(lab, label[s:e]), np.concatenate([sig, own[s:e]]), np.append(hit, np.zeros(e - s, bool))
+                elif here == name:
+                    step = max(1, (1 << 18) // len(lab))
+                    for x in range(s, e, step):
+                        y = min(e, x + step)
+                        near = (agreement(own[x:y], sig) >= least) & (label[x:y, None] != lab[None, :])
+                        found[x:y] = near.any(1)
+                        hit |= near.any(0)
+            yield rows.filter(pa.array(found))
+        yield from lefts()
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(meet, "key long, i long, j long, side int, v binary, label long")
+
+
 def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate: float, rounds: int) -> DataFrame:
     """a, b, similarity: verified links between texts that share a bucket but no class so far, so many that all of them are joined.
 
     One end of such a pair is outside the bucket's largest class. These ends are dealt over blocks of about LEFT
-    texts, each of which meets the whole bucket in parts of about RIGHT texts, so that no task holds a bucket. Texts
-    travel once per block, pairs are compared there, and what leaves it are links alone.
+    texts, each of which meets the whole bucket in parts of about RIGHT texts, so that no task holds a bucket. Samples
+    alone are dealt over all blocks; the texts follow into those blocks in which they have a partner by samples. There
+    pairs are compared, and what leaves a block are links alone.
     """
     if labels is None:
         own = members.select("key", "v", F.col("v").alias("label"))
@@ -294,13 +344,15 @@ def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
     mixed = classes.select("key", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.m")).alias("o")).where((F.col("o") > 0) & (F.col("n") > min(rounds + 1, 3)))
     own = own.join(mixed.hint("merge"), "key").withColumn("rest", F.col("label") != F.col("main")).withColumn("lefts", F.ceil(F.col("o") / LEFT)).withColumn("rights", F.ceil(F.col("n") / RIGHT))
     own = cut(own.select("key", "v", F.xxhash64("label").alias("label"), "rest", "lefts", "rights"))
-    own = own.join(vertices.select("v", "sig").hint("merge"), "v").join(wanted_texts(own.select("v").distinct(), texts, vertices).hint("merge"), "v")
+    signed = own.join(vertices.select("v", "sig").hint("merge"), "v")
     at_left, at_right = F.pmod(F.xxhash64("v"), F.col("lefts")), F.pmod(F.xxhash64("v", F.lit(1)), F.col("rights"))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = own.where("rest").select("key", at_left.alias("i"), upto("rights").alias("j"), F.lit(0).alias("side"), "v", "label", "sig", "text")
-    right = own.select("key", upto("lefts").alias("i"), at_right.alias("j"), F.lit(1).alias("side"), "v", "label", "sig", "text")
-    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    left = signed.where("rest").select("key", at_left.alias("i"), upto("rights").alias("j"), F.lit(0).alias("side"), "v", "label", "sig")
+    right = signed.select("key", upto("lefts").alias("i"), at_right.alias("j"), F.lit(1).alias("side"), "v", "label", "sig")
     least = int(np.ceil(estimate * BANDS * ROWS - 1e-9))
+    near = cut(with_partners(left.unionByName(right), least))
+    whole = wanted_texts(near.select("v").distinct(), texts, vertices).join(vertices.select("v", "sig").hint("merge"), "v")
+    dealt = near.join(whole.hint("merge"), "v").select("key", "i", "j", "side", "v", "label", "sig", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def meet(batches):
         name, ids, lab, sig, held = None, [], np.zeros(0, np.int64), None, []
@@ -326,9 +378,7 @@ def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
                 step = max(1, (1 << 18) // len(lab))
                 for x in range(s, e, step):
                     y = min(e, x + step)
-                    same = np.zeros((y - x, len(lab)), np.int8)
-                    for k in range(BANDS * ROWS):
-                        same += own[x:y, k, None] == sig[None, :, k]
+                    same = agreement(own[x:y], sig)
                     same[label[x:y, None] == lab[None, :]] = 0
                     r, l = np.nonzero(same >= least)
                     for k in np.argsort(-same[r, l], kind="stable").tolist():  # those that agree most come first: what they join needs no more pairs

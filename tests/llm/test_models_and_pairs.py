@@ -104,6 +104,27 @@ def test_crowded_buckets_reach_the_recall(spark, seeds):
     assert all(want[i] == want[c] for i, c in got.items())
 
 
+def test_only_texts_with_partners_by_samples_are_fetched(spark):
+    """Thousands of texts of one bucket that agree in its band alone: no block asks for a text but those of the planted pairs."""
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2**31, (3000, 40)).astype(np.int32)
+    sig[:, :4] = 7
+    for i in range(0, 60, 2):
+        sig[i + 1, : 23 + i % 4] = sig[i, : 23 + i % 4]
+    sides = [(9, i % 3, j, 0, f"{i:04}".encode(), i, sig[i].tolist()) for i in range(2000) for j in range(2)]
+    sides += [(9, j, i % 2, 1, f"{i:04}".encode(), i, sig[i].tolist()) for i in range(3000) for j in range(3)]
+    dealt = spark.createDataFrame(sides, "key long, i long, j long, side int, v binary, label long, sig array<int>")
+    got = {(r.i, r.j, r.side, r.label) for r in near_dedup.with_partners(dealt, 24).collect()}
+    want = set()
+    for a in range(60):
+        b = a ^ 1
+        if int((sig[a] == sig[b]).sum()) >= 24:
+            want |= {(a % 3, b % 2, 0, a), (a % 3, b % 2, 1, b)}
+    assert got == want and len(got) == 60  # pairs agree in 23 or 25 samples
+    relabelled = dealt.withColumn("label", F.lit(1).cast("long"))
+    assert near_dedup.with_partners(relabelled, 24).count() == 0 and near_dedup.with_partners(dealt.limit(0), 24).count() == 0
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 2**52, 300).astype(np.uint64)
