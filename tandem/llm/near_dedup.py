@@ -6,11 +6,9 @@
 2. Improved consistent weighted sampling draws `BANDS * ROWS` samples per text; two texts
    agree in each with a probability equal to their weighted Jaccard similarity.
 3. Bands of ROWS samples give bucket keys. Equal texts are one vertex from here on.
-4. In each round a bucket's most central text (the one whose buckets are largest) is its
-   leader and is compared with all others; texts like it are done there, the rest has a
-   leader of its own in the next round. After `rounds`, texts of a bucket that are not in
-   one class yet meet in blocks of bounded size, whatever the bucket's size, and are
-   compared there.
+4. A bucket's most central text (the one whose buckets are largest) is its leader and is
+   compared with all others. Texts of a bucket that are not in one class then meet in
+   blocks of bounded size, whatever the bucket's size, and are compared there.
 5. Candidates whose samples agree in at least `estimate` are verified on whole texts by
    exact weighted Jaccard similarity; groups of a leader are salted.
 6. Connected components of the verified links are the classes.
@@ -156,21 +154,24 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
     return texts.mapInArrow(sign, "doc_id long, v binary, sig array<int>, keys array<long>")
 
 
-def agreeing(pairs: DataFrame, vertices: DataFrame, estimate: float) -> DataFrame:
-    """The candidate pairs (a, b) whose samples agree in a share of at least `estimate`. b, a leader, may stand in very many pairs."""
-    both = hot_join(cut(pairs), vertices.select(F.col("v").alias("b"), F.col("sig").alias("sb")), "b").join(vertices.select(F.col("v").alias("a"), F.col("sig").alias("sa")).hint("merge"), "a")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return both.where(same >= estimate * BANDS * ROWS).select("a", "b")
+def leader_pairs(members: DataFrame, vertices: DataFrame, estimate: float) -> DataFrame:
+    """Each bucket's most central text b with every other text a of it, once over all buckets, if their samples agree in a share of at least `estimate`: a, b, n (texts of the bucket), ra, rb (ids that hold their texts).
 
-
-def leader_pairs(open_: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each bucket's leader among `open_` (key, v, c): the leaders, and leader b paired with every other member a of its bucket."""
-    lead = open_.groupBy("key").agg(F.max(F.struct("c", "v"))["v"].alias("b"))
-    return lead, members.join(lead.hint("merge"), "key").where(F.col("v") != F.col("b")).select(F.col("v").alias("a"), "b", "key")
-
-
-def wanted_texts(wanted: DataFrame, texts: DataFrame, vertices: DataFrame) -> DataFrame:
-    """v, text of the wanted vertices: one row of each group of equal texts."""
+    b, a leader, may stand in very many pairs, so its samples come to its buckets first, of which it has at most BANDS.
+    """
+    own = vertices.select("v", "rep", "sig")
+    lead = members.groupBy("key").agg(F.max(F.struct("c", "v"))["v"].alias("v"), F.first("n").alias("n"))
+    lead = lead.join(own.hint("merge"), "v").select("key", "n", F.col("v").alias("b"), F.col("rep").alias("rb"), F.col("sig").alias("sb"))
+    met = members.select("key", "v").join(lead.hint("merge"), "key").where(F.col("v") != F.col("b")).join(own.hint("merge"), "v")
+    same = F.aggregate(F.zip_with("sig", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    met = met.where(same >= estimate * BANDS * ROWS).select(F.col("v").alias("a"), "b", "n", F.col("rep").alias("ra"), "rb")
+    # each pair once, with the leader as b: its text is sent to its groups, not the other way round
+    once = met.groupBy(F.greatest("a", "b").alias("g"), F.least("a", "b").alias("l")).agg(F.min(F.struct("b", "a", "ra", "rb")).alias("p"), F.max("n").alias("n"))
+    return once.select("p.a", "p.b", "n", "p.ra", "p.rb")
+
+
+def wanted_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of `wanted` (v, rep, and more) with their texts: one row of each group of equal texts, that of the id `rep`."""
     wanted = cut(wanted)
     width = min(MOST_BITS, max(LEAST_BITS, (8 * wanted.count()).bit_length()))
     bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("v").alias("k")), "k", width))  # 2 to 128 MB
@@ -180,18 +181,17 @@ def wanted_texts(wanted: DataFrame, texts: DataFrame, vertices: DataFrame) -> Da
         return pa.array(in_bitmap(bits.value, k.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     # of a group of equal texts only the representative's row is shuffled, keyed by its id too, so that no large group meets one task
-    rep = wanted.join(vertices.select("v", "rep").hint("merge"), "v").select(F.col("v").alias("w"), "rep")
-    return texts.where(maybe(F.xxhash64("v"))).join(rep.hint("merge"), (F.col("v") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("v", "text")
+    some = texts.where(maybe(F.xxhash64("v"))).withColumnsRenamed({"v": "w", "doc_id": "id"})
+    return some.join(wanted.hint("merge"), (F.col("v") == F.col("w")) & F.col("id").eqNullSafe(F.col("rep"))).drop("w", "id", "rep")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, idf, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """a, b, similarity: pairs at `threshold` or more by exact weighted Jaccard similarity of whole texts."""
-    held = wanted_texts(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), texts, vertices)
-    groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALTED).alias("salts"))
-    dealt = pairs.join(groups.hint("merge"), "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
-    members = dealt.join(held.withColumnRenamed("v", "a").hint("merge"), "a").select("b", "salt", F.col("a").alias("v"), "text", F.lit(1).alias("turn"))
-    leads = dealt.select("b", "salt").distinct().join(held.withColumnRenamed("v", "b").hint("merge"), "b").select("b", "salt", F.col("b").alias("v"), "text", F.lit(0).alias("turn"))
-    dealt_out = members.unionByName(leads).repartition("b", "salt").sortWithinPartitions("b", "salt", "turn", "v")
+    held = wanted_texts(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("ra").alias("rep")), F.struct(F.col("b").alias("v"), F.col("rb").alias("rep")))).alias("x")).select("x.*").distinct(), texts)
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / SALTED)).alias("salt"))
+    members = dealt.select("b", "salt", F.col("a").alias("v"), F.lit(1).alias("turn"))
+    leads = dealt.select("b", "salt", F.col("b").alias("v"), F.lit(0).alias("turn")).distinct()
+    dealt_out = members.unionByName(leads).join(held.hint("merge"), "v").select("b", "salt", "v", "text", "turn").repartition("b", "salt").sortWithinPartitions("b", "salt", "turn", "v")
 
     def compare(batches):
         lead, lead_h, lead_w = None, None, None
@@ -218,8 +218,8 @@ def verify(pairs: DataFrame, texts: DataFrame, vertices: DataFrame, idf, thresho
     return dealt_out.mapInArrow(compare, "a binary, b binary, similarity double")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """v, label: the least vertex of each vertex's component. Neighbours' least labels, then labels' labels, until nothing changes."""
+def components(edges: DataFrame, steps: int = 0) -> DataFrame:
+    """v, label: the least vertex of each vertex's component. Neighbours' least labels, then labels' labels, until nothing changes; after `steps` steps, if given, some vertex of the component, so that a component may have several labels."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")))
     while True:
@@ -227,56 +227,20 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near.hint("merge"), "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = step.select(F.col("v").alias("label"), F.col("label").alias("beyond"))
         new = cut(step.join(jump.hint("merge"), "label").select("v", F.least("label", "beyond").alias("label"), (F.col("old") != F.least("label", "beyond")).alias("moved")))
-        labels = new.select("v", "label")
-        if not new.where("moved").limit(1).count():
+        labels, steps = new.select("v", "label"), steps - 1
+        if not steps or not new.where("moved").limit(1).count():
             return labels
 
 
-def links(texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate: float, rounds: int) -> DataFrame:
+def links(texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate: float) -> DataFrame:
     """a, b, similarity: verified links between different texts (steps 3 to 5)."""
     banded = vertices.where(F.col("keys").isNotNull()).select("v", "copies", F.explode("keys").alias("key"))
-    size = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = cut(banded.join(size.hint("merge"), "key"))
+    size = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    held = banded.join(size.hint("merge"), "key")
     central = held.groupBy("v").agg((F.sum("n") + F.max("copies")).alias("c"))
     members = cut(held.join(central.hint("merge"), "v").select("key", "v", "c", "n"))
-    open_, tried, found = members.select("key", "v", "c"), None, []
-    for _ in range(rounds):
-        lead, pairs = leader_pairs(open_, members)
-        keyed = cut(pairs)
-        # each pair once, with the leader as b: its text is sent to its groups, not the other way round
-        g, l = F.greatest("a", "b"), F.least("a", "b")
-        pairs = keyed.groupBy(g.alias("g"), l.alias("l")).agg(F.min("b").alias("b")).select(F.when(F.col("b") == F.col("g"), F.col("l")).otherwise(F.col("g")).alias("a"), "b")
-        pairs = agreeing(pairs, vertices, estimate)
-        if tried is not None:
-            pairs = pairs.join(tried.select(g.alias("g"), l.alias("l")).hint("merge"), (g == F.col("g")) & (l == F.col("l")), "left_anti")
-        pairs = cut(pairs)
-        if pairs.limit(1).count():
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            found.append(cut(verify(pairs, texts, vertices, idf, threshold).dropDuplicates(["a", "b"])))
-        linked = keyed.select("key", "a", "b")
-        if found:
-            both = found[-1].select("a", "b") if len(found) == 1 else found[0].select("a", "b").unionByName(found[-1].select("a", "b"))
-            both = both.union(both.select("b", "a")).distinct()
-            linked = linked.join(both.hint("merge"), ["a", "b"])
-            done = linked.select("key", F.col("a").alias("v")).union(lead.select("key", F.col("b").alias("v")))
-        else:
-            done = lead.select("key", F.col("b").alias("v"))
-        open_ = cut(open_.join(done.distinct().hint("merge"), ["key", "v"], "left_anti"))
-    found.append(cut(cross_links(members, labels_so_far(found), texts, vertices, idf, threshold, estimate, rounds)))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def labels_so_far(found: list[DataFrame]) -> DataFrame | None:
-    """v, label of the classes that the links found so far make; None without links."""
-    if not found:
-        return None
-    links_ = found[0].select("a", "b")
-    for more in found[1:]:
-        links_ = links_.unionByName(more.select("a", "b"))
-    return components(links_)
+    found = cut(verify(cut(leader_pairs(members, vertices, estimate)), texts, idf, threshold).dropDuplicates(["a", "b"]))
+    return found.unionByName(cut(cross_links(members, components(found, steps=1), texts, vertices, idf, threshold, estimate)))
 
 
 def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -326,7 +290,7 @@ def with_partners(dealt: DataFrame, least: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(meet, "key long, i long, j long, side int, v binary, label long")
 
 
-def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate: float, rounds: int) -> DataFrame:
+def cross_links(members: DataFrame, labels: DataFrame, texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate: float) -> DataFrame:
     """a, b, similarity: verified links between texts that share a bucket but no class so far, so many that all of them are joined.
 
     One end of such a pair is outside the bucket's largest class. These ends are dealt over blocks of about LEFT
@@ -334,14 +298,10 @@ def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
     alone are dealt over all blocks; the texts follow into those blocks in which they have a partner by samples. There
     pairs are compared, and what leaves a block are links alone.
     """
-    if labels is None:
-        own = members.select("key", "v", F.col("v").alias("label"))
-    else:
-        own = members.join(labels.hint("merge"), "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
-    own = cut(own)
+    own = cut(members.join(labels.hint("merge"), "v", "left").select("key", "v", F.coalesce("label", "v").alias("label")))
     classes = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("most"))
-    # leaders have met all others of the smallest buckets
-    mixed = classes.select("key", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.m")).alias("o")).where((F.col("o") > 0) & (F.col("n") > min(rounds + 1, 3)))
+    # leaders have met all others of buckets of two
+    mixed = cut(classes.select("key", "n", F.col("most.label").alias("main"), (F.col("n") - F.col("most.m")).alias("o")).where((F.col("o") > 0) & (F.col("n") > 2)))
     own = own.join(mixed.hint("merge"), "key").withColumn("rest", F.col("label") != F.col("main")).withColumn("lefts", F.ceil(F.col("o") / LEFT)).withColumn("rights", F.ceil(F.col("n") / RIGHT))
     own = cut(own.select("key", "v", F.xxhash64("label").alias("label"), "rest", "lefts", "rights"))
     signed = own.join(vertices.select("v", "sig").hint("merge"), "v")
@@ -351,11 +311,11 @@ def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
     right = signed.select("key", upto("lefts").alias("i"), at_right.alias("j"), F.lit(1).alias("side"), "v", "label", "sig")
     least = int(np.ceil(estimate * BANDS * ROWS - 1e-9))
     near = cut(with_partners(left.unionByName(right), least))
-    whole = wanted_texts(near.select("v").distinct(), texts, vertices).join(vertices.select("v", "sig").hint("merge"), "v")
+    whole = wanted_texts(near.select("v").distinct().join(vertices.select("v", "rep", "sig").hint("merge"), "v"), texts)
     dealt = near.join(whole.hint("merge"), "v").select("key", "i", "j", "side", "v", "label", "sig", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def meet(batches):
-        name, ids, lab, sig, held = None, [], np.zeros(0, np.int64), None, []
+        name, ids, lab, sig, held, heavy = None, [], np.zeros(0, np.int64), None, [], np.zeros(0)
         for b in sub_batches(batches, column="text"):
             group = np.stack([b.column(c).to_numpy() for c in range(4)])
             starts = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1, [b.num_rows]])
@@ -364,14 +324,15 @@ def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
             row, h, tf = bags(b.column(7))
             w, at = tf * idf.value[slots(h)].astype(np.float64), prefix_starts(row, b.num_rows)
             bag = [(h[at[i] : at[i + 1]], w[at[i] : at[i + 1]]) for i in range(b.num_rows)]
+            total = np.array([x.sum() for _, x in bag])
             found = []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 here = tuple(group[:3, s].tolist())
                 if not group[3, s]:
                     if here != name:
-                        name, ids, lab, sig, held = here, [], lab[:0], own[:0], []
+                        name, ids, lab, sig, held, heavy = here, [], lab[:0], own[:0], [], heavy[:0]
                     ids, held = ids + v[s:e], held + bag[s:e]
-                    lab, sig = np.append(lab, label[s:e]), np.concatenate([sig, own[s:e]])
+                    lab, sig, heavy = np.append(lab, label[s:e]), np.concatenate([sig, own[s:e]]), np.append(heavy, total[s:e])
                     continue
                 if here != name:
                     continue
@@ -380,6 +341,8 @@ def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
                     y = min(e, x + step)
                     same = agreement(own[x:y], sig)
                     same[label[x:y, None] == lab[None, :]] = 0
+                    # weights in common are at most those of the lighter text
+                    same[np.minimum(total[x:y, None], heavy) < (threshold - 1e-9) * np.maximum(total[x:y, None], heavy)] = 0
                     r, l = np.nonzero(same >= least)
                     for k in np.argsort(-same[r, l], kind="stable").tolist():  # those that agree most come first: what they join needs no more pairs
                         i, j = x + int(r[k]), int(l[k])
@@ -388,7 +351,7 @@ def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
                         (hi, wi), (hj, wj) = bag[i], held[j]
                         p = np.minimum(np.searchsorted(hj, hi), len(hj) - 1)
                         common = np.minimum(wi, wj[p])[hj[p] == hi].sum()
-                        similarity = common / (wi.sum() + wj.sum() - common)
+                        similarity = common / (total[i] + heavy[j] - common)
                         if similarity >= threshold:
                             found.append((v[i], ids[j], float(similarity)))
                             gone = label[i]
@@ -399,15 +362,15 @@ def cross_links(members: DataFrame, labels: DataFrame | None, texts: DataFrame,
     return dealt.mapInArrow(meet, "a binary, b binary, similarity double").dropDuplicates(["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, estimate: float = 0.6, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, estimate: float = 0.6) -> DataFrame:
     """doc_id, class_id (least id of its class), text_rep (least id of its equal texts), class_size, n_links (verified links of its text; within a class that is already joined they are not looked for), class_key.
 
     One row for each row of `docs`.
     """
-    return classified(docs, threshold, estimate, rounds).drop("v")
+    return classified(docs, threshold, estimate).drop("v")
 
 
-def classified(docs: DataFrame, threshold: float = 0.8, estimate: float = 0.6, rounds: int = 3) -> DataFrame:
+def classified(docs: DataFrame, threshold: float = 0.8, estimate: float = 0.6) -> DataFrame:
     """The rows of `near_duplicates`, with v (digest of the text)."""
     texts = keyed_texts(docs)
     df = document_frequencies(texts)
@@ -415,7 +378,7 @@ def classified(docs: DataFrame, threshold: float = 0.8, estimate: float = 0.6, r
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(df, n_docs))
     signed = cut(signatures(texts, idf))
     vertices = cut(signed.groupBy("v").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    found = cut(links(texts, vertices, idf, threshold, estimate, rounds))
+    found = cut(links(texts, vertices, idf, threshold, estimate))
     labels = components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
     marked = cut(vertices.select("v", "rep", "copies").join(labels.hint("merge"), "v", "left").join(degree.hint("merge"), "v", "left").withColumn("label", F.coalesce("label", "v")))
