@@ -67,26 +67,26 @@ def slots(h: np.ndarray) -> np.ndarray:
 
 
 def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """The count sketch: documents per slot, summed over tasks in two steps. 4 MB reach the driver."""
+    """The count sketch: documents per slot, summed over tasks block by block as they stream in. 8 MB reach the driver."""
 
     def count(batches):
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for b in sub_batches(batches, column="text"):
             _, h, _ = bags(b.column(0))
             total += np.bincount(slots(h), minlength=1 << SLOT_BITS)
-        salt = int(np.random.default_rng(int(total.sum())).integers(64))
         parts = [total[i : i + BLOCK].astype("<i8" if total.max() > 2**31 - 1 else "<i4").tobytes() for i in range(0, len(total), BLOCK)]
-        yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["block", "salt", "counts"])
+        yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
 
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for x in t.column("counts").to_pylist():
-            total += np.frombuffer(x, "<i4" if len(x) == 4 * BLOCK else "<i8")
-        return pa.table({"block": t.column("block")[:1], "salt": pa.array([0], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    def add(batches):
+        sums = {}
+        for b in batches:
+            for block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(x, "<i4" if len(x) == 4 * BLOCK else "<i8").astype(np.int64)
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
 
-    schema = "block int, salt int, counts binary"
+    schema = "block int, counts binary"
     parts = texts.select("text").mapInArrow(count, schema)
-    rows = parts.groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()  # 256 rows of 32 KB
+    rows = parts.repartition("block").mapInArrow(add, schema).collect()  # 256 rows of 32 KB
     total = np.zeros(1 << SLOT_BITS, np.int64)
     for r in rows:
         total[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i8")
@@ -134,7 +134,7 @@ def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int, k:
 
 
 def signatures(texts: DataFrame, idf) -> DataFrame:
-    """doc_id, v, sig (samples), keys (one per band; null for texts without words)."""
+    """doc_id, v, sig (samples), keys (one per band, which its last four bits name; null for texts without words)."""
 
     def sign(batches):
         for b in sub_batches(batches, column="text"):
@@ -145,6 +145,7 @@ def signatures(texts: DataFrame, idf) -> DataFrame:
             for band in range(BANDS):
                 for r in range(ROWS):
                     keys[:, band] = mix(keys[:, band] * np.uint64(31) + sig[:, band * ROWS + r].astype(np.uint64) + np.uint64(band + 1))
+                keys[:, band] = (keys[:, band] & ~np.uint64(15)) | np.uint64(band)
             none = np.bincount(row, minlength=n) == 0
             as_list = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1), kind))
             keys_ = as_list(keys.view(np.int64), pa.int64())
@@ -243,16 +244,23 @@ def links(texts: DataFrame, vertices: DataFrame, idf, threshold: float, estimate
     return found.unionByName(cut(cross_links(members, components(found, steps=1), texts, vertices, idf, threshold, estimate)))
 
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many samples each row of `x` agrees with each row of `y`."""
-    same = np.zeros((len(x), len(y)), np.int8)
-    for k in range(BANDS * ROWS):
-        same += x[:, k, None] == y[None, :, k]
+def agreement(x: np.ndarray, y: np.ndarray, band: int) -> np.ndarray:
+    """In how many samples each row of `x` agrees with each row of `y`; 0 if they share a band before `band`, whose bucket compares them."""
+    same, earlier = np.zeros((len(x), len(y)), np.int8), np.zeros((len(x), len(y)), bool)
+    for at in range(BANDS):
+        shared = np.ones(same.shape, bool)
+        for k in range(at * ROWS, (at + 1) * ROWS):
+            equal = x[:, k, None] == y[None, :, k]
+            same += equal
+            shared &= equal
+        if at < band:
+            earlier |= shared
+    same[earlier] = 0
     return same
 
 
-def with_partners(dealt: DataFrame, least: int) -> DataFrame:
-    """The rows of `dealt` (key, i, j: a block; side, v, label, sig), without sig, that agree in `least` samples with a row of the block's other side and another label."""
+def with_partners(dealt: DataFrame, least: int, first_band: bool = False) -> DataFrame:
+    """The rows of `dealt` (key, i, j: a block; side, v, label, sig), without sig, that agree in `least` samples with a row of the block's other side and another label. With `first_band`, the last four bits of `key` name its band, and pairs that share a band before it don't count."""
 
     def meet(batches):
         name, held, lab, sig, hit = None, [], np.zeros(0, np.int64), np.zeros((0, BANDS * ROWS), np.int32), np.zeros(0, bool)
@@ -281,7 +289,7 @@ def with_partners(dealt: DataFrame, least: int) -> DataFrame:
                     step = max(1, (1 << 18) // len(lab))
                     for x in range(s, e, step):
                         y = min(e, x + step)
-                        near = (agreement(own[x:y], sig) >= least) & (label[x:y, None] != lab[None, :])
+                        near = (agreement(own[x:y], sig, here[0] & 15 if first_band else 0) >= least) & (label[x:y, None] != lab[None, :])
                         found[x:y] = near.any(1)
                         hit |= near.any(0)
             yield rows.filter(pa.array(found))
@@ -295,7 +303,7 @@ def cross_links(members: DataFrame, labels: DataFrame, texts: DataFrame, vertice
 
     One end of such a pair is outside the bucket's largest class. These ends are dealt over blocks of about LEFT
     texts, each of which meets the whole bucket in parts of about RIGHT texts, so that no task holds a bucket. Samples
-    alone are dealt over all blocks; the texts follow into those blocks in which they have a partner by samples. There
+    alone are dealt over all blocks, and a pair counts in the bucket of its first common band only; the texts follow into those blocks in which they have a partner by samples. There
     pairs are compared, and what leaves a block are links alone.
     """
     own = cut(members.join(labels.hint("merge"), "v", "left").select("key", "v", F.coalesce("label", "v").alias("label")))
@@ -310,7 +318,7 @@ def cross_links(members: DataFrame, labels: DataFrame, texts: DataFrame, vertice
     left = signed.where("rest").select("key", at_left.alias("i"), upto("rights").alias("j"), F.lit(0).alias("side"), "v", "label", "sig")
     right = signed.select("key", upto("lefts").alias("i"), at_right.alias("j"), F.lit(1).alias("side"), "v", "label", "sig")
     least = int(np.ceil(estimate * BANDS * ROWS - 1e-9))
-    near = cut(with_partners(left.unionByName(right), least))
+    near = cut(with_partners(left.unionByName(right), least, first_band=True))
     whole = wanted_texts(near.select("v").distinct().join(vertices.select("v", "rep", "sig").hint("merge"), "v"), texts)
     dealt = near.join(whole.hint("merge"), "v").select("key", "i", "j", "side", "v", "label", "sig", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
@@ -339,7 +347,7 @@ def cross_links(members: DataFrame, labels: DataFrame, texts: DataFrame, vertice
                 step = max(1, (1 << 18) // len(lab))
                 for x in range(s, e, step):
                     y = min(e, x + step)
-                    same = agreement(own[x:y], sig)
+                    same = agreement(own[x:y], sig, here[0] & 15)
                     same[label[x:y, None] == lab[None, :]] = 0
                     # weights in common are at most those of the lighter text
                     same[np.minimum(total[x:y, None], heavy) < (threshold - 1e-9) * np.maximum(total[x:y, None], heavy)] = 0

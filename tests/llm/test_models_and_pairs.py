@@ -123,6 +123,9 @@ def test_only_texts_with_partners_by_samples_are_fetched(spark):
     assert got == want and len(got) == 60  # pairs agree in 23 or 25 samples
     relabelled = dealt.withColumn("label", F.lit(1).cast("long"))
     assert near_dedup.with_partners(relabelled, 24).count() == 0 and near_dedup.with_partners(dealt.limit(0), 24).count() == 0
+    for band, rows in ((0, 60), (1, 0), (9, 0)):  # all pairs share band 0, so the buckets of later bands leave them to it
+        named = dealt.withColumn("key", F.lit(32 + band).cast("long"))
+        assert near_dedup.with_partners(named, 24, first_band=True).count() == rows
 
 
 def test_sampling_estimates_weighted_jaccard():
