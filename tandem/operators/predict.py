@@ -11,7 +11,8 @@ from tandem.functions.exprs import stable_hash, wilson_upper
 from tandem.functions.keys import null_safe_join
 from tandem.functions.storage import cut
 from tandem.operators.inference import bootstrap_ci, masked_logistic_fits, one_sided_lcb, probability
-from tandem.operators.ranking import average_precision, certified_prefixes, null_floor, roc_auc, running_sums, spearman
+from tandem.operators.prefixes import cluster_states, order_blocks, prefix_bounds, prefix_sums_at, view_totals
+from tandem.operators.ranking import average_precision, bounds_of, null_floor, roc_auc, running_sums, spearman
 
 
 def feature_columns(flags: dict[str, Column], interactions: list[tuple[str, str]], lengths: dict[str, Column]) -> dict[str, Column]:
@@ -202,8 +203,8 @@ def nested_policy_selection(pairs: DataFrame, units: DataFrame, static: dict[str
     Models predict danger and benefit of a unit from runs of the calibration half: its own units by `inner` folds, the
     test half by a fit on all of them; the score is P(benefit) - P(danger). On the calibration half the largest prefix
     whose cluster-robust bound is within the budget gives a coverage, which is applied to the test half. Splits,
-    folds, models and tasks are fitted over one copy of the runs; splits, policies and weightings of the units are key
-    columns of the same jobs.
+    folds, models and tasks are fitted over one copy of the runs. Units are ordered once per static policy for all splits
+    (a half is whole clusters, a view of the blocks) and once per split, half and model; both weightings share it.
 
     pairs: unit_id, `cluster`, danger, benefit, control_outcome and the features of its unit; units: unit_id, `cluster`,
     effect, w (natural weight) and the features. One row per regime, policy and budget: splits with any coverage,
@@ -220,26 +221,40 @@ def nested_policy_selection(pairs: DataFrame, units: DataFrame, static: dict[str
     parts = F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda s: F.transform(F.sequence(F.lit(-1), F.lit(inner - 1)), lambda f: part(s) & (f != fold(s))))
     named = [(s, f, m, t) for s in range(splits) for f in range(-1, inner) for m in models for t in ("danger", "benefit")]
     fits = masked_logistic_fits(counts.withColumn("_masks", F.flatten(parts)), xs, [(t, s * (inner + 1) + f + 1, models[m]) for s, f, m, t in named])
+    names, regimes, halves = [*static, *(f"model {m}" for m in models)], {"balanced": None, "natural": "w"}, 2 * splits
+    # an ordering's number: its policy, then 0 where it is the same in all splits, else 1 + its view. A view is the calibration or, `splits` further on, the test half of a split: whole clusters
+    ordering = lambda policy, view: (policy * (halves + 1) + view).cast("int")
+    units = cut(units.select("unit_id", cluster, "effect", F.col("w").cast("double").alias("w"), *(F.col(x).cast("double").alias(x) for x in xs), *(c.cast("double").alias(f"_{k}{i}") for i, rule in enumerate(static.values()) for k, c in zip("ts", rule, strict=True))))
     asked = over(units).withColumn("fit", F.when(F.col("cal"), F.col("own")).otherwise(F.lit(-1)))
     both = fit_table(units.sparkSession, "split int, fit int, model string, task string", named, fits).groupBy("split", "fit", "model").pivot("task", ["danger", "benefit"]).agg(F.first(F.struct("fit_b", "fit_m", "fit_s")))
     p = asked.join(F.broadcast(both), ["split", "fit"])  # a row per fit
     score = probability(xs, "benefit.") - probability(xs, "danger.")
-    learned = p.select("split", "cal", "unit_id", cluster, "effect", "w", F.concat(F.lit("model "), "model").alias("policy"), F.lit(0.0).alias("tier"), score.alias("policy_score"))
-    rules = F.explode(F.array(*(F.struct(F.lit(n).alias("policy"), t.cast("double").alias("tier"), s.cast("double").alias("policy_score")) for n, (t, s) in static.items())))
-    fixed = over(units).select("split", "cal", "unit_id", cluster, "effect", "w", rules.alias("r")).select("split", "cal", "unit_id", cluster, "effect", "w", "r.*")
-    # one ranking per policy and split serves both weightings
-    rows = fixed.unionByName(learned.select(fixed.columns)).withColumn("policy", F.concat_ws("|", "policy", "split")).withColumn("one", F.lit(1.0))
-    rows = cut(rows.select("cal", "unit_id", cluster, "effect", "w", "one", "tier", "policy_score", "policy"))
-    regimes = {"balanced": "one", "natural": "w"}
-    bounds = certified_prefixes(rows.where("cal"), cluster, step, regimes).withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
-    size = rows.groupBy("policy").agg(F.sum(F.col("cal").cast("long")).alias("n_cal"), F.sum((~F.col("cal")).cast("long")).alias("n_test"))
-    chosen = bounds.groupBy("regime", "policy", "budget").agg(F.max(F.when((F.col("lcb") >= -F.col("budget")) & (F.col("k") % step == 0), F.col("k"))).alias("k"))
-    chosen = chosen.join(size.hint("merge"), "policy").withColumn("coverage", F.coalesce(F.col("k") / F.col("n_cal"), F.lit(0.0))).withColumn("k_test", F.round(F.col("coverage") * F.col("n_test")).cast("long"))
-    sums = {f"{n}_{r}": c for r, w in regimes.items() for n, c in (("sa", F.col(w) * F.col("effect")), ("sb", F.col(w)), ("harmed", F.when(F.col("effect") < 0, F.col(w)).otherwise(0.0)))}
-    test = running_sums(rows.where("not cal").withColumn("_h", stable_hash("unit_id", seed)), ["policy"], ["tier", "-policy_score", "_h", "unit_id"], sums)
-    each = F.explode(F.array(*(F.struct(F.lit(r).alias("regime"), (F.col(f"sa_{r}") / F.col(f"sb_{r}")).alias("net"), (F.col(f"harmed_{r}") / F.col(f"sb_{r}")).alias("share")) for r in regimes)))
-    at = chosen.join(test.select("policy", F.col("rank").alias("k_test"), each.alias("x")).select("policy", "k_test", "x.*").hint("merge"), ["regime", "policy", "k_test"], "left")
-    return at.groupBy("regime", F.split("policy", r"\|")[0].alias("policy"), "budget").agg(
+    number = F.array_position(F.array(*map(F.lit, names)), F.concat(F.lit("model "), "model")) - 1
+    view = F.col("split") + F.when(F.col("cal"), 0).otherwise(splits)
+    learned = p.select(ordering(number, 1 + view).alias("_g"), "unit_id", cluster, "effect", "w", F.lit(0.0).alias("tier"), score.alias("policy_score"))
+    rules = F.explode(F.array(*(F.struct(ordering(F.lit(i), F.lit(0)).alias("_g"), F.col(f"_t{i}").alias("tier"), F.col(f"_s{i}").alias("policy_score")) for i in range(len(static))))) if static else None
+    rows = learned
+    if static:
+        rows = units.select("unit_id", cluster, "effect", "w", rules.alias("r")).select("r._g", "unit_id", cluster, "effect", "w", "r.tier", "r.policy_score").unionByName(learned)
+    rows = rows.withColumn("_h", F.unhex(stable_hash("unit_id", seed)))
+    blocks = order_blocks(rows, "_g", ["tier", "-policy_score", "_h", "unit_id"], cluster, "effect", list(regimes.values()))
+    of_split = F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda s: (s + F.when(part(s), 0).otherwise(splits)).cast("int"))
+    own_view = F.col("_g") % (halves + 1) - 1
+    states = cluster_states(blocks, "_g", cluster, len(regimes), F.when(own_view < 0, of_split).otherwise(F.array(own_view.cast("int"))))
+    totals = view_totals(states, "_g", len(regimes))
+    calibrating = own_view < splits
+    bounds = bounds_of(prefix_bounds(blocks.where(calibrating), states.where(calibrating), totals.where(F.col("view") < splits), "_g", len(regimes), step), list(regimes))
+    bounds = bounds.withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+    chosen = bounds.groupBy("_g", "view", "regime", "budget").agg(F.max("total").alias("n_cal"), F.max(F.when((F.col("lcb") >= -F.col("budget")) & (F.col("k") % step == 0), F.col("k"))).alias("k"))
+    chosen = chosen.withColumns({"_g": F.when(own_view < 0, F.col("_g")).otherwise(F.col("_g") + splits).cast("int"), "view": (F.col("view") + splits).cast("int")})  # the test half of the same split
+    chosen = cut(chosen)  # a row per split, policy, weighting and budget
+    n_test = totals.groupBy("_g", "view").agg(F.max("total").alias("n_test"))
+    chosen = chosen.join(n_test.hint("merge"), ["_g", "view"], "left").withColumn("coverage", F.coalesce(F.col("k") / F.col("n_cal"), F.lit(0.0)))
+    chosen = cut(chosen.withColumn("k", F.round(F.col("coverage") * F.coalesce("n_test", F.lit(0))).cast("long")))
+    at = prefix_sums_at(blocks, states, totals, chosen, "_g", len(regimes))
+    of_regime = lambda x: reduce(lambda else_, i: F.when(F.col("regime") == list(regimes)[i], F.col(f"{x}{i}")).otherwise(else_), range(len(regimes)), F.lit(None).cast("double"))
+    at = at.withColumns({"net": of_regime("sa") / of_regime("sb"), "share": of_regime("sh") / of_regime("sb"), "policy": F.get(F.array(*map(F.lit, names)), F.floor(F.col("_g") / (halves + 1)).cast("int"))})
+    return at.groupBy("regime", "policy", "budget").agg(
         F.count(F.lit(1)).alias("splits"), F.sum((F.col("coverage") > 0).cast("int")).alias("splits_with_coverage"), F.percentile("coverage", F.lit(0.5)).alias("median_coverage"), F.min("coverage").alias("least_coverage"),
         F.max("coverage").alias("greatest_coverage"), F.percentile("net", F.lit(0.5)).alias("median_test_effect"), F.percentile("share", F.lit(0.5)).alias("median_test_harmed"),
     )

@@ -16,6 +16,7 @@ from tandem.functions.exprs import stable_hash
 from tandem.functions.keys import null_safe_join
 from tandem.functions.storage import cut
 from tandem.operators.inference import bootstrap_ci, lcb_of
+from tandem.operators.prefixes import cluster_states, order_blocks, prefix_bounds, view_totals
 
 
 BROADCAST_GROUPS = 50_000
@@ -250,32 +251,23 @@ def max_prefix_under_budget(curve: DataFrame, rate: str, budgets: list[float]) -
 
 
 def certified_prefixes(ranked: DataFrame, cluster: str = "cluster_id", step: int = 10, weights: dict[str, str] | None = None) -> DataFrame:
-    """The cluster-robust lower bound of the weighted mean effect for every prefix of every policy, in one pass.
+    """The cluster-robust lower bound of the weighted mean effect for every prefix of every policy, over one copy of the ordered rows.
 
-    A row that adds (a, b) = (w*effect, w) to a cluster at (A, B) changes the sums of
-    A*A, A*B and B*B by 2Aa+a*a, Ab+Ba+ab and 2Bb+b*b; A and B are running sums inside the
-    cluster before the row, the three changes and the count of first occurrences run over the policy.
     `weights` {regime: column} bounds one ranking under several weightings, with `regime` in the result.
     """
     named = weights or {"": "w"}
-    own = {f"{x}{i}": c for i, w in enumerate(named.values()) for x, c in (("a", F.col(w) * F.col("effect")), ("b", F.col(w).cast("double")))}
-    h = ranked.withColumn("_h", stable_hash("unit_id", 20260722)).withColumns(own)
-    order = ["tier", "-policy_score", "_h", "unit_id"]
-    h = running_sums(h, ["policy", cluster], order, {f"c{x}": x for x in own})  # by ranges: a common cluster is no common key
-    h = h.withColumns({f"c{x}": F.col(f"c{x}") - F.col(x) for x in own} | {"new": (F.col("rank") == 1).cast("int")}).drop("rank")
-    sums = {"m": F.col("new")}
-    for i in range(len(named)):
-        ca, cb, a, b = (F.col(f"{x}{i}") for x in ("ca", "cb", "a", "b"))
-        sums |= {f"sa{i}": a, f"sb{i}": b, f"saa{i}": 2 * ca * a + a * a, f"sab{i}": ca * b + cb * a + a * b, f"sbb{i}": 2 * cb * b + b * b}
-    h = h.withColumns({f"_{n}": c for n, c in sums.items()})
-    g = running_sums(h.drop(*own, *(f"c{x}" for x in own), "new"), ["policy"], order, {n: f"_{n}" for n in sums})
-    total = ranked.groupBy("policy").agg(F.count(F.lit(1)).alias("n"))
-    g = g.join(F.broadcast(total), "policy").where(grid_of(F.col("n"), step))  # one row per policy
+    rows = ranked.where("policy is not null").withColumn("_h", F.unhex(stable_hash("unit_id", 20260722)))
+    blocks = order_blocks(rows, "policy", ["tier", "-policy_score", "_h", "unit_id"], cluster, "effect", list(named.values()))
+    states = cluster_states(blocks, "policy", cluster, len(named), F.array(F.lit(0)))
+    bounds = bounds_of(prefix_bounds(blocks, states, view_totals(states, "policy", len(named)), "policy", len(named), step), list(named))
+    return bounds.select("policy", "k", "clusters", *(["regime"] if weights else []), "estimate", "lcb")
+
+
+def bounds_of(sums: DataFrame, regimes: list[str]) -> DataFrame:
+    """Rows of `prefix_bounds` once per regime, with clusters, estimate and lcb."""
     of = lambda i: (F.try_divide(F.col(f"sa{i}"), F.nullif(F.col(f"sb{i}"), F.lit(0.0))).alias("estimate"), lcb_of("m", *(f"{x}{i}" for x in ("sa", "sb", "saa", "sab", "sbb"))).alias("lcb"))
-    k = ["policy", F.col("rank").alias("k"), F.col("m").alias("clusters")]
-    if not weights:
-        return g.select(*k, *of(0))
-    return g.select(*k, F.explode(F.array(*(F.struct(F.lit(r).alias("regime"), *of(i)) for i, r in enumerate(named)))).alias("x")).select("policy", "k", "clusters", "x.*")
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("regime"), *of(i)) for i, r in enumerate(regimes))))
+    return sums.select(sums.columns[0], "view", "k", "total", F.col("m").alias("clusters"), each.alias("x")).select(sums.columns[0], "view", "k", "total", "clusters", "x.*")
 
 
 def lcb_certified_prefix(ranked: DataFrame, budgets: list[float], cluster: str = "cluster_id", step: int = 10) -> DataFrame:
