@@ -74,7 +74,8 @@ def cross_validated_predictions(df: DataFrame, by: list[str], y: str, models: di
     which fits' training parts a row lies is an array. `fold` runs from 0 to k - 1; groups must be few.
     """
     xs = list(dict.fromkeys(c for cols in models.values() for c in cols))
-    whole = df.dropna(subset=[y, fold, *xs]).withColumn("_key", group_key(by))
+    whole = df.dropna(subset=[y, fold, *xs]).select(*dict.fromkeys([*by, y, fold, *keep, *xs])).withColumn("_key", group_key(by))
+    whole = cut(whole)  # read for the fits and for the predictions
     train = cut(whole.groupBy("_key", F.col(fold).cast("int").alias("_own"), *(F.col(x).cast("double").alias(x) for x in xs)).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.sum(1 - F.col(y).cast("long")).alias("_neg")))
     groups = sorted(r[0] for r in train.select("_key").distinct().collect())
     named = [(g, f, m) for g in groups for f in range(k) for m in models]

@@ -8,7 +8,11 @@ metric are grouped first.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,28 +29,74 @@ BROADCAST_GROUPS = 50_000
 def running_sums(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column | str], totals: bool = False) -> DataFrame:
     """`df` with rank (from 1) and inclusive running sums inside each `by` group; with `totals`, each sum's total over the group as `<name>_total`.
 
-    `order` names columns, '-' in front for descending, and must be total. The
-    range-partitioned rows are written once, because range bounds are sampled; the
-    offsets are one row per group and partition, so a common group is no common key.
+    `order` names columns, '-' in front for descending, and must be total. The rows are dealt out once, by ranges;
+    tasks sum inside their sorted partition, and the result is written, because range bounds are sampled. Offsets are
+    one row per group and partition, so a common group is no common key.
     """
-    keys = [F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order]
     col = lambda c: F.col(c) if isinstance(c, str) else c
     sums = {"rank": F.lit(1).cast("long")} | sums
-    ranged = cut(df.repartitionByRange(*by, *keys).withColumn("_p", F.spark_partition_id()))
-    inside = Window.partitionBy(*by, "_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumns({f"_s_{n}": F.sum(col(c)).over(inside) for n, c in sums.items()})
-    parts = ranged.groupBy(*by, "_p").agg(*(F.sum(col(c)).alias(f"_t_{n}") for n, c in sums.items()))
-    whole = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = parts.select(
-        *(F.col(b).alias(f"_b{i}") for i, b in enumerate(by)), F.col("_p").alias("_q"), *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_f_{n}") for n in sums),
-        *(F.sum(f"_t_{n}").over(whole).alias(f"{n}_total") for n in sums if totals),
-    )
-    on = F.col("_p") == F.col("_q")
-    for i, b in enumerate(by):
-        on = on & F.col(b).eqNullSafe(F.col(f"_b{i}"))
-    out = local.join(offsets.hint("merge"), on)
-    return out.select(*df.columns, *((F.col(f"_s_{n}") + F.col(f"_f_{n}")).alias(n) for n in sums), *(f"{n}_total" for n in sums if totals))
+    own = [n for n in df.columns if n not in sums]
+    inner = [f"_x_{n}" for n in sums]
+    rows = df.select(*own, *(F.col(n).alias(f"_k_{n}") for n in df.columns if n in sums), *(col(c).alias(x) for x, c in zip(inner, sums.values(), strict=True)))
+    kept = [n if n in own else f"_k_{n}" for n in df.columns]
+    kinds = rows.select(*(F.sum(x).alias(x) for x in inner)).schema
+    rows = rows.withColumns({x: F.col(x).cast(kinds[x].dataType) for x in inner})
+    named = {n: k for n, k in zip(df.columns, kept, strict=True)}
+    keys = [F.desc(named[o[1:]]) if o.startswith("-") else F.asc(named[o]) for o in order]
+    groups = [named[b] for b in by]
+    ranged = rows.repartitionByRange(*groups, *keys).withColumn("_p", F.spark_partition_id()).sortWithinPartitions(*groups, *keys)
+    local = cut(ranged.mapInArrow(summing(groups, inner), ranged.schema))
+    last = local.groupBy(*groups, "_p").agg(*(F.max_by(x, "_x_rank").alias(x) for x in inner))
+    before, whole = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = cut(last.select(*groups, "_p", *(F.sum(x).over(before).alias(f"_f{x}") for x in inner), *(F.sum(x).over(whole).alias(f"_t{x}") for x in inner if totals)))
+    join = null_safe_broadcast if offsets.count() <= BROADCAST_GROUPS else null_safe_join
+    out = join(local, offsets, [*groups, "_p"])
+    return out.select(*(F.col(k).alias(n) for n, k in named.items()), *(F.coalesce(F.col(x) + F.col(f"_f{x}"), x, f"_f{x}").alias(n) for n, x in zip(sums, inner, strict=True)), *(F.col(f"_t{x}").alias(f"{n}_total") for n, x in zip(sums, inner, strict=True) if totals))
+
+
+def summing(by: list[str], columns: list[str]):
+    """A function of Arrow batches that are sorted by `by`: each of `columns` becomes its running sum inside its group; NULLs add nothing, before the first value the sum is NULL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}  # the group at the end of the batch before, and its sums
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = last is None
+            for b in by:
+                c = batch.column(b)
+                earlier = pa.concat_arrays([last[b], c.slice(0, len(c) - 1)]) if last else pa.concat_arrays([c.slice(0, 1), c.slice(0, len(c) - 1)])
+                same = pc.or_(pc.fill_null(pc.equal(c, earlier), False), pc.and_(pc.is_null(c), pc.is_null(earlier)))
+                if pa.types.is_floating(c.type):
+                    same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(c), pc.is_nan(earlier)), False))
+                new |= ~same.to_numpy(zero_copy_only=False)
+            group = np.cumsum(new)
+            last = {b: pa.concat_arrays([batch.column(b).slice(batch.num_rows - 1)]) for b in by}
+            out = {n: batch.column(n) for n in batch.schema.names}
+            for x in columns:
+                c = out[x]
+                v, there = pc.fill_null(c, 0).to_numpy(), pc.is_valid(c).to_numpy(zero_copy_only=False)
+                sums, seen = _cumulated(v, there, group)
+                if x in held and not new[0]:
+                    at = group == group[0]
+                    sums[at] += held[x][0]
+                    seen[at] += held[x][1]
+                held[x] = (sums[-1], seen[-1])
+                out[x] = pa.array(sums, c.type, mask=seen == 0)
+            yield pa.record_batch(list(out.values()), names=list(out))
+
+    return run
+
+
+def _cumulated(v: np.ndarray, there: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums and counts of values inside runs of equal `group`."""
+    sums, seen = v.copy(), there.astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(v)]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        np.cumsum(sums[lo:hi], out=sums[lo:hi])
+        np.cumsum(seen[lo:hi], out=seen[lo:hi])
+    return sums, seen
 
 
 def order_statistics(df: DataFrame, by: list[str], value: str | Column, accuracy: int = 2000, **wanted: tuple[str, float]) -> DataFrame:
