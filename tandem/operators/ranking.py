@@ -99,14 +99,15 @@ def _cumulated(v: np.ndarray, there: np.ndarray, group: np.ndarray) -> tuple[np.
     return sums, seen
 
 
-def order_statistics(df: DataFrame, by: list[str], value: str | Column, accuracy: int = 2000, **wanted: tuple[str, float]) -> DataFrame:
+def order_statistics(df: DataFrame, by: list[str], value: str | Column, accuracy: int = 2000, written: bool = False, **wanted: tuple[str, float]) -> DataFrame:
     """Exact quantiles per group, by narrowing: a mergeable sketch gives two values around each wanted rank, one pass counts what lies below and keeps what lies between, and only that is ranked.
 
     `wanted` names results as ("cont", share), linear between ranks, or ("disc", share), the nearest rank. NULLs left
-    out; a NULL group is a group. The sketch's ranks are wrong by at most rows / `accuracy`, so at most some 4 /
+    out; a NULL group is a group. `written` says that `df` is cheap to read again; else its rows are written first. The sketch's ranks are wrong by at most rows / `accuracy`, so at most some 4 /
     `accuracy` of a group's distinct values are written per result.
     """
     rows = df.select(*by, (F.col(value) if isinstance(value, str) else value).alias("_v")).where("_v is not null")
+    rows = rows if written else cut(rows)  # read three times
     near = [min(1.0, max(0.0, s + d)) for _, s in wanted.values() for d in (-2 / accuracy, 2 / accuracy)]
     bounds = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", near, accuracy).alias("_b"), F.min("_v").alias("_min"), F.max("_v").alias("_max")))
     few = bounds.count() <= BROADCAST_GROUPS
