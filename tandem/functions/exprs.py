@@ -82,10 +82,15 @@ def hash_mod(hex16: Column, n: int) -> Column:
     return (F.conv(hex16, 16, 10).cast("decimal(20,0)") % F.lit(n).cast("decimal(20,0)")).cast("long")
 
 
+def hash_hex(seed, *parts) -> Column:
+    """8 hex digits of md5 of the parts, whose text order is the order of `hash_unit`."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(_c(p).cast("string") for p in parts))
+    return F.substring(F.md5(text.cast("binary")), 1, 8)
+
+
 def hash_unit(seed, *parts) -> Column:
     """A uniform draw in [0, 1) from md5 of the parts: the same in any engine."""
-    text = F.concat_ws("|", F.lit(str(seed)), *(_c(p).cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return F.conv(hash_hex(seed, *parts), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def stable_id(prefix: str, *parts) -> Column:
