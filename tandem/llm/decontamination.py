@@ -4,10 +4,13 @@ A window is a set of word shingles in fixed places (three words each; of a short
 its words). It is contained in a stretch of a document only if every shingle is, so with the
 shingles ordered by rarity a prefix of one, the rarest, is necessary: documents meet windows on
 that shingle alone. How rare shingles are is counted over all documents; a window with a shingle
-that no document holds is left out. Positional and length bounds place the window in the
-document, and its words are compared with the document's own. The benchmark's tables are
-broadcast in blocks of a counted size, one pass over the documents each, so no document is
-shuffled and no shingle, however common, is a hot key.
+that no document holds is left out. A place of a document that holds the rarest shingle of some
+window is written with the few words around it, which bound all windows through it; positional
+and length bounds place the window there, and its words are compared with the document's own.
+The benchmark's tables are broadcast in blocks of a counted size, one after the other; keys pass
+over the documents, windows over the places. So no document is shuffled, no shingle, however
+common, is a hot key, and no row but a document's own carries all its words: a task holds one
+document and its places, an executor one block.
 
 Null texts have no words; an item without words has no window. An item shorter than ten words is
 one window. Very long texts are read whole, one row at a time. Rows that share an id are judged
@@ -30,6 +33,8 @@ from tandem.llm.common import cut, hot_join
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 BLOCK_ROWS = 400_000
+ROW_BYTES = 128
+OCCURRENCE = "row_key string, start int, end int, window_id string"
 
 
 def words_of(text: str) -> Column:
@@ -38,12 +43,14 @@ def words_of(text: str) -> Column:
     return F.array_remove(F.split(low, BETWEEN), "")
 
 
-def blocks(df: DataFrame, by: str, most: int = BLOCK_ROWS) -> list[DataFrame]:
-    """`df` dealt by a hash of `by` into parts of at most `most` rows each, by count: doubled until they are. `by` must tell rows apart."""
-    n = -(-df.count() // most)
+def blocks(df: DataFrame, by: str, most: int = BLOCK_ROWS, *, long: str | None = None) -> list[DataFrame]:
+    """`df` dealt by a hash of `by` into parts of at most `most` rows each, by count: doubled until they are. `by` must tell rows apart. A row counts once more for each ROW_BYTES of the column `long`; one that is too long stands alone."""
+    counted = F.lit(1) if long is None else F.lit(1) + F.ceil(F.octet_length(long) / ROW_BYTES)
+    n = -(-(df.agg(F.sum(counted)).first()[0] or 0) // most)
     while n > 1:
         dealt = df.withColumn("_block", F.pmod(F.xxhash64(F.lit(n), by), F.lit(n)))
-        if dealt.groupBy("_block").count().agg(F.max("count")).first()[0] <= most:
+        sums = dealt.groupBy("_block").agg(F.sum(counted).alias("counted"), F.count(F.lit(1)).alias("rows"))
+        if sums.where((F.col("counted") > most) & (F.col("rows") > 1)).isEmpty():
             return [dealt.where(F.col("_block") == i).drop("_block") for i in range(n)]
         n *= 2
     return [df][:n]
@@ -62,11 +69,11 @@ def shingle_key(words: str, at: Column, size: int) -> Column:
 
 
 def window_shingles(windows: DataFrame) -> DataFrame:
-    """window_id, window, shingle_size, offset, key: the shingles of each distinct window."""
-    one = windows.dropDuplicates(["window_id"]).select("window_id", "window", F.least(F.lit(SHINGLE), F.size("window")).alias("shingle_size"))
+    """window_id, shingle_size, offset, key: the shingles of each of the distinct `windows`."""
+    one = windows.select("window_id", "window", F.least(F.lit(SHINGLE), F.size("window")).alias("shingle_size"))
     placed = one.withColumn("offset", F.explode(F.sequence(F.lit(0), F.size("window") - F.col("shingle_size"))))
     keys = [F.when(F.col("shingle_size") == s, shingle_key("window", F.col("offset"), s)) for s in range(1, SHINGLE + 1)]
-    return placed.withColumn("key", F.coalesce(*keys))
+    return placed.select("window_id", "shingle_size", "offset", F.coalesce(*keys).alias("key"))
 
 
 def document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
@@ -80,48 +87,62 @@ def document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return at.select("doc_id", "row_key", "words", "pos", each.alias("x")).select("doc_id", "row_key", "words", "pos", "x.last", "x.key")
 
 
-def documents_met(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, row_key, n_words with a null key for each row of `docs`; and key, for each place where a document holds a shingle of the benchmark."""
+def documents_met(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, n_words of each row of `docs`; key, for each place where a document holds a shingle of the benchmark)."""
     rows, parts = document_shingles(docs, sizes), []
     for i, b in enumerate(blocks(cut(shingles.select("key").distinct()), "key")):
-        joined = rows.join(F.broadcast(b.withColumn("hit", F.lit(True))), "key", "left").where("hit or last" if not i else "hit")
-        both = F.array_compact(F.array(F.when(F.col("last") & F.lit(not i), F.struct(F.lit(None).cast("long").alias("key"))), F.when(F.col("hit"), F.struct("key"))))
-        parts.append(joined.select("doc_id", "row_key", F.size("words").cast("long").alias("n_words"), F.explode(both).alias("x")).select("doc_id", "row_key", "n_words", "x.key"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def necessary_prefixes(shingles: DataFrame, frequency: DataFrame) -> DataFrame:
-    """window_id, window, offset, key: each window's rarest shingle, ties to the first; windows that hold a shingle of no document are left out."""
-    rare = F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "offset", "key", "window"))
-    return hot_join(shingles, frequency, "key").groupBy("window_id").agg(rare.alias("x")).where("x.rows > 0").select("window_id", "x.window", "x.offset", "x.key")
-
-
-def occurrences(docs: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
-    """row_key, start, end, window_id: every place of a document where a window stands, word for word."""
-    parts = blocks(prefixes, "window_id")
+        keys = F.broadcast(b.withColumn("hit", F.lit(True)))
+        if i:
+            parts.append(cut(rows.join(keys, "key").select("key", "hit")))
+            continue
+        own = [F.when(F.col("last"), c).alias(n) for n, c in (("doc_id", F.col("doc_id")), ("row_key", F.col("row_key")), ("n_words", F.size("words").cast("long")))]
+        parts.append(cut(rows.join(keys, "key", "left").where("hit or last").select(*own, "last", "key", "hit")))
+    return parts[0].where("last").select("doc_id", "row_key", "n_words"), reduce(DataFrame.unionByName, (p.where("hit").select("key") for p in parts))
+
+
+def necessary_prefixes(windows: DataFrame, shingles: DataFrame, frequency: DataFrame) -> DataFrame:
+    """window_id, window (its words as one text), length, offset, key: each window's rarest shingle, ties to the first; windows that hold a shingle of no document are left out."""
+    rare = F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "offset", "key"))
+    kept = hot_join(shingles, frequency, "key").groupBy("window_id").agg(rare.alias("x")).where("x.rows > 0")
+    return kept.join(windows.hint("merge"), "window_id").select("window_id", F.concat_ws(" ", "window").alias("window"), F.size("window").alias("length"), "x.offset", "x.key")
+
+
+def places(docs: DataFrame, keys: DataFrame, sizes: list[int], size: int) -> list[DataFrame]:
+    """row_key, n_words, pos, key, first, near: every place where a document holds one of the `keys`, with the words `near` it from the word `first` on, as far as a window of `size` words reaches."""
+    first, found = F.greatest(F.col("pos") - (size - 1), F.lit(0)), []
+    for b in blocks(keys, "key"):
+        near = F.slice("words", first + 1, 2 * size - 1)
+        found.append(cut(document_shingles(docs, sizes).join(F.broadcast(b), "key").select("row_key", F.size("words").alias("n_words"), "pos", "key", first.alias("first"), near.alias("near"))))
+    return found
+
+
+def occurrences(docs: DataFrame, prefixes: DataFrame, sizes: list[int], size: int) -> DataFrame:
+    """row_key, start, end, window_id: every place of a document where a window of at most `size` words stands, word for word."""
+    parts = blocks(prefixes, "window_id", long="window")
     if not parts:
-        return docs.sparkSession.createDataFrame([], "row_key string, start int, end int, window_id string")
-    rows = document_shingles(docs, sizes)
-    start, length = F.col("pos") - F.col("offset"), F.size("window")
-    bounds = (start >= 0) & (start + length <= F.size("words"))
-    same = F.slice("words", F.greatest(start, F.lit(0)) + 1, length) == F.col("window")
-    found = [rows.join(F.broadcast(b), "key").where(bounds & same).select("row_key", start.alias("start"), (start + length).alias("end"), "window_id") for b in parts]
+        return docs.sparkSession.createDataFrame([], OCCURRENCE)
+    at = reduce(DataFrame.unionByName, places(docs, cut(prefixes.select("key").distinct()), sizes, size))
+    start, length = F.col("pos") - F.col("offset"), F.col("length")
+    bounds = (start >= 0) & (start + length <= F.col("n_words"))
+    same = F.concat_ws(" ", F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, length)) == F.col("window")
+    found = [cut(at.join(F.broadcast(b), "key").where(bounds & same).select("row_key", start.alias("start"), (start + length).alias("end"), "window_id")) for b in parts]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, row_key, n_words of each row of `docs`; row_key, start, end, window_id of every occurrence; item, window_id). `docs` holds doc_id, row_key and text."""
     windows = cut(windows_of(benchmark, size))
-    shingles = cut(window_shingles(windows))
+    single = cut(windows.select("window_id", "window").distinct())
+    shingles = cut(window_shingles(single))
     sizes = sorted(r[0] for r in shingles.select("shingle_size").distinct().collect())  # SHINGLE values at most
     items = windows.select("item", "window_id")
     if not sizes:
         base = docs.select("doc_id", "row_key", F.size(words_of("text")).cast("long").alias("n_words"))
-        return cut(base), occurrences(docs, shingles.limit(0), sizes), items
-    met = cut(documents_met(docs, shingles, sizes))
-    frequency = cut(met.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("rows")))
-    prefixes = cut(necessary_prefixes(shingles, frequency))
-    return met.where("key is null").drop("key"), cut(occurrences(docs, prefixes, sizes)), items
+        return cut(base), docs.sparkSession.createDataFrame([], OCCURRENCE), items
+    base, met = documents_met(docs, shingles, sizes)
+    frequency = cut(met.groupBy("key").agg(F.count(F.lit(1)).alias("rows")))
+    prefixes = cut(necessary_prefixes(single, shingles, frequency))
+    return base, cut(occurrences(docs, prefixes, sizes, size)), items
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -137,8 +158,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     earlier = F.max("end").over(Window.partitionBy("row_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(earlier, F.lit(0))), F.lit(0))
     covered = hits.select("row_key", "start", "end").distinct().withColumn("fresh", fresh).groupBy("row_key").agg(F.sum("fresh").alias("n_hit"))
-    met = hits.select("row_key", "window_id").distinct()
-    named = [met.join(F.broadcast(b), "window_id").select("row_key", "item") for b in blocks(items.withColumn("_id", F.concat_ws(":", "item", "window_id")), "_id")]
+    met = cut(hits.select("row_key", "window_id").distinct())
+    named = [cut(met.join(F.broadcast(b), "window_id").select("row_key", "item")) for b in blocks(items.withColumn("_id", F.concat_ws(":", "item", "window_id")), "_id", long="_id")]
     if named:
         held = reduce(DataFrame.unionByName, named).groupBy("row_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
         summary = covered.join(held.hint("merge"), "row_key")
